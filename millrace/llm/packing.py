@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import sys
 import zlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -136,28 +137,27 @@ def fillings(counts: dict[int, int], lengths: list[int], room: int, width: int)
     of the filling: the filling with it is never worse.
     """
     found: list[tuple[int, tuple[int, ...]]] = []
-    budget = 200 * width
+    rising, steps, full = lengths[::-1], 40 * width, 0
 
     def undominated(chosen: tuple[int, ...], waste: int) -> bool:
-        if not waste:
-            return True
         used: dict[int, int] = {}
         for x in chosen:
             used[x] = used.get(x, 0) + 1
-        for x in lengths:
-            if counts[x] > used.get(x, 0) and (x <= waste or any(y < x <= y + waste for y in used)):
-                return False
+        for y in (0, *used):
+            for x in rising[bisect_right(rising, y) : bisect_right(rising, y + waste)]:
+                if counts[x] > used.get(x, 0):
+                    return False
         return True
 
     def go(i: int, chosen: tuple[int, ...], left: int) -> None:
-        nonlocal budget
-        budget -= 1
-        if budget < 0 or sum(w == 0 for w, _ in found) >= width:
+        nonlocal steps, full
+        steps -= 1
+        if steps < 0 or full >= width:
             return
-        while i < len(lengths) and lengths[i] > left:
-            i += 1
+        i = max(i, len(rising) - bisect_right(rising, left))  # the first that still fits
         if i == len(lengths):
-            if undominated(chosen, left):
+            if not left or undominated(chosen, left):
+                full += not left
                 found.append((left, chosen))
             return
         x = lengths[i]
@@ -171,7 +171,7 @@ def fillings(counts: dict[int, int], lengths: list[int], room: int, width: int)
 
 
 def bin_completion(
-    counts: dict[int, int], capacity: int, nodes: int = 4000, width: int = 8
+    counts: dict[int, int], capacity: int, nodes: int = 3000, width: int = 8
 ) -> list[tuple[tuple[int, ...], int]]:
     """Branch-and-bound over counts of lengths: bins as (lengths, how many alike).
 

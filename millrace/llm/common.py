@@ -10,11 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shipping import ship
+
 #: White space between words, the same six bytes that bytes.split() takes.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -36,6 +39,7 @@ def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
 
     fn takes an iterator of dicts (column name to list) and yields dicts.
     """
+    ship(df.sparkSession)
     names = df.columns
     arrow = pa.schema([(f.name, _arrow_type(f.dataType)) for f in T._parse_datatype_string(schema).fields])
 

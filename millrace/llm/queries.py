@@ -5,17 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash, mixing, simhash, substrings
+from . import html_text, licences, minhash, mixing, neighbours, simhash, substrings, toxicity
 from .common import table
 from .packing import pack
 from .token_counts import token_counts
 
 
+def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.curriculum(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "position")
@@ -37,12 +51,23 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), "word_bpe_49k.json")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op3_simhash_near_dedup, op5_source_mixing, op6_document_fingerprints, op7_substring_dedup, op8_best_fit_packing,
-        op9_token_counts,
+        op1_licence_scan, op2_html_text, op3_simhash_near_dedup, op4_nearest_neighbours, op5_source_mixing,
+        op6_document_fingerprints, op7_substring_dedup, op8_best_fit_packing, op9_token_counts, op10_toxicity, pipeline,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
+    """None: no operator's result can be written as SQL; tests/llm holds each against brute force."""
     return {}

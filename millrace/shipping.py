@@ -21,5 +21,7 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(target, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, str(p.relative_to(root.parent)))
+        for p in sorted(root.parent.glob("*_pipeline.py")):
+            z.write(p, p.name)
     spark.sparkContext.addPyFile(str(target))
     _shipped.add(app)

@@ -123,34 +123,44 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
     copies = copies.select("key", "c1", F.lit(True).alias("copy"), F.lit(None).cast("array<int>").alias("starts"))
 
     chosen = texts.select("first", "c1", F.explode("chosen").alias("gram"))
-    shared = chosen.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    marks = chosen.join(shared, "gram").groupBy("first", "c1").agg(F.collect_list("gram").alias("shared"))
+    shared = chosen.groupBy("gram").agg(F.count("*").alias("n"), F.min("first").alias("lo")).where("n > 1")
+    # a window can only go where an earlier document has its gram; elsewhere it may be the first
+    late = F.when(F.col("first") > F.col("lo"), F.col("gram"))
+    marks = chosen.join(shared, "gram").groupBy("first", "c1")
+    marks = marks.agg(F.collect_list("gram").alias("shared"), F.collect_list(late).alias("late"))
 
-    schema = pa.schema([(k, pa.int64()) for k in ("w1", "key", "c1")] + [("w2", pa.int32()), ("start", pa.int32())])
+    schema = pa.schema(
+        [(k, pa.int64()) for k in ("w1", "key", "c1")] + [("w2", pa.int32()), ("start", pa.int32()), ("late", pa.bool_())]
+    )
+
+    def chosen_from(grams_, g: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Whether each window's choice is one of these grams."""
+        of = np.where(np.isin(g, grams_.values.to_numpy().view(np.uint64)), g, _NEVER)
+        return _sliding(of, window - gram + 1, np.minimum) == least
 
     def windows(batches):
         for b in batches:
-            shared_ = b.column("shared")
-            for k, c1, text, s in zip(b.column("key").to_pylist(), b.column("c1").to_pylist(), b.column("text"), shared_, strict=True):
+            columns = [b.column(c) for c in ("key", "c1", "text", "shared", "late")]
+            for k, c1, text, shared_, late_ in zip(*columns, strict=True):
                 words = (text.as_py() or "").encode().split()
-                if _content(words)[0] != c1:
+                if _content(words)[0] != c1.as_py():
                     continue  # another text of the same doc_id
                 w = word_hashes(words)
                 least, g = grams(w, window, gram)
-                of = np.where(np.isin(g, s.values.to_numpy().view(np.uint64)), g, _NEVER)
-                start = np.flatnonzero(_sliding(of, window - gram + 1, np.minimum) == least).astype(np.int32)
+                start = np.flatnonzero(chosen_from(shared_, g, least)).astype(np.int32)
                 h = [rolling(w, window, base)[start] for base in _BASES]
-                columns = {
-                    "w1": h[0].view(np.int64), "key": np.full(len(start), k), "c1": np.full(len(start), c1),
+                out = {
+                    "w1": h[0].view(np.int64), "key": np.full(len(start), k.as_py()), "c1": np.full(len(start), c1.as_py()),
                     "w2": (h[1] >> np.uint64(32)).astype(np.uint32).view(np.int32), "start": start,
+                    "late": chosen_from(late_, g, least)[start],
                 }
-                yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
-    found = docs.join(marks, docs["key"] == marks["first"]).select("key", "c1", "text", "shared")
-    found = found.mapInArrow(windows, "w1 long, key long, c1 long, w2 int, start int")
+    found = docs.join(marks, docs["key"] == marks["first"]).select("key", "c1", "text", "shared", "late")
+    found = found.mapInArrow(windows, "w1 long, key long, c1 long, w2 int, start int, late boolean")
     found = found.persist(StorageLevel.MEMORY_AND_DISK)  # read twice; a lost block is made again
-    earliest = found.groupBy("w1", "w2").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi")
-    repeated = found.join(earliest.drop("hi"), ["w1", "w2"]).where("key > lo")
+    earliest = found.groupBy("w1", "w2").agg(F.min("key").alias("lo"))
+    repeated = found.where("late").drop("late").join(earliest, ["w1", "w2"]).where("key > lo")
     repeated = repeated.groupBy("key", "c1").agg(F.collect_list("start").alias("starts"))
     return copies.distinct().unionByName(repeated.withColumn("copy", F.lit(False)))
 
@@ -173,10 +183,10 @@ def _with_removals(docs: DataFrame, window: int, gram: int, columns: list[str])
 
 def _kept(text: str | None, gone: list | None, window: int) -> tuple[list[bytes], list[bytes]]:
     words = (text or "").encode().split()
-    if not gone:
+    if gone is None:
         return words, words
     c1 = _content(words)[0]
-    starts = [s for g in gone if g["c1"] == c1 and g["starts"] for s in g["starts"]]
+    starts = [s for g in gone if g["c1"] == c1 and g["starts"] is not None for s in g["starts"]]
     if any(g["copy"] and g["c1"] == c1 for g in gone):
         return words, []
     return words, kept_words(words, np.array(starts, np.int64), window) if starts else words
@@ -214,7 +224,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
 
         out = []
         for text, gone in zip(texts, gones, strict=True):
-            words, kept = _kept(text, None if gone is None else list(gone), window)
+            words, kept = _kept(text, gone, window)
             out.append(text if len(kept) == len(words) else b" ".join(kept).decode())
         return pd.Series(out, dtype=object)
 

@@ -154,10 +154,15 @@ def train(toxic: list[str], ordinary: list[str]) -> Model:
     held = max(1, len(toxic) // 4), max(1, len(ordinary) // 4)
     cal = toxic[: held[0]], ordinary[: held[1]]
     fit = _unlike(toxic[held[0] :]), _unlike(ordinary[held[1] :])
+    # too few labels to tell anything: everything scores alike, by how common toxic labels are
+    prior = min(-0.1, math.log((len(toxic) + 0.5) / (len(ordinary) + 0.5)))
+    alike = Model(b"\0", b"\0", [0.0] * (len(NAMES) - 1) + [prior])
     if not fit[0] or not fit[1]:
-        return Model(b"\0", b"\0", [0.0] * (len(NAMES) - 1) + [-30.0 if not toxic else 30.0 if not ordinary else 0.0])
+        return alike
     common = Counter(w for t in fit[1] for w in set(t.encode().lower().split())).most_common(3000)
     fragments = toxic_fragments(*fit)
+    if not fragments:
+        return alike
     y = np.repeat([1.0, 0.0], held)
     best, loss_of_best, chosen = _model([], b"", 0), math.inf, (b"", 6)
     for n in (1000, 3000):  # more ordinary text compresses the parts of toxic words better, too
@@ -209,7 +214,7 @@ def score(docs: DataFrame, labels: DataFrame, **sample: int) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted (1 from 0.5 up) of every row's whole text.
 
     A null text counts as empty; a null doc_id is kept, is scored and isn't held out; repeated
-    rows stay; without labels of both kinds all rows score alike; other columns are ignored.
+    rows stay; with too few labels to learn from all rows score alike, below 0.5; other columns are ignored.
     """
     model = fit(docs, labels, **sample)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, rules
-from ..operators import graph, metrics, scan, store, vectors
+from ..operators import graph, metrics, pyast, report, scan, store, vectors
 from ..streaming import tasks
 from . import adapters as a
 
@@ -573,6 +573,100 @@ def running_totals(spark, sf_dir):
     return a.task_events(spark, sf_dir).groupBy("status").agg(F.sum(F.floor("value")).alias("total"), F.count("*").alias("n"))
 
 
+# -- reports and Python facts -----------------------------------------------------------------
+
+_SUMMARY = f"SELECT repo_id, file_count * 15 AS file_count, CASE WHEN critical_count > 0 THEN 'critical' WHEN vulnerabilities_found > 30 THEN 'medium' ELSE 'none' END AS risk, secrets_found, vulnerabilities_found, file_count AS other_files, file_count AS avg_complexity, critical_count AS large_files FROM ({_COUNTS})"
+
+
+def _summary(spark, sf_dir):
+    risk = F.when(F.col("critical_count") > 0, "critical").when(F.col("vulnerabilities_found") > 30, "medium").otherwise("none")
+    return security_counts(spark, sf_dir).select(
+        "repo_id", (F.col("file_count") * 15).alias("file_count"), risk.alias("risk"), "secrets_found", "vulnerabilities_found",
+        F.col("file_count").alias("other_files"), F.col("file_count").alias("avg_complexity"), F.col("critical_count").alias("large_files"),
+    )
+
+
+def _numbered(texts: list[str], limit: int) -> str:
+    union = " UNION ALL ".join(f"SELECT repo_id, {k} AS k, {t} AS text FROM s" for k, t in enumerate(texts))
+    return (
+        f"WITH s AS ({_SUMMARY}), t AS ({union}), o AS (SELECT repo_id, text, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY k) AS INT) AS ord FROM t WHERE text IS NOT NULL) "
+        f"SELECT repo_id, ord, text FROM o WHERE ord <= {limit}"
+    )
+
+
+@query(_numbered([
+    "CASE WHEN file_count > 1000 THEN 'Consider splitting this large codebase into smaller, focused modules.' WHEN file_count > 500 THEN 'The codebase is moderately large. Ensure proper module separation.' END",
+    "CASE WHEN risk IN ('high', 'critical') THEN 'Address high-risk issues immediately, starting with security vulnerabilities.' WHEN risk = 'medium' THEN 'Review medium-risk findings and plan refactoring.' END",
+    "CASE WHEN secrets_found > 0 THEN 'Remove ' || secrets_found || ' hardcoded secret(s) and use environment variables.' END",
+    "CASE WHEN vulnerabilities_found > 0 THEN 'Review ' || vulnerabilities_found || ' potential vulnerability(ies) for security fixes.' END",
+    "CASE WHEN other_files > 20 THEN 'Organize ' || other_files || ' uncategorized files into proper architectural layers.' END",
+    "CASE WHEN avg_complexity > 50 THEN 'Reduce function/class complexity through refactoring.' END",
+    *map(_quote, report.GENERAL_ADVICE),
+], 10))
+def readme_advice(spark, sf_dir):
+    return report.readme_advice(_summary(spark, sf_dir))
+
+
+@query(_numbered([
+    "CASE WHEN secrets_found > 0 THEN secrets_found || ' potential secret(s) found' END",
+    "CASE WHEN vulnerabilities_found > 0 THEN vulnerabilities_found || ' potential vulnerability(ies) found' END",
+    "CASE WHEN large_files > 0 THEN large_files || ' large file(s) (may need refactoring)' END",
+    "CASE WHEN other_files > 0 THEN other_files || ' file(s) not following clear architecture' END",
+    "CASE WHEN secrets_found + vulnerabilities_found + large_files + other_files = 0 THEN 'Codebase looks well-structured' END",
+], 10))
+def key_findings(spark, sf_dir):
+    return report.key_findings(_summary(spark, sf_dir))
+
+
+@query(f"SELECT repo_id, severity, n, CAST(round(n * 100.0 / sum(n) OVER (PARTITION BY repo_id)) AS INT) AS percentage FROM (SELECT repo_id, severity, count(*) AS n FROM ({_FINDINGS}) GROUP BY ALL)")
+def issue_distribution(spark, sf_dir):
+    return report.distribution(scan.by_severity(findings(spark, sf_dir)))
+
+
+#: A small source for each kind of fact, and what a reader counts in it by hand.
+SOURCES = (
+    ("a.py", "import os, re\nfrom . import x\nfrom m.n import y\n\ndef f(a):\n    return eval(a)\n"),
+    ("b.py", "class C(B, m.D):\n    @p\n    def g(self):\n        def h():\n            return [i for i in (lambda: 1)()]\n        return h()\n    async def k(self):\n        pass\n"),
+    ("c.py", "def broken(:\n"),
+    ("d.PY", "import subprocess\nsubprocess.run('x', shell=True)\nre.compile('x')\n"),
+    ("e.txt", "import os\n"),
+)
+
+
+def _sources(spark):
+    return spark.createDataFrame([("r", p, c) for p, c in SOURCES], "repo_id string, path string, content string")
+
+
+@query(
+    "SELECT * FROM (VALUES ('a.py', 1, 0, 0, 3, 'os,re,m.n', 7, 0, 0, 0, 0, 5, false), ('b.py', 2, 1, 1, 0, '', 9, 1, 1, 1, 1, 10, false), ('c.py', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, true), "
+    "('d.PY', 0, 0, 0, 1, 'subprocess', 4, 0, 0, 0, 0, 1, false)) t(path, functions, async_functions, classes, imports, import_list, lines, decorated_functions, decorator_exprs, comprehensions, lambdas, complexity_score, parse_error)"
+)
+def python_file_stats(spark, sf_dir):
+    rows = pyast.file_stats(_sources(spark)).withColumn("import_list", F.array_join("import_list", ","))
+    return rows.drop("repo_id", "names", "simple_complexity")
+
+
+@query(
+    "SELECT * FROM (VALUES ('a.py', 'call', 'eval', 'f', 6, 1, false, true), ('b.py', 'call', 'h', 'g', 6, 0, false, false), ('d.PY', 'call', 'run', '<module>', 2, 2, true, false), ('d.PY', 'call', 'compile', '<module>', 3, 1, true, true)) "
+    "t(path, kind, name, caller, line, args, is_method, is_builtin)"
+)
+def python_calls(spark, sf_dir):
+    return pyast.file_facts(_sources(spark)).where("kind = 'call'").select("path", "kind", "name", "caller", "line", "args", "is_method", "is_builtin")
+
+
+@query("SELECT * FROM (VALUES ('a.py', 'eval', 6, 'high'), ('d.PY', 'subprocess.run', 2, 'high')) t(path, name, line, severity)")
+def python_dangerous_calls(spark, sf_dir):
+    return pyast.file_facts(_sources(spark)).where("kind = 'dangerous'").select("path", "name", "line", "severity")
+
+
+@query(
+    "SELECT * FROM (VALUES ('a', 'os', 'import'), ('a', 're', 'import'), ('a', 'x', 'import'), ('a', 'm.n.y', 'import'), ('a.f', 'eval', 'call'), ('b.C', 'B', 'inheritance'), ('b.C', 'm.D', 'inheritance'), ('b.g', 'h', 'call'), "
+    "('d', 'subprocess', 'import'), ('d.<module>', 'run', 'call'), ('d.<module>', 'compile', 'call')) t(src, dst, type)"
+)
+def dependency_graph(spark, sf_dir):
+    return graph.dependency_edges(pyast.file_facts(_sources(spark))).select("src", "dst", "type")
+
+
 def repository_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: metrics, risk, findings by severity and the security tier of every repository."""
     files = a.files(spark, sf_dir)

@@ -21,7 +21,7 @@ def read_directory(spark: SparkSession, root: str, repo_id: str, pruned: bool =
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").removeprefix("file:")
     rel = F.regexp_replace("path", "^.*?" + "".join("\\" + c if c in r"\.+*?()[]{}^$|" else c for c in base) + "/", "")
-    content = F.decode("content", F.lit("UTF-8")) if text else F.lit(None).cast("string")
+    content = F.make_valid_utf8(F.col("content").cast("string")) if text else F.lit(None).cast("string")
     rows = rows.select(F.lit(repo_id).alias("repo_id"), rel.alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), content.alias("content"))
     return rows.where(paths.scan_kept(F.col("path"))) if pruned else rows
 

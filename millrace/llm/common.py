@@ -60,6 +60,46 @@ def _arrow_type(t: T.DataType) -> pa.DataType:
     }[type(t)]
 
 
+def member_filter(keys: DataFrame, column: str, bits: int = 1 << 26):
+    """A function from a column of longs to whether they may be among the keys (a Bloom filter).
+
+    Never false for a key; true for others the more often the more keys there are, so it only
+    serves to keep rows from a shuffle. Its size is fixed (8 MB), so it can be broadcast.
+    """
+    import numpy as np
+
+    def places(x: np.ndarray) -> np.ndarray:
+        x = x.astype(np.int64).view(np.uint64)
+        out = []
+        for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9):
+            h = (x ^ x >> np.uint64(31)) * np.uint64(seed)
+            h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+            out.append(h >> np.uint64(32) & np.uint64(bits - 1))
+        return np.concatenate(out).astype(np.int64)
+
+    def words(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            p = np.unique(places(np.array(b[column], np.int64)))
+            word, start = np.unique(p >> 5, return_index=True)
+            yield {"word": word, "set": np.add.reduceat(1 << (p & 31), start) if len(p) else []}
+
+    # at most bits / 32 rows
+    got = map_batches(keys.select(column), words, "word long, set long").groupBy("word").agg(F.bit_or("set").alias("set")).toArrow()
+    table_ = np.zeros(bits >> 5, np.uint32)
+    table_[got["word"].to_numpy()] = got["set"].to_numpy().astype(np.uint32)
+    sent = keys.sparkSession.sparkContext.broadcast(table_)
+
+    @F.pandas_udf("boolean")
+    def member(x):
+        import pandas as pd
+
+        p = places(x.to_numpy(np.int64))
+        hit = (sent.value[p >> 5] >> (p & 31).astype(np.uint32) & 1).reshape(3, -1).all(axis=0)
+        return pd.Series(hit)
+
+    return member
+
+
 def connected_components(nodes_edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """The smallest reachable node of every node that has an edge.
 

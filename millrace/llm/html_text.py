@@ -36,12 +36,13 @@ DROPPED = set("nav footer aside form button select input label svg canvas object
 #: Words in a class, id or role that mark what isn't the article.
 BOILERPLATE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adbox|adslot|banners?|sponsor(?:ed|s)?|promos?|promoted|nav|navbar|navigation|menus?|breadcrumbs?|"
-    r"sidebars?|side|footers?|masthead|topbar|toolbar|site-?header|page-?header|header|comments?|disqus|respond|replies|reviews|discussion|"
+    r"sidebars?|side|footers?|masthead|topbar|toolbar|(?:site|page|main|global|top)-?header|comments?|disqus|respond|replies|reviews|discussion|"
     r"cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|"
     r"related|recommend(?:ed|ations)?|more-stories|read-?more|widgets?|pagination|pager|copyright|legal|disclaimer|skip-?link|complementary|"
     r"contentinfo|search|forms?|tags?|tagcloud|author-?box|paywall|outbrain|taboola)(?=$|[\s_-]|\d)"
 )
 GOOD = re.compile(r"(?:^|[\s_-])(?:articles?|article-?body|body|content|entry|hentry|main|page|posts?|post-?body|story|text|blog)(?=$|[\s_-]|\d)")
+_HEADER = re.compile(r"(?:^|\s)header(?=$|\s)")
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|"
     r"<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?P<self>/?)>",
@@ -52,11 +53,13 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "bad", "good", "hidden", "score", "chars", "link_chars", "own")
+    __slots__ = ("tag", "parent", "children", "bad", "named", "good", "hidden", "score", "chars", "link_chars", "own")
 
     def __init__(self, tag: str, parent: Node | None, names: str = "", hidden: bool = False):
         self.tag, self.parent, self.children = tag, parent, []
-        self.bad = tag in DROPPED or bool(names and BOILERPLATE.search(names)) and tag not in ("html", "body", "main", "article")
+        named = bool(names) and bool(BOILERPLATE.search(names) or tag != "header" and _HEADER.search(names))
+        self.named = named and tag not in ("html", "body", "main", "article")
+        self.bad = tag in DROPPED or self.named
         self.good = tag in ("article", "main") or bool(names and GOOD.search(names))
         self.hidden, self.score, self.chars, self.link_chars, self.own = hidden, 0.0, 0, 0, False
 
@@ -115,6 +118,12 @@ def parse(page: str) -> Node:
                 node = up.parent
         child = Node(tag, node, names, hidden)
         node.children.append(child)
+        if tag in ("article", "main"):  # what holds the article isn't what its name says
+            up = node
+            while up is not None and up.tag not in DROPPED and not (up.named and up.parent is not None and up.parent.tag == "article"):
+                if up.tag in ("article", "main"):
+                    break
+                up.bad, up = False, up.parent
         if tag not in VOID and not m["self"] or tag == "p":
             node = child
     return root
@@ -252,7 +261,15 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     top = parse(page)
-    return "\n".join(blocks(kept_nodes(score_tree(top), top)))
+    found = blocks(kept_nodes(score_tree(top), top))
+    if not found:  # everything lies in containers whose names mislead: go by elements alone
+        stack = [top]
+        while stack:
+            node = stack.pop()
+            node.bad, node.chars, node.link_chars, node.score = node.tag in DROPPED, 0, 0, 0.0
+            stack.extend(c for c in node.children if isinstance(c, Node))
+        found = blocks(kept_nodes(score_tree(top), top))
+    return "\n".join(found)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -225,7 +225,7 @@ class Scanner:
         return best
 
 
-_scanners: dict[int, Scanner] = {}
+_scanners: dict[bytes, Scanner] = {}
 
 
 def scan(docs: DataFrame, sample_rows: int = 400) -> DataFrame:
@@ -240,15 +240,17 @@ def scan(docs: DataFrame, sample_rows: int = 400) -> DataFrame:
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id")).orderBy(*order).limit(sample_rows).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").orderBy(*order)
     ordinary = [p for r in texts.limit(sample_rows).collect() for p in (r.text or "").split("\n") if p.strip()]
-    plain = re.compile(r"licen[cs]|rights reserved|copyright|public domain|creative commons", re.I)
-    model = train([p for p in ordinary if not plain.search(p)])
+    # paragraphs like a template are no examples of ordinary text
+    plain = [p for p in ordinary if all(template_likeness(words(p), f) < 0.3 for f in TEMPLATES)]
+    model = train(plain)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def each(batches: Iterator[dict]) -> Iterator[dict]:
-        if id(sent) not in _scanners:
+        key = sent.value.weights.tobytes()
+        if key not in _scanners:
             _scanners.clear()
-            _scanners[id(sent)] = Scanner(sent.value)
-        one = _scanners[id(sent)].paragraph
+            _scanners[key] = Scanner(sent.value)
+        one = _scanners[key].paragraph
         for b in batches:
             out: dict = {k: [] for k in _FIELDS}
             for doc, text in zip(b["doc_id"], b["text"], strict=True):

@@ -207,7 +207,16 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 2000, ordinary_row
     return train([r.text for r in rows if r.toxic == 1], [r.text for r in rows if r.toxic == 0])
 
 
-_scorers: dict[bytes, Scorer] = {}
+_scorers: dict[tuple, Scorer] = {}
+
+
+def _scorer(model: Model) -> Scorer:
+    """The worker's scorer for a model, made once."""
+    key = model.toxic, *model.weights
+    if key not in _scorers:
+        _scorers.clear()
+        _scorers[key] = Scorer(model)
+    return _scorers[key]
 
 
 def score(docs: DataFrame, labels: DataFrame, **sample: int) -> DataFrame:
@@ -219,10 +228,7 @@ def score(docs: DataFrame, labels: DataFrame, **sample: int) -> DataFrame:
     model = fit(docs, labels, **sample)
 
     def each(batches: Iterator[dict]) -> Iterator[dict]:
-        if model.toxic not in _scorers:
-            _scorers.clear()
-            _scorers[model.toxic] = Scorer(model)
-        scorer = _scorers[model.toxic]
+        scorer = _scorer(model)
         for b in batches:
             s = [scorer.score(t or "") for t in b["text"]]
             yield {"doc_id": b["doc_id"], "held_out": b["held"], "score": s, "predicted": [int(x >= 0.5) for x in s]}
@@ -239,9 +245,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, **sample: int) -> DataFram
     def clean(texts):
         import pandas as pd
 
-        if model.toxic not in _scorers:
-            _scorers.clear()
-            _scorers[model.toxic] = Scorer(model)
-        return pd.Series([_scorers[model.toxic].score(t or "") < 0.5 for t in texts], dtype=bool)
+        scorer = _scorer(model)
+        return pd.Series([scorer.score(t or "") < 0.5 for t in texts], dtype=bool)
 
     return docs.where(clean("text"))

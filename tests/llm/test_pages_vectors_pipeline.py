@@ -22,6 +22,10 @@ LONG = "This sentence is here, as others are, to give the article some length an
         (f"<div class='cookie-notice'>{LONG}</div><div class=post><p>{LONG}</p><p>{LONG}</p></div>", f"{LONG}\n{LONG}"),
         (f"<article><header><h1>T</h1></header><p>{LONG}</p><aside>{LONG}</aside></article>", f"T\n{LONG}"),
         (f"<article><p><b>{LONG}<p>{LONG}</b></article></div></p>", f"{LONG}\n{LONG}"),
+        (f"<div class='page-with-sidebar'><article><header class='entry-header'><h1>T</h1></header><p>{LONG}</p></article><div class=sidebar>{LONG}</div></div>", f"T\n{LONG}"),
+        (f"<div class='content-sidebar'><p>{LONG}</p></div>", LONG),
+        (f"<div class=header><p>{LONG}</p></div><div class=text><p>{LONG}</p><p>{LONG}</p></div>", f"{LONG}\n{LONG}"),
+        (f"<article><p>{LONG}</p></article><div class=comments><article><p>{LONG}</p></article></div>", LONG),
         (f"<article><p hidden>{LONG}</p><p style='display: none'>{LONG}</p><p>{LONG}</p></article>", LONG),
     ],
 )

@@ -350,8 +350,9 @@ def test_licences(spark):
             want.append((10 * i + k, family))
     rows += [(1000 + i, t, None, None, 0) for i, t in enumerate(plain)] + [(2000, "the license of a public version", None, None, 0), (2001, None, None, None, 0)]
     got = {r.doc_id: r for r in licences.scan(documents(spark, rows)).collect()}
-    for d, family in want:
-        assert got[d].licence == family and got[d].paragraphs == [1 + rows[[r[0] for r in rows].index(d)][1].split("\n").index(got[d] and dict(want) and licences.TEMPLATES[family][d % 10]) - 1], d
+    for (d, family), row in zip(want, rows, strict=False):
+        assert got[d].licence == family, (d, got[d])
+        assert got[d].paragraphs == [row[1].split("\n").index(licences.TEMPLATES[family][d % 10])]
     assert all(r.licence == "none" and r.families == [] for d, r in got.items() if d >= 1000)
 
 

@@ -145,3 +145,29 @@ def simply_ignored(path: Column, patterns: Iterable[str] = rules.SIMPLE_IGNORES)
         shape = "^" + "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in p) + "$"
         out = out | F.array_contains(parts, p) | basename(path).rlike(shape) | path.contains(p)
     return out
+
+
+def upload_problem(name: Column, mime: Column, size: Column, max_mb: int = 100) -> Column:
+    """Why an upload is refused, or null: no name, a wrong ending, a wrong type, too large."""
+    types = ("application/zip", "application/x-zip-compressed", "application/octet-stream")
+    return (
+        F.when(F.coalesce(name, F.lit("")) == "", "no filename").when(extension(name) != ".zip", "file type")
+        .when((F.coalesce(mime, F.lit("")) != "") & ~mime.isin(*types), "mime type").when(size > (max_mb << 20), "too large")
+    )
+
+
+def plain_repository_url(url: Column) -> Column:
+    return url.rlike(r"^https://github\.com/[a-zA-Z0-9_.-]+/[a-zA-Z0-9_.-]+/?$")
+
+
+def known_status(status: Column) -> Column:
+    return status.isin("pending", "processing", "extracting", "scanning", "generating_report", "completed", "failed")
+
+
+def question_topic(message: Column) -> Column:
+    """What a question without a language model is answered about; the first that matches."""
+    text = F.lower(message)
+    return (
+        F.when(text.contains("readme"), "readme").when(text.contains("summary") | text.contains("analyze"), "summary")
+        .when(text.contains("security"), "security").otherwise("other")
+    )

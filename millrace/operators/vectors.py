@@ -27,6 +27,31 @@ def embed(text: Column) -> Column:
     return F.when(clean != "", normalised(digest_components(clean)))
 
 
+def code_text(code: Column, language: Column) -> Column:
+    """What is embedded for a piece of code."""
+    return F.concat(F.lit("["), language, F.lit(" code]\n"), code)
+
+
+def embed_once(items: DataFrame, text: str = "text") -> DataFrame:
+    """items with embedding; every distinct text is embedded once and joined back by its MD5."""
+    key = F.md5(F.col(text))
+    distinct = items.select(key.alias("_key"), F.col(text).alias("_text")).dropDuplicates(["_key"])
+    distinct = distinct.select("_key", embed(F.col("_text")).alias("embedding"))
+    return items.withColumn("_key", key).join(distinct, "_key", "left").drop("_key")
+
+
+@F.pandas_udf("array<double>")
+def seeded_embedding(texts):
+    """256 normal numbers seeded by the text's MD5, for tests that need vectors without a model."""
+    import hashlib
+
+    import numpy as np
+    import pandas as pd
+
+    one = lambda t: np.random.default_rng(int(hashlib.md5(t.encode()).hexdigest(), 16)).standard_normal(256)
+    return pd.Series([None if t is None else one(t) for t in texts])
+
+
 def cosine(a: Column, b: Column) -> Column:
     """0 for vectors of unlike length or without length."""
     norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))

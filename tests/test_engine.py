@@ -144,6 +144,25 @@ def test_vectors(spark):
     assert [(r.id, round(r.similarity, 3)) for r in got] == [(0, 1.0), (5, 1.0), (1, 0.707), (2, 0.0)]
 
 
+def test_embedding_helpers(spark):
+    df = spark.createDataFrame([(0, "a"), (1, "a"), (2, None)], "id int, text string")
+    got = {r.id: r.embedding for r in vectors.embed_once(df).collect()}
+    assert got[0] == got[1] and len(got[0]) == 32 and got[2] is None
+    v = [r.v for r in df.orderBy("id").select(vectors.seeded_embedding("text").alias("v")).collect()]
+    assert v[0] == v[1] and len(v[0]) == 256 and v[2] is None
+    assert values(spark, lambda x: vectors.code_text(x, F.lit("python")), ["x"]) == ["[python code]\nx"]
+
+
+def test_validators(spark):
+    rows = [(None, None, 1), ("a.tar", None, 1), ("a.zip", "text/plain", 1), ("a.ZIP", "application/zip", 101 << 20), ("a.zip", "", 1)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, n string, m string, s long").orderBy("i")
+    got = [r[0] for r in df.select(paths.upload_problem(F.col("n"), F.col("m"), F.col("s"))).collect()]
+    assert got == ["no filename", "file type", "mime type", "too large", None]
+    assert values(spark, paths.plain_repository_url, ["https://github.com/a/b/", "http://github.com/a/b", "https://github.com/a"]) == [True, False, False]
+    assert values(spark, paths.question_topic, ["README please", "Analyze security", "security?", "hi"]) == ["readme", "summary", "security", "other"]
+    assert values(spark, paths.known_status, ["pending", "x"]) == [True, False]
+
+
 def test_report_search(spark):
     reports = spark.createDataFrame([(1, 1, "x"), (2, 2, "Urgent")], "report_id int, analysis_id int, summary string")
     analyses = spark.createDataFrame([(1, "repo", None), (2, "other", 50.0)], "analysis_id int, repo_name string, risk_score double")

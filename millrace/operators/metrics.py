@@ -20,18 +20,19 @@ def file_facts(files: DataFrame) -> DataFrame:
 
 
 def code_metrics(facts: DataFrame) -> DataFrame:
-    """One row per repository; unrounded."""
+    """One row per repository; unrounded. One scan: sums by category first, then by repository."""
     large = F.col("lines") > 1000
-    by_category = facts.groupBy("repo_id", "category").agg(F.count("*").alias("n"))
-    top = by_category.groupBy("repo_id").agg(F.max("n").alias("main_type_count"))
-    out = facts.groupBy("repo_id").agg(
-        F.count("*").alias("file_count"), F.sum("lines").alias("total_lines"), F.sum("size_bytes").alias("total_bytes"),
-        F.sum(large.cast("long")).alias("large_files"),
-        F.coalesce(F.sum(F.when(large, F.col("lines"))), F.lit(0)).alias("large_lines"),
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("language") != "", F.col("language")))), ",").alias("languages"),
-        F.countDistinct(F.when(F.col("language") != "", F.col("language"))).alias("language_count"),
+    kinds = facts.groupBy("repo_id", "category").agg(
+        F.count("*").alias("n"), F.sum("lines").alias("lines"), F.sum("size_bytes").alias("bytes"), F.sum(large.cast("long")).alias("large"),
+        F.sum(F.when(large, F.col("lines"))).alias("large_lines"), F.collect_set(F.when(F.col("language") != "", F.col("language"))).alias("languages"),
     )
-    return out.join(top, "repo_id")
+    out = kinds.groupBy("repo_id").agg(
+        F.sum("n").alias("file_count"), F.sum("lines").alias("total_lines"), F.sum("bytes").alias("total_bytes"), F.sum("large").alias("large_files"),
+        F.coalesce(F.sum("large_lines"), F.lit(0)).alias("large_lines"), F.array_distinct(F.flatten(F.collect_list("languages"))).alias("all"),
+        F.max("n").alias("main_type_count"),
+    )
+    names = {"languages": F.array_join(F.array_sort("all"), ","), "language_count": F.size("all").cast("long")}
+    return out.withColumns(names).drop("all")
 
 
 def band(value: Column, *steps: tuple[float, int]) -> Column:
@@ -48,16 +49,20 @@ def level(score: Column) -> Column:
     )
 
 
-def metric_risk(metrics: DataFrame) -> DataFrame:
+def metric_score() -> Column:
+    """Points over the columns of code_metrics."""
     n = F.col("file_count")
-    score = F.least(F.lit(100), (
+    return F.least(F.lit(100), (
         band(n, (1000, 20), (500, 15), (200, 10), (100, 5))
         + band(F.col("large_files") * 100.0 / n, (20, 25), (10, 15), (5, 10), (0, 5))
         + band(F.col("language_count"), (5, 15), (3, 10), (1, 5))
         + band(F.col("main_type_count") / n, (0.8, 20), (0.6, 15), (0.4, 10))
         + F.when(F.col("large_files") > 0, band(F.col("large_lines") / F.col("large_files"), (2000, 20), (1000, 15), (500, 10))).otherwise(0)
     ))
-    return metrics.select("repo_id", score.alias("risk_score"), level(score).alias("risk"))
+
+
+def metric_risk(metrics: DataFrame) -> DataFrame:
+    return metrics.select("repo_id", metric_score().alias("risk_score"), level(metric_score()).alias("risk"))
 
 
 def language_share(files: DataFrame) -> DataFrame:
@@ -69,11 +74,16 @@ def language_share(files: DataFrame) -> DataFrame:
     return share.where("language <> ''").withColumn("rank", F.row_number().over(order))
 
 
-def security_tier(counts: DataFrame) -> DataFrame:
-    """counts: repo_id, secrets_found, vulnerabilities_found, critical_count."""
+def tier() -> tuple[Column, Column]:
+    """Level and score over secrets_found, vulnerabilities_found and critical_count."""
     c, v, s = F.col("critical_count"), F.col("vulnerabilities_found"), F.col("secrets_found")
     name = F.when(c > 0, "critical").when(v > 0, "high").when(s > 5, "medium").when(s > 0, "low").otherwise("none")
     score = F.when(c > 0, 90).when(v > 0, 70).when(s > 5, 50).when(s > 0, 30).otherwise(0)
+    return name, score
+
+
+def security_tier(counts: DataFrame) -> DataFrame:
+    name, score = tier()
     return counts.select("repo_id", name.alias("risk_level"), score.alias("risk_score"))
 
 

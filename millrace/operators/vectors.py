@@ -40,16 +40,17 @@ def embed_once(items: DataFrame, text: str = "text") -> DataFrame:
     return items.withColumn("_key", key).join(distinct, "_key", "left").drop("_key")
 
 
-@F.pandas_udf("array<double>")
-def seeded_embedding(texts):
+def seeded_embedding(text: Column) -> Column:
     """256 normal numbers seeded by the text's MD5, for tests that need vectors without a model."""
     import hashlib
 
     import numpy as np
     import pandas as pd
 
-    one = lambda t: np.random.default_rng(int(hashlib.md5(t.encode()).hexdigest(), 16)).standard_normal(256)
-    return pd.Series([None if t is None else one(t) for t in texts])
+    def one(t: str | None):
+        return None if t is None else np.random.default_rng(int(hashlib.md5(t.encode()).hexdigest(), 16)).standard_normal(256)
+
+    return F.pandas_udf(lambda texts: pd.Series([one(t) for t in texts]), "array<double>", F.PandasUDFType.SCALAR)(text)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -668,16 +668,21 @@ def dependency_graph(spark, sf_dir):
 
 
 def repository_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: metrics, risk, findings by severity and the security tier of every repository."""
+    """The flagship: metrics, risk, findings and the security tier of every repository.
+
+    Two scans of the files (facts, and lines against patterns), one join of their per-repository sums.
+    """
     files = a.files(spark, sf_dir)
     m = metrics.code_metrics(metrics.file_facts(files))
     found = scan.pattern_findings(scan.lines_of(files.select("repo_id", "path", "content")))
-    v = found.groupBy("repo_id").agg(F.count("*").alias("v"), F.sum((F.col("severity") == "critical").cast("long")).alias("c"))
-    counts = m.join(v, "repo_id", "left").select(
-        "repo_id", F.lit(0).alias("secrets_found"), F.coalesce("v", F.lit(0)).alias("vulnerabilities_found"), F.coalesce("c", F.lit(0)).alias("critical_count")
+    v = found.groupBy("repo_id").agg(
+        F.count("*").alias("vulnerabilities_found"), F.sum((F.col("severity") == "critical").cast("long")).alias("critical_count")
     )
-    tier = metrics.security_tier(counts).withColumnRenamed("risk_score", "security_score").withColumnRenamed("risk_level", "security_level")
-    return m.join(metrics.metric_risk(m), "repo_id").join(counts, "repo_id").join(tier, "repo_id")
+    rows = m.join(v, "repo_id", "left").fillna(0, ["vulnerabilities_found", "critical_count"]).withColumn("secrets_found", F.lit(0))
+    name, score = metrics.tier()
+    return rows.withColumns({
+        "risk_score": metrics.metric_score(), "risk": metrics.level(metrics.metric_score()), "security_level": name, "security_score": score,
+    })
 
 
 _QUERIES["repository_report"] = repository_report

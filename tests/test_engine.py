@@ -148,7 +148,7 @@ def test_embedding_helpers(spark):
     df = spark.createDataFrame([(0, "a"), (1, "a"), (2, None)], "id int, text string")
     got = {r.id: r.embedding for r in vectors.embed_once(df).collect()}
     assert got[0] == got[1] and len(got[0]) == 32 and got[2] is None
-    v = [r.v for r in df.orderBy("id").select(vectors.seeded_embedding("text").alias("v")).collect()]
+    v = [r.v for r in df.orderBy("id").select(vectors.seeded_embedding(F.col("text")).alias("v")).collect()]
     assert v[0] == v[1] and len(v[0]) == 256 and v[2] is None
     assert values(spark, lambda x: vectors.code_text(x, F.lit("python")), ["x"]) == ["[python code]\nx"]
 

@@ -21,7 +21,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize
+from .common import map_batches, materialize, member_filter
 from .token_counts import _Cache
 
 WINDOW, GRAM = 50, 16
@@ -127,10 +127,10 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
     # a window can only go where an earlier document has its gram; elsewhere it may be the first
     late = F.when(F.col("first") > F.col("lo"), F.col("gram"))
     marks = chosen.join(shared, "gram").groupBy("first", "c1")
-    marks = marks.agg(F.collect_list("gram").alias("shared"), F.collect_list(late).alias("late"))
+    marks = materialize(marks.agg(F.collect_list("gram").alias("shared"), F.collect_list(late).alias("late")))
 
     schema = pa.schema(
-        [(k, pa.int64()) for k in ("w1", "key", "c1")] + [("w2", pa.int32()), ("start", pa.int32()), ("late", pa.bool_())]
+        [(k, pa.int64()) for k in ("w1", "key", "c1")] + [("w2", pa.int32()), ("starts", pa.list_(pa.int32())), ("late", pa.bool_())]
     )
 
     def chosen_from(grams_, g: np.ndarray, least: np.ndarray) -> np.ndarray:
@@ -148,20 +148,30 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
                 w = word_hashes(words)
                 least, g = grams(w, window, gram)
                 start = np.flatnonzero(chosen_from(shared_, g, least)).astype(np.int32)
-                h = [rolling(w, window, base)[start] for base in _BASES]
+                h1, h2 = (rolling(w, window, base)[start] for base in _BASES)
+                # a text's equal windows are one row, with all their places
+                order = np.lexsort((start, h2, h1))
+                h1, h2, start = h1[order], h2[order], start[order]
+                first = np.flatnonzero(np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]) if len(start) else start
+                ends = np.r_[first, len(start)].astype(np.int32)
                 out = {
-                    "w1": h[0].view(np.int64), "key": np.full(len(start), k.as_py()), "c1": np.full(len(start), c1.as_py()),
-                    "w2": (h[1] >> np.uint64(32)).astype(np.uint32).view(np.int32), "start": start,
-                    "late": chosen_from(late_, g, least)[start],
+                    "w1": h1[first].view(np.int64), "key": np.full(len(first), k.as_py()), "c1": np.full(len(first), c1.as_py()),
+                    "w2": (h2[first] >> np.uint64(32)).astype(np.uint32).view(np.int32),
+                    "starts": pa.ListArray.from_arrays(pa.array(ends), pa.array(start)), "late": chosen_from(late_, g, least)[start[first]],
                 }
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
+                columns_ = [v if isinstance(v, pa.Array) else pa.array(v) for v in (out[f.name] for f in schema)]
+                yield pa.RecordBatch.from_arrays(columns_, schema=schema)
 
-    found = docs.join(marks, docs["key"] == marks["first"]).select("key", "c1", "text", "shared", "late")
-    found = found.mapInArrow(windows, "w1 long, key long, c1 long, w2 int, start int, late boolean")
+    # only texts that can hold a repeat are shuffled
+    marked = docs.where(member_filter(marks, "first")("key"))
+    found = marked.join(marks, marked["key"] == marks["first"]).select("key", "c1", "text", "shared", "late")
+    found = found.mapInArrow(windows, "w1 long, key long, c1 long, w2 int, starts array<int>, late boolean")
     found = found.persist(StorageLevel.MEMORY_AND_DISK)  # read twice; a lost block is made again
-    earliest = found.groupBy("w1", "w2").agg(F.min("key").alias("lo"))
+    # written out, so that the join below has plain sides and a window that very many texts share can be split
+    earliest = found.groupBy("w1", "w2").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi")
+    earliest = materialize(earliest.drop("hi"))
     repeated = found.where("late").drop("late").join(earliest, ["w1", "w2"]).where("key > lo")
-    repeated = repeated.groupBy("key", "c1").agg(F.collect_list("start").alias("starts"))
+    repeated = repeated.groupBy("key", "c1").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     return copies.distinct().unionByName(repeated.withColumn("copy", F.lit(False)))
 
 
@@ -174,11 +184,19 @@ def kept_words(words: list[bytes], starts: np.ndarray, window: int) -> list[byte
     return [w for w, c in zip(words, covered.tolist(), strict=True) if not c]
 
 
-def _with_removals(docs: DataFrame, window: int, gram: int, columns: list[str]) -> DataFrame:
+def _with_removals(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """row (all columns of docs, whatever their names) and gone (what removals() says of its doc_id).
+
+    Rows whose doc_id loses nothing stay where they are; only the others meet their removals.
+    """
     gone = removals(docs, window, gram).groupBy("key").agg(F.collect_list(F.struct("c1", "copy", "starts")).alias("gone"))
+    gone = materialize(gone)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    rows = docs.select(*columns, key.alias("_key"))
-    return rows.join(gone, rows._key == gone.key, "left").select(*columns, "gone")
+    rows = docs.select(key.alias("own"), F.struct("*").alias("row"))
+    loses = member_filter(gone, "key")("own")
+    some, rest = rows.where(loses), rows.where(~loses)
+    some = some.join(gone, some["own"] == gone["key"], "left").select("row", "gone")
+    return some.union(rest.select("row", F.lit(None).cast(gone.schema["gone"].dataType).alias("gone")))
 
 
 def _kept(text: str | None, gone: list | None, window: int) -> tuple[list[bytes], list[bytes]]:
@@ -210,8 +228,8 @@ def removed_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
                     out[name].append(v)
             yield out
 
-    rows = _with_removals(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), window, gram, ["doc_id", "text"])
-    return map_batches(rows, each, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    rows = _with_removals(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), window, gram)
+    return map_batches(rows.select("row.doc_id", "row.text", "gone"), each, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -228,9 +246,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
             out.append(text if len(kept) == len(words) else b" ".join(kept).decode())
         return pd.Series(out, dtype=object)
 
-    names = docs.columns
-    rows = _with_removals(docs, window, gram, names)
-    touched = F.when(F.col("gone").isNull(), F.col("text")).otherwise(cut("text", "gone"))
-    rows = rows.withColumn("_new", touched).where(F.col("gone").isNull() | (F.col("_new") != ""))
-    new = {"text": F.col("_new"), "n_chars": F.length("_new").cast("long")}
-    return rows.select(*(F.when(F.col("gone").isNull(), F.col(c)).otherwise(new[c]).alias(c) if c in new else F.col(c) for c in names))
+    text, none = F.col("row.text"), F.col("gone").isNull()
+    rows = _with_removals(docs, window, gram).withColumn("new", F.when(none, text).otherwise(cut(text, "gone")))
+    rows = rows.where(none | (F.col("new") != ""))
+    new = {"text": F.col("new"), "n_chars": F.when(none, F.col("row.n_chars")).otherwise(F.length("new").cast("long")) if "n_chars" in docs.columns else None}
+    return rows.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))

@@ -120,15 +120,17 @@ def toxic_fragments(toxic: list[str], ordinary: list[str]) -> list[tuple[float,
     Of fragments that begin one another only the one with most evidence stays.
     """
     n1, n0 = len(toxic), len(ordinary)
-    in1, documents = Counter(), Counter()
+    counts: dict[bytes, int] = {}  # occurrences, and above bit 20 documents
     for t in toxic:
-        found = _beginnings(t)
-        in1.update(found)
-        documents.update(found.keys())
-    in1 = {g: n for g, n in in1.items() if documents[g] > 2}
+        for g, n in _beginnings(t).items():
+            counts[g] = counts.get(g, 0) + n + (1 << 20)
+    in1 = {g: n & 0xFFFFF for g, n in counts.items() if n >> 20 > 2}
+    del counts
     in0: Counter = Counter()
     for t in ordinary:
-        in0.update({g: n for g, n in _beginnings(t).items() if g in in1})
+        for g, n in _beginnings(t).items():
+            if g in in1:
+                in0[g] += n
     found = []
     for g, a in in1.items():
         b = in0[g]
@@ -145,11 +147,12 @@ def toxic_fragments(toxic: list[str], ordinary: list[str]) -> list[tuple[float,
     return out
 
 
-def train(toxic: list[str], ordinary: list[str]) -> Model:
+def train(toxic: list[str], ordinary: list[str], odds: float | None = None) -> Model:
     """Dictionaries from three quarters of the texts, thresholds from the rest.
 
     How much ordinary text the dictionaries hold and the least evidence that a toxic fragment
-    needs are those whose calibrated loss is least.
+    needs are those whose calibrated loss is least. odds: toxic to ordinary among all labelled
+    rows, where the texts given are drawn in another proportion.
     """
     held = max(1, len(toxic) // 4), max(1, len(ordinary) // 4)
     cal = toxic[: held[0]], ordinary[: held[1]]
@@ -179,7 +182,8 @@ def train(toxic: list[str], ordinary: list[str]) -> Model:
     # the texts that calibrated may show further fragments; thresholds stay as they are
     every = toxic_fragments(_unlike(toxic), _unlike(ordinary))
     final = _model(every, *chosen)
-    final.weights = best.weights
+    final.weights = list(best.weights)
+    final.weights[-1] += math.log((odds or held[0] / held[1]) * held[1] / held[0])
     return final
 
 
@@ -193,18 +197,20 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 2000, ordinary_rows: int = 4000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1200, ordinary_rows: int = 2400) -> Model:
     """Trains on at most so many labelled rows of each kind, chosen by a hash of doc_id."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.dropDuplicates(["doc_id"])
     order = F.xxhash64("doc_id", F.lit("toxicity")), F.col("doc_id")
+    counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    odds = counts[1] / counts[0] if len(counts) == 2 else None
     chosen = known.where("toxic = 1").orderBy(*order).limit(toxic_rows).union(known.where("toxic = 0").orderBy(*order).limit(ordinary_rows))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # the chosen ids are few by their limits, and so are the rows that reach the driver
     rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     rows = rows.orderBy(*order).collect()
-    return train([r.text for r in rows if r.toxic == 1], [r.text for r in rows if r.toxic == 0])
+    return train([r.text for r in rows if r.toxic == 1], [r.text for r in rows if r.toxic == 0], odds)
 
 
 _scorers: dict[tuple, Scorer] = {}

@@ -79,12 +79,13 @@ def targets(sizes: DataFrame, schedules=SCHEDULES, share: float = 1.5, most: flo
 
 
 def mix(docs: DataFrame, carry: tuple[str, ...] = (), schedules=SCHEDULES, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """Per row: doc_id, source, size, source_size, target, taken, position, then the carried columns.
+    """Per row: doc_id, source, size, source_size, target, taken, position, positions, then the carried columns.
 
     size: words of the text (null: 0). taken: words that the mix takes, repeats counted; the
     document on the edge of its source's target is taken in part, so a source's words meet its
     target to a word, and none exceeds `most` (rounded up to whole passes) times its size.
-    position: training time of the first copy, null if none. Documents of a source follow a hash
+    position: training time of the first copy, null if none; positions: of each copy, taken
+    whole or in part, in order. Documents of a source follow a hash
     of doc_id; rows that repeat are documents of their own; a null source is a source; an empty
     table gives an empty result; columns that aren't carried are ignored.
     """
@@ -106,11 +107,14 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = (), schedules=SCHEDULES, share
     taken = passes[0]
     for p in passes[1:]:
         taken = taken + p
-    middle = F.least(F.lit(1.0), (F.col("before") + F.col("size") / 2) / F.col("target"))
-    when = F.element_at(F.array(*(position(s, middle) for s in schedules)), F.col("kind") + 1)
+    times = []
+    for k, p in enumerate(passes):
+        middle = F.least(F.lit(1.0), (F.col("before") + F.col("source_size") * k + F.col("size") / 2) / F.col("target"))
+        when = F.element_at(F.array(*(position(s, middle) for s in schedules)), F.col("kind") + 1)
+        times.append(F.when(p > 0, when))
     return rows.withColumn("taken", taken).select(
-        "doc_id", "source", "size", "source_size", "target", "taken",
-        F.when(F.col("taken") > 0, when).alias("position"), *(f"carried_{c}" for c in carry),
+        "doc_id", "source", "size", "source_size", "target", "taken", times[0].alias("position"),
+        F.array_compact(F.array(*times)).alias("positions"), *(f"carried_{c}" for c in carry),
     )
 
 

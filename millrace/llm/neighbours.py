@@ -52,9 +52,8 @@ class Segment:
         widest = self.shift[1] / 2
         at = np.clip(unit @ self.lines, -widest / 2, widest / 2) + self.shift
         starts = np.arange(PROJECTIONS) * n
-        counts, checked = np.zeros(n, np.int16), np.zeros(n, bool)
+        counts, checked, cosine = np.zeros(n, np.int16), np.zeros(n, bool), np.full(n, -2.0)
         lo = hi = np.searchsorted(self.sorted, at) - starts
-        cosine = self.unit @ unit  # read only for vectors that pass the threshold
         half = FIRST
         while True:
             new_lo = np.searchsorted(self.sorted, at - min(half, widest / 2), "left") - starts
@@ -63,13 +62,14 @@ class Segment:
                 counts[line[a:b]] += 1
                 counts[line[c:d]] += 1
             lo, hi = new_lo, new_hi
-            checked |= counts >= THRESHOLD * PROJECTIONS
-            seen = int(checked.sum())
-            if seen == n or (lo == 0).all() and (hi == n).all():
-                rows = np.arange(n)
+            met = np.flatnonzero(~checked & (counts >= THRESHOLD * PROJECTIONS))
+            checked[met] = True
+            cosine[met] = self.unit[met] @ unit
+            rows = np.flatnonzero(checked)
+            seen = len(rows)
+            if seen == n:  # at the latest when the windows cover every line
                 break
             if seen > k:
-                rows = np.flatnonzero(checked)
                 kth = np.partition(cosine[rows], -(k + 1))[-(k + 1)]
                 # nearer ones than the k-th would nearly all have met the threshold by now
                 if seen >= SHARE * n or np.sqrt(max(0.0, 2 - 2 * kth)) <= half / 2:

@@ -203,6 +203,9 @@ def test_mixing_meets_targets(spark):
         assert target[s] == pytest.approx(want[s]) and abs(taken[s] - want[s]) <= 1
     positions = [r.position for r in got if r.position is not None]
     assert positions == sorted(positions) and all(0 <= p <= 1 for p in positions)
+    for r in got:
+        assert r.positions == sorted(r.positions) and len(r.positions) == (-(-r.taken // r.size) if r.size else 0)
+        assert r.positions[:1] == [r.position] * bool(r.positions) and all(0 <= p <= 1 for p in r.positions)
     again = mixing.curriculum(documents(spark).repartition(5)).collect()
     assert {r.doc_id: r.taken for r in got} == {r.doc_id: r.taken for r in again}
 

@@ -95,7 +95,7 @@ def _content(words: list[bytes]) -> tuple[int, int]:
 
 
 def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """For the documents that lose words: key, c1, copy, starts.
+    """For the documents that lose words: key and gone, an array of c1, copy, starts; written out.
 
     key is doc_id (a null counts as greater than any other), c1 tells texts of one doc_id
     apart. copy: an earlier document has the same words. starts: the removed windows' places.
@@ -166,13 +166,16 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
     marked = docs.where(member_filter(marks, "first")("key"))
     found = marked.join(marks, marked["key"] == marks["first"]).select("key", "c1", "text", "shared", "late")
     found = found.mapInArrow(windows, "w1 long, key long, c1 long, w2 int, starts array<int>, late boolean")
-    found = found.persist(StorageLevel.MEMORY_AND_DISK)  # read twice; a lost block is made again
+    found = found.persist(StorageLevel.DISK_ONLY)  # read twice; a lost block is made again
     # written out, so that the join below has plain sides and a window that very many texts share can be split
     earliest = found.groupBy("w1", "w2").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi")
     earliest = materialize(earliest.drop("hi"))
     repeated = found.where("late").drop("late").join(earliest, ["w1", "w2"]).where("key > lo")
     repeated = repeated.groupBy("key", "c1").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    return copies.distinct().unionByName(repeated.withColumn("copy", F.lit(False)))
+    gone = copies.distinct().unionByName(repeated.withColumn("copy", F.lit(False)))
+    gone = materialize(gone.groupBy("key").agg(F.collect_list(F.struct("c1", "copy", "starts")).alias("gone")))
+    found.unpersist()
+    return gone
 
 
 def kept_words(words: list[bytes], starts: np.ndarray, window: int) -> list[bytes]:
@@ -184,19 +187,19 @@ def kept_words(words: list[bytes], starts: np.ndarray, window: int) -> list[byte
     return [w for w, c in zip(words, covered.tolist(), strict=True) if not c]
 
 
-def _with_removals(docs: DataFrame, window: int, gram: int) -> DataFrame:
+def _with_removals(docs: DataFrame, window: int, gram: int) -> tuple[DataFrame, DataFrame]:
     """row (all columns of docs, whatever their names) and gone (what removals() says of its doc_id).
 
-    Rows whose doc_id loses nothing stay where they are; only the others meet their removals.
+    In two tables: rows whose doc_id may lose something, which meet their removals, and the
+    others, which stay where they are and have a null in gone.
     """
-    gone = removals(docs, window, gram).groupBy("key").agg(F.collect_list(F.struct("c1", "copy", "starts")).alias("gone"))
-    gone = materialize(gone)
+    gone = removals(docs, window, gram)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     rows = docs.select(key.alias("own"), F.struct("*").alias("row"))
     loses = member_filter(gone, "key")("own")
     some, rest = rows.where(loses), rows.where(~loses)
     some = some.join(gone, some["own"] == gone["key"], "left").select("row", "gone")
-    return some.union(rest.select("row", F.lit(None).cast(gone.schema["gone"].dataType).alias("gone")))
+    return some, rest.select("row", F.lit(None).cast(gone.schema["gone"].dataType).alias("gone"))
 
 
 def _kept(text: str | None, gone: list | None, window: int) -> tuple[list[bytes], list[bytes]]:
@@ -228,8 +231,8 @@ def removed_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
                     out[name].append(v)
             yield out
 
-    rows = _with_removals(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), window, gram)
-    return map_batches(rows.select("row.doc_id", "row.text", "gone"), each, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    some, rest = _with_removals(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), window, gram)
+    return map_batches(some.union(rest).select("row.doc_id", "row.text", "gone"), each, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -246,8 +249,9 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
             out.append(text if len(kept) == len(words) else b" ".join(kept).decode())
         return pd.Series(out, dtype=object)
 
+    some, rest = _with_removals(docs, window, gram)
     text, none = F.col("row.text"), F.col("gone").isNull()
-    rows = _with_removals(docs, window, gram).withColumn("new", F.when(none, text).otherwise(cut(text, "gone")))
-    rows = rows.where(none | (F.col("new") != ""))
+    some = some.withColumn("new", F.when(none, text).otherwise(cut(text, "gone"))).where(none | (F.col("new") != ""))
     new = {"text": F.col("new"), "n_chars": F.when(none, F.col("row.n_chars")).otherwise(F.length("new").cast("long")) if "n_chars" in docs.columns else None}
-    return rows.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+    some = some.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+    return some.union(rest.select("row.*"))  # texts that lose nothing never leave the JVM

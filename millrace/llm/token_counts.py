@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import map_batches
 
-#: Entries of a worker's cache before it starts afresh, which bounds its memory (some 40 MB).
-CACHE_ENTRIES = 1 << 18
+#: Entries of a worker's cache before it starts afresh, which bounds its memory (some 20 MB).
+CACHE_ENTRIES = 1 << 17
 #: Distinct pre-tokens that a task of the first pass holds before it drops its rarest.
 PASS_ENTRIES = 1 << 17
 

@@ -99,3 +99,22 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(ids("mixing")) <= set(ids("repeated_passages")) and set(ids("packing")) == set(ids("mixing"))
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert whole.agg(F.sum("length")).first()[0] == sum(r.length for r in seen["packing"])
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    r = np.random.default_rng(5)
+    texts = [" ".join(str(x) for x in r.integers(0, 9000, 80)) for _ in range(9)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (8, texts[4]), (9, texts[3])]
+    rows += [(None, texts[5]), (5, texts[5]), (6, texts[5].upper()), (4, texts[6]), (4, texts[6]), (None, None), (3, ""), (2, texts[7]), (1, texts[8])]
+    rows = [(d, t, "en", None, i % 2) for i, (d, t) in enumerate(rows)]
+    groups = {}
+    for row in rows:
+        groups.setdefault((row[1] or "").lower(), []).append(row)
+    got = corpus_pipeline.one_of_each_group(spark, documents(spark, rows), "").collect()
+    assert len(got) == len(groups) == len({(x.text or "").lower() for x in got})
+    for x in got:
+        group = groups[(x.text or "").lower()]
+        assert tuple(x) in group and (x.doc_id is None) == all(g[0] is None for g in group)
+        assert x.doc_id is None or x.doc_id == min(g[0] for g in group if g[0] is not None)

@@ -264,6 +264,21 @@ def test_minhash_near_duplicates(spark):
     assert got == {d: d if d < 100 else (d - 100) // 10 for d, *_ in rows}
 
 
+def test_minhash_links_in_drifting_chains(spark):
+    r = np.random.default_rng(4)
+    rows = []
+    for c in range(30):  # each text is near (0.805) to the one before and the one after it only
+        w = [str(x) for x in r.integers(0, 5000, 300)]
+        for k in range(7):
+            rows.append((10 * c + k, " ".join(w), None, None, 0))
+            w[42 * k : 42 * k + 28] = [str(x) for x in r.integers(5000, 9000, 28)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t, *_ in rows)]
+    close = [len(a & b) / len(a | b) >= 0.8 for a, b in zip(sets, sets[1:], strict=False)]
+    assert close == [(i + 1) % 7 > 0 for i in range(len(rows) - 1)] and len(sets[0] & sets[2]) / len(sets[0] | sets[2]) < 0.7
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(documents(spark, rows)).collect()}
+    assert got == {d: d // 10 * 10 for d, *_ in rows}
+
+
 # -- substrings
 
 

@@ -118,3 +118,19 @@ def test_pipeline_keeps_one_row_of_each_group(spark):
         group = groups[(x.text or "").lower()]
         assert tuple(x) in group and (x.doc_id is None) == all(g[0] is None for g in group)
         assert x.doc_id is None or x.doc_id == min(g[0] for g in group if g[0] is not None)
+
+
+def test_pipeline_finds_near_copies_of_short_documents(spark):
+    import corpus_pipeline
+
+    r = np.random.default_rng(6)
+    rows = []
+    for d in range(60):  # one changed word of 60 leaves 51 of 61 shingles
+        w = [str(x) for x in r.integers(0, 9000, 60)]
+        rows.append((d, " ".join(w), "en", None, 0))
+        w[int(r.integers(5, 55))] = "changed"
+        rows.append((100 + d, " ".join(w), "en", None, 0))
+        w[2:58:8] = ["more"] * 7  # too far from both
+        rows.append((200 + d, " ".join(w), "en", None, 0))
+    got = corpus_pipeline.one_of_each_group(spark, documents(spark, rows), "").collect()
+    assert sorted(x.doc_id for x in got) == [*range(60), *range(200, 260)]

@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,12 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the cluster's shared folder.
 
-    The folder is the session's spark.checkpoint.dir; only a session without one
-    (a local test) gets a temporary folder of its own.
+    The folder is the session's spark.checkpoint.dir. Without one only a local session gets a
+    temporary folder of its own; on a cluster its executors would write where nobody else reads.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not (sc.master.startswith("local") and "cluster" not in sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
     return df.checkpoint(eager=True)
 
@@ -60,14 +62,32 @@ def _arrow_type(t: T.DataType) -> pa.DataType:
     }[type(t)]
 
 
-def member_filter(keys: DataFrame, column: str, bits: int = 1 << 26):
+def arrow_function(fn, returns: str):
+    """A column function from one over Arrow arrays (no pandas in the workers)."""
+
+    def call(*columns: pa.Array) -> pa.Array:
+        return fn(*columns)
+
+    return F.arrow_udf(call, returns)
+
+
+def member_filter(keys: DataFrame, column: str, most_bits: int = 1 << 25):
     """A function from a column of longs to whether they may be among the keys (a Bloom filter).
 
-    Never false for a key; true for others the more often the more keys there are, so it only
-    serves to keep rows from a shuffle. Its size is fixed (8 MB), so it can be broadcast.
+    Never false for a key; true for some others, so it only serves to keep rows from a shuffle.
+    Its size follows the number of keys up to most_bits (4 MB), so it can be broadcast; with more
+    keys than it can tell apart it is left out and every row counts as a possible member.
     """
     import numpy as np
 
+    n = keys.count()
+    if n > most_bits // 6:
+        return lambda x: F.lit(True)
+    bits = 1 << 13
+    while bits < 12 * n:
+        bits *= 2
+    bits = min(bits, most_bits)
+
     def places(x: np.ndarray) -> np.ndarray:
         x = x.astype(np.int64).view(np.uint64)
         out = []
@@ -81,23 +101,21 @@ def member_filter(keys: DataFrame, column: str, bits: int = 1 << 26):
         for b in batches:
             p = np.unique(places(np.array(b[column], np.int64)))
             word, start = np.unique(p >> 5, return_index=True)
-            yield {"word": word, "set": np.add.reduceat(1 << (p & 31), start) if len(p) else []}
+            set_ = np.add.reduceat(1 << (p & 31), start) if len(p) else p
+            yield {"word": word, "set": set_.astype(np.uint32).view(np.int32)}
 
     # at most bits / 32 rows
-    got = map_batches(keys.select(column), words, "word long, set long").groupBy("word").agg(F.bit_or("set").alias("set")).toArrow()
+    got = map_batches(keys.select(column), words, "word int, set int").groupBy("word").agg(F.bit_or("set").alias("set")).toArrow()
     table_ = np.zeros(bits >> 5, np.uint32)
-    table_[got["word"].to_numpy()] = got["set"].to_numpy().astype(np.uint32)
+    table_[got["word"].to_numpy()] = got["set"].to_numpy().view(np.uint32)
     sent = keys.sparkSession.sparkContext.broadcast(table_)
 
-    @F.pandas_udf("boolean")
-    def member(x):
-        import pandas as pd
-
-        p = places(x.to_numpy(np.int64))
+    def member(x: pa.Array) -> pa.Array:
+        p = places(x.to_numpy(zero_copy_only=False))
         hit = (sent.value[p >> 5] >> (p & 31).astype(np.uint32) & 1).reshape(3, -1).all(axis=0)
-        return pd.Series(hit)
+        return pa.array(hit)
 
-    return member
+    return arrow_function(member, "boolean")
 
 
 def connected_components(nodes_edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -110,26 +128,28 @@ def connected_components(nodes_edges: DataFrame, max_rounds: int = 60) -> DataFr
     neighbourhood is only ever reduced by a partial minimum and joined on its key, where
     adaptive execution can split it; it is never collected. Loops only on a count.
     """
-    edges = materialize(
+    edges, before = _observed(
         nodes_edges.where(F.col("a") != F.col("b"))
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
     )
     for _ in range(max_rounds):
-        before = _signature(edges)
+        if not before[0]:
+            break
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select("b", "m", "a")
-        edges = materialize(
+        edges, after = _observed(
             small.select(F.col("a"), F.col("m").alias("b"))
             .union(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
             .distinct()
         )
-        if _signature(edges) == before:
+        if after == before:
             break
+        before = after
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
@@ -137,9 +157,20 @@ def connected_components(nodes_edges: DataFrame, max_rounds: int = 60) -> DataFr
     )
 
 
-def _signature(edges: DataFrame) -> tuple:
-    # two independent sums over the edge set: equal before and after only at the fixed point
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+def _observed(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges written out, and two sums over them that came along: equal only at the fixed point."""
+    seen = Observation()
+    hashes = F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("hashes")
+    edges = materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), hashes))
+    return edges, (seen.get["n"], seen.get["hashes"])
+
+
+def bucket_count(n: int, rows_each: int = 1 << 16, least: int = 64) -> int:
+    """A power of two of buckets that hold some rows_each rows of a key that holds them all."""
+    buckets = least
+    while buckets * rows_each < n:
+        buckets *= 2
+    return buckets
 
 
 def running_total(df: DataFrame, keys: list[str], order: list[Column], value: Column, bucket: Column) -> DataFrame:
@@ -147,23 +178,17 @@ def running_total(df: DataFrame, keys: list[str], order: list[Column], value: Co
 
     Rows go to windows by keys and bucket, never by keys alone, so a key that holds a third
     of the table spreads out; the buckets' own totals (one row for each key and bucket) give
-    each bucket its start. bucket must not decrease along order.
+    each bucket its start. No key may be null. bucket must not decrease along order; take as many as bucket_count says.
     """
     from pyspark.sql import Window as W
 
     rows = df.withColumn("_bucket", bucket).withColumn("_value", value)
     sums = rows.groupBy(*keys, "_bucket").agg(F.sum("_value").alias("_sum"))
     w = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(w), F.lit(0)))
-    left, right = rows.alias("l"), sums.alias("r")
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "_bucket"]]
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
+    sums = sums.select(*keys, "_bucket", F.coalesce(F.sum("_sum").over(w), F.lit(0)).alias("_start"))
     w = W.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     return (
-        left.join(right, on, "left")
-        .select("l.*", F.col("r._start"))
+        rows.join(sums, [*keys, "_bucket"])
         .withColumn("before", F.col("_start") + F.coalesce(F.sum("_value").over(w), F.lit(0)))
         .drop("_bucket", "_value", "_start")
     )

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, materialize, running_total
+from .common import WORD, bucket_count, materialize, running_total
 
 #: Integrals 3, 1 and 2: the first kind fades out, the others come in.
 SCHEDULES = (((0.0, 4.0), (1.0, 2.0)), ((0.0, 0.5), (1.0, 1.5)), ((0.0, 1.0), (0.5, 2.0), (1.0, 3.0)))
@@ -51,18 +51,18 @@ def global_index(df: DataFrame, *order: Column) -> DataFrame:
 
 
 def targets(sizes: DataFrame, schedules=SCHEDULES, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """source, source_size, kind (its schedule's number) and target.
+    """source, source_size, documents, kind (its schedule's number) and target.
 
     The targets share `share` of all words by the schedules' weights, dealt to the sources in
     code point order (null last); what exceeds `most` times a source's size is reshared by
     weight until nothing does. Each round is one aggregation of the sources to three numbers.
     """
-    sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("documents"))
     sources = global_index(sources, F.col("source").asc_nulls_last())
     weights = [weight(s) for s in schedules]
     kind = F.col("index") % len(schedules)
     w = F.element_at(F.array(*map(F.lit, weights)), (kind + 1).cast("int"))
-    sources = materialize(sources.select("source", "source_size", kind.cast("int").alias("kind"), w.alias("weight")))
+    sources = materialize(sources.select("source", "source_size", "documents", kind.cast("int").alias("kind"), w.alias("weight")))
     full = F.col("source_size") * most
     words, all_weights = sources.agg(F.sum("source_size"), F.sum("weight")).first()
     wanted = share * (words or 0)
@@ -75,11 +75,12 @@ def targets(sizes: DataFrame, schedules=SCHEDULES, share: float = 1.5, most: flo
         if n == open_ or not rest:
             break
         level, open_ = (wanted - (spent or 0.0)) / rest, n
-    return sources.select("source", "source_size", "kind", F.least(full, F.col("weight") * level).alias("target"))
+    return sources.select("source", "source_size", "documents", "kind", F.least(full, F.col("weight") * level).alias("target"))
 
 
 def mix(docs: DataFrame, carry: tuple[str, ...] = (), schedules=SCHEDULES, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """Per row: doc_id, source, size, source_size, target, taken, position, positions, then the carried columns.
+    """Per row: doc_id, source, size, source_size, target, taken, position, positions, then the carried
+    columns of docs (carried_0 and so on).
 
     size: words of the text (null: 0). taken: words that the mix takes, repeats counted; the
     document on the edge of its source's target is taken in part, so a source's words meet its
@@ -89,19 +90,22 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = (), schedules=SCHEDULES, share
     of doc_id; rows that repeat are documents of their own; a null source is a source; an empty
     table gives an empty result; columns that aren't carried are ignored.
     """
+    column = {c: F.col(f"`{c.replace('`', '``')}`") for c in carry}
     sizes = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        *(F.col(c).alias(f"carried_{c}") for c in carry),
+        *(column[c].alias(f"carried_{k}") for k, c in enumerate(carry)),
     )
     if not carry:
         sizes = materialize(sizes)
-    plan = targets(sizes.select("source", "size"), schedules, share, most).alias("p")
-    h = F.xxhash64("doc_id", F.lit("mix"))
+    plan = targets(sizes.select("source", "size"), schedules, share, most)
+    buckets = bucket_count(plan.agg(F.sum("documents")).first()[0] or 0, least=1024)
+    # a null source is a key of its own
+    key = F.coalesce(F.concat(F.lit("v"), "source"), F.lit("n"))
     order = [F.col("_h"), F.col("doc_id"), F.col("size")]
-    rows = sizes.withColumn("_h", h)
-    rows = running_total(rows, ["source"], order, F.col("size"), F.shiftright("_h", 54)).alias("d")
-    rows = rows.join(plan, F.col("d.source").eqNullSafe(F.col("p.source"))).select("d.*", "p.source_size", "p.kind", "p.target")
+    rows = sizes.withColumn("_h", F.xxhash64("doc_id", F.lit("mix"))).withColumn("_source", key)
+    rows = running_total(rows, ["_source"], order, F.col("size"), F.shiftright("_h", 65 - buckets.bit_length()))
+    rows = rows.join(plan.withColumn("_source", key).drop("source"), "_source")
     words = F.floor(F.col("target") + 0.5)
     passes = [F.greatest(F.lit(0), F.least(F.col("size"), words - F.col("before") - F.col("source_size") * k)) for k in range(ceil(most))]
     taken = passes[0]
@@ -114,7 +118,7 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = (), schedules=SCHEDULES, share
         times.append(F.when(p > 0, when))
     return rows.withColumn("taken", taken).select(
         "doc_id", "source", "size", "source_size", "target", "taken", times[0].alias("position"),
-        F.array_compact(F.array(*times)).alias("positions"), *(f"carried_{c}" for c in carry),
+        F.array_compact(F.array(*times)).alias("positions"), *(f"carried_{k}" for k in range(len(carry))),
     )
 
 

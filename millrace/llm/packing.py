@@ -20,18 +20,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, running_total
-from .token_counts import _Cache, _public_path
+from .common import bucket_count, map_batches, materialize, running_total
+from .token_counts import _public_path
 
 
 class IdEncoder:
     """Token ids as little-endian unsigned 32-bit bytes, for a byte-level BPE tokenizers file.
 
-    A text whose words are divided by single spaces or line feeds is cut there, each part is
-    looked up in a bounded cache, and parts that it lacks are merged by the same ranks in
-    compiled code; cutting there changes nothing, as the splitting rule gives a single space to
-    the word after it and a single line feed stands alone. Every other text is encoded whole,
-    and by the library itself if it holds a special string.
+    Whole texts are merged by the same ranks in compiled code, and by the library itself if they
+    hold a special string. Ranks are the vocabulary's ids, so the file's merges must be in the
+    order of the ids; others are refused.
     """
 
     def __init__(self, path: str):
@@ -45,24 +43,21 @@ class IdEncoder:
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         byte_of = {c: b for b, c in _byte_letters().items()}
-        vocab = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
-        ranks = {bytes(byte_of[c] for c in w): i for w, i in vocab.items() if w not in self.special}
+        model = json.load(open(path, encoding="utf-8"))["model"]
+        made = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        if any(x >= y for x, y in zip(made, made[1:], strict=False)):
+            raise ValueError(f"the merges of {path} don't follow its ids")
+        ranks = {bytes(byte_of[c] for c in w): i for w, i in model["vocab"].items() if w not in self.special}
         #: Fixed value: the splitting rule of the byte-level pre-tokenizer.
         rule = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        fast = tiktoken.Encoding("corpus", pat_str=rule, mergeable_ranks=ranks, special_tokens={})
-        self.ordinary = lambda t: np.array(fast.encode_ordinary(t), "<u4").tobytes()
-        self.first = _Cache(self.ordinary, {})
-        self.later = _Cache(lambda w: self.ordinary(w if w[:1] == "\n" else " " + w), {})
+        self.ordinary = tiktoken.Encoding("corpus", pat_str=rule, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
         if any(s in text for s in self.special):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if text.split() != text.replace("\n", " ").split(" "):
-            return self.ordinary(text)
-        parts = text.replace("\n", " \n").split(" ")
-        return self.first[parts[0]] + b"".join(map(self.later.__getitem__, parts[1:]))
+            ids = self.library.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.ordinary(text)
+        return np.array(ids, "<u4").tobytes()
 
 
 _encoders: dict[str, IdEncoder] = {}
@@ -130,14 +125,18 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[tup
     return [(b, m) for kind in open_bins.values() for b, m in kind.items()]
 
 
-def fillings(counts: dict[int, int], lengths: list[int], room: int, width: int) -> list[tuple[int, ...]]:
+def fillings(
+    counts: dict[int, int], lengths: list[int], room: int, width: int | None, most_steps: int | None
+) -> list[tuple[int, ...]]:
     """Undominated ways to fill room from the counts, least waste first, at most width of them.
 
+    most_steps ends the enumeration early; without width and most_steps all are found.
+
     A filling is dominated if a piece left out still fits, alone or in place of a smaller one
     of the filling: the filling with it is never worse.
     """
     found: list[tuple[int, tuple[int, ...]]] = []
-    rising, steps, full = lengths[::-1], 40 * width, 0
+    rising, steps, full = lengths[::-1], 0, 0
 
     def undominated(chosen: tuple[int, ...], waste: int) -> bool:
         used: dict[int, int] = {}
@@ -151,8 +150,8 @@ def fillings(counts: dict[int, int], lengths: list[int], room: int, width: int)
 
     def go(i: int, chosen: tuple[int, ...], left: int) -> None:
         nonlocal steps, full
-        steps -= 1
-        if steps < 0 or full >= width:
+        steps += 1
+        if most_steps is not None and steps > most_steps or width is not None and full >= width:
             return
         i = max(i, len(rising) - bisect_right(rising, left))  # the first that still fits
         if i == len(lengths):
@@ -171,12 +170,14 @@ def fillings(counts: dict[int, int], lengths: list[int], room: int, width: int)
 
 
 def bin_completion(
-    counts: dict[int, int], capacity: int, nodes: int = 3000, width: int = 8
+    counts: dict[int, int], capacity: int, nodes: int | None = 3000, width: int | None = 8, most_steps: int | None = 320
 ) -> list[tuple[tuple[int, ...], int]]:
     """Branch-and-bound over counts of lengths: bins as (lengths, how many alike).
 
     The best-fit solution is the first incumbent. The search stops at the lower bound or after
-    `nodes` nodes (a bound on the driver's work; every piece is packed all the same).
+    `nodes` nodes, and looks at `width` fillings of a bin, found in `most_steps` steps: bounds on
+    the driver's work, with every piece packed all the same. With None for all three the search
+    is complete and its result the fewest bins.
     """
     counts = {n: c for n, c in counts.items() if c}
     total = sum(n * c for n, c in counts.items())
@@ -195,13 +196,13 @@ def bin_completion(
                 best, best_n = list(path), used
             return best_n <= bound
         seen += 1
-        if seen > nodes:
+        if nodes is not None and seen > nodes:
             return True
         top = max(left)
         rest = dict(left)
         rest[top] -= 1
         order = sorted((n for n, c in rest.items() if c), reverse=True)
-        for filling in fillings(rest, order, capacity - top, width):
+        for filling in fillings(rest, order, capacity - top, width, most_steps):
             bin_ = (top, *filling)
             need: dict[int, int] = {}
             for x in bin_:
@@ -246,18 +247,21 @@ def pack(
     end_id: int = 2,
     capacity: int = 1024,
     path_of: Callable[[str], str] = _public_path,
+    **search: int | None,
 ) -> DataFrame:
     """Packs every document's tokens (and end_id after them) into sequences of at most capacity.
 
+    search: bounds of bin_completion (nodes, width, most_steps; None: unbounded).
+
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset. A null or empty text
     is end_id alone. Repeated rows, and rows without a doc_id, are pieces of their own; other
     columns are ignored; an empty table gives an empty result.
     """
     cut = materialize(pieces(docs, tokenizer, end_id, capacity, path_of))
     counts = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # <= capacity rows
-    plan = docs.sparkSession.sparkContext.broadcast(slots(bin_completion(counts, capacity)))
+    plan = docs.sparkSession.sparkContext.broadcast(slots(bin_completion(counts, capacity, **search)))
     # a piece's rank among its length: buckets spread a length that holds a third of all pieces
-    spread = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(1024))
+    spread = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(bucket_count(sum(counts.values()), least=1024)))
     order = [F.col(c) for c in ("doc_id", "piece", "ids_crc32")]
     ranked = running_total(cut, ["length"], order, F.lit(1), spread)
 

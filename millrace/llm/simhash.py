@@ -7,8 +7,9 @@ programming over the number of candidates that histograms of the parts' values p
 probes the parts' values within its thresholds, and the join verifies each meeting.
 
 Work is on distinct fingerprints, so copies cost nothing. Dense groups are first joined into
-stars around bucket minima (linear in the rows), and the probing join then only returns links
-between different groups: no group's pairs are ever listed, and no link between groups is lost.
+stars around bucket minima (linear in the rows), and the probing join then only makes pairs
+between different groups: where many fingerprints of a group share a value, they meet only those
+of other groups. No group's pairs are ever listed, and no link between groups is lost.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, map_batches, materialize
+from .common import connected_components, map_batches, materialize, member_filter
 
 BITS = 64
 #: Values of a part that the histograms tell apart (its first 16 bits), which bounds them.
@@ -44,7 +45,11 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
         ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1).tolist()
         starts = [0, *(e + 1 for e in ends[:-shingle])]
         hashes = [hash_of(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :], strict=True)]
-    h = np.array(hashes, np.uint64)
+    return majority(np.array(hashes, np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
     lanes, chunks = np.uint64(0x0101010101010101), np.arange(0, len(h), 255)
     set_bits = np.empty((8, 8), np.int64)  # by byte, by bit in it
     for k in range(8):
@@ -54,6 +59,18 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int(np.packbits(over, bitorder="little").view("<u8")[0])
 
 
+def word_fingerprints(words: np.ndarray, count: int) -> list[int]:
+    """SimHashes of a text's distinct words (their hashes), by as many independent mixings."""
+    if not len(words):
+        return [0] * count
+    out = []
+    for k in range(count):
+        h = (words + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))) * np.uint64(0xD6E8FEB86659FD93)
+        h = (h ^ h >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)
+        out.append(majority(h ^ h >> np.uint64(29)))
+    return out
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id and fp (the fingerprint's bits as a signed long) of every row."""
 
@@ -245,13 +262,21 @@ def components(distinct: DataFrame, radius: int = 4) -> DataFrame:
         .select("fp", F.coalesce("root", "fp").alias("root"))
     )
     hist = distinct.sparkSession.sparkContext.broadcast(histograms(distinct, groups))
-    index = _keys(nodes, groups, None, radius, probing=False).alias("d")
-    probes = _keys(nodes, groups, hist, radius, probing=True).alias("q")
+    index = _keys(nodes, groups, None, radius, probing=False)
+    # a value that many fingerprints of one root share: they only meet those of other roots there
+    crowd = index.groupBy("key", "root").agg(F.count("*").alias("n")).where("n > 16")
+    crowd = materialize(crowd.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main")))
+    main = F.coalesce(F.col("root") == F.col("main"), F.lit(False))
+    d = index.join(crowd, "key", "left").withColumn("other", F.col("main").isNotNull() & ~main).alias("d")
+    others = F.when(main, F.array(F.lit(True))).when(F.col("main").isNull(), F.array(F.lit(False)))
+    q = _keys(nodes, groups, hist, radius, probing=True).join(crowd, "key", "left")
+    q = q.withColumn("other", F.explode(others.otherwise(F.array(F.lit(True), F.lit(False))))).alias("q")
     met = (
-        (F.col("q.key") == F.col("d.key")) & (F.col("q.fp") > F.col("d.fp")) & (F.col("q.root") != F.col("d.root"))
+        (F.col("q.key") == F.col("d.key")) & (F.col("q.other") == F.col("d.other"))
+        & (F.col("q.fp") != F.col("d.fp")) & (F.col("q.root") != F.col("d.root"))
         & (F.bit_count(F.col("q.fp").bitwiseXOR(F.col("d.fp"))) <= radius)
     )
-    links = probes.join(index, met).select(F.col("q.root").alias("a"), F.col("d.root").alias("b"))
+    links = q.join(d, met).select(F.col("q.root").alias("a"), F.col("d.root").alias("b"))
     joined = connected_components(links)
     return nodes.join(joined, nodes.root == joined.node, "left").select(
         nodes.fp, F.coalesce(joined.root, nodes.root).alias("root")
@@ -268,9 +293,100 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     each = materialize(fingerprints(docs, shingle))
     distinct = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(distinct, radius)
-    by_root = distinct.join(roots, "fp")
-    least = by_root.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = by_root.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return each.join(named, "fp").select(
+    by_root = materialize(distinct.join(roots, "fp"))
+    return each.join(_named(by_root), "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def _named(by_root: DataFrame, salts: int = 32) -> DataFrame:
+    """fp and component_id, the least `first` of its root; a root's fingerprints go to many tasks."""
+    least = by_root.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("n")).where("n > 1")
+    least = least.select("root", "least", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    rows = by_root.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(salts)).cast("int"))
+    return rows.join(least, ["root", "salt"], "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, radius: int = 6, mixings: int = 3, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs without near-duplicates: all columns, one row of each group.
+
+    Candidates are texts whose SimHashes differ in at most radius bits. These are taken over
+    distinct words, of which a changed word only touches one, and by several independent mixings
+    of the words' hashes, as one misses some pairs near the threshold. A text only goes if the
+    Jaccard similarity of its five-word shingles with a text's that stays (or that goes for
+    such a one by a later mixing) is `similarity` or more: in each component of links the text
+    of the smallest doc_id (nulls last, then a hash of the row) stays and takes those like it
+    with it, and what is left of the component begins anew.
+
+    Texts of equal shingles are alike. Rows are told apart by all their columns, so rows that
+    share a doc_id or have none stand for themselves; of rows alike in every column one stays.
+    Null and blank texts are alike. An empty table gives an empty result; columns may have any names.
+    """
+    from .minhash import shingles, word_hashes
+
+    names = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+    # hashes skip nulls, so the places of the nulls are hashed too
+    key = F.xxhash64(*(c.isNull() for c in names), *names)
+    fps = [f"fp{k}" for k in range(mixings)]
+
+    def each(batches: Iterator[dict]) -> Iterator[dict]:
+        import xxhash
+
+        for b in batches:
+            out: dict = {k: [] for k in ("node", *fps)}
+            for text in b["text"]:
+                w = word_hashes(text or "")
+                out["node"].append(xxhash.xxh3_64_intdigest(np.unique(shingles(w)).tobytes()))
+                for name, fp in zip(fps, word_fingerprints(np.unique(w), mixings), strict=True):
+                    out[name].append(fp)
+            yield {"key": b["key"], "id": b["id"], **{k: np.array(v, np.uint64).view(np.int64) for k, v in out.items()}}
+
+    columns = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text"))
+    rows = materialize(map_batches(columns, each, "key long, id long, node long, " + ", ".join(f"{f} long" for f in fps)))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    nodes = rows.groupBy("node").agg(F.min(order).alias("first"), *(F.min(f).alias(f) for f in fps), F.count("*").alias("n"))
+    nodes = materialize(nodes)
+    left, gone = nodes, None
+    for f in fps:
+        alike = materialize(_alike(columns, left.select("node", "first", F.col(f).alias("fp")), radius, similarity))
+        gone = alike if gone is None else gone.union(alike)
+        left = left.join(alike, "node", "left_anti")
+    # rows of a node but its first, and all rows of the nodes that go; rows alike in all columns share a key
+    lost = rows.join(nodes.where("n > 1").select("node", F.col("first.key").alias("stays")), "node").where("key <> stays").select("key")
+    lost = materialize(lost.union(rows.join(gone, "node").select("key")).distinct())
+    repeated = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    whole = docs.select(key.alias("key"), F.struct("*").alias("row"))
+    touched = member_filter(lost.union(repeated), "key")("key")
+    some = whole.where(touched).join(lost, "key", "left_anti").dropDuplicates(["key"])
+    return some.select("row.*").union(whole.where(~touched).select("row.*"))
+
+
+def _alike(columns: DataFrame, nodes: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """The nodes that go for one that stays. columns: key and text; nodes: node, first and fp."""
+    from .minhash import jaccard, shingles, word_hashes
+
+    placed = materialize(nodes.join(components(nodes.select("fp").distinct(), radius), "fp"))
+    several = placed.groupBy("root").agg(F.count("*").alias("members")).where("members > 1").select("root")
+    open_ = materialize(placed.join(several, "root").select("root", "node", "first"))
+
+    def hashed(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            yield {"node": b["node"], "shingles": [np.unique(shingles(word_hashes(t or ""))).view(np.int32) for t in b["text"]]}
+
+    # each node's first row gives its shingles
+    wanted = open_.select("node", F.col("first.key").alias("key"))
+    texts = columns.where(member_filter(wanted, "key")("key")).select("key", "text").join(wanted, "key")
+    sets = materialize(map_batches(texts.select("node", "text"), hashed, "node long, shingles array<int>").dropDuplicates(["node"]))
+    gone = None
+    while gone is None or not open_.isEmpty():
+        # a root's members meet its lead in many tasks
+        leads = open_.groupBy("root").agg(F.min_by("node", "first").alias("lead"), F.count("*").alias("members"))
+        salts = F.least(F.col("members") / 512, F.lit(31)).cast("int")
+        leads = leads.select("root", "lead", salts.alias("salts"))
+        led = leads.join(sets, leads["lead"] == sets["node"]).select("root", "lead", F.explode(F.sequence(F.lit(0), "salts")).alias("salt"), F.col("shingles").alias("of_lead"))
+        pairs = open_.join(leads, "root").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts") + 1).cast("int"))
+        alike = pairs.where("node <> lead").join(sets, "node").join(led.drop("lead"), ["root", "salt"])
+        alike = materialize(alike.where(jaccard(F.col("shingles"), F.col("of_lead")) >= similarity).select("node"))
+        gone = alike if gone is None else gone.union(alike)
+        open_ = materialize(pairs.where("node <> lead").select("root", "node", "first").join(alike, "node", "left_anti"))
+    return gone

@@ -21,7 +21,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, member_filter
+from .common import arrow_function, map_batches, materialize, member_filter
 from .token_counts import _Cache
 
 WINDOW, GRAM = 50, 16
@@ -239,15 +239,14 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     """docs with the repeated windows cut out of text (kept words joined by one space), n_chars
     set anew; texts that lose nothing stay as they are, rows of which nothing is left go."""
 
-    @F.pandas_udf("string")
-    def cut(texts, gones):
-        import pandas as pd
-
+    def new_texts(texts, gones):
         out = []
-        for text, gone in zip(texts, gones, strict=True):
+        for text, gone in zip(texts.to_pylist(), gones.to_pylist(), strict=True):
             words, kept = _kept(text, gone, window)
             out.append(text if len(kept) == len(words) else b" ".join(kept).decode())
-        return pd.Series(out, dtype=object)
+        return pa.array(out, pa.string())
+
+    cut = arrow_function(new_texts, "string")
 
     some, rest = _with_removals(docs, window, gram)
     text, none = F.col("row.text"), F.col("gone").isNull()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -36,6 +37,26 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def planned(spark: SparkSession, rows: int, rows_each: int = 200_000):
+    """Plans what runs inside for a known number of rows: so many partitions, not re-planned as it runs.
+
+    Short rounds of small joins gain nothing from adaptive execution, which runs every exchange as
+    a job of its own and keeps a thread of the driver for it for a minute. For plans whose rows no
+    hot key gathers; adaptive execution stays on for all others.
+    """
+    conf = spark.conf
+    new = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(max(spark.sparkContext.defaultParallelism, -(-rows // rows_each)))}
+    old = {k: conf.get(k) for k in new}
+    try:
+        for k, v in new.items():
+            conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            conf.set(k, v)
+
+
 def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
     """mapInArrow with a function from one pandas-free column dict to another.
 
@@ -125,28 +146,19 @@ def connected_components(nodes_edges: DataFrame, max_rounds: int = 60) -> DataFr
     allowed). Returns node and root. Alternates large-star and small-star steps: each
     keeps at most as many edges as before and links a node to the minimum of its
     neighbourhood, so the rounds grow with the logarithm of the longest path. A hub's
-    neighbourhood is only ever reduced by a partial minimum and joined on its key, where
-    adaptive execution can split it; it is never collected. Loops only on a count.
+    neighbourhood is only ever reduced by a partial minimum and streamed past it in a join on two
+    longs a row; it is never collected. Loops only on a count.
     """
-    edges, before = _observed(
-        nodes_edges.where(F.col("a") != F.col("b"))
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
-    )
+    spark = nodes_edges.sparkSession
+    links = nodes_edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges, before = _observed(links.distinct())
     for _ in range(max_rounds):
         if not before[0]:
             break
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select("b", "m", "a")
-        edges, after = _observed(
-            small.select(F.col("a"), F.col("m").alias("b"))
-            .union(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-            .distinct()
-        )
+        with planned(spark, 2 * before[0]):
+            large = _to_least(_ends(edges, (("a", "b"), ("b", "a")))).where("b > a and b > m")
+            small = _to_least(large.select(F.col("b").alias("a"), F.col("m").alias("b")))
+            edges, after = _observed(_ends(small, (("a", "m"), ("b", "m"))).where("a > b").distinct())
         if after == before:
             break
         before = after
@@ -157,6 +169,18 @@ def connected_components(nodes_edges: DataFrame, max_rounds: int = 60) -> DataFr
     )
 
 
+def _ends(rows: DataFrame, pairs: tuple[tuple[str, str], ...]) -> DataFrame:
+    """a and b of each row by the pairs of columns named."""
+    ends = F.array(*(F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in pairs))
+    return rows.select(F.explode(ends).alias("e")).select("e.a", "e.b")
+
+
+def _to_least(rows: DataFrame) -> DataFrame:
+    """a, b and m: the least of a and all its b; one shuffle."""
+    rows = rows.repartition("a")
+    return rows.join(rows.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "a")
+
+
 def _observed(edges: DataFrame) -> tuple[DataFrame, tuple]:
     """The edges written out, and two sums over them that came along: equal only at the fixed point."""
     seen = Observation()

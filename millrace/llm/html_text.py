@@ -39,21 +39,27 @@ BOILERPLATE = re.compile(
     r"sidebars?|side|footers?|masthead|topbar|toolbar|(?:site|page|main|global|top)-?header|comments?|disqus|respond|replies|reviews|discussion|"
     r"cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|"
     r"related|recommend(?:ed|ations)?|more-stories|read-?more|widgets?|pagination|pager|copyright|legal|disclaimer|skip-?link|complementary|"
-    r"contentinfo|search|forms?|tags?|tagcloud|author-?box|paywall|outbrain|taboola)(?=$|[\s_-]|\d)"
+    r"contentinfo|search|forms?|tags?|tagcloud|author-?box|paywall|outbrain|taboola)(?=$|[\s_-]|\d)|"
+    r"comments(?=$|[\s_-]|\d)|(?:^|[\s_-])comment(?:list|form|area|section|box)|sidebar|navbar|breadcrumb|cookie(?:bar|banner|notice|consent)|advert(?!or)|disqus"
 )
 GOOD = re.compile(r"(?:^|[\s_-])(?:articles?|article-?body|body|content|entry|hentry|main|page|posts?|post-?body|story|text|blog)(?=$|[\s_-]|\d)")
 _HEADER = re.compile(r"(?:^|\s)header(?=$|\s)")
-_TOKEN = re.compile(
-    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|"
-    r"<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?P<self>/?)>",
-    re.S,
-)
-_ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+#: Names of what holds one article; a header in it is the article's own.
+ARTICLE = re.compile(r"(?:^|[\s_-])(?:articles?|article-?body|content|entry|hentry|posts?|post-?body|story)(?=$|[\s_-]|\d)")
+# The standard's tokens: what begins a tag, white space and stray slashes, a name, an equals sign, an unquoted value.
+_TAG = re.compile(r"<(?:(?P<end>/?)(?P<tag>[a-zA-Z][^\t\n\f\r />]*)|(?P<other>[!?]|/))")
+_GAP = re.compile(r"[\t\n\f\r /]*")
+_NAME = re.compile(r"[^\t\n\f\r />][^\t\n\f\r />=]*")
+_EQUALS = re.compile(r"[\t\n\f\r ]*=[\t\n\f\r ]*")
+_UNQUOTED = re.compile(r"[^\t\n\f\r >]*")
+_COMMENT_END = re.compile(r"--!?>")
+#: Points reach so many levels up; further ones would get less than a two-hundredth.
+LEVELS = 66
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "bad", "named", "good", "hidden", "score", "chars", "link_chars", "own")
+    __slots__ = ("tag", "parent", "children", "bad", "named", "good", "one", "holds", "hidden", "score", "chars", "link_chars", "own")
 
     def __init__(self, tag: str, parent: Node | None, names: str = "", hidden: bool = False):
         self.tag, self.parent, self.children = tag, parent, []
@@ -61,40 +67,112 @@ class Node:
         self.named = named and tag not in ("html", "body", "main", "article")
         self.bad = tag in DROPPED or self.named
         self.good = tag in ("article", "main") or bool(names and GOOD.search(names))
+        #: Holds one article, by its element or name; holds: an article or main element is in it.
+        self.one, self.holds = tag == "article" or bool(names and ARTICLE.search(names)), False
         self.hidden, self.score, self.chars, self.link_chars, self.own = hidden, 0.0, 0, 0, False
 
 
+class _Quotes:
+    """Finds the ends of quoted values in one pass: what isn't closed is only searched for once."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, {q: page.rfind(q) for q in ('"', "'", "]]>")}
+
+    def end(self, quote: str, at: int) -> int:
+        return self.page.find(quote, at) if at <= self.last[quote] else -1
+
+
+def attributes(page: str, at: int, quotes: _Quotes) -> tuple[dict[str, str], bool, int]:
+    """The attributes of the tag whose name ends at `at`, whether it closes itself, and its end.
+
+    By the standard's attribute states; but a tag with a quote that never closes ends at its first
+    `>`, where the standard gives up the rest of the page. A tag that never ends takes the rest.
+    """
+    given: dict[str, str] = {}
+    n = len(page)
+    while True:
+        at = _GAP.match(page, at).end()
+        if at >= n:
+            return given, False, n
+        if page[at] == ">":
+            return given, page[at - 1] == "/", at + 1
+        m = _NAME.match(page, at)
+        name, at, value = m[0].lower(), m.end(), ""
+        m = _EQUALS.match(page, at)
+        if m:
+            at = m.end()
+            quote = page[at : at + 1]
+            if quote and quote in "\"'":
+                end = quotes.end(quote, at + 1)
+                if end < 0:
+                    end = page.find(">", at)
+                    return given, False, n if end < 0 else end + 1
+                value, at = page[at + 1 : end], end + 1
+            else:
+                m = _UNQUOTED.match(page, at)
+                value, at = m[0], m.end()
+        given.setdefault(name, value.lower())
+
+
+def _after_other(page: str, at: int, quotes: _Quotes) -> tuple[str, int]:
+    """The text in, and the end of, a comment, a CDATA section, a doctype or a stray end at `at`."""
+    n = len(page)
+    if page.startswith("<!--", at):
+        if page.startswith(">", at + 4):
+            return "", at + 5
+        if page.startswith("->", at + 4):
+            return "", at + 6
+        m = _COMMENT_END.search(page, at + 4)
+        return "", m.end() if m else n
+    if page.startswith("<![CDATA[", at):
+        end = quotes.end("]]>", at)
+        if end >= 0:
+            return page[at + 9 : end], end + 3
+    end = page.find(">", at)
+    return "", n if end < 0 else end + 1
+
+
 def parse(page: str) -> Node:
-    """A forgiving tree: unclosed elements end with their container, stray ends are ignored."""
+    """A forgiving tree: unclosed elements end with their container, stray ends are ignored.
+
+    Its time grows with the page's length, whatever the page is.
+    """
     root = node = Node("html", None)
-    at, n = 0, len(page)
+    at, n, quotes = 0, len(page), _Quotes(page)
+    open_: dict[str, int] = {}  # open elements by tag
+    headers: list[Node] = []
+
+    def leave(to: Node) -> Node:
+        up = node
+        while up is not to:
+            open_[up.tag] -= 1
+            up = up.parent
+        return to
+
     while at < n:
-        m = _TOKEN.search(page, at)
+        m = _TAG.search(page, at)
         if m is None:
             node.children.append(html.unescape(page[at:]))
             break
         if m.start() > at:
             node.children.append(html.unescape(page[at : m.start()]))
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
-            if m["cdata"]:
-                node.children.append(m["cdata"])
+        if m["tag"] is None:
+            text, at = _after_other(page, m.start(), quotes)
+            if text:
+                node.children.append(text)
             continue
-        tag = tag.lower()
+        tag = m["tag"].lower()
+        given, closes_itself, at = attributes(page, m.end(), quotes)
         if m["end"]:
-            up = node
+            up = node if open_.get(tag) else None
             while up is not None and up.tag != tag:
                 up = None if up.tag in ("article", "table") and tag not in BLOCK else up.parent
             if up is not None and up.parent is not None:
-                node = up.parent
+                node = leave(up.parent)
             continue
-        names, hidden = "", False
-        if m["attrs"] and m["attrs"].strip():
-            given = {k.lower(): v.strip("\"'").lower() for k, v in _ATTR.findall(m["attrs"])}
-            names = " ".join(given.get(k, "") for k in ("class", "id", "role")).strip()
-            style = given.get("style", "").replace(" ", "")
-            hidden = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
+        names = " ".join(given[k] for k in ("class", "id", "role") if given.get(k)).strip()
+        style = given.get("style", "").replace(" ", "")
+        hidden = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
         if tag in ("html", "body"):
             if names and node is root:
                 root.good = root.good or bool(GOOD.search(names))
@@ -103,29 +181,41 @@ def parse(page: str) -> Node:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
             at = close.end() if close else n
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and open_.get("p"):
             up = node
             while up is not None and up.tag != "p" and (up.tag not in BLOCK):
                 up = up.parent
             if up is not None and up.tag == "p":
-                node = up.parent
-        if tag in ENDS:
+                node = leave(up.parent)
+        if tag in ENDS and any(open_.get(e) for e in ENDS[tag][0]):
             ended, stop = ENDS[tag]
             up = node
             while up is not None and up.tag not in ended and up.tag not in stop:
                 up = up.parent
             if up is not None and up.tag in ended:
-                node = up.parent
+                node = leave(up.parent)
         child = Node(tag, node, names, hidden)
         node.children.append(child)
+        if tag == "header":
+            headers.append(child)
         if tag in ("article", "main"):  # what holds the article isn't what its name says
             up = node
-            while up is not None and up.tag not in DROPPED and not (up.named and up.parent is not None and up.parent.tag == "article"):
+            while up is not None and not up.holds and up.tag not in DROPPED and not (up.named and up.parent is not None and up.parent.tag == "article"):
+                up.holds = True
                 if up.tag in ("article", "main"):
                     break
                 up.bad, up = False, up.parent
-        if tag not in VOID and not m["self"] or tag == "p":
+        if tag not in VOID and not closes_itself or tag == "p":
             node = child
+            open_[tag] = open_.get(tag, 0) + 1
+    for h in headers:  # a header that isn't an article's is the site's
+        up, level = h.parent, 0
+        while up is not None and not up.one and level < LEVELS:
+            if up.tag == "main":
+                break
+            up, level = up.parent, level + 1
+        own = up is not None and (up.one or up.tag == "main") and (up.tag == "article" or not up.holds)
+        h.bad = h.bad or not own
     return root
 
 
@@ -190,7 +280,7 @@ def score_tree(top: Node) -> Node:
                 scored.append(up)
                 up.score = 8.0 if up.good else 0.0
             up.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
-            if up is top:
+            if up is top or level == LEVELS:
                 break
             up, level = up.parent, level + 1
     best, most = top, -1.0
@@ -217,7 +307,10 @@ def kept_nodes(best: Node, top: Node) -> list:
             out.append(s)
         elif isinstance(s, str):
             continue
-        elif _kept(s) and s.tag != "header":
+        elif _kept(s) and s.tag == "header":
+            if _density(s) < 0.5:  # an article's own, with its heading
+                out.append(s)
+        elif _kept(s):
             score = s.score * (1 - _density(s))
             near = s.tag == "p" and (s.chars > 80 and _density(s) < 0.25 or s.chars and not s.link_chars and _text(s).rstrip().endswith((".", "!", "?")))
             title = s.tag in ("h1", "h2") and _density(s) == 0 and best.tag not in ("article", "main")

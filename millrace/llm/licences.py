@@ -1,17 +1,19 @@
 """Licence scans: a trained paragraph classifier, confirmed against templates.
 
-Paragraphs (lines) are bags of word 1- to 3-grams. A multinomial logistic regression over the
-grams that the training paragraphs hold names a licence family or "unknown"; probabilities are
-calibrated by a temperature on held-back paragraphs, and a family below the calibrated
-confidence counts as unknown. A named family stands only if the paragraph shares enough words in
-order with one of that family's templates.
-
-Training text is made from the templates (crops, dropped and changed words, words of ordinary
-text around them); ordinary paragraphs come from a bounded sample of documents.
+A text is read by lines and, where lines follow each other without a blank one, by stretches over
+several lines, as notices are wrapped; comment signs before a line are no part of it. Lines and
+stretches are bags of word 1- to 3-grams. A multinomial logistic regression over the grams that
+the licence examples hold names a licence family or "unknown"; probabilities are calibrated by a
+temperature on held-back examples, and a family below the calibrated confidence counts as unknown.
+A named family stands only if enough of the word pairs of one of its templates are found.
+
+Examples of licences are made from the templates (crops, dropped and changed words, ordinary words
+around them); ordinary ones are all paragraphs of a bounded sample of documents.
 """
 
 from __future__ import annotations
 
+import pickle
 import random
 import re
 from collections.abc import Iterator
@@ -26,29 +28,38 @@ from .common import map_batches
 # Usual wordings of well-known licence notices, by family.
 TEMPLATES = {
     "apache-2.0": (
+        "Apache License Version 2.0, January 2004",
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
         "This project is released under the Apache License 2.0.",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND.",
     ),
     "mit": (
+        "MIT License",
+        "The MIT License (MIT)",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "This software is available under the terms of the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
     ),
     "gpl": (
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
         "This work is licensed under the GNU General Public License, version 3.",
         "Licensed under the GNU GPL version 2 or later.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
         "You should have received a copy of the GNU General Public License along with this program.",
     ),
     "bsd": (
+        "BSD 3-Clause License",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
         "Released under the BSD 3-Clause License.",
         "Use of this source code is governed by a BSD-style license.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
     ),
     "mpl-2.0": (
+        "Mozilla Public License Version 2.0",
         "Licensed under the Mozilla Public License, version 2.0.",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     ),
@@ -68,6 +79,10 @@ TEMPLATES = {
         "To the extent possible under law, the author has waived all copyright and related rights to this work under CC0 1.0.",
         "Dedicated to the public domain under CC0.",
     ),
+    "isc": (
+        "ISC License",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
     "proprietary": (
         "All rights reserved.",
         "Copyright 2020 the authors. All rights reserved.",
@@ -76,7 +91,12 @@ TEMPLATES = {
     ),
 }
 UNKNOWN = "unknown"
+#: Words of a stretch, the steps in which a long line is read, and the words of an ordinary example.
+STRETCH, STEP = 40, 20
+#: A template of fewer words is a heading, which stands alone in a line of few words.
+HEADING_WORDS, HEADING_LINE = 4, 8
 _WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
+_LEADER = re.compile(r"^[\s/*#;%!<>\-\"']+|^\s*(?:rem|dnl)\s", re.I)
 
 
 def words(paragraph: str) -> list[str]:
@@ -87,6 +107,13 @@ def _grams(w: list[str]) -> list[str]:
     return w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)] + [f"{a} {b} {c}" for a, b, c in zip(w, w[1:], w[2:], strict=False)]
 
 
+def _pairs(w: list[str]) -> set[tuple[str, str]]:
+    return set(zip(w, w[1:], strict=False))
+
+
+_TEMPLATE_PAIRS = {f: [(len(w), _pairs(w)) for w in map(words, texts)] for f, texts in TEMPLATES.items()}
+
+
 @dataclass
 class Model:
     families: list[str]
@@ -121,15 +148,54 @@ def _examples(ordinary: list[str], rng: random.Random, each: int) -> list[tuple[
         for _ in range(each // 4):  # words of licences in no order are not a licence
             w = [rng.choice(vocabulary if rng.random() < 0.3 else pool) for _ in range(rng.randint(3, 30))]
             out.append((w, UNKNOWN))
-    out += [(words(p)[:60], UNKNOWN) for p in ordinary]
+    for p in ordinary:
+        w = words(p)
+        out += [(w[at : at + STRETCH], UNKNOWN) for at in range(0, len(w), STRETCH)]
     rng.shuffle(out)
     return out
 
 
+class _Rows:
+    """Sparse examples; those without a known gram only differ in their number."""
+
+    def __init__(self, data: list[tuple[list[str], str]], grams: dict[str, int], label: dict[str, int]):
+        bare: dict[int, int] = {}
+        starts, col, val, y, n = [], [], [], [], []
+        for w, family in data:
+            idx, v = _features(grams, w)
+            if not len(idx):
+                bare[label[family]] = bare.get(label[family], 0) + 1
+                continue
+            starts.append(len(col))
+            col += [*idx.tolist(), len(grams)]
+            val += [v] * len(idx) + [1.0]
+            y.append(label[family])
+            n.append(1)
+        for k, count in bare.items():
+            starts.append(len(col))
+            col.append(len(grams))
+            val.append(1.0)
+            y.append(k)
+            n.append(count)
+        self.starts, self.col, self.val, self.y = np.array(starts), np.array(col), np.array(val), np.array(y)
+        self.n = np.array(n, float)
+        self.row = np.repeat(np.arange(len(starts)), np.diff([*starts, len(col)]))
+        self.by_col = np.argsort(self.col, kind="stable")
+        self.cols, self.col_starts = np.unique(self.col[self.by_col], return_index=True)
+
+    def logits(self, weights: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(weights[self.col] * self.val[:, None], self.starts)
+
+    def gradient(self, weights: np.ndarray, error: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(weights)
+        out[self.cols] = np.add.reduceat((error[self.row] * self.val[:, None])[self.by_col], self.col_starts)
+        return out
+
+
 def train(ordinary: list[str], seed: int = 5, each: int = 60, steps: int = 300) -> Model:
     """Gradient descent on sparse rows; a fifth of the examples calibrates."""
     rng = random.Random(seed)
-    data = _examples(ordinary[:3000], rng, each)
+    data = _examples(ordinary, rng, each)
     cut = len(data) // 5
     cal, fit = data[:cut], data[cut:]
     families = [*TEMPLATES, UNKNOWN]
@@ -141,36 +207,22 @@ def train(ordinary: list[str], seed: int = 5, each: int = 60, steps: int = 300)
     grams = {g: i for i, g in enumerate(sorted(g for g, n in seen.items() if n >= 3))}
     label = {f: i for i, f in enumerate(families)}
 
-    def matrix(rows):
-        at, col, val = [], [], []
-        for r, (w, _) in enumerate(rows):
-            idx, v = _features(grams, w)
-            at += [r] * (len(idx) + 1)
-            col += [*idx.tolist(), len(grams)]
-            val += [v] * len(idx) + [1.0]
-        return np.array(at), np.array(col), np.array(val), np.array([label[f] for _, f in rows])
-
-    def logits(rows, weights):
-        at, col, val, y = rows
-        out = np.zeros((len(y), len(families)))
-        np.add.at(out, at, weights[col] * val[:, None])
-        return out
-
     def soft(z):
         e = np.exp(z - z.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
-    rows, held = matrix(fit), matrix(cal)
+    rows, held = _Rows(fit, grams, label), _Rows(cal, grams, label)
+    # ordinary examples together count as much as all others, however many the sample has
+    unknown = rows.y == label[UNKNOWN]
+    share = np.where(unknown, rows.n / max(1.0, rows.n[unknown].sum()), rows.n / max(1.0, rows.n[~unknown].sum()))[:, None] / 2
     weights, speed = np.zeros((len(grams) + 1, len(families))), np.zeros((len(grams) + 1, len(families)))
-    one = np.eye(len(families))
+    one = np.eye(len(families))[rows.y]
     for _ in range(steps):
-        error = (soft(logits(rows, weights)) - one[rows[3]]) / len(rows[3])
-        gradient = np.zeros_like(weights)
-        np.add.at(gradient, rows[1], error[rows[0]] * rows[2][:, None])
-        speed = 0.9 * speed - 12.0 * (gradient + 1e-6 * weights)
+        error = (soft(rows.logits(weights)) - one) * share
+        speed = 0.9 * speed - 12.0 * (rows.gradient(weights, error) + 1e-6 * weights)
         weights += speed
-    z, y = logits(held, weights), held[3]
-    loss = lambda t: -np.log(soft(z / t)[np.arange(len(y)), y] + 1e-12).mean()
+    z, y = held.logits(weights), held.y
+    loss = lambda t: -np.average(np.log(soft(z / t)[np.arange(len(y)), y] + 1e-12), weights=held.n)
     temperature = min((0.3, 0.5, 0.7, 1.0, 1.4, 2.0), key=loss)
     p = soft(z / temperature)
     guess, sure = p.argmax(axis=1), p.max(axis=1)
@@ -179,84 +231,131 @@ def train(ordinary: list[str], seed: int = 5, each: int = 60, steps: int = 300)
     for c in np.arange(0.5, 0.96, 0.05):
         named = (guess != label[UNKNOWN]) & (sure >= c)
         confidence = float(c)
-        if named.any() and (guess[named] != y[named]).mean() <= 0.01:
+        if named.any() and np.average(guess[named] != y[named], weights=held.n[named]) <= 0.01:
             break
     return Model(families, grams, weights, float(temperature), confidence)
 
 
 def template_likeness(w: list[str], family: str) -> float:
-    """Best share of a template's word pairs (words, for one-word templates) found in the paragraph."""
-    have = set(zip(w, w[1:], strict=False))
-    best = 0.0
-    for t in TEMPLATES[family]:
-        tw = words(t)
-        pairs = set(zip(tw, tw[1:], strict=False))
-        best = max(best, len(pairs & have) / len(pairs))
-    return best
+    """Best share of a template's word pairs found among the words."""
+    have = _pairs(w)
+    templates = (t for n, t in _TEMPLATE_PAIRS[family] if n >= HEADING_WORDS or len(w) <= HEADING_LINE)
+    return max((len(t & have) / len(t) for t in templates), default=0.0)
+
+
+Found = tuple[int, str, float, float]  # line, family, probability, likeness
 
 
 class Scanner:
     def __init__(self, model: Model, likeness: float = 0.6):
         self.model, self.likeness = model, likeness
-        self.single = {g for g in model.grams if " " in g}
-
-    def paragraph(self, p: str) -> tuple[str, float, float] | None:
-        """Family, probability and template likeness of a paragraph, or None."""
-        m, w = self.model, words(p)
-        pairs = [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
-        if self.single.isdisjoint(pairs):
-            return None  # no word pair of any licence: the regression only has its bias for unknown
-        # a long paragraph is read in overlapping stretches, so that a notice inside it shows
-        best = None
-        for at in range(0, max(1, len(w) - 20), 20):
-            part = w[at : at + 40]
-            idx, v = _features(m.grams, part)
-            if not len(idx):
-                continue
-            z = (m.weights[idx].sum(axis=0) * v + m.weights[-1]) / m.temperature
-            e = np.exp(z - z.max())
-            p_ = e / e.sum()
-            k = int(p_.argmax())
-            if m.families[k] == UNKNOWN or p_[k] < m.confidence:
-                continue
-            like = template_likeness(part, m.families[k])
-            if like >= self.likeness and (best is None or (like, p_[k]) > (best[2], best[1])):
-                best = (m.families[k], float(p_[k]), like)
-        return best
+        self.after: dict[str, set[str]] = {}  # the words that follow a word in a licence
+        for g in model.grams:
+            if g.count(" ") == 1:
+                a, b = g.split(" ")
+                self.after.setdefault(a, set()).add(b)
+
+    def text(self, text: str) -> list[Found]:
+        """All notices of a text, by line."""
+        out: list[Found] = []
+        w: list[str] = []
+        lines: list[tuple[int, int]] = []  # number and first word of each line of the paragraph
+        for number, line in enumerate(text.split("\n")):
+            if line.strip():
+                lines.append((number, len(w)))
+                w += words(_LEADER.sub("", line))
+            elif w:
+                out += self.paragraph(w, lines)
+                w, lines = [], []
+        return out + (self.paragraph(w, lines) if w else [])
+
+    def paragraph(self, w: list[str], lines: list[tuple[int, int]]) -> list[Found]:
+        """The notices in lines that follow each other; of those that overlap the likest."""
+        none: set[str] = set()
+        hits = [j for j, (a, b) in enumerate(zip(w, w[1:], strict=False)) if b in self.after.get(a, none)]
+        if not hits:
+            return []  # no word pair of any licence: the regression only has its bias for unknown
+        ends = [start for _, start in lines[1:]] + [len(w)]
+        spans = []  # line, from, to
+        for (number, start), end in zip(lines, ends, strict=True):
+            for at in range(start, max(start + 1, end - STEP), STEP):
+                spans.append((number, at, min(at + STRETCH, end)))
+            if end - start < STRETCH and end < len(w):  # on over the next lines
+                spans.append((number, start, min(start + STRETCH, len(w))))
+        found, h = [], 0
+        for number, lo, hi in spans:
+            while h < len(hits) and hits[h] < lo:
+                h += 1
+            if h < len(hits) and hits[h] + 1 < hi and (f := self.stretch(w[lo:hi])):
+                found.append((f[2], f[1], -(hi - lo), -lo, lo, hi, number, f[0]))
+        found.sort(reverse=True)
+        taken: list[tuple[int, int]] = []
+        out = []
+        for like, p, _, _, lo, hi, number, family in found:
+            if all(hi <= a or b <= lo for a, b in taken):
+                taken.append((lo, hi))
+                out.append((number, family, p, like))
+        return sorted(out)
+
+    def stretch(self, w: list[str]) -> tuple[str, float, float] | None:
+        """Family, probability and template likeness, or None."""
+        m = self.model
+        idx, v = _features(m.grams, w)
+        if not len(idx):
+            return None
+        z = (m.weights[idx].sum(axis=0) * v + m.weights[-1]) / m.temperature
+        e = np.exp(z - z.max())
+        p = e / e.sum()
+        k = int(p.argmax())
+        if m.families[k] == UNKNOWN or p[k] < m.confidence:
+            return None
+        like = template_likeness(w, m.families[k])
+        return (m.families[k], float(p[k]), like) if like >= self.likeness else None
 
 
 _scanners: dict[bytes, Scanner] = {}
 
 
-def scan(docs: DataFrame, sample_rows: int = 400) -> DataFrame:
+def fit(docs: DataFrame, sample_rows: int = 400, longest_text: int = 1 << 16) -> bytes:
+    """A pickled Model, trained in one task on a sample of some sample_rows documents.
+
+    Texts of more than longest_text bytes aren't in the sample, so it is bounded.
+    """
+    n = docs.count()
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= longest_text)
+    texts = texts.sample(min(1.0, sample_rows / max(n, 1)), seed=7)
+
+    def learn(batches: Iterator[dict]) -> Iterator[dict]:
+        ordinary = [p for b in batches for t in b["text"] for p in t.split("\n") if p.strip()]
+        # paragraphs like a template are no examples of ordinary text
+        plain = [p for p in ordinary if all(template_likeness(words(p), f) < 0.3 for f in TEMPLATES)]
+        yield {"model": [pickle.dumps(train(plain))]}
+
+    learned = map_batches(texts.repartition(1).sortWithinPartitions("text"), learn, "model binary").collect()
+    return bytes(learned[0].model) if learned else pickle.dumps(train([]))  # no rows, no task
+
+
+def scan(docs: DataFrame, **sample: int) -> DataFrame:
     """Per row: doc_id, licence (the surest family, 'none' without one), families (sorted),
-    paragraphs (their places, from 0), probability and likeness of the surest.
+    paragraphs (the lines where notices begin, from 0), probability and likeness of the surest.
 
-    Trains on the templates and the paragraphs of at most sample_rows documents; scans all
-    paragraphs of all texts. A null or empty text has none; a null doc_id is kept; repeated rows
-    stay repeated; ties go to the earlier paragraph; other columns are ignored.
+    Trains on the templates and the paragraphs of a sample (see fit); scans all lines of all
+    texts. A null or empty text has none; a null doc_id is kept; repeated rows stay repeated; ties
+    go to the earlier line; an empty table gives an empty result; other columns are ignored.
     """
-    order = F.xxhash64("doc_id", F.lit("licences")), F.col("doc_id")
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id")).orderBy(*order).limit(sample_rows).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").orderBy(*order)
-    ordinary = [p for r in texts.limit(sample_rows).collect() for p in (r.text or "").split("\n") if p.strip()]
-    # paragraphs like a template are no examples of ordinary text
-    plain = [p for p in ordinary if all(template_likeness(words(p), f) < 0.3 for f in TEMPLATES)]
-    model = train(plain)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    model = fit(docs, **sample)
 
     def each(batches: Iterator[dict]) -> Iterator[dict]:
-        key = sent.value.weights.tobytes()
-        if key not in _scanners:
+        if model not in _scanners:
             _scanners.clear()
-            _scanners[key] = Scanner(sent.value)
-        one = _scanners[key].paragraph
+            _scanners[model] = Scanner(pickle.loads(model))
+        read = _scanners[model].text
         for b in batches:
             out: dict = {k: [] for k in _FIELDS}
             for doc, text in zip(b["doc_id"], b["text"], strict=True):
-                found = [(i, f) for i, p in enumerate((text or "").split("\n")) if (f := one(p))]
-                top = max((f for _, f in found), key=lambda f: (f[2], f[1]), default=("none", 0.0, 0.0))
-                row = (doc, top[0], sorted({f[0] for _, f in found}), [i for i, _ in found], top[1], top[2])
+                found = read(text or "")
+                _, *top = max(found, key=lambda f: (f[3], f[2]), default=(0, "none", 0.0, 0.0))
+                row = (doc, top[0], sorted({f[1] for f in found}), [f[0] for f in found], top[1], top[2])
                 for k, v in zip(_FIELDS, row, strict=True):
                     out[k].append(v)
             yield out

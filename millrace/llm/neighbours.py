@@ -7,9 +7,9 @@ together by a constant factor from level to level. A vector that falls into the
 least `threshold` of the lines is verified by its exact cosine. A query stops when its k-th best
 lies well within the windows or enough vectors have been verified.
 
-Spark deals the vectors out in segments of bounded size, each of which is indexed and searched in
-one go; queries come in broadcast blocks of bounded size, so the work is segments times blocks and
-nothing else is sent than each task's best k of each query.
+Spark deals the vectors out in segments of bounded size and sends every query to every segment. A
+task indexes each of its segments once and answers the queries as they stream by; it passes on
+each query's best k. Nothing goes through the driver but a count.
 """
 
 from __future__ import annotations
@@ -29,8 +29,15 @@ FIRST, GROWTH = 0.3, 2.0
 SHARE = 0.05
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times a power of two that brings its greatest component near one: the same
+    direction to the last bit, without overflow or underflow of the norm."""
+    _, exponent = np.frexp(np.abs(x).max(axis=-1))
+    return np.ldexp(x, -exponent[..., None])
+
+
 class Segment:
-    """Sorted projections of some vectors."""
+    """Sorted projections of some vectors (finite, none zero, scaled)."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, seed: int = 7):
         self.ids, self.x = ids, x
@@ -45,45 +52,61 @@ class Segment:
         self.sorted = (np.take_along_axis(values, order, axis=0) + self.shift).T.ravel()
 
     def search(self, own_id: int, q: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """The best k of the vectors verified, as (-cosine, id), best first."""
+        """The best k ids of the vectors verified, as (-cosine, id), best first; own_id takes no part."""
         n = len(self.ids)
         q_norm = np.sqrt((q * q).sum())
         unit = q / q_norm
         widest = self.shift[1] / 2
         at = np.clip(unit @ self.lines, -widest / 2, widest / 2) + self.shift
         starts = np.arange(PROJECTIONS) * n
-        counts, checked, cosine = np.zeros(n, np.int16), np.zeros(n, bool), np.full(n, -2.0)
+        counts, cosine = np.zeros(n, np.int16), np.full(n, -2.0)
+        open_ = self.ids != own_id  # not yet verified
+        others = int(open_.sum())
         lo = hi = np.searchsorted(self.sorted, at) - starts
-        half = FIRST
-        while True:
-            new_lo = np.searchsorted(self.sorted, at - min(half, widest / 2), "left") - starts
-            new_hi = np.searchsorted(self.sorted, at + min(half, widest / 2), "right") - starts
-            for line, a, b, c, d in zip(self.order, new_lo.tolist(), lo.tolist(), hi.tolist(), new_hi.tolist(), strict=True):
-                counts[line[a:b]] += 1
-                counts[line[c:d]] += 1
-            lo, hi = new_lo, new_hi
-            met = np.flatnonzero(~checked & (counts >= THRESHOLD * PROJECTIONS))
-            checked[met] = True
+        half, rows = FIRST, np.empty(0, np.int64)
+        while len(rows) < others:
+            if half >= widest:  # the windows cover every line
+                met = np.flatnonzero(open_)
+            else:
+                new_lo = np.searchsorted(self.sorted, at - half, "left") - starts
+                new_hi = np.searchsorted(self.sorted, at + half, "right") - starts
+                for line, a, b, c, d in zip(self.order, new_lo.tolist(), lo.tolist(), hi.tolist(), new_hi.tolist(), strict=True):
+                    counts[line[a:b]] += 1
+                    counts[line[c:d]] += 1
+                lo, hi = new_lo, new_hi
+                met = np.flatnonzero(open_ & (counts >= THRESHOLD * PROJECTIONS))
+            open_[met] = False
             cosine[met] = self.unit[met] @ unit
-            rows = np.flatnonzero(checked)
-            seen = len(rows)
-            if seen == n:  # at the latest when the windows cover every line
+            rows = np.concatenate([rows, met])
+            kth = self._kth(rows, cosine[rows], k)
+            # nearer ones than the k-th would nearly all have met the threshold by now
+            if kth is not None and (len(rows) >= SHARE * n or np.sqrt(max(0.0, 2 - 2 * kth)) <= half / 2):
                 break
-            if seen > k:
-                kth = np.partition(cosine[rows], -(k + 1))[-(k + 1)]
-                # nearer ones than the k-th would nearly all have met the threshold by now
-                if seen >= SHARE * n or np.sqrt(max(0.0, 2 - 2 * kth)) <= half / 2:
-                    break
             half *= GROWTH
-        if len(rows) > 4 * k + 16:  # all that could be among the best k after exact scoring
-            least = np.partition(cosine[rows], -(k + 1))[-(k + 1)] - 1e-9
-            rows = rows[cosine[rows] >= least]
-        score = (self.x[rows] * q).sum(axis=1) / (self.norm[rows] * q_norm)
-        other = self.ids[rows] != own_id
-        ids, score = self.ids[rows][other], score[other]
-        best = np.lexsort((ids, -score))[:k]
+        kth = self._kth(rows, cosine[rows], k)
+        if kth is not None:  # all that could be among the best k after exact scoring
+            rows = rows[cosine[rows] >= kth - 1e-9]
+        ids, score = self.ids[rows], (self.x[rows] * q).sum(axis=1) / (self.norm[rows] * q_norm)
+        best = np.lexsort((ids, -score))
+        # of rows that repeat an id the best counts
+        _, first = np.unique(ids[best], return_index=True)
+        best = best[np.sort(first)[:k]]
         return [(-float(score[i]), int(ids[i])) for i in best]
 
+    def _kth(self, rows: np.ndarray, cosine: np.ndarray, k: int) -> float | None:
+        """The k-th best cosine of different ids, if there are as many."""
+        m = 4 * k
+        while len(rows) >= k:
+            top = np.argpartition(-cosine, m - 1)[:m] if m < len(rows) else np.arange(len(rows))
+            top = top[np.argsort(-cosine[top], kind="stable")]
+            _, first = np.unique(self.ids[rows[top]], return_index=True)
+            if len(first) >= k:
+                return float(cosine[top[np.sort(first)[k - 1]]])
+            if len(top) == len(rows):
+                return None
+            m *= 4
+        return None
+
 
 def usable(embedding: Column) -> Column:
     """Vectors that take part: not null or empty, all components finite, not all zero."""
@@ -91,63 +114,93 @@ def usable(embedding: Column) -> Column:
     return embedding.isNotNull() & (F.size(embedding) > 0) & finite & F.exists(embedding, lambda v: v != 0)
 
 
+def segment_rows(n: int) -> int:
+    """Vectors of a segment: a 64th of all, between some 16 thousand and 262 thousand.
+
+    Every query goes to every segment, so fewer and larger ones send less; an index of the largest
+    size takes some 500 MB at 64 dimensions.
+    """
+    return min(max(n // 64, 1 << 14), 1 << 18)
+
+
 def nearest(
-    vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 4096, segment: int = 16384, id_col: str = "vec_id"
+    vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 4096, segment: int | None = None, id_col: str = "vec_id"
 ) -> DataFrame:
     """Each query's k nearest vectors found, other than its own: query_id, rank, vec_id, score.
 
     score is the cosine in double precision on the vectors as they are; ties go to the smaller
     vec_id. Vectors that are null, empty, zero or not finite take no part, and neither do rows
-    without an id or of another length than the query; rows that repeat an id count once (the
-    best); an empty table, or one without usable queries, gives an empty result.
+    without an id or of another length than the query; very great and very small components do.
+    Rows that repeat an id count once (the best); of queries that repeat an id the least vector is
+    asked for; an empty table, or one without usable queries, gives an empty result; other columns
+    are ignored. segment: vectors indexed together (see segment_rows); block: queries whose hits a
+    task gathers before it passes them on.
     """
+
     def clean(df: DataFrame) -> DataFrame:
-        df = df.select(F.col(id_col).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+        exact = "array<float>" if "array<float>" in df.select("embedding").schema[0].dataType.simpleString() else "array<double>"
+        df = df.select(F.col(id_col).cast("long").alias("id"), F.col("embedding").cast(exact).alias("v"))
         return df.where(F.col("id").isNotNull() & usable(F.col("v")))
 
-    rows, asked = clean(vectors), clean(queries).dropDuplicates(["id"])
-    spark = vectors.sparkSession
-    n = asked.count()
-    blocks = max(1, -(-n // block))
-    asked = asked.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    out = None
-    for b in range(blocks):  # a block's size is bounded: about `block` vectors
-        got = asked.where(F.col("b") == b).select("id", "v").toArrow()
-        sent = spark.sparkContext.broadcast([(i, np.array(v)) for i, v in zip(got["id"].to_pylist(), got["v"].to_pylist(), strict=True)])
-        hits = rows.mapInArrow(_searcher(sent, k, segment), "query_id long, vec_id long, score double")
-        out = hits if out is None else out.union(hits)
-    out = out.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rows = clean(vectors).dropDuplicates(["id", "v"])
+    asked = clean(queries).groupBy("id").agg(F.min("v").alias("v"))
+    n = vectors.count()
+    segments = max(1, -(-n // (segment or segment_rows(n))))
+    # by the whole row, so that an id that many rows share spreads out
+    placed = rows.select(F.pmod(F.xxhash64("id", "v"), F.lit(segments)).cast("int").alias("s"), F.lit(0).alias("asks"), "id", F.col("v").cast("array<double>"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(segments - 1))).alias("s")
+    sent = asked.select(every, F.lit(1).alias("asks"), "id", F.col("v").cast("array<double>"))
+    tasks = min(segments, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 16)
+    dealt = placed.union(sent).repartition(tasks, "s").sortWithinPartitions("s", "asks")
+    found = dealt.mapInArrow(_searcher(k, block), "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _searcher(sent, k: int, segment: int):
+def _searcher(k: int, block: int):
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, list[tuple[float, int]]] = {}
+        now = None  # the segment being read
+        parts: dict[int, tuple[list, list]] = {}  # its vectors, by their length
+        indexes: dict[int, Segment] = {}  # once its first query has come
+        out: list[tuple[int, int, float]] = []
+        asked = 0
 
-        def search(ids: list[np.ndarray], xs: list[np.ndarray]) -> None:
-            part = Segment(np.concatenate(ids), np.concatenate(xs))
-            for own, q in sent.value:
-                if len(q) == part.x.shape[1]:
-                    best[own] = sorted({*best.get(own, []), *part.search(own, q, k)})[:k]
+        def passed() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], f.type) for c, f in enumerate(schema)], schema=schema)
+            out.clear()
+            return batch
 
-        held: dict[int, tuple[list, list]] = {}  # by the vectors' length
         for b in batches:
-            v = b.column("v")
-            lengths = v.value_lengths().to_numpy()
-            for dim in np.unique(lengths):
-                rows = np.flatnonzero(lengths == dim)
-                x = v.take(pa.array(rows)).flatten().to_numpy().reshape(-1, dim)
-                ids, xs = held.setdefault(int(dim), ([], []))
-                ids.append(b.column("id").to_numpy()[rows])
-                xs.append(x)
-                if sum(map(len, ids)) >= segment:
-                    search(*held.pop(int(dim)))
-        for ids, xs in held.values():
-            search(ids, xs)
-        flat = [(q, i, -s) for q, hits in best.items() for s, i in hits]
-        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in flat], f.type) for c, f in enumerate(schema)], schema=schema)
+            s, asks, ids, v = (b.column(c) for c in ("s", "asks", "id", "v"))
+            s, asks, ids, lengths = s.to_numpy(), asks.to_numpy(), ids.to_numpy(), v.value_lengths().to_numpy()
+            values, starts = v.flatten().to_numpy(), np.r_[0, np.cumsum(lengths)]
+            cuts = np.flatnonzero((s[1:] != s[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(s)], strict=True):
+                if lo == hi:
+                    continue
+                if s[lo] != now:
+                    now, parts, indexes = s[lo], {}, {}
+                if not asks[lo]:
+                    for dim in np.unique(lengths[lo:hi]):
+                        at = lo + np.flatnonzero(lengths[lo:hi] == dim)
+                        got = parts.setdefault(int(dim), ([], []))
+                        got[0].append(ids[at])
+                        got[1].append(scaled(values[starts[at][:, None] + np.arange(dim)]))
+                    continue
+                if parts:
+                    indexes = {dim: Segment(np.concatenate(i), np.concatenate(x)) for dim, (i, x) in parts.items()}
+                    parts = {}
+                for i in range(lo, hi):
+                    index = indexes.get(int(lengths[i]))
+                    if index is not None:
+                        hits = index.search(int(ids[i]), scaled(values[starts[i] : starts[i + 1]]), k)
+                        out += [(int(ids[i]), vec, -c) for c, vec in hits]
+                    asked += 1
+                    if asked % block == 0:
+                        yield passed()
+        yield passed()
 
     return run

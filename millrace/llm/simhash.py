@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, map_batches, materialize, member_filter
+from .common import connected_components, map_batches, materialize, member_filter, planned
 
 BITS = 64
 #: Values of a part that the histograms tell apart (its first 16 bits), which bounds them.
@@ -209,13 +209,13 @@ def _keys(nodes: DataFrame, groups: list[list[int]], hist, radius: int, probing:
     def run(batches):
         h = hist.value if probing else None
         for b in batches:
-            all_fp, all_root = b.column("fp").to_numpy(), b.column("root").to_numpy()
-            for at in range(0, len(all_fp), 4096):  # keeps what one batch grows into small
-                fp, root = all_fp[at : at + 4096], all_root[at : at + 4096]
+            columns = [b.column(c).to_numpy() for c in ("fp", "root", "mixing")]
+            for at in range(0, len(columns[0]), 4096):  # keeps what one batch grows into small
+                fp, root, mixing = (c[at : at + 4096] for c in columns)
                 t = thresholds(fp, groups, h, radius) if probing else np.ones((len(fp), len(groups)), np.int8)
                 keys, fps, roots = [], [], []
                 for i, g in enumerate(groups):
-                    v = part_values(fp, g) | i << 40
+                    v = part_values(fp, g) | i << 40 | mixing.astype(np.int64) << 44
                     for r in range(3):
                         rows = np.flatnonzero(t[:, i] == r + 1)
                         if len(rows):
@@ -226,61 +226,71 @@ def _keys(nodes: DataFrame, groups: list[list[int]], hist, radius: int, probing:
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, fps, roots)], schema=schema)
 
-    return nodes.select("fp", "root").mapInArrow(run, "key long, fp long, root long")
+    return nodes.select("fp", "root", "mixing").mapInArrow(run, "key long, fp long, root long")
 
 
 def _stars(distinct: DataFrame, groups: list[list[int]], radius: int) -> DataFrame:
     """Links from fingerprints to the least and greatest that share half of the bits exactly."""
     quarters = [sum(groups, [])[k : k + BITS // 4] for k in range(0, BITS, BITS // 4)]
-    schema = pa.schema([("key", pa.int64()), ("fp", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("id", pa.int64())])
 
     def halves(batches):
         for b in batches:
-            fp = b.column("fp").to_numpy()
+            fp, mixing = b.column("fp").to_numpy(), b.column("mixing").to_numpy().astype(np.int64)
             v = [part_values(fp, q) for q in quarters]
-            keys = [v[i] << 16 | v[j] | k << 40 for k, (i, j) in enumerate(combinations(range(4), 2))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys)), pa.array(np.tile(fp, len(keys)))], schema=schema
-            )
+            keys = [v[i] << 16 | v[j] | k << 40 | mixing << 44 for k, (i, j) in enumerate(combinations(range(4), 2))]
+            columns = np.concatenate(keys), np.tile(fp, len(keys)), np.tile(b.column("id").to_numpy(), len(keys))
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), schema=schema)
 
-    rows = distinct.select("fp").mapInArrow(halves, "key long, fp long")
-    hubs = rows.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi")
+    rows = distinct.select("fp", "mixing", "id").mapInArrow(halves, "key long, fp long, id long")
+    one = F.struct("fp", "id")
+    hubs = rows.groupBy("key").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).where("lo.fp < hi.fp")
     near = lambda c: F.bit_count(F.col("fp").bitwiseXOR(F.col(c))) <= radius
     met = rows.join(hubs, "key")
-    links = met.where(near("lo")).select(F.col("fp").alias("a"), F.col("lo").alias("b"))
-    return links.union(met.where(near("hi")).select(F.col("fp").alias("a"), F.col("hi").alias("b")))
+    ends = F.array(*(F.when(near(f"{e}.fp") & (F.col("id") != F.col(f"{e}.id")), F.col(f"{e}.id")) for e in ("lo", "hi")))
+    return met.select(F.col("id").alias("a"), F.explode(F.array_compact(ends)).alias("b"))
 
 
 def components(distinct: DataFrame, radius: int = 4) -> DataFrame:
     """fp and root for distinct fingerprints: rows of a root are those reachable by links."""
+    ids = distinct.select("fp", F.lit(0).alias("mixing"), F.col("fp").alias("id"))
+    return roots_of(ids, radius).select(F.col("id").alias("fp"), "root")
+
+
+def roots_of(distinct: DataFrame, radius: int = 4) -> DataFrame:
+    """id and root of distinct fingerprints (id, mixing, fp), of which those of one mixing can link."""
+    spark = distinct.sparkSession
     n = distinct.count()
     parts = number_of_parts(n, radius)
-    groups = bit_groups(distinct, parts)
-    stars = connected_components(_stars(distinct, groups, radius))
-    nodes = materialize(
-        distinct.select("fp").join(stars, distinct.fp == stars.node, "left")
-        .select("fp", F.coalesce("root", "fp").alias("root"))
-    )
-    hist = distinct.sparkSession.sparkContext.broadcast(histograms(distinct, groups))
+    with planned(spark, n):
+        groups = bit_groups(distinct, parts)
+        hist = spark.sparkContext.broadcast(histograms(distinct, groups))
+    with planned(spark, 6 * n):
+        stars = connected_components(_stars(distinct, groups, radius))
+    with planned(spark, n):
+        nodes = materialize(
+            distinct.join(stars, distinct.id == stars.node, "left").select("id", "fp", "mixing", F.coalesce("root", "id").alias("root"))
+        )
     index = _keys(nodes, groups, None, radius, probing=False)
-    # a value that many fingerprints of one root share: they only meet those of other roots there
-    crowd = index.groupBy("key", "root").agg(F.count("*").alias("n")).where("n > 16")
-    crowd = materialize(crowd.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main")))
+    with planned(spark, parts * n):
+        # a value that many fingerprints of one root share: they only meet those of other roots there
+        crowd = index.groupBy("key", "root").agg(F.count("*").alias("n")).where("n > 16")
+        crowd = materialize(crowd.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main")))
     main = F.coalesce(F.col("root") == F.col("main"), F.lit(False))
     d = index.join(crowd, "key", "left").withColumn("other", F.col("main").isNotNull() & ~main).alias("d")
     others = F.when(main, F.array(F.lit(True))).when(F.col("main").isNull(), F.array(F.lit(False)))
     q = _keys(nodes, groups, hist, radius, probing=True).join(crowd, "key", "left")
     q = q.withColumn("other", F.explode(others.otherwise(F.array(F.lit(True), F.lit(False))))).alias("q")
     met = (
-        (F.col("q.key") == F.col("d.key")) & (F.col("q.other") == F.col("d.other"))
-        & (F.col("q.fp") != F.col("d.fp")) & (F.col("q.root") != F.col("d.root"))
+        (F.col("q.key") == F.col("d.key")) & (F.col("q.other") == F.col("d.other")) & (F.col("q.root") != F.col("d.root"))
         & (F.bit_count(F.col("q.fp").bitwiseXOR(F.col("d.fp"))) <= radius)
     )
-    links = q.join(d, met).select(F.col("q.root").alias("a"), F.col("d.root").alias("b"))
-    joined = connected_components(links)
-    return nodes.join(joined, nodes.root == joined.node, "left").select(
-        nodes.fp, F.coalesce(joined.root, nodes.root).alias("root")
-    )
+    with planned(spark, 24 * n):
+        joined = connected_components(q.join(d, met).select(F.col("q.root").alias("a"), F.col("d.root").alias("b")))
+    with planned(spark, n):
+        return materialize(
+            nodes.join(joined, nodes.root == joined.node, "left").select("id", F.coalesce(joined.root, nodes.root).alias("root"))
+        )
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -292,8 +302,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     """
     each = materialize(fingerprints(docs, shingle))
     distinct = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(distinct, radius)
-    by_root = materialize(distinct.join(roots, "fp"))
+    by_root = distinct.join(components(distinct, radius), "fp")
     return each.join(_named(by_root), "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
@@ -307,16 +316,15 @@ def _named(by_root: DataFrame, salts: int = 32) -> DataFrame:
     return rows.join(least, ["root", "salt"], "left").select("fp", F.coalesce("least", "first").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, radius: int = 6, mixings: int = 3, similarity: float = 0.8) -> DataFrame:
+def one_of_each(docs: DataFrame, radius: int = 4, mixings: int = 6, similarity: float = 0.8) -> DataFrame:
     """The rows of docs without near-duplicates: all columns, one row of each group.
 
     Candidates are texts whose SimHashes differ in at most radius bits. These are taken over
     distinct words, of which a changed word only touches one, and by several independent mixings
     of the words' hashes, as one misses some pairs near the threshold. A text only goes if the
-    Jaccard similarity of its five-word shingles with a text's that stays (or that goes for
-    such a one by a later mixing) is `similarity` or more: in each component of links the text
-    of the smallest doc_id (nulls last, then a hash of the row) stays and takes those like it
-    with it, and what is left of the component begins anew.
+    Jaccard similarity of its five-word shingles with a text's that stays is `similarity` or more:
+    in each component of candidates the text of the smallest doc_id (nulls last, then a hash of
+    the row) stays and takes those like it with it, and what is left of the component begins anew.
 
     Texts of equal shingles are alike. Rows are told apart by all their columns, so rows that
     share a doc_id or have none stand for themselves; of rows alike in every column one stays.
@@ -346,11 +354,14 @@ def one_of_each(docs: DataFrame, radius: int = 6, mixings: int = 3, similarity:
     order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
     nodes = rows.groupBy("node").agg(F.min(order).alias("first"), *(F.min(f).alias(f) for f in fps), F.count("*").alias("n"))
     nodes = materialize(nodes)
-    left, gone = nodes, None
-    for f in fps:
-        alike = materialize(_alike(columns, left.select("node", "first", F.col(f).alias("fp")), radius, similarity))
-        gone = alike if gone is None else gone.union(alike)
-        left = left.join(alike, "node", "left_anti")
+    each_fp = F.explode(F.array(*(F.struct(F.lit(k).alias("mixing"), F.col(f).alias("fp")) for k, f in enumerate(fps)))).alias("m")
+    marked = nodes.select("node", each_fp).select("node", "m.mixing", "m.fp", F.xxhash64("m.mixing", "m.fp").alias("id"))
+    roots = roots_of(materialize(marked.select("id", "mixing", "fp").distinct()), radius)
+    # texts of one root are candidates, whatever the mixing: one component
+    with planned(docs.sparkSession, mixings * nodes.count()):
+        shared = marked.join(roots, "id").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        groups = connected_components(shared).select("node", "root")
+        gone = _alike(columns, nodes.select("node", "first").join(groups, "node"), similarity)
     # rows of a node but its first, and all rows of the nodes that go; rows alike in all columns share a key
     lost = rows.join(nodes.where("n > 1").select("node", F.col("first.key").alias("stays")), "node").where("key <> stays").select("key")
     lost = materialize(lost.union(rows.join(gone, "node").select("key")).distinct())
@@ -361,13 +372,12 @@ def one_of_each(docs: DataFrame, radius: int = 6, mixings: int = 3, similarity:
     return some.select("row.*").union(whole.where(~touched).select("row.*"))
 
 
-def _alike(columns: DataFrame, nodes: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """The nodes that go for one that stays. columns: key and text; nodes: node, first and fp."""
+def _alike(columns: DataFrame, open_: DataFrame, similarity: float) -> DataFrame:
+    """The nodes that go for one that stays. columns: key and text; open_: node, first and root."""
     from .minhash import jaccard, shingles, word_hashes
 
-    placed = materialize(nodes.join(components(nodes.select("fp").distinct(), radius), "fp"))
-    several = placed.groupBy("root").agg(F.count("*").alias("members")).where("members > 1").select("root")
-    open_ = materialize(placed.join(several, "root").select("root", "node", "first"))
+    several = open_.groupBy("root").agg(F.count("*").alias("members")).where("members > 1").select("root")
+    open_ = materialize(open_.join(several, "root").select("root", "node", "first"))
 
     def hashed(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:

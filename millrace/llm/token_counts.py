@@ -1,11 +1,9 @@
 """Token counts by a map-side two-tier lookup, without shuffling a pre-token.
 
-Text is cut at white space into pre-tokens. Tier one is a broadcast table of the lengths of
-the most frequent pre-tokens; tier two is a bounded cache in each Python worker that encodes
-what the table lacks. A pre-token never crosses a shuffle: the table comes from one pass in
-which every task reports at most `per_task` pre-tokens with their counts, and holds at most
-`table_size` of them however large the corpus is. The table only saves time; the counts are
-the library's whatever it holds.
+Text is cut at white space into pre-tokens. Tier one is a broadcast hash table of the lengths of
+frequent pre-tokens; tier two is a bounded cache in each Python worker that encodes what the
+table lacks. No pre-token crosses a shuffle: the table is made in one task from a bounded sample
+of documents. It only saves time; the counts are the library's whatever it holds.
 """
 
 from __future__ import annotations
@@ -21,9 +19,6 @@ from .common import map_batches
 
 #: Entries of a worker's cache before it starts afresh, which bounds its memory (some 20 MB).
 CACHE_ENTRIES = 1 << 17
-#: Distinct pre-tokens that a task of the first pass holds before it drops its rarest.
-PASS_ENTRIES = 1 << 17
-
 #: The word splitter's rule, for texts in Basic Latin and Latin-1 only.
 _LATIN = "a-zªµºß-öø-ÿ"
 _LATIN_PRE_TOKEN = re.compile(rf"[{_LATIN}]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9²³¹¼½¾]|[^\s{_LATIN}0-9²³¹¼½¾]+")
@@ -126,25 +121,26 @@ def _counter(name: str, path_of: Callable[[str], str], table) -> PieceCounter:
     return _counters[key]
 
 
-def frequent_pieces(docs: DataFrame, text_col: str, table_size: int, per_task: int) -> DataFrame:
-    """The table_size most frequent white-space pre-tokens, as far as each task's top shows them."""
+def frequent_pieces(docs: DataFrame, text_col: str, one: Callable[[], Callable[[str], int]], table_size: int, sample_rows: int, longest_text: int = 1 << 16) -> dict[str, int]:
+    """The lengths of the table_size most frequent pre-tokens of a sample of some sample_rows documents.
+
+    one: makes, in the task, the function from a pre-token to its length. Texts of more than
+    longest_text bytes aren't in the sample, so one task can hold it.
+    """
+    n = docs.count()
+    texts = docs.select(text_col).where(F.octet_length(text_col) <= longest_text)
+    texts = texts.sample(min(1.0, sample_rows / max(n, 1)), seed=7).repartition(1)
 
     def tops(batches: Iterator[dict]) -> Iterator[dict]:
         seen: Counter = Counter()
         for b in batches:
             for text in b[text_col]:
-                if text:
-                    seen.update(text.split())
-            if len(seen) > PASS_ENTRIES:
-                seen = Counter(dict(seen.most_common(PASS_ENTRIES // 4)))
-        top = seen.most_common(per_task)
-        yield {"piece": [p for p, _ in top], "n": [n for _, n in top]}
+                seen.update(text.split())
+        top = [p for p, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:table_size] if len(p) < 256]
+        yield {"piece": top, "length": list(map(one(), top))}
 
-    return (
-        map_batches(docs.select(text_col), tops, "piece string, n long")
-        .groupBy("piece").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "piece").limit(table_size)
-    )
+    # at most table_size short strings reach the driver
+    return {r.piece: r.length for r in map_batches(texts, tops, "piece string, length int").collect()}
 
 
 def token_counts(
@@ -154,22 +150,21 @@ def token_counts(
     text_col: str = "text",
     limit: int = 2048,
     table_size: int = 16384,
-    per_task: int = 2048,
+    sample_rows: int = 2048,
     path_of: Callable[[str], str] = _public_path,
 ) -> DataFrame:
     """id_col, n_bytes, n_tokens and over_limit (n_tokens > limit) of every row's whole text.
 
-    tokenizer: a file name that path_of turns into a place on each executor. A null text
+    tokenizer: a file name that path_of turns into a place on each executor. sample_rows: documents
+    whose pre-tokens fill the table. A null text
     counts as empty (0, 0, false); a null id is kept; repeated rows stay repeated; an empty
     table gives an empty result; other columns are ignored.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     table = None
     if not tokenizer.endswith(".model"):
-        counter = _counter(tokenizer, path_of, None)
-        # at most table_size short strings reach the driver
-        words = [r.piece for r in frequent_pieces(docs, "text", table_size, per_task).collect() if len(r.piece) < 256]
-        table = docs.sparkSession.sparkContext.broadcast((" ".join(words), [counter.cache.make(w) for w in words]))
+        entries = frequent_pieces(docs, "text", lambda: _counter(tokenizer, path_of, None).cache.make, table_size, sample_rows)
+        table = docs.sparkSession.sparkContext.broadcast((" ".join(entries), list(entries.values())))
 
     def count(batches: Iterator[dict]) -> Iterator[dict]:
         counter = _counter(tokenizer, path_of, table)

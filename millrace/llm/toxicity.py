@@ -254,7 +254,10 @@ def fit(
         m = train(kinds[1], kinds[0], odds)
         yield {"toxic": [m.toxic], "ordinary": [m.ordinary], "weights": [m.weights]}
 
-    r = map_batches(rows, learn, "toxic binary, ordinary binary, weights array<double>").collect()[0]
+    learned = map_batches(rows, learn, "toxic binary, ordinary binary, weights array<double>").collect()
+    if not learned:  # nothing labelled, no task
+        return train([], [])
+    r = learned[0]
     return Model(bytes(r.toxic), bytes(r.ordinary), list(r.weights))
 
 

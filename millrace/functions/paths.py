@@ -121,6 +121,17 @@ def repository_address(url: Column) -> Column:
     return F.when(user.isNotNull(), whole)
 
 
+def repository_name(url: Column) -> Column:
+    """The last part of an address's path without .git; of an SSH address, what follows its first colon."""
+    web = url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]")
+    path = F.regexp_extract(url, r"^[^:]+://[^/?#]+([^?#;]*)", 1)
+    tail = F.when(web, F.regexp_replace(path, r"^/+|/+$", "")).when(url.contains(":"), F.regexp_extract(url, r"^[^:]*:(.*)$", 1))
+    tail = F.regexp_replace(tail, r"\.git$", "")
+    name = F.coalesce(basename(F.regexp_replace(tail, r"/+$", "")), stem(F.regexp_replace(url, r"/+$", "")))
+    name = F.regexp_replace(F.replace(name, F.lit(" "), F.lit("_")), r'[<>:"/\\|?*]', "")
+    return F.when(name == "", "repository").otherwise(name)
+
+
 def glob_regex(glob: str) -> str:
     """A gitignore-like glob as a regular expression; * crosses slashes."""
     anchored = glob.startswith("/")

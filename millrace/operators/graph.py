@@ -7,19 +7,20 @@ import tempfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import ship
-
 
 def _checkpoint(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-graph-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not (sc.master.startswith("local") and "cluster" not in sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="millrace-graph-"))
     return df.checkpoint()
 
 
-def aggregate_edges(dependencies: DataFrame) -> DataFrame:
-    """Per (src, dst): sum of weights, sorted set of types, count. dependencies: src, dst, weight, type."""
-    return dependencies.groupBy("src", "dst").agg(
+def aggregate_edges(dependencies: DataFrame, *keys: str) -> DataFrame:
+    """Per (src, dst) and keys: sum of weights, sorted set of types, count. dependencies: src, dst, weight, type."""
+    return dependencies.groupBy(*keys, "src", "dst").agg(
         F.sum("weight").alias("weight"), F.array_sort(F.collect_set("type")).alias("types"), F.count("*").alias("n")
     )
 
@@ -69,31 +70,146 @@ def weak_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def is_dag(edges: DataFrame, max_rounds: int = 1000) -> bool:
-    """Peels nodes without incoming edges until none are left, or none can go."""
-    left = _checkpoint(edges.select("src", "dst").distinct())
-    for _ in range(max_rounds):
-        n = left.count()
-        if not n:
-            return True
-        left = _checkpoint(left.join(sources(left), left.src == F.col("node"), "left_anti"))
-        if left.count() == n:
-            return False
-    raise RuntimeError("peeling did not end")
+def cyclic_part(edges: DataFrame, *keys: str) -> DataFrame:
+    """The edges that lie on cycles or between them, of the graphs that keys tell apart.
+
+    Peels edges from nodes that nothing points at and edges to nodes that point at nothing, until
+    none go; each round is written out and counted.
+    """
+    left = _checkpoint(edges.select(*keys, "src", "dst").distinct())
+    n = left.count()
+    while n:
+        pointed = left.select(*keys, F.col("dst").alias("src")).distinct()
+        pointing = left.select(*keys, F.col("src").alias("dst")).distinct()
+        left = _checkpoint(left.join(pointed, [*keys, "src"], "left_semi").join(pointing, [*keys, "dst"], "left_semi").select(*keys, "src", "dst"))
+        before, n = n, left.count()
+        if n == before:
+            break
+    return left
+
+
+def is_dag(edges: DataFrame) -> bool:
+    return cyclic_part(edges).isEmpty()
+
+
+def call_edges(facts: DataFrame) -> DataFrame:
+    """Per file, caller and callee: how many calls there are, and their lines. facts: see pyast.file_facts."""
+    calls = facts.where("kind = 'call'").groupBy("repo_id", "path", F.col("caller").alias("src"), F.col("name").alias("dst"))
+    return calls.agg(F.count("*").alias("n"), F.array_sort(F.collect_list("line")).alias("lines"))
+
+
+def call_graphs(calls: DataFrame) -> DataFrame:
+    """Nodes, edges, density and whether it has no cycle, of each file's call graph. calls: see call_edges."""
+    ends = calls.select("repo_id", "path", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    sizes = ends.groupBy("repo_id", "path").agg(F.count("*").alias("nodes"))
+    edges = calls.groupBy("repo_id", "path").agg(F.count("*").alias("edges"))
+    loops = cyclic_part(calls, "repo_id", "path").select("repo_id", "path", F.lit(False).alias("is_dag")).distinct()
+    n, m = F.col("nodes"), F.col("edges")
+    rows = sizes.join(edges, ["repo_id", "path"]).join(loops, ["repo_id", "path"], "left")
+    return rows.select("repo_id", "path", "nodes", "edges", F.when(n > 1, m / (n * (n - 1))).otherwise(0.0).alias("density"), F.coalesce("is_dag", F.lit(True)).alias("is_dag"))
 
 
-def cycles(edges: DataFrame, max_length: int = 6) -> DataFrame:
-    """Elementary cycles of at most max_length nodes, each once, from its least node: cycle ARRAY."""
-    e = _checkpoint(edges.select("src", "dst").distinct())
+def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """labels (node, colour) after the least colour has gone along edges (src to dst) as far as it does.
+
+    Edges must join nodes that may share a colour only; each round is written out and compared.
+    """
+    while True:
+        came = edges.join(labels, edges.src == labels.node).groupBy("dst").agg(F.min("colour").alias("new"))
+        step = labels.join(came, labels.node == came.dst, "left").select("node", F.least("colour", F.coalesce("new", "colour")).alias("colour"))
+        step = _checkpoint(step)
+        if step.join(labels.withColumnRenamed("colour", "old"), "node").where("colour <> old").isEmpty():
+            return step
+        labels = step
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """node and component (its least node), by colouring forwards and backwards over edge tables.
+
+    Only the part that lies on or between cycles is coloured; every other node is a component of
+    its own. A colour is the least node that reaches a node; the nodes of a colour that reach that
+    node back are its component, and the rest goes on without them.
+    """
+    names = nodes(edges)
+    left = cyclic_part(edges.where("src <> dst"))
+    found = None
+    while not left.isEmpty():
+        colours = _spread(left, _checkpoint(nodes(left).withColumn("colour", F.col("node"))))
+        c, d = colours.alias("c"), colours.alias("d")
+        inside = left.join(c, left.src == F.col("c.node")).join(d, left.dst == F.col("d.node")).where("c.colour = d.colour")
+        inside = _checkpoint(inside.select(F.col("c.colour").alias("colour"), "src", "dst"))
+        # backwards from each colour's own node
+        reached = _checkpoint(colours.where("node = colour"))
+        n = reached.count()
+        while True:
+            more = inside.join(reached, (inside.dst == reached.node) & (inside.colour == reached.colour)).select(inside.src.alias("node"), inside.colour)
+            reached = _checkpoint(reached.union(more).distinct())
+            before, n = n, reached.count()
+            if n == before:
+                break
+        found = reached if found is None else found.union(reached)
+        gone = reached.select("node")
+        left = left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        left = cyclic_part(left)
+    if found is None:
+        return names.select("node", F.col("node").alias("component"))
+    return names.join(found, "node", "left").select("node", F.coalesce("colour", "node").alias("component"))
+
+
+def betweenness(edges: DataFrame) -> DataFrame:
+    """node and its betweenness (unweighted, normalised by (n - 1)(n - 2)), by joins over frontiers.
+
+    Every node's search goes at the same time: a level holds (source, node, shortest paths), and a
+    round extends all of them by one edge; going back, each level hands its dependencies on. The
+    rows are those of all shortest-path searches, spread over (source, node).
+    """
+    e = _checkpoint(edges.where("src <> dst").select("src", "dst").distinct())
+    names = nodes(edges)
+    n = names.count()
+    level = _checkpoint(names.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("paths")))
+    seen, levels = level.select("s", "node"), [level]
+    while True:
+        out = level.join(e, level.node == e.src).groupBy("s", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+        level = _checkpoint(out.join(seen, ["s", "node"], "left_anti"))
+        if level.isEmpty():
+            break
+        levels.append(level)
+        seen = _checkpoint(seen.union(level.select("s", "node")))
+    share = levels[-1].select("s", "node", "paths", F.lit(0.0).alias("share"))
+    every = share
+    for near in reversed(levels[1:-1]):
+        step = near.alias("v").join(e, F.col("v.node") == F.col("src")).select("v.s", F.col("v.node").alias("v"), F.col("v.paths").alias("pv"), "dst")
+        w = share.select("s", F.col("node").alias("dst"), F.col("paths").alias("pw"), "share")
+        given = step.join(w, ["s", "dst"]).groupBy("s", "v").agg(F.sum(F.col("pv") / F.col("pw") * (1 + F.col("share"))).alias("share"))
+        share = near.join(given.withColumnRenamed("v", "node"), ["s", "node"], "left").select("s", "node", "paths", F.coalesce("share", F.lit(0.0)).alias("share"))
+        share = _checkpoint(share)
+        every = every.union(share)
+    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
+    sums = every.where("s <> node").groupBy("node").agg(F.sum("share").alias("sum"))
+    return names.join(sums, "node", "left").select("node", (F.coalesce("sum", F.lit(0.0)) * scale).alias("betweenness"))
+
+
+def most_central(edges: DataFrame, k: int = 5) -> DataFrame:
+    return betweenness(edges).orderBy(F.desc("betweenness"), "node").limit(k)
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """All elementary cycles, each once, from its least node: cycle ARRAY.
+
+    Only paths within the part of the graph that has cycles grow; each round's are written out.
+    Their number is the graph's own: a dense graph has more cycles than any table holds.
+    """
+    e = cyclic_part(edges)
     paths = e.where("src <= dst").select(F.col("src").alias("start"), F.col("dst").alias("at"), F.array("src").alias("path"))
     found = None
-    for _ in range(max_length):
+    while True:
         closed = paths.where("at = start").select(F.col("path").alias("cycle"))
         found = closed if found is None else found.union(closed)
         grown = paths.where("at > start").join(e, F.col("at") == F.col("src")).where((F.col("dst") >= F.col("start")))
         grown = grown.where((F.col("dst") == F.col("start")) | ~F.array_contains(F.col("path"), F.col("dst")) & (F.col("dst") != F.col("at")))
-        paths = grown.select("start", F.col("dst").alias("at"), F.concat("path", F.array("src")).alias("path"))
-    return found
+        paths = _checkpoint(grown.select("start", F.col("dst").alias("at"), F.concat("path", F.array("src")).alias("path")))
+        if paths.isEmpty():
+            return found
 
 
 def simple_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, max_edges: int = 6) -> DataFrame:
@@ -103,7 +219,7 @@ def simple_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, max_edges
     found = None
     for _ in range(max_edges):
         paths = paths.join(e, F.col("at") == F.col("src")).where(~F.array_contains(F.col("path"), F.col("dst")))
-        paths = paths.select(F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"))
+        paths = _checkpoint(paths.select(F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path")))
         done = paths.join(ends.select(F.col("node").alias("at")), "at", "left_semi").select("path")
         found = done if found is None else found.union(done)
     return found
@@ -111,7 +227,7 @@ def simple_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, max_edges
 
 def refactoring(edges: DataFrame, max_cycles: int = 5) -> DataFrame:
     """Suggestions: nodes of three times the mean degree, and the first cycles."""
-    d = degrees(edges).withColumn("all", F.lit(1))
+    d = _checkpoint(degrees(edges)).withColumn("all", F.lit(1))
     mean = d.agg(F.avg("in_degree").alias("mi"), F.avg("out_degree").alias("mo")).withColumn("all", F.lit(1))
     d = d.join(F.broadcast(mean), "all")
     rows = d.where("in_degree > 3 * mi").select(F.lit("high_coupling").alias("type"), F.col("node").cast("string").alias("node"), F.lit("high").alias("priority"), F.col("in_degree").alias("n"))
@@ -120,63 +236,6 @@ def refactoring(edges: DataFrame, max_cycles: int = 5) -> DataFrame:
     return rows.union(loops.select(F.lit("circular_dependency"), F.array_join(F.col("cycle").cast("array<string>"), ">"), F.lit("high"), F.size("cycle").cast("long")))
 
 
-def small_graph_measures(edges: DataFrame) -> DataFrame:
-    """repo_id, node, betweenness (normalised), component (least node of its strong component).
-
-    For graphs of one repository each, which fit a task; edges: repo_id, src, dst.
-    """
-    ship(edges.sparkSession)
-
-    def measure(key, pdf):
-        import pandas as pd
-
-        pairs = sorted(set(zip(pdf["src"], pdf["dst"], strict=True)))
-        names = sorted({x for p in pairs for x in p})
-        out: dict = {v: [] for v in names}
-        back: dict = {v: [] for v in names}
-        for a, b in pairs:
-            out[a].append(b)
-            back[b].append(a)
-        score = dict.fromkeys(names, 0.0)
-        for s in names:  # shortest-path counts outwards, dependencies inwards
-            order, before, count, far = [s], {v: [] for v in names}, dict.fromkeys(names, 0), {s: 0}
-            count[s] = 1
-            for v in order:
-                for w in out[v]:
-                    if w not in far:
-                        far[w] = far[v] + 1
-                        order.append(w)
-                    if far[w] == far[v] + 1:
-                        count[w] += count[v]
-                        before[w].append(v)
-            share = dict.fromkeys(names, 0.0)
-            for w in reversed(order):
-                for v in before[w]:
-                    share[v] += count[v] / count[w] * (1 + share[w])
-                if w != s:
-                    score[w] += share[w]
-        reach = lambda start, nxt: _reach(start, nxt)
-        n, strong = len(names), {}
-        for v in names:
-            if v not in strong:
-                for w in reach(v, out) & reach(v, back):
-                    strong.setdefault(w, v)
-        scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-        return pd.DataFrame({"repo_id": key[0], "node": names, "betweenness": [score[v] * scale for v in names], "component": [strong[v] for v in names]})
-
-    return edges.groupBy("repo_id").applyInPandas(measure, "repo_id string, node string, betweenness double, component string")
-
-
-def _reach(start, following: dict) -> set:
-    seen, todo = {start}, [start]
-    while todo:
-        for w in following[todo.pop()]:
-            if w not in seen:
-                seen.add(w)
-                todo.append(w)
-    return seen
-
-
 def dot(edges: DataFrame) -> DataFrame:
     """One DOT line per edge, in order, with the weight where it is above one."""
     label = F.when(F.col("weight") > 1, F.format_string(' [label="x%d"]', F.col("weight").cast("int"))).otherwise("")
@@ -184,13 +243,13 @@ def dot(edges: DataFrame) -> DataFrame:
 
 
 def dependency_edges(facts: DataFrame) -> DataFrame:
-    """Import, call and inheritance edges from the rows of pyast.file_facts: src, dst, weight, type."""
+    """Import, call and inheritance edges from the rows of pyast.file_facts: repo_id, src, dst, weight, type."""
     from ..functions import paths
 
     file = paths.stem(F.col("path"))
-    imports = facts.where("kind = 'import'").select(file.alias("src"), F.col("qualified").alias("dst"), F.lit(1.0).alias("weight"), F.lit("import").alias("type"))
-    calls = facts.where("kind = 'call'").select(F.concat(file, F.lit("."), "caller").alias("src"), F.col("name").alias("dst"), F.lit(1.0).alias("weight"), F.lit("call").alias("type"))
-    bases = facts.where("kind = 'class'").select(F.concat(file, F.lit("."), "name").alias("src"), F.explode("bases").alias("dst"), F.lit(1.0).alias("weight"), F.lit("inheritance").alias("type"))
+    imports = facts.where("kind = 'import'").select("repo_id", file.alias("src"), F.col("qualified").alias("dst"), F.lit(1.0).alias("weight"), F.lit("import").alias("type"))
+    calls = facts.where("kind = 'call'").select("repo_id", F.concat(file, F.lit("."), "caller").alias("src"), F.col("name").alias("dst"), F.lit(1.0).alias("weight"), F.lit("call").alias("type"))
+    bases = facts.where("kind = 'class'").select("repo_id", F.concat(file, F.lit("."), "name").alias("src"), F.explode("bases").alias("dst"), F.lit(1.0).alias("weight"), F.lit("inheritance").alias("type"))
     return imports.union(calls).union(bases)
 
 

@@ -98,13 +98,32 @@ def overall_risk(counts: DataFrame) -> DataFrame:
 
 
 def recommendations(counts: DataFrame) -> DataFrame:
-    """A row per rule that holds."""
-    tests = {
-        "secrets": F.col("secrets_found") > 0, "vulnerabilities": F.col("vulnerabilities_found") > 0,
-        "critical": F.col("critical_count") > 0, "complexity": F.col("avg_complexity") > 20, "size": F.col("file_count") > 1000,
+    """A row per rule that holds: category, priority, title, description, action."""
+    about = {
+        "secrets": ("secrets_found", 0), "vulnerabilities": ("vulnerabilities_found", 0), "critical": ("critical_count", 0),
+        "complexity": ("avg_complexity", 20), "size": ("file_count", 1000),
     }
-    rows = F.array(*(
-        F.when(test, F.struct(*(F.lit(x).alias(k) for k, x in zip(("category", "priority", "title"), rules.RECOMMENDATIONS[name], strict=True))))
-        for name, test in tests.items()
-    ))
-    return counts.select("repo_id", F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r")).select("repo_id", "r.*")
+
+    def row(name: str) -> Column:
+        column, over = about[name]
+        category, priority, title, description, action = rules.RECOMMENDATIONS[name]
+        said = F.replace(F.lit(description), F.lit("%s"), F.col(column).cast("string"))
+        fields = {"category": F.lit(category), "priority": F.lit(priority), "title": F.lit(title), "description": said, "action": F.lit(action)}
+        return F.when(F.col(column) > over, F.struct(*(v.alias(k) for k, v in fields.items())))
+
+    rows = F.filter(F.array(*map(row, about)), lambda r: r.isNotNull())
+    return counts.select("repo_id", F.explode(rows).alias("r")).select("repo_id", "r.*")
+
+
+def rounded(metrics: DataFrame) -> DataFrame:
+    """The figures that a report shows: sizes in KB and means per file, to two places."""
+    n = F.col("file_count")
+    return metrics.select(
+        "repo_id", F.round(F.col("total_bytes") / 1024, 2).alias("total_kb"), F.round(F.col("total_bytes") / 1024 / n, 2).alias("avg_kb"),
+        F.round(F.col("total_lines") / n, 2).alias("avg_lines"),
+    )
+
+
+def throughput(metrics: DataFrame, seconds: Column) -> DataFrame:
+    """Files a second of analyses that took some time."""
+    return metrics.select("repo_id", "file_count", "total_bytes", F.when(seconds > 0, F.col("file_count") / seconds).otherwise(0.0).alias("files_per_second"))

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import rules
 from ..shipping import ship
@@ -16,6 +17,7 @@ from ..shipping import ship
 _STATS = {
     "functions": "int", "async_functions": "int", "classes": "int", "imports": "int", "import_list": "array<string>", "lines": "int",
     "decorated_functions": "int", "decorator_exprs": "int", "comprehensions": "int", "lambdas": "int", "names": "array<string>",
+    "dangerous": "int",
 }
 _ROWS = {
     "kind": "string", "name": "string", "qualified": "string", "caller": "string", "line": "int", "args": "int",
@@ -61,9 +63,16 @@ def stats(content: str | None) -> dict | None:
         "decorator_exprs": sum(len(getattr(n, "decorator_list", ())) for n in nodes),
         "comprehensions": count(ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp), "lambdas": count(ast.Lambda),
         "names": [n.name for n in nodes if isinstance(n, (ast.FunctionDef, ast.ClassDef))],
+        "dangerous": sum(isinstance(n, ast.Call) and bool(_risk(n)) for n in nodes),
     }
 
 
+def _risk(call: ast.Call) -> str | None:
+    """The severity of a dangerous call."""
+    f = call.func
+    return rules.BARE_CALLS.get(f.id) if isinstance(f, ast.Name) else rules.DOTTED_CALLS.get(dotted(f))
+
+
 def facts(content: str | None) -> list[dict]:
     """Functions, classes, calls, imports and dangerous calls of one source, in source order by walk."""
     tree = _tree(content)
@@ -83,8 +92,7 @@ def facts(content: str | None) -> list[dict]:
                 if name:
                     add("call", name=name, qualified=full or name, caller=inside, line=child.lineno, args=len(child.args) + len(child.keywords),
                         is_method=isinstance(f, ast.Attribute), is_builtin=hasattr(builtins, name))
-                risk = rules.BARE_CALLS.get(name) if isinstance(f, ast.Name) else rules.DOTTED_CALLS.get(full)
-                if risk:
+                if risk := _risk(child):
                     add("dangerous", name=full or name, line=child.lineno, severity=risk)
             elif isinstance(child, (ast.Import, ast.ImportFrom)):
                 module = child.module if isinstance(child, ast.ImportFrom) else None
@@ -137,16 +145,26 @@ def file_facts(files: DataFrame) -> DataFrame:
 
 
 def repository_stats(stats_: DataFrame) -> DataFrame:
-    """Per repository: sums, mean complexity over files that score, other means over all Python files."""
-    files = F.count("*")
+    """Per repository: sums, mean complexity over files that score and over files that parse, other means over all Python files."""
+    files, score = F.count("*"), F.col("complexity_score")
     return stats_.groupBy("repo_id").agg(
         files.alias("python_files"), F.sum("functions").alias("functions"), F.sum("classes").alias("classes"),
-        F.sum("imports").alias("imports"), F.sum("lines").alias("lines"),
-        F.avg(F.when(F.col("complexity_score") > 0, F.col("complexity_score"))).alias("avg_complexity_score"),
+        F.sum("imports").alias("imports"), F.sum("lines").alias("lines"), F.sum("decorated_functions").alias("decorators"),
+        F.avg(F.when(score > 0, score)).alias("avg_complexity_score"), F.avg(score).alias("avg_complexity_parsed"),
         (F.sum("functions") / files).alias("avg_functions"), (F.sum("classes") / files).alias("avg_classes"),
+        F.coalesce(F.sum("dangerous"), F.lit(0)).alias("dangerous_calls"),
     )
 
 
+def top_complex(stats_: DataFrame, n: int = 10) -> DataFrame:
+    """The n files of each repository that score most (ties: path)."""
+    order = W.partitionBy("repo_id").orderBy(F.desc("complexity_score"), "path")
+    rows = stats_.where(~F.col("parse_error")).withColumn("rank", F.row_number().over(order))
+    return rows.where(F.col("rank") <= n).select("repo_id", "rank", "path", "complexity_score", "functions", "classes")
+
+
 def import_frequency(stats_: DataFrame, k: int = 20) -> DataFrame:
-    names = stats_.select(F.explode("import_list").alias("module"))
-    return names.groupBy("module").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "module").limit(k)
+    """The k most frequent imports of each repository (ties: module)."""
+    counts = stats_.select("repo_id", F.explode("import_list").alias("module")).groupBy("repo_id", "module").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(W.partitionBy("repo_id").orderBy(F.desc("n"), "module"))
+    return counts.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -30,13 +30,17 @@ def lines_of(files: DataFrame, text: str = "content") -> DataFrame:
     return files.select(*rest, F.posexplode(F.split(text, "\n")).alias("pos", "text")).select(*rest, (F.col("pos") + 1).alias("line"), "text")
 
 
+def any_of(text: Column, table) -> Column:
+    """Whether any pattern matches; what matches in a line matches in the file that holds it."""
+    return text.rlike(FLAGS + "|".join(f"(?:{p})" for p, _, _ in table))
+
+
 def matches(lines: DataFrame, table, names: tuple[str, str]) -> DataFrame:
     """A row per match of each pattern on each line; lines without any are dropped by one test."""
-    kept = lines.where(F.col("text").rlike(FLAGS + "|".join(f"(?:{p})" for p, _, _ in table)))
     hits = F.flatten(F.array(*(_hits(row, names) for row in table)))
     rest = [c for c in lines.columns if c != "text"]
     context = F.substring(stripped(F.col("text")), 1, 200).alias("context")
-    return kept.select(*rest, context, F.explode(hits).alias("m")).select(*rest, "context", "m.*")
+    return lines.where(any_of(F.col("text"), table)).select(*rest, context, F.explode(hits).alias("m")).select(*rest, "context", "m.*")
 
 
 def _hits(row: tuple[str, str, str], names: tuple[str, str]) -> Column:
@@ -48,14 +52,47 @@ def _hits(row: tuple[str, str, str], names: tuple[str, str]) -> Column:
 def pattern_findings(lines: DataFrame, table=rules.INSECURE_PATTERNS) -> DataFrame:
     """Findings on lines with a path: files of scanned kinds, not on lines that are only a comment."""
     ext = paths.extension(F.col("path"))
-    lines = lines.where(ext.isin(*rules.SCANNED)).where(~only_comment(F.col("text"), ext))
+    # the costly test for comments only sees lines that match
+    lines = lines.where(ext.isin(*rules.SCANNED) & any_of(F.col("text"), table)).where(~only_comment(F.col("text"), ext))
     return matches(lines, table, ("pattern", "severity")).withColumn("type", F.lit("pattern_match"))
 
 
+def file_findings(files: DataFrame, table=rules.INSECURE_PATTERNS) -> DataFrame:
+    """pattern_findings of whole files; only files in which a pattern matches are cut into lines."""
+    scanned = paths.extension(F.col("path")).isin(*rules.SCANNED)
+    return pattern_findings(lines_of(files.where(scanned & any_of(F.col("content"), table)).select("repo_id", "path", "content")), table)
+
+
+def all_findings(files: DataFrame, facts: DataFrame) -> DataFrame:
+    """Pattern findings of all files and the dangerous calls of Python syntax trees (facts: see
+    pyast.file_facts); a call that both see is reported by both."""
+    calls = facts.where("kind = 'dangerous'").select(
+        "repo_id", "path", "line", F.lit(None).cast("string").alias("context"), F.col("name").alias("pattern"), "severity",
+        F.col("name").alias("match"), F.lit("dangerous_call").alias("type"),
+    )
+    return file_findings(files).unionByName(calls)
+
+
 def secrets(lines: DataFrame, table=rules.SECRET_PATTERNS) -> DataFrame:
     return matches(lines, table, ("type", "risk_level"))
 
 
+def security_sums(lines: DataFrame) -> list[Column]:
+    """Aggregates secrets_found, vulnerabilities_found and critical_count of lines, in one scan."""
+    text, ext = F.col("text"), paths.extension(F.col("path"))
+
+    def found(table, test: Column) -> Column:
+        count = sum((F.regexp_count(text, F.lit(FLAGS + p)) for p, _, _ in table), F.lit(0))
+        return F.coalesce(F.sum(F.when(test & any_of(text, table), count)), F.lit(0)).cast("long")
+
+    code = ext.isin(*rules.SCANNED) & any_of(text, rules.INSECURE_PATTERNS) & ~only_comment(text, ext)
+    critical = [r for r in rules.INSECURE_PATTERNS if r[2] == "critical"]
+    return [
+        found(rules.SECRET_PATTERNS, F.lit(True)).alias("secrets_found"), found(rules.INSECURE_PATTERNS, code).alias("vulnerabilities_found"),
+        found(critical, code).alias("critical_count"),
+    ]
+
+
 def severity_rank(severity: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, rules.SEVERITIES)), severity)
 
@@ -94,11 +131,26 @@ def primary_licence(found: DataFrame) -> DataFrame:
 
     found: repo_id, path, licence (nullable), confidence.
     """
-    best = F.max_by(F.struct("licence", "confidence"), F.struct(F.col("confidence"), -F.xxhash64("path"), F.col("path")))
+    order = F.struct(-F.col("confidence"), F.col("path"))
+    best = F.min_by(F.struct("licence", "confidence"), F.when(F.col("licence").isNotNull(), order))
     best = found.groupBy("repo_id").agg(best.alias("b"))
     return best.select("repo_id", F.coalesce("b.licence", F.lit("No License")).alias("licence"), F.coalesce("b.confidence", F.lit(1.0)).alias("confidence"))
 
 
+def licence_files(files: DataFrame) -> DataFrame:
+    """Files at a repository's root (path relative to it) that are named like a licence."""
+    return files.where(F.col("path").isin(*rules.LICENCE_FILES))
+
+
+def licence_check(files: DataFrame) -> DataFrame:
+    """Per repository with files: its licence by its licence files, and how many there are."""
+    text = F.col("content")
+    named = F.when(F.col("path").isin(*rules.LICENCE_FILES), text)
+    found = files.select("repo_id", "path", licence_of(named).alias("licence"), licence_confidence(named).alias("confidence"))
+    counts = files.groupBy("repo_id").agg(F.sum(F.col("path").isin(*rules.LICENCE_FILES).cast("long")).alias("licence_files"))
+    return primary_licence(found).join(counts, "repo_id")
+
+
 def requirements(files: DataFrame) -> DataFrame:
     """repo_id and name of each requirement: the text before the first <, = or > of lines that aren't comments."""
     line = stripped(F.col("text"))

@@ -45,12 +45,16 @@ def seeded_embedding(text: Column) -> Column:
     import hashlib
 
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
     def one(t: str | None):
         return None if t is None else np.random.default_rng(int(hashlib.md5(t.encode()).hexdigest(), 16)).standard_normal(256)
 
-    return F.pandas_udf(lambda texts: pd.Series([one(t) for t in texts]), "array<double>", F.PandasUDFType.SCALAR)(text)
+    def each(texts: pa.Array) -> pa.Array:
+        return pa.array([one(t) for t in texts.to_pylist()], pa.list_(pa.float64()))
+
+    each.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(each, "array<double>")(text)
 
 
 def cosine(a: Column, b: Column) -> Column:

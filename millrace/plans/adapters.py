@@ -123,6 +123,15 @@ SMALL_GRAPH = (
 )
 
 
+def part_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts to those of a fourth and a fifth of their key: no cycles, every path ends at 0."""
+    p = F.col("p_partkey").cast("long")
+    return read(spark, sf_dir, "part").select(p.alias("src"), F.explode(F.array(F.expr("CAST(p_partkey AS BIGINT) div 4"), F.expr("CAST(p_partkey AS BIGINT) div 5"))).alias("dst"))
+
+
+PART_GRAPH = "SELECT CAST(p_partkey AS BIGINT) AS src, unnest([CAST(p_partkey AS BIGINT) // 4, CAST(p_partkey AS BIGINT) // 5]) AS dst FROM part"
+
+
 def task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.expr("CASE event_type WHEN 'signup' THEN 'queued' WHEN 'click' THEN 'running' WHEN 'view' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'cancelled' END")
     return read(spark, sf_dir, "events").select(
@@ -152,3 +161,52 @@ def _address():
 
 
 ADDRESSES = f"SELECT c_custkey AS id, replace({pick_sql(_FORMS, 'c_custkey')}, '{{k}}', CAST(c_custkey AS VARCHAR)) AS url FROM customer"
+
+
+#: Pieces of Python source and when a customer's file has them; what each adds to the counts is stated with the queries.
+PYTHON_PARTS = (
+    ("c_custkey % 2 = 1", "import os, re\nfrom m.n import y\n"),
+    ("c_custkey % 4 > 0", "def f(a):\n    return eval(a)\n"),
+    ("c_custkey % 4 > 1", "def f(a):\n    return eval(a)\n"),
+    ("c_custkey % 4 > 2", "def f(a):\n    return eval(a)\n"),
+    ("c_custkey % 3 = 0", "class C(B, m.D):\n    @p\n    def g(self):\n        return [i for i in (lambda: 1)()]\n"),
+    ("c_custkey % 5 = 0", "import subprocess\nsubprocess.run('x', shell=True)\n"),
+    ("c_custkey % 11 = 0", "def r(n):\n    return s(n)\ndef s(n):\n    return r(n)\n"),
+    ("c_custkey % 7 = 0", "def broken(:\n"),
+)
+
+
+def python_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Python file for each customer, in ten repositories; every seventh doesn't parse."""
+    path = F.concat(F.lit("/src"), pick(DIRECTORIES, "c_custkey"), F.lit("f"), "c_custkey", F.lit(".py"))
+    content = F.concat(*(F.when(F.expr(test), text).otherwise("") for test, text in PYTHON_PARTS))
+    return read(spark, sf_dir, "customer").select(F.concat(F.lit("repo"), F.expr("c_custkey % 10")).alias("repo_id"), path.alias("path"), content.alias("content"))
+
+
+PYTHON_FILES = (
+    f"SELECT c_custkey AS k, 'repo' || (c_custkey % 10) AS repo_id, '/src' || {pick_sql(DIRECTORIES, 'c_custkey')} || 'f' || c_custkey || '.py' AS path, "
+    + " || ".join("CASE WHEN {} THEN '{}' ELSE '' END".format(test, text.replace("'", "''")) for test, text in PYTHON_PARTS)
+    + " AS content FROM customer"
+)
+
+
+def licence_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files with paths relative to a root, some of them named like a licence."""
+    path = F.concat(pick(TREE_NAMES, "doc_id"), F.when(F.expr(f"doc_id % {len(TREE_NAMES)} > 5"), F.col("doc_id").cast("string")).otherwise(""))
+    return read(spark, sf_dir, "documents").select(F.concat(F.lit("repo"), F.expr("doc_id % 50")).alias("repo_id"), path.alias("path"), F.col("text").alias("content"), "doc_id")
+
+
+TREE_NAMES = ("LICENSE", "LICENSE.txt", "COPYING", "NOTICE", "docs/LICENSE", "license", "src/f", "g", "h")
+LICENCE_TREE = (
+    f"SELECT 'repo' || (doc_id % 50) AS repo_id, {pick_sql(TREE_NAMES, 'doc_id')} || CASE WHEN doc_id % {len(TREE_NAMES)} > 5 THEN CAST(doc_id AS VARCHAR) ELSE '' END AS path, text AS content, doc_id FROM documents"
+)
+
+
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("user_id"), F.lower(F.concat(F.col("c_name"), F.lit("@example.org"))).alias("email"), F.md5(F.col("c_custkey").cast("string")).alias("api_key"),
+        F.col("c_name").alias("username"),
+    )
+
+
+USERS = "SELECT c_custkey AS user_id, lower(c_name || '@example.org') AS email, md5(CAST(c_custkey AS VARCHAR)) AS api_key, c_name AS username FROM customer"

@@ -93,10 +93,22 @@ _COMMENT = (
 _SCANNED = f"SELECT * FROM ({a.CODE_LINES}) WHERE {_EXT} IN {_in(rules.SCANNED)} AND NOT {_COMMENT}"
 _FINDINGS = _matches(_SCANNED, rules.INSECURE_PATTERNS, "pattern", "severity")
 _SECRETS = _matches(a.CODE_LINES, rules.SECRET_PATTERNS, "type", "risk_level")
+#: Facts of the Python files by what a reader counts in their pieces: a: imports, b: functions f, c: a class, d: subprocess, e: recursion, ok: parses.
+_PY = (
+    f"SELECT repo_id, path, content, k, k % 2 AS a, k % 4 AS b, CAST(k % 3 = 0 AS INT) AS c, CAST(k % 5 = 0 AS INT) AS d, CAST(k % 11 = 0 AS INT) AS e, k % 7 <> 0 AS ok FROM ({a.PYTHON_FILES})"
+)
+_PY_STATS = (
+    "SELECT repo_id, path, CASE WHEN ok THEN CAST(b + c + 2 * e AS INT) END AS functions, CASE WHEN ok THEN 0 END AS async_functions, CASE WHEN ok THEN c END AS classes, CASE WHEN ok THEN CAST(2 * a + d AS INT) END AS imports, "
+    "CASE WHEN ok THEN array_to_string(list_concat(CASE WHEN a = 1 THEN ['os', 're', 'm.n'] ELSE [] END, CASE WHEN d = 1 THEN ['subprocess'] ELSE [] END), ',') END AS import_list, "
+    "CASE WHEN ok THEN CAST(2 * a + 2 * b + 4 * c + 2 * d + 4 * e + 1 AS INT) END AS lines, CASE WHEN ok THEN c END AS decorated_functions, CASE WHEN ok THEN c END AS decorator_exprs, CASE WHEN ok THEN c END AS comprehensions, "
+    "CASE WHEN ok THEN c END AS lambdas, CASE WHEN ok THEN CAST(b + d AS INT) END AS dangerous, CASE WHEN ok THEN CAST(2 * (b + c + 2 * e) + 3 * c + 2 * a + d + 3 * c AS INT) END AS complexity_score, "
+    f"CASE WHEN ok THEN CAST(b + c + 2 * e + 2 * c AS INT) END AS simple_complexity, NOT ok AS parse_error FROM ({_PY})"
+)
+_COMPLEXITY = f"SELECT repo_id, avg(complexity_score) FILTER (complexity_score > 0) AS avg_complexity FROM ({_PY_STATS}) GROUP BY 1"
 _COUNTS = (
-    f"SELECT repo_id, coalesce(s.n, 0) AS secrets_found, coalesce(v.n, 0) AS vulnerabilities_found, coalesce(v.c, 0) AS critical_count, l.file_count "
+    f"SELECT repo_id, coalesce(s.n, 0) AS secrets_found, coalesce(v.n, 0) AS vulnerabilities_found, coalesce(v.c, 0) AS critical_count, l.file_count, coalesce(p.avg_complexity, 0.0) AS avg_complexity "
     f"FROM (SELECT repo_id, count(DISTINCT path) AS file_count FROM ({a.CODE_LINES}) GROUP BY 1) l LEFT JOIN (SELECT repo_id, count(*) AS n FROM ({_SECRETS}) GROUP BY 1) s USING (repo_id) "
-    f"LEFT JOIN (SELECT repo_id, count(*) AS n, count(*) FILTER (severity = 'critical') AS c FROM ({_FINDINGS}) GROUP BY 1) v USING (repo_id)"
+    f"LEFT JOIN (SELECT repo_id, count(*) AS n, count(*) FILTER (severity = 'critical') AS c FROM ({_FINDINGS}) GROUP BY 1) v USING (repo_id) LEFT JOIN ({_COMPLEXITY}) p USING (repo_id)"
 )
 
 
@@ -105,16 +117,11 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def security_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts over lines in one scan, and the mean complexity of the repository's Python files."""
     lines = a.code_lines(spark, sf_dir)
-    found = findings(spark, sf_dir).groupBy("repo_id").agg(
-        F.count("*").alias("v"), F.sum((F.col("severity") == "critical").cast("long")).alias("c")
-    )
-    hidden = scan.secrets(lines).groupBy("repo_id").agg(F.count("*").alias("s"))
-    repos = lines.groupBy("repo_id").agg(F.countDistinct("path").alias("file_count"))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return repos.join(found, "repo_id", "left").join(hidden, "repo_id", "left").select(
-        "repo_id", zero("s").alias("secrets_found"), zero("v").alias("vulnerabilities_found"), zero("c").alias("critical_count"), "file_count"
-    )
+    counts = lines.groupBy("repo_id").agg(*scan.security_sums(lines), F.countDistinct("path").alias("file_count"))
+    complexity = pyast.repository_stats(pyast.file_stats(a.python_files(spark, sf_dir))).select("repo_id", F.col("avg_complexity_score").alias("avg_complexity"))
+    return counts.join(complexity, "repo_id", "left").fillna(0.0, ["avg_complexity"])
 
 
 # -- paths and files --------------------------------------------------------------------------
@@ -289,8 +296,7 @@ _DOC_LINES = f"SELECT repo_id, path, unnest(string_split(content, chr(10))) AS t
 
 @query(f"SELECT repo_id, severity, count(*) AS n FROM ({_matches(_DOC_LINES, rules.INSECURE_PATTERNS, 'pattern', 'severity')}) WHERE {_EXT} IN {_in(rules.SCANNED)} GROUP BY ALL")
 def document_findings(spark, sf_dir):
-    lines = scan.lines_of(a.files(spark, sf_dir).select("repo_id", "path", "content"))
-    return scan.by_severity(scan.pattern_findings(lines))
+    return scan.by_severity(scan.file_findings(a.files(spark, sf_dir)))
 
 
 @query(
@@ -301,25 +307,25 @@ def security_tier(spark, sf_dir):
     return metrics.security_tier(security_counts(spark, sf_dir))
 
 
-_OVERALL = f"CAST(least(100, least(2 * secrets_found, 20) + least(5 * vulnerabilities_found, 20) + least(10 * critical_count, 10) + {_ladder('file_count', ((50, 20), (20, 10), (10, 5)))} + {_ladder('file_count', ((1000, 15), (500, 10), (100, 5)))}) AS INT)"
+_OVERALL = f"CAST(least(100, least(2 * secrets_found, 20) + least(5 * vulnerabilities_found, 20) + least(10 * critical_count, 10) + {_ladder('avg_complexity', ((50, 20), (20, 10), (10, 5)))} + {_ladder('file_count', ((1000, 15), (500, 10), (100, 5)))}) AS INT)"
 
 
 @query(f"SELECT repo_id, risk_score, {_level('risk_score')} AS risk_level FROM (SELECT repo_id, {_OVERALL} AS risk_score FROM ({_COUNTS}))")
 def overall_risk(spark, sf_dir):
-    return metrics.overall_risk(security_counts(spark, sf_dir).withColumn("avg_complexity", F.col("file_count")))
+    return metrics.overall_risk(security_counts(spark, sf_dir))
 
 
-_TESTS = {"secrets": "secrets_found > 0", "vulnerabilities": "vulnerabilities_found > 0", "critical": "critical_count > 0", "complexity": "file_count > 20", "size": "file_count > 1000"}
+_ABOUT = {"secrets": ("secrets_found", 0), "vulnerabilities": ("vulnerabilities_found", 0), "critical": ("critical_count", 0), "complexity": ("avg_complexity", 20), "size": ("file_count", 1000)}
 
 
 @query(
     " UNION ALL ".join(
-        f"SELECT repo_id, {_quote(c)} AS category, {_quote(p)} AS priority, {_quote(t)} AS title FROM ({_COUNTS}) WHERE {_TESTS[k]}"
-        for k, (c, p, t) in rules.RECOMMENDATIONS.items()
+        f"SELECT repo_id, {_quote(c)} AS category, {_quote(p)} AS priority, {_quote(t)} AS title, replace({_quote(d)}, '%s', CAST({_ABOUT[k][0]} AS VARCHAR)) AS description, {_quote(x)} AS action FROM ({_COUNTS}) WHERE {_ABOUT[k][0]} > {_ABOUT[k][1]}"
+        for k, (c, p, t, d, x) in rules.RECOMMENDATIONS.items()
     )
 )
 def recommendations(spark, sf_dir):
-    return metrics.recommendations(security_counts(spark, sf_dir).withColumn("avg_complexity", F.col("file_count")))
+    return metrics.recommendations(security_counts(spark, sf_dir))
 
 
 _LICENCE = "CASE " + " ".join(f"WHEN regexp_matches(text, {_quote('(?i)' + '|'.join(f))}) THEN {_quote(n)}" for n, f in rules.LICENCE_PATTERNS) + " WHEN regexp_matches(text, '(?i)all rights reserved') THEN 'Proprietary' END"
@@ -330,15 +336,42 @@ def license_detect(spark, sf_dir):
     return a.read(spark, sf_dir, "documents").select("doc_id", scan.licence_of(F.col("text")).alias("licence"))
 
 
-@query(
-    f"WITH f AS (SELECT source AS repo_id, {_LICENCE} AS licence, least(10, " + " + ".join(f"CASE WHEN regexp_matches(text, {_quote('(?i)' + '|'.join(f))}) THEN 4 ELSE 0 END" for _, f in rules.LICENCE_PATTERNS)
-    + ") AS k FROM documents), g AS (SELECT repo_id, max(CASE WHEN licence IS NULL THEN NULL WHEN k > 0 THEN k ELSE 9 END) AS best FROM f GROUP BY 1) "
-    "SELECT repo_id, CASE WHEN best IS NULL THEN 1.0::DOUBLE ELSE best / 10.0::DOUBLE END AS confidence, best IS NOT NULL AS licensed FROM g"
-)
+def _confidence(text: str) -> str:
+    kinds = " + ".join(f"CASE WHEN regexp_matches({text}, {_quote('(?i)' + '|'.join(f))}) THEN 4 ELSE 0 END" for _, f in rules.LICENCE_PATTERNS)
+    return f"CASE WHEN {kinds} > 0 THEN least(10, {kinds}) WHEN regexp_matches({text}, '(?i)all rights reserved') THEN 9 END / 10.0::DOUBLE"
+
+
+def _primary(files: str) -> str:
+    return (
+        f"SELECT r.repo_id, coalesce(licence, 'No License') AS licence, coalesce(confidence, 1.0) AS confidence FROM (SELECT DISTINCT repo_id FROM ({files})) r LEFT JOIN "
+        f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY confidence DESC, path) AS rn FROM (SELECT repo_id, path, {_LICENCE} AS licence, {_confidence('text')} AS confidence FROM ({files})) WHERE licence IS NOT NULL) WHERE rn = 1) b USING (repo_id)"
+    )
+
+
+@query(_primary(f"SELECT repo_id, path, content AS text FROM ({a.FILES})"))
 def license_primary(spark, sf_dir):
     text = F.col("content")
     found = a.files(spark, sf_dir).select("repo_id", "path", scan.licence_of(text).alias("licence"), scan.licence_confidence(text).alias("confidence"))
-    return scan.primary_licence(found).select("repo_id", "confidence", (F.col("licence") != "No License").alias("licensed"))
+    return scan.primary_licence(found)
+
+
+@query(f"SELECT repo_id, path, doc_id FROM ({a.LICENCE_TREE}) WHERE path IN {_in(rules.LICENCE_FILES)}")
+def license_files(spark, sf_dir):
+    return scan.licence_files(a.licence_tree(spark, sf_dir)).select("repo_id", "path", "doc_id")
+
+
+_NAMED = f"path IN {_in(rules.LICENCE_FILES)}"
+_CHECK = f"SELECT x.*, n.licence_files FROM ({_primary(f'SELECT repo_id, path, CASE WHEN {_NAMED} THEN content END AS text FROM ({a.LICENCE_TREE})')}) x JOIN (SELECT repo_id, count(*) FILTER ({_NAMED}) AS licence_files FROM ({a.LICENCE_TREE}) GROUP BY 1) n USING (repo_id)"
+
+
+@query(_CHECK)
+def license_check(spark, sf_dir):
+    return scan.licence_check(a.licence_tree(spark, sf_dir))
+
+
+@query(f"SELECT repo_id, 'high' AS priority, 'Add a license' AS title FROM ({_CHECK}) WHERE licence IN ('No License', 'Unknown')")
+def license_advice(spark, sf_dir):
+    return report.licence_advice(scan.licence_check(a.licence_tree(spark, sf_dir)).withColumn("issues", F.lit(0)))
 
 
 _WANTED = f"SELECT 'repo' || (c_custkey % 7) AS repo_id, {a.pick_sql(a.IMPORTED, 'c_custkey')} AS content FROM customer"
@@ -432,7 +465,7 @@ def expired_exports(spark, sf_dir):
 @query("SELECT upload, id FROM (SELECT o_custkey % 50 AS upload, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderdate DESC, o_orderkey) AS r FROM orders) WHERE r > 100")
 def keep_last_n(spark, sf_dir):
     rows = a.read(spark, sf_dir, "orders").select(F.expr("o_custkey % 50").alias("upload"), F.col("o_orderkey").alias("id"), "o_orderdate")
-    return store.beyond_last(rows, 100, "upload", [F.desc("o_orderdate"), F.col("id")]).select("upload", "id")
+    return store.beyond_last(rows, 100, "upload", [("o_orderdate", True), ("id", False)]).select("upload", "id")
 
 
 @query("SELECT o_custkey AS upload, CAST(sum(o_orderkey) AS BIGINT) AS size_bytes, count(*) AS file_count, max(o_orderdate) AS modified FROM orders GROUP BY 1 ORDER BY modified DESC, upload LIMIT 50")
@@ -458,11 +491,12 @@ def embed_local(spark, sf_dir):
     "SELECT id, CAST(row_number() OVER (ORDER BY sim DESC, id) AS INT) AS rank FROM s ORDER BY sim DESC, id LIMIT 5"
 )
 def cosine_topk(spark, sf_dir):
-    items = a.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    first = items.where("id = 0").first().embedding
     from pyspark.sql import Window as W
 
-    best = vectors.top_k(items, F.array(*(F.lit(float(x)) for x in first)))
+    items = a.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    asked = items.where("id = 0").select(F.col("embedding").alias("q"), F.lit(1).alias("one")).limit(1)
+    rows = items.withColumn("one", F.lit(1)).join(F.broadcast(asked), "one")  # one row
+    best = vectors.top_k(rows, F.col("q"))
     return best.select("id", F.row_number().over(W.orderBy(F.desc("similarity"), "id")).alias("rank"))  # five rows
 
 
@@ -503,26 +537,28 @@ def wcc(spark, sf_dir):
 
 _CYCLES = (
     f"WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM ({a.SMALL_GRAPH})), r AS (SELECT src AS start, dst AS here, [src] AS path FROM e WHERE src <= dst UNION ALL "
-    "SELECT start, dst, list_append(path, src) FROM r JOIN e ON here = src WHERE here > start AND dst >= start AND len(path) < 6 AND (dst = start OR (NOT list_contains(path, dst) AND dst <> here))) "
+    "SELECT start, dst, list_append(path, src) FROM r JOIN e ON here = src WHERE here > start AND dst >= start AND (dst = start OR (NOT list_contains(path, dst) AND dst <> here))) "
     "SELECT array_to_string(path, '>') AS cycle FROM r WHERE here = start"
 )
 
 
 @query(_CYCLES)
 def cycles(spark, sf_dir):
-    found = graph.cycles(a.small_graph(spark, sf_dir), 6)
+    found = graph.cycles(a.small_graph(spark, sf_dir))
     return found.select(F.array_join(F.col("cycle").cast("array<string>"), ">").alias("cycle"))
 
 
+_FIRST = "SELECT DISTINCT {x} AS node FROM e WHERE {x} NOT IN (SELECT {y} FROM e) ORDER BY 1 LIMIT 3"
+
+
 @query(
-    f"WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM ({a.SMALL_GRAPH})), r AS (SELECT src AS here, [src] AS path FROM (SELECT DISTINCT src FROM e WHERE src % 5 = 0) UNION ALL "
-    "SELECT dst, list_append(path, dst) FROM r JOIN e ON here = src WHERE len(path) < 5 AND NOT list_contains(path, dst)) SELECT array_to_string(path, '>') AS path FROM r WHERE len(path) > 1 AND here % 2 = 0"
+    f"WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM ({a.PART_GRAPH})), r AS (SELECT node AS here, [node] AS path FROM ({_FIRST.format(x='src', y='dst')}) UNION ALL "
+    f"SELECT dst, list_append(path, dst) FROM r JOIN e ON here = src WHERE len(path) < 7 AND NOT list_contains(path, dst)) SELECT array_to_string(path, '>') AS path FROM r WHERE len(path) > 1 AND here IN ({_FIRST.format(x='dst', y='src')})"
 )
 def simple_paths(spark, sf_dir):
-    e = a.small_graph(spark, sf_dir)
-    n = graph.nodes(e)
-    starts = e.select(F.col("src").alias("node")).distinct().where("node % 5 = 0")
-    found = graph.simple_paths(e, starts, n.where("node % 2 = 0"), 4)
+    """Paths of at most six edges from the first three entry points to the first three sinks."""
+    e = a.part_graph(spark, sf_dir)
+    found = graph.simple_paths(e, graph.sources(e).orderBy("node").limit(3), graph.sinks(e).orderBy("node").limit(3), 6)
     return found.select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
@@ -575,14 +611,14 @@ def running_totals(spark, sf_dir):
 
 # -- reports and Python facts -----------------------------------------------------------------
 
-_SUMMARY = f"SELECT repo_id, file_count * 15 AS file_count, CASE WHEN critical_count > 0 THEN 'critical' WHEN vulnerabilities_found > 30 THEN 'medium' ELSE 'none' END AS risk, secrets_found, vulnerabilities_found, file_count AS other_files, file_count AS avg_complexity, critical_count AS large_files FROM ({_COUNTS})"
+_SUMMARY = f"SELECT repo_id, file_count * 15 AS file_count, CASE WHEN critical_count > 0 THEN 'critical' WHEN vulnerabilities_found > 30 THEN 'medium' ELSE 'none' END AS risk, secrets_found, vulnerabilities_found, file_count AS other_files, avg_complexity, critical_count AS large_files FROM ({_COUNTS})"
 
 
 def _summary(spark, sf_dir):
     risk = F.when(F.col("critical_count") > 0, "critical").when(F.col("vulnerabilities_found") > 30, "medium").otherwise("none")
     return security_counts(spark, sf_dir).select(
         "repo_id", (F.col("file_count") * 15).alias("file_count"), risk.alias("risk"), "secrets_found", "vulnerabilities_found",
-        F.col("file_count").alias("other_files"), F.col("file_count").alias("avg_complexity"), F.col("critical_count").alias("large_files"),
+        F.col("file_count").alias("other_files"), "avg_complexity", F.col("critical_count").alias("large_files"),
     )
 
 
@@ -623,66 +659,277 @@ def issue_distribution(spark, sf_dir):
     return report.distribution(scan.by_severity(findings(spark, sf_dir)))
 
 
-#: A small source for each kind of fact, and what a reader counts in it by hand.
-SOURCES = (
-    ("a.py", "import os, re\nfrom . import x\nfrom m.n import y\n\ndef f(a):\n    return eval(a)\n"),
-    ("b.py", "class C(B, m.D):\n    @p\n    def g(self):\n        def h():\n            return [i for i in (lambda: 1)()]\n        return h()\n    async def k(self):\n        pass\n"),
-    ("c.py", "def broken(:\n"),
-    ("d.PY", "import subprocess\nsubprocess.run('x', shell=True)\nre.compile('x')\n"),
-    ("e.txt", "import os\n"),
-)
+def _stats(spark, sf_dir):
+    return pyast.file_stats(a.python_files(spark, sf_dir))
+
 
+def _facts(spark, sf_dir):
+    return pyast.file_facts(a.python_files(spark, sf_dir))
 
-def _sources(spark):
-    return spark.createDataFrame([("r", p, c) for p, c in SOURCES], "repo_id string, path string, content string")
+
+@query(_PY_STATS)
+def python_file_stats(spark, sf_dir):
+    return _stats(spark, sf_dir).withColumn("import_list", F.array_join("import_list", ",")).drop("names")
 
 
 @query(
-    "SELECT * FROM (VALUES ('a.py', 1, 0, 0, 3, 'os,re,m.n', 7, 0, 0, 0, 0, 5, false), ('b.py', 2, 1, 1, 0, '', 9, 1, 1, 1, 1, 10, false), ('c.py', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, true), "
-    "('d.PY', 0, 0, 0, 1, 'subprocess', 4, 0, 0, 0, 0, 1, false)) t(path, functions, async_functions, classes, imports, import_list, lines, decorated_functions, decorator_exprs, comprehensions, lambdas, complexity_score, parse_error)"
+    "SELECT repo_id, count(*) AS python_files, CAST(sum(functions) AS BIGINT) AS functions, CAST(sum(classes) AS BIGINT) AS classes, CAST(sum(imports) AS BIGINT) AS imports, CAST(sum(lines) AS BIGINT) AS lines, "
+    "CAST(sum(decorated_functions) AS BIGINT) AS decorators, avg(complexity_score) FILTER (complexity_score > 0) AS avg_complexity_score, avg(complexity_score) AS avg_complexity_parsed, "
+    f"sum(functions) / count(*) AS avg_functions, sum(classes) / count(*) AS avg_classes, CAST(coalesce(sum(dangerous), 0) AS BIGINT) AS dangerous_calls FROM ({_PY_STATS}) GROUP BY 1"
 )
-def python_file_stats(spark, sf_dir):
-    rows = pyast.file_stats(_sources(spark)).withColumn("import_list", F.array_join("import_list", ","))
-    return rows.drop("repo_id", "names", "simple_complexity")
+def python_repository_stats(spark, sf_dir):
+    return pyast.repository_stats(_stats(spark, sf_dir))
+
+
+@query(
+    "SELECT repo_id, rank, path, complexity_score, functions, classes FROM (SELECT *, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY complexity_score DESC, path) AS INT) AS rank "
+    f"FROM ({_PY_STATS}) WHERE NOT parse_error) WHERE rank <= 10"
+)
+def top_complex_files(spark, sf_dir):
+    return pyast.top_complex(_stats(spark, sf_dir), 10)
 
 
 @query(
-    "SELECT * FROM (VALUES ('a.py', 'call', 'eval', 'f', 6, 1, false, true), ('b.py', 'call', 'h', 'g', 6, 0, false, false), ('d.PY', 'call', 'run', '<module>', 2, 2, true, false), ('d.PY', 'call', 'compile', '<module>', 3, 1, true, true)) "
-    "t(path, kind, name, caller, line, args, is_method, is_builtin)"
+    "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY n DESC, module) AS INT) AS rank FROM (SELECT repo_id, module, count(*) AS n FROM "
+    f"(SELECT repo_id, unnest(string_split(import_list, ',')) AS module FROM ({_PY_STATS}) WHERE import_list <> '') GROUP BY ALL)) WHERE rank <= 20"
+)
+def import_frequency(spark, sf_dir):
+    return pyast.import_frequency(_stats(spark, sf_dir))
+
+
+_CALLS = (
+    f"WITH p AS ({_PY}) SELECT repo_id, path, 'eval' AS name, 'f' AS caller, CAST(2 * a + 2 * i + 2 AS INT) AS line, 1 AS args, false AS is_method, true AS is_builtin FROM (SELECT *, unnest(range(b)) AS i FROM p WHERE ok) "
+    "UNION ALL SELECT repo_id, path, 'run', '<module>', CAST(2 * a + 2 * b + 4 * c + 2 AS INT), 2, true, false FROM p WHERE ok AND d = 1 "
+    "UNION ALL SELECT repo_id, path, x.name, x.caller, CAST(2 * a + 2 * b + 4 * c + 2 * d + x.below AS INT), 1, false, false FROM p, (VALUES ('s', 'r', 2), ('r', 's', 4)) x(name, caller, below) WHERE ok AND e = 1"
 )
+
+
+@query(_CALLS)
 def python_calls(spark, sf_dir):
-    return pyast.file_facts(_sources(spark)).where("kind = 'call'").select("path", "kind", "name", "caller", "line", "args", "is_method", "is_builtin")
+    return _facts(spark, sf_dir).where("kind = 'call'").select("repo_id", "path", "name", "caller", "line", "args", "is_method", "is_builtin")
+
 
+_DANGEROUS = f"SELECT repo_id, path, CASE name WHEN 'run' THEN 'subprocess.run' ELSE name END AS name, line, 'high' AS severity FROM ({_CALLS}) WHERE name IN ('eval', 'run')"
 
-@query("SELECT * FROM (VALUES ('a.py', 'eval', 6, 'high'), ('d.PY', 'subprocess.run', 2, 'high')) t(path, name, line, severity)")
+
+@query(_DANGEROUS)
 def python_dangerous_calls(spark, sf_dir):
-    return pyast.file_facts(_sources(spark)).where("kind = 'dangerous'").select("path", "name", "line", "severity")
+    return _facts(spark, sf_dir).where("kind = 'dangerous'").select("repo_id", "path", "name", "line", "severity")
+
+
+_PY_LINES = f"SELECT repo_id, path, unnest(string_split(content, chr(10))) AS text, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line FROM ({a.PYTHON_FILES})"
 
 
 @query(
-    "SELECT * FROM (VALUES ('a', 'os', 'import'), ('a', 're', 'import'), ('a', 'x', 'import'), ('a', 'm.n.y', 'import'), ('a.f', 'eval', 'call'), ('b.C', 'B', 'inheritance'), ('b.C', 'm.D', 'inheritance'), ('b.g', 'h', 'call'), "
-    "('d', 'subprocess', 'import'), ('d.<module>', 'run', 'call'), ('d.<module>', 'compile', 'call')) t(src, dst, type)"
+    f"SELECT repo_id, path, CAST(line AS INT) AS line, context, pattern, severity, match, 'pattern_match' AS type FROM ({_matches(_PY_LINES, rules.INSECURE_PATTERNS, 'pattern', 'severity')}) "
+    f"UNION ALL SELECT repo_id, path, line, NULL, name, severity, name, 'dangerous_call' FROM ({_DANGEROUS})"
+)
+def all_findings(spark, sf_dir):
+    files = a.python_files(spark, sf_dir)
+    return scan.all_findings(files, pyast.file_facts(files))
+
+
+_EDGES = (
+    "SELECT repo_id, 'f' || k AS src, unnest(list_concat(CASE WHEN a = 1 THEN ['os', 're', 'm.n.y'] ELSE [] END, CASE WHEN d = 1 THEN ['subprocess'] ELSE [] END)) AS dst, 'import' AS type "
+    f"FROM ({_PY}) WHERE ok UNION ALL SELECT repo_id, regexp_extract(path, '([^/]*)[.]py$', 1) || '.' || caller, name, 'call' FROM ({_CALLS}) "
+    f"UNION ALL SELECT repo_id, 'f' || k || '.C', unnest(['B', 'm.D']), 'inheritance' FROM ({_PY}) WHERE ok AND c = 1"
 )
+
+
+@query(_EDGES)
 def dependency_graph(spark, sf_dir):
-    return graph.dependency_edges(pyast.file_facts(_sources(spark))).select("src", "dst", "type")
+    return graph.dependency_edges(_facts(spark, sf_dir)).select("repo_id", "src", "dst", "type")
+
+
+@query(f"SELECT repo_id, src, dst, CAST(count(*) AS DOUBLE) AS weight, array_to_string(list_sort(list(DISTINCT type)), ',') AS types, count(*) AS n FROM ({_EDGES}) GROUP BY 1, 2, 3")
+def dependency_weights(spark, sf_dir):
+    rows = graph.aggregate_edges(graph.dependency_edges(_facts(spark, sf_dir)), "repo_id")
+    return rows.withColumn("types", F.array_join("types", ","))
+
+
+@query(f"SELECT repo_id, path, caller AS src, name AS dst, count(*) AS n, array_to_string(list_sort(list(line)), ',') AS lines FROM ({_CALLS}) GROUP BY 1, 2, 3, 4")
+def call_edges(spark, sf_dir):
+    rows = graph.call_edges(_facts(spark, sf_dir))
+    return rows.withColumn("lines", F.array_join(F.col("lines").cast("array<string>"), ","))
+
+
+@query(
+    "SELECT repo_id, path, nodes, edges, CASE WHEN nodes > 1 THEN edges / (nodes * (nodes - 1)) ELSE 0.0 END AS density, e = 0 AS is_dag FROM "
+    f"(SELECT repo_id, path, 2 * (CAST(b > 0 AS BIGINT) + d + e) AS nodes, CAST(b > 0 AS BIGINT) + d + 2 * e AS edges, e FROM ({_PY}) WHERE ok) WHERE edges > 0"
+)
+def call_graphs(spark, sf_dir):
+    return graph.call_graphs(graph.call_edges(_facts(spark, sf_dir)))
+
+
+@query(
+    f"WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM ({a.SMALL_GRAPH})), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), "
+    "r AS (SELECT node, node AS far FROM n UNION SELECT r.node, e.dst FROM r JOIN e ON r.far = e.src) SELECT x.node, min(x.far) AS component FROM r x JOIN r y ON x.node = y.far AND x.far = y.node GROUP BY 1"
+)
+def strong_components(spark, sf_dir):
+    return graph.strong_components(a.small_graph(spark, sf_dir))
+
+
+@query(None)  # shortest-path counting: tests hold it against a search from every node
+def betweenness(spark, sf_dir):
+    return graph.betweenness(a.small_graph(spark, sf_dir))
+
 
+# -- further store queries --------------------------------------------------------------------
 
+_HAVE = f"SELECT * FROM ({a.REPORTS}) WHERE analysis_id IN (SELECT analysis_id FROM ({a.ANALYSES}) WHERE status = 'completed')"
+
+
+def _have(spark, sf_dir):
+    done = a.analyses(spark, sf_dir).where("status = 'completed'").select("analysis_id")
+    return a.reports(spark, sf_dir).join(done, "analysis_id", "left_semi")
+
+
+@query(f"SELECT x.analysis_id, x.status, r.report_id, r.summary FROM ({a.ANALYSES}) x LEFT JOIN ({_HAVE}) r USING (analysis_id)")
+def analyses_with_reports(spark, sf_dir):
+    rows = store.with_reports(a.analyses(spark, sf_dir), _have(spark, sf_dir))
+    return rows.select("analysis_id", "status", "report_id", "summary")
+
+
+@query(f"SELECT s.task_id, s.status, x.repo_name, x.risk_level FROM ({{}}) s LEFT JOIN ({a.ANALYSES}) x ON x.analysis_id = s.task_id".format(_STATE))
+def tasks_with_analyses(spark, sf_dir):
+    return tasks.with_analyses(_state(spark, sf_dir), a.analyses(spark, sf_dir)).select("task_id", "status", "repo_name", "risk_level")
+
+
+@query(f"SELECT u.username, count(*) AS analyses, count(*) FILTER (status = 'failed') AS failed FROM ({a.ANALYSES}) x JOIN ({a.USERS}) u USING (user_id) GROUP BY 1")
+def analyses_by_user(spark, sf_dir):
+    rows = a.analyses(spark, sf_dir).join(a.users(spark, sf_dir), "user_id")
+    return rows.groupBy("username").agg(F.count("*").alias("analyses"), F.sum((F.col("status") == "failed").cast("long")).alias("failed"))
+
+
+_LANGUAGES = ("Python", "Java", "Go", "Rust", "C")
+
+
+@query(f"SELECT status, language, count(*) AS n FROM (SELECT DISTINCT l_orderkey AS analysis_id, {a.pick_sql(_LANGUAGES, 'l_partkey')} AS language FROM lineitem) l JOIN ({a.ANALYSES}) x USING (analysis_id) GROUP BY ALL")
+def analysis_languages(spark, sf_dir):
+    pairs = a.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("analysis_id"), a.pick(_LANGUAGES, "l_partkey").alias("language")).distinct()
+    return pairs.join(a.analyses(spark, sf_dir), "analysis_id").groupBy("status", "language").agg(F.count("*").alias("n"))
+
+
+_ASKED = "SELECT CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey AS VARCHAR) ELSE md5(CAST(c_custkey AS VARCHAR)) END AS key FROM customer"
+
+
+@query(f"SELECT key, analysis_id, status FROM ({_ASKED}) k JOIN (SELECT *, md5(CAST(analysis_id AS VARCHAR)) AS uuid FROM ({a.ANALYSES})) x ON (key = uuid OR key = CAST(analysis_id AS VARCHAR))")
+def analysis_by_key(spark, sf_dir):
+    rows = a.analyses(spark, sf_dir).withColumn("uuid", F.md5(F.col("analysis_id").cast("string")))
+    number = F.col("c_custkey").cast("string")
+    asked = a.read(spark, sf_dir, "customer").select(F.when(F.expr("c_custkey % 2 = 0"), number).otherwise(F.md5(number)).alias("key"))
+    return store.by_either_key(rows, asked, "analysis_id", "uuid").select("key", "analysis_id", "status")
+
+
+@query(f"SELECT user_id, username, email FROM ({a.USERS}) WHERE email IN (SELECT lower(c_name || '@example.org') FROM customer WHERE c_mktsegment = 'BUILDING') OR api_key IN (SELECT md5(CAST(s_suppkey AS VARCHAR)) FROM supplier)")
+def users_by_key(spark, sf_dir):
+    users = a.users(spark, sf_dir)
+    mails = a.read(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.lower(F.concat("c_name", F.lit("@example.org"))).alias("email"))
+    keys = a.read(spark, sf_dir, "supplier").select(F.md5(F.col("s_suppkey").cast("string")).alias("api_key"))
+    found = users.join(mails, "email", "left_semi").unionByName(users.join(keys, "api_key", "left_semi")).distinct()
+    return found.select("user_id", "username", "email")
+
+
+@query(
+    f"SELECT report_id, analysis_id, CASE WHEN c.c_custkey IS NOT NULL AND c.c_custkey % 3 <> 0 THEN 'changed ' || c.c_custkey ELSE summary END AS summary FROM ({a.REPORTS}) r LEFT JOIN customer c ON c.c_custkey * 10 = r.report_id"
+)
+def reports_updated(spark, sf_dir):
+    new = F.when(F.expr("c_custkey % 3 <> 0"), F.concat(F.lit("changed "), "c_custkey"))
+    changes = a.read(spark, sf_dir, "customer").select((F.col("c_custkey") * 10).alias("report_id"), new.alias("summary"))
+    return store.updated(a.reports(spark, sf_dir), changes, "report_id").select("report_id", "analysis_id", "summary")
+
+
+@query(
+    f"SELECT report_id, analysis_id, coalesce(repo_name, 'Unknown') AS title, coalesce(risk_level, 'unknown') AS risk_level, length(summary) AS size_bytes, created_at FROM ({a.ANALYSES}) x JOIN ({_HAVE}) r USING (analysis_id) ORDER BY created_at DESC, report_id LIMIT 50"
+)
+def report_list(spark, sf_dir):
+    return store.report_catalogue(_have(spark, sf_dir), a.analyses(spark, sf_dir))
+
+
+@query(
+    "SELECT analysis_id, repo_name AS repository, status, coalesce(risk_level, 'unknown') AS risk_level, coalesce(risk_score, 0.0) AS risk_score, file_count, duration_seconds, risk_level IS NOT NULL AS scored "
+    f"FROM ({a.ANALYSES})"
+)
+def report_summaries(spark, sf_dir):
+    return store.summary_projection(a.analyses(spark, sf_dir))
+
+
+@query(
+    f"WITH x AS (SELECT status, coalesce(risk_level, 'unknown') AS risk_level, duration_seconds, file_count FROM ({a.ANALYSES}) WHERE user_id = 7 AND created_at >= TIMESTAMP '1995-01-01 00:00:00') SELECT status, risk_level, count(*) AS n, "
+    "avg(duration_seconds) FILTER (duration_seconds <> 0) AS avg_duration, CAST(sum(file_count) AS BIGINT) AS files FROM x GROUP BY GROUPING SETS ((status), (risk_level), ())"
+)
+def analysis_stats_of_user(spark, sf_dir):
+    return store.analysis_stats(a.analyses(spark, sf_dir), 7, "1995-01-01 00:00:00")
+
+
+@query("SELECT event_type AS endpoint, CAST(ts AS DATE) AS day, count(*) AS calls, count(DISTINCT user_id) AS users, count(*) FILTER (value > 50) AS errors FROM events GROUP BY ALL")
+def api_usage(spark, sf_dir):
+    rows = a.read(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("endpoint"), F.col("ts").alias("created_at"), F.coalesce(F.col("value") > 50, F.lit(False)).alias("failed"))
+    return store.usage(rows)
+
+
+@query("SELECT o_orderpriority AS target, count(*) AS deleted, CAST(sum(o_custkey) AS BIGINT) AS freed_bytes FROM orders WHERE o_orderdate + INTERVAL 30 DAY <= TIMESTAMP '1995-06-01 00:00:00' GROUP BY 1")
+def cleanup_totals(spark, sf_dir):
+    rows = a.read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("target"), F.col("o_custkey").alias("size_bytes"), F.col("o_orderdate").alias("created_at"))
+    return store.cleanup_totals(store.with_expiry(rows), F.lit("1995-06-01 00:00:00").cast("timestamp_ntz"))
+
+
+@query(f"SELECT task_id, arg_max(value, (ts, event_id)) AS value, max(ts) AS modified FROM ({a.TASK_EVENTS}) GROUP BY 1")
+def latest_results(spark, sf_dir):
+    return tasks.latest_results(a.task_events(spark, sf_dir)).withColumn("modified", F.col("modified").cast("timestamp_ntz"))
+
+
+@query(
+    f"SELECT count(*) AS processed, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, CAST(sum(d) FILTER (status = 'completed') AS DOUBLE) / count(*) FILTER (status = 'completed') AS avg_duration, max(d) AS peak_duration "
+    f"FROM (SELECT status, event_id % 100 AS d FROM ({a.TASK_EVENTS}) WHERE status IN {_in(tasks.TERMINAL)})"
+)
+def running_stats(spark, sf_dir):
+    return tasks.running_stats(a.task_events(spark, sf_dir).withColumn("duration", F.expr("event_id % 100")))
+
+
+@query(f"SELECT repo_id, round(total_bytes / 1024, 2) AS total_kb, round(total_bytes / 1024 / file_count, 2) AS avg_kb, round(total_lines / file_count, 2) AS avg_lines FROM ({_METRICS})")
+def metrics_rounded(spark, sf_dir):
+    return metrics.rounded(metrics.code_metrics(metrics.file_facts(a.files(spark, sf_dir))))
+
+
+@query(f"SELECT repo_id, file_count, total_bytes, file_count / 4.0::DOUBLE AS files_per_second FROM ({_METRICS})")
+def throughput(spark, sf_dir):
+    return metrics.throughput(metrics.code_metrics(metrics.file_facts(a.files(spark, sf_dir))), F.lit(4.0))
+
+
+@query(
+    f"SELECT id, CASE WHEN url LIKE '%://%' OR url LIKE '%:%' THEN regexp_replace(regexp_extract(regexp_replace(regexp_replace(url, '/+$', ''), '[.]git$', ''), '([^/]*)$', 1), '[:]', '', 'g') ELSE regexp_extract(url, '([^/]*)$', 1) END AS name FROM ({a.ADDRESSES})"
+)
+def repository_names(spark, sf_dir):
+    return a.addresses(spark, sf_dir).select("id", paths.repository_name(F.col("url")).alias("name"))
+
+
+_REPORT = (
+    f"WITH m AS ({_METRICS}), v AS (SELECT repo_id, count(*) AS n, count(*) FILTER (severity = 'critical') AS c FROM (SELECT * FROM ({_matches(_DOC_LINES, rules.INSECURE_PATTERNS, 'pattern', 'severity')}) WHERE {_EXT} IN {_in(rules.SCANNED)}) GROUP BY 1), "
+    f"s AS (SELECT repo_id, count(*) AS n FROM ({_matches(_DOC_LINES, rules.SECRET_PATTERNS, 'type', 'risk_level')}) GROUP BY 1), "
+    "t AS (SELECT m.*, coalesce(s.n, 0) AS secrets_found, coalesce(v.n, 0) AS vulnerabilities_found, coalesce(v.c, 0) AS critical_count, 0.0::DOUBLE AS avg_complexity FROM m LEFT JOIN v USING (repo_id) LEFT JOIN s USING (repo_id)) "
+    f"SELECT *, CAST({_RISK} AS INT) AS risk_score, {_level(f'CAST({_RISK} AS INT)')} AS risk, "
+    "CASE WHEN critical_count > 0 THEN 'critical' WHEN vulnerabilities_found > 0 THEN 'high' WHEN secrets_found > 5 THEN 'medium' WHEN secrets_found > 0 THEN 'low' ELSE 'none' END AS security_level, "
+    "CASE WHEN critical_count > 0 THEN 90 WHEN vulnerabilities_found > 0 THEN 70 WHEN secrets_found > 5 THEN 50 WHEN secrets_found > 0 THEN 30 ELSE 0 END AS security_score FROM t"
+)
+
+
+@query(_REPORT)  # the documents' prose holds no call that a syntax tree would show, so the SQL has none
 def repository_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: metrics, risk, findings and the security tier of every repository.
+    """The flagship: metrics, complexity, findings, secrets, risk and the security tier of every repository.
 
-    Two scans of the files (facts, and lines against patterns), one join of their per-repository sums.
+    Files are cut into lines only where a pattern matches somewhere in them; all sums meet in one join by repository.
     """
-    files = a.files(spark, sf_dir)
+    files = a.files(spark, sf_dir).select("repo_id", "path", "content", "size_bytes")
     m = metrics.code_metrics(metrics.file_facts(files))
-    found = scan.pattern_findings(scan.lines_of(files.select("repo_id", "path", "content")))
-    v = found.groupBy("repo_id").agg(
-        F.count("*").alias("vulnerabilities_found"), F.sum((F.col("severity") == "critical").cast("long")).alias("critical_count")
-    )
-    rows = m.join(v, "repo_id", "left").fillna(0, ["vulnerabilities_found", "critical_count"]).withColumn("secrets_found", F.lit(0))
+    suspect = files.where(scan.any_of(F.col("content"), (*rules.INSECURE_PATTERNS, *rules.SECRET_PATTERNS)))
+    lines = scan.lines_of(suspect.select("repo_id", "path", "content"))
+    found = lines.groupBy("repo_id").agg(*scan.security_sums(lines))
+    python = pyast.repository_stats(pyast.file_stats(files)).select("repo_id", F.col("avg_complexity_score").alias("avg_complexity"), "dangerous_calls")
+    counts = ["secrets_found", "vulnerabilities_found", "critical_count", "avg_complexity", "dangerous_calls"]
+    rows = m.join(found, "repo_id", "left").join(python, "repo_id", "left").fillna(0, counts)
+    rows = rows.withColumn("vulnerabilities_found", F.col("vulnerabilities_found") + F.col("dangerous_calls")).drop("dangerous_calls")
     name, score = metrics.tier()
     return rows.withColumns({
         "risk_score": metrics.metric_score(), "risk": metrics.level(metrics.metric_score()), "security_level": name, "security_score": score,
     })
-
-
-_QUERIES["repository_report"] = repository_report

@@ -35,31 +35,42 @@ def read_archives(spark: SparkSession, pattern: str, max_mb: int = 100) -> DataF
     """Members of ZIP archives, one row each: repo_id (archive name), path, size_bytes, content, error.
 
     An archive that is too large, broken or holds an absolute or parent path gives one row with
-    its error and no member; directories and resource forks are skipped.
+    its error and no member; a member that inflates to more than max_mb has an error and no content;
+    directories and resource forks are skipped.
     """
     ship(spark)
     archives = spark.read.format("binaryFile").load(pattern)
     archives = archives.select(F.regexp_replace(paths.basename(F.col("path")), r"\.zip$", "").alias("repo_id"), "length", "content")
     schema = pa.schema([("repo_id", pa.string()), ("path", pa.string()), ("size_bytes", pa.int64()), ("content", pa.string()), ("error", pa.string())])
 
-    def members(repo: str, length: int, data: bytes) -> list[tuple]:
-        if length > max_mb << 20:
-            return [(repo, None, length, None, "too large")]
+    most = max_mb << 20
+
+    def members(repo: str, length: int, data: bytes) -> Iterator[tuple]:
+        if length > most:
+            yield (repo, None, length, None, "too large")
+            return
         try:
             with zipfile.ZipFile(io.BytesIO(data)) as z:
-                names = z.namelist()
-                if any(map(unsafe_member, names)):
-                    return [(repo, None, length, None, "unsafe path")]
-                kept = [n for n in names if not n.endswith("/") and not n.startswith(("__MACOSX", "._"))]
-                return [(repo, n, z.getinfo(n).file_size, z.read(n).decode("utf-8", "ignore"), None) for n in kept] or [(repo, None, length, None, "empty")]
+                infos = z.infolist()
+                if any(unsafe_member(i.filename) for i in infos):
+                    yield (repo, None, length, None, "unsafe path")
+                    return
+                kept = [i for i in infos if not i.filename.endswith("/") and not i.filename.startswith(("__MACOSX", "._"))]
+                for i in kept:
+                    if i.file_size > most:  # what it says it inflates to; a member that says less fails when read
+                        yield (repo, i.filename, i.file_size, None, "member too large")
+                    else:
+                        yield (repo, i.filename, i.file_size, z.read(i).decode("utf-8", "ignore"), None)
+                if not kept:
+                    yield (repo, None, length, None, "empty")
         except (zipfile.BadZipFile, OSError, RuntimeError) as e:
-            return [(repo, None, length, None, type(e).__name__)]
+            yield (repo, None, length, None, type(e).__name__)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("repo_id", "length", "content")), strict=True):
-                found = members(*row)
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], f.type) for i, f in enumerate(schema)], schema=schema)
+            for archive in zip(*(b.column(c).to_pylist() for c in ("repo_id", "length", "content")), strict=True):
+                for row in members(*archive):  # one member in memory at a time
+                    yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
     return archives.mapInArrow(run, "repo_id string, path string, size_bytes long, content string, error string")
 

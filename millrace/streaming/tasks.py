@@ -24,6 +24,28 @@ def queue_stats(state: DataFrame) -> DataFrame:
     return state.groupBy("status").agg(F.count("*").alias("n"))
 
 
+def latest_results(results: DataFrame) -> DataFrame:
+    """Each task's newest result. results: task_id, ts, event_id, value."""
+    return results.groupBy("task_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"), F.max("ts").alias("modified"))
+
+
+def running_stats(events: DataFrame) -> DataFrame:
+    """Counts of ended tasks and their mean and greatest duration, of a table or of a stream
+    (in complete mode). events: status, duration."""
+    done = F.col("status") == "completed"
+    return events.where(F.col("status").isin(*TERMINAL)).agg(
+        F.count("*").alias("processed"), F.coalesce(F.sum(done.cast("long")), F.lit(0)).alias("completed"),
+        F.coalesce(F.sum((F.col("status") == "failed").cast("long")), F.lit(0)).alias("failed"),
+        F.avg(F.when(done, F.col("duration"))).alias("avg_duration"), F.max("duration").alias("peak_duration"),
+    )
+
+
+def with_analyses(state: DataFrame, analyses: DataFrame) -> DataFrame:
+    """Every task's state with what is stored of its analysis, if anything is."""
+    info = analyses.select(F.col("analysis_id").alias("task_id"), "repo_name", "risk_level")
+    return state.join(info, "task_id", "left")
+
+
 def stale(state: DataFrame, now, hours: int = 24) -> DataFrame:
     old = F.col("updated_at") <= F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(0), F.lit(hours))
     return state.where(F.col("status").isin(*TERMINAL) & old)
@@ -43,6 +65,8 @@ def state_stream(events: DataFrame, watermark: str = "1 day", retries: int = 3)
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+    silence = _milliseconds(watermark)
+
     def step(key, batches: Iterator, state: GroupState) -> Iterator:
         import pandas as pd
 
@@ -65,7 +89,7 @@ def state_stream(events: DataFrame, watermark: str = "1 day", retries: int = 3)
             state.remove()
         else:
             state.update((status, attempts, at))
-            state.setTimeoutTimestamp(max(at // 1000, state.getCurrentWatermarkMs() + 1) + 86_400_000)
+            state.setTimeoutTimestamp(max(at // 1000, state.getCurrentWatermarkMs() + 1) + silence)
         yield pd.DataFrame({"task_id": [key[0]], "status": [status], "attempts": [attempts], "updated_at": [pd.Timestamp(at, unit="us")]})
 
     rows = events.select("task_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "status").withWatermark("ts", watermark)
@@ -75,10 +99,17 @@ def state_stream(events: DataFrame, watermark: str = "1 day", retries: int = 3)
     )
 
 
+def _milliseconds(delay: str) -> int:
+    number, unit = delay.split()
+    each = {"millisecond": 1, "second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000, "week": 604_800_000}
+    return int(float(number) * each[unit.rstrip("s")])
+
+
 def write_results(stream: DataFrame, folder: str, checkpoint: str):
-    """Appends each micro-batch's terminal tasks to a Parquet folder."""
+    """Writes each micro-batch's terminal tasks to a folder of its own under a Parquet folder, partitioned
+    by batch; a batch that is replayed replaces what it wrote."""
 
-    def save(batch: DataFrame, _: int) -> None:
-        batch.where(F.col("status").isin(*TERMINAL)).write.mode("append").parquet(folder)
+    def save(batch: DataFrame, number: int) -> None:
+        batch.where(F.col("status").isin(*TERMINAL)).write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     return stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(save).start()

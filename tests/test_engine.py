@@ -128,14 +128,88 @@ def test_graphs(spark):
     e = edges(spark, GRAPHS["path"])
     assert [r.node for r in graph.sources(e).collect()] == ["a"] and [r.node for r in graph.sinks(e).collect()] == ["d"]
     assert ["".join(r.path) for r in graph.simple_paths(e, graph.sources(e), graph.sinks(e)).collect()] == ["abcd"]
-    m = graph.small_graph_measures(e.withColumn("repo_id", F.lit("r"))).orderBy("node").collect()
-    assert [round(r.betweenness, 4) for r in m] == [0, round(2 / 6, 4), round(2 / 6, 4), 0] and [r.component for r in m] == list("abcd")
-    m = graph.small_graph_measures(edges(spark, GRAPHS["two"]).withColumn("repo_id", F.lit("r"))).collect()
-    assert {r.component for r in m} == {"a"}
+    m = {k: {r.node: r.component for r in graph.strong_components(edges(spark, g)).collect()} for k, g in GRAPHS.items()}
+    assert m["path"] == {x: x for x in "abcd"} and set(m["two"].values()) == set(m["k4"].values()) == {"a"} and m["self"] == {"a": "a"}
     weighted = graph.aggregate_edges(e.union(e).select("src", "dst", F.lit(1.0).alias("weight"), F.lit("call").alias("type")))
     assert [r.line for r in graph.dot(weighted).collect()][0] == '  "a" -> "b" [label="x2"];'
 
 
+def brute_betweenness(pairs):
+    """Shares of all shortest paths, by listing them."""
+    out, names = {}, sorted({x for p in pairs for x in p})
+    for a, b in pairs:
+        out.setdefault(a, set()).add(b)
+    score = dict.fromkeys(names, 0.0)
+    for s in names:
+        level, seen = [[s]], {s}
+        while level:
+            ends = {}
+            for path in level:
+                ends.setdefault(path[-1], []).append(path)
+            for paths_ in ends.values():
+                for path in paths_:
+                    for x in path[1:-1]:
+                        score[x] += 1 / len(paths_)
+            level = [[*p, y] for p in level for y in out.get(p[-1], ()) if y not in seen]
+            seen |= {p[-1] for p in level}
+    n = len(names)
+    return {x: v / ((n - 1) * (n - 2)) for x, v in score.items()}
+
+
+def test_betweenness_and_strong_components(spark):
+    import random
+
+    r = random.Random(3)
+    pairs = sorted({(f"n{r.randrange(14):02}", f"n{r.randrange(14):02}") for _ in range(30)})
+    got = {x.node: x.betweenness for x in graph.betweenness(edges(spark, pairs)).collect()}
+    want = brute_betweenness([p for p in pairs if p[0] != p[1]])
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    far = {}
+    for a in got:
+        todo, far[a] = [a], {a}
+        while todo:
+            x = todo.pop()
+            for p, q in pairs:
+                if p == x and q not in far[a]:
+                    far[a].add(q)
+                    todo.append(q)
+    strong = {x.node: x.component for x in graph.strong_components(edges(spark, pairs)).collect()}
+    assert strong == {a: min(b for b in far[a] if a in far[b]) for a in got}
+    assert graph.most_central(edges(spark, pairs), 1).first().node == min(want, key=lambda k: (-round(want[k], 12), k))
+
+
+def test_python_sources(spark):
+    """The same facts as the tables' files, counted by hand."""
+    rows = [
+        ("a.py", "import os, re\nfrom . import x\nfrom m.n import y\n\ndef f(a):\n    return eval(a)\n"),
+        ("b.py", "class C(B, m.D):\n    @p\n    def g(self):\n        def h():\n            return [i for i in (lambda: 1)()]\n        return h()\n    async def k(self):\n        pass\n"),
+        ("c.py", "def broken(:\n"), ("d.PY", "import subprocess\nsubprocess.run('x', shell=True)\nre.compile('x')\n"), ("e.txt", "import os\n"),
+    ]
+    files = spark.createDataFrame([("r", p, c) for p, c in rows], "repo_id string, path string, content string")
+    got = {r.path: (r.functions, r.async_functions, r.classes, r.imports, r.lines, r.complexity_score, r.simple_complexity, r.dangerous, r.parse_error) for r in pyast.file_stats(files).collect()}
+    none = (None,) * 8
+    assert got == {"a.py": (1, 0, 0, 3, 7, 5, 1, 1, False), "b.py": (2, 1, 1, 0, 9, 10, 4, 0, False), "c.py": (*none, True), "d.PY": (0, 0, 0, 1, 4, 1, 0, 1, False)}
+    calls = {(r.path, r.name, r.caller, r.line) for r in pyast.file_facts(files).where("kind = 'call'").collect()}
+    assert calls == {("a.py", "eval", "f", 6), ("b.py", "h", "g", 6), ("d.PY", "run", "<module>", 2), ("d.PY", "compile", "<module>", 3)}
+    both = [(r.path, r.type, r.pattern) for r in scan.all_findings(files, pyast.file_facts(files)).collect()]
+    assert sorted(both) == [("a.py", "dangerous_call", "eval"), ("a.py", "pattern_match", "eval"), ("d.PY", "dangerous_call", "subprocess.run"), ("d.PY", "pattern_match", "compile"), ("d.PY", "pattern_match", "subprocess.run")]
+
+
+def test_repository_names(spark):
+    urls = ["https://h.org/a/b.git/", "https://h.org/a/b c", "git@h.org:u/r.git", "u/r.tar", "https://h.org/", "git@h.org:<>", "https://h.org/a/b?x=1#y"]
+    assert values(spark, paths.repository_name, urls) == ["b", "b_c", "r", "r", "repository", "repository", "b"]
+
+
+def test_replayed_batches_write_once(spark, tmp_path):
+    df = spark.createDataFrame([(1, "completed"), (2, "running")], "task_id long, status string")
+    df.write.parquet(f"{tmp_path}/in")
+    for _ in range(2):  # a lost checkpoint: the same batch again
+        stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+        q = tasks.write_results(stream, f"{tmp_path}/out", f"{tmp_path}/cp{_}")
+        q.awaitTermination(120)
+    assert [r.task_id for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [1]
+
+
 def test_vectors(spark):
     v = values(spark, vectors.embed, ["hello", "  ", "a\nb"])
     assert v[1] is None and len(v[0]) == 32 and sum(x * x for x in v[0]) == pytest.approx(1)

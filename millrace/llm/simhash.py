@@ -316,7 +316,9 @@ def _named(by_root: DataFrame, salts: int = 32) -> DataFrame:
     return rows.join(least, ["root", "salt"], "left").select("fp", F.coalesce("least", "first").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, radius: int = 4, mixings: int = 6, similarity: float = 0.8) -> DataFrame:
+def one_of_each(
+    docs: DataFrame, radius: int = 4, mixings: int = 6, similarity: float = 0.8, passes: int = 4
+) -> DataFrame:
     """The rows of docs without near-duplicates: all columns, one row of each group.
 
     Candidates are texts whose SimHashes differ in at most radius bits. These are taken over
@@ -324,7 +326,9 @@ def one_of_each(docs: DataFrame, radius: int = 4, mixings: int = 6, similarity:
     of the words' hashes, as one misses some pairs near the threshold. A text only goes if the
     Jaccard similarity of its five-word shingles with a text's that stays is `similarity` or more:
     in each component of candidates the text of the smallest doc_id (nulls last, then a hash of
-    the row) stays and takes those like it with it, and what is left of the component begins anew.
+    the row) stays and takes those like it with it; what is left of the component begins anew,
+    `passes` times in all. So the work grows with the texts and never with the pairs of a group:
+    edited copies go with their original, while edits that are unlike it and `passes` others stay.
 
     Texts of equal shingles are alike. Rows are told apart by all their columns, so rows that
     share a doc_id or have none stand for themselves; of rows alike in every column one stays.
@@ -361,7 +365,7 @@ def one_of_each(docs: DataFrame, radius: int = 4, mixings: int = 6, similarity:
     with planned(docs.sparkSession, mixings * nodes.count()):
         shared = marked.join(roots, "id").select(F.col("node").alias("a"), F.col("root").alias("b"))
         groups = connected_components(shared).select("node", "root")
-        gone = _alike(columns, nodes.select("node", "first").join(groups, "node"), similarity)
+        gone = _alike(columns, nodes.select("node", "first").join(groups, "node"), similarity, passes)
     # rows of a node but its first, and all rows of the nodes that go; rows alike in all columns share a key
     lost = rows.join(nodes.where("n > 1").select("node", F.col("first.key").alias("stays")), "node").where("key <> stays").select("key")
     lost = materialize(lost.union(rows.join(gone, "node").select("key")).distinct())
@@ -372,7 +376,7 @@ def one_of_each(docs: DataFrame, radius: int = 4, mixings: int = 6, similarity:
     return some.select("row.*").union(whole.where(~touched).select("row.*"))
 
 
-def _alike(columns: DataFrame, open_: DataFrame, similarity: float) -> DataFrame:
+def _alike(columns: DataFrame, open_: DataFrame, similarity: float, passes: int) -> DataFrame:
     """The nodes that go for one that stays. columns: key and text; open_: node, first and root."""
     from .minhash import jaccard, shingles, word_hashes
 
@@ -387,8 +391,8 @@ def _alike(columns: DataFrame, open_: DataFrame, similarity: float) -> DataFrame
     wanted = open_.select("node", F.col("first.key").alias("key"))
     texts = columns.where(member_filter(wanted, "key")("key")).select("key", "text").join(wanted, "key")
     sets = materialize(map_batches(texts.select("node", "text"), hashed, "node long, shingles array<int>").dropDuplicates(["node"]))
-    gone = None
-    while gone is None or not open_.isEmpty():
+    gone = open_.select("node").limit(0)
+    for _ in range(passes):
         # a root's members meet its lead in many tasks
         leads = open_.groupBy("root").agg(F.min_by("node", "first").alias("lead"), F.count("*").alias("members"))
         salts = F.least(F.col("members") / 512, F.lit(31)).cast("int")
@@ -397,6 +401,8 @@ def _alike(columns: DataFrame, open_: DataFrame, similarity: float) -> DataFrame
         pairs = open_.join(leads, "root").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts") + 1).cast("int"))
         alike = pairs.where("node <> lead").join(sets, "node").join(led.drop("lead"), ["root", "salt"])
         alike = materialize(alike.where(jaccard(F.col("shingles"), F.col("of_lead")) >= similarity).select("node"))
-        gone = alike if gone is None else gone.union(alike)
+        gone = gone.union(alike)
         open_ = materialize(pairs.where("node <> lead").select("root", "node", "first").join(alike, "node", "left_anti"))
+        if open_.isEmpty():
+            break
     return gone

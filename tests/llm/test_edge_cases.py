@@ -68,7 +68,7 @@ def test_complete_search_of_packing():
 def test_fingerprints_name_components(spark):
     rows = corpus()
     got = {r.doc_id: r.component_id for r in minhash.fingerprints_with_edits(documents(spark, rows), rows_each=7).collect()}
-    want = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, rows)).collect()}
+    want = {r.doc_id: r.component_id for r in minhash.groups(documents(spark, rows)).collect()}
     assert got == want and len(set(want.values())) < len(want)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, licences, minhash, mixing, neighbours, simhash, substrings, toxicity
+from . import clustering, html_text, licences, minhash, mixing, neighbours, quality, simhash, substrings, toxicity, trie
 from .common import table
 from .packing import pack
 from .token_counts import token_counts
@@ -55,6 +55,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(table(spark, sf_dir, "conversations"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rules(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -64,7 +76,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_licence_scan, op2_html_text, op3_simhash_near_dedup, op4_nearest_neighbours, op5_source_mixing,
-        op6_document_fingerprints, op7_substring_dedup, op8_best_fit_packing, op9_token_counts, op10_toxicity, pipeline,
+        op6_document_fingerprints, op7_substring_dedup, op8_best_fit_packing, op9_token_counts, op10_toxicity, op11_centroid_clustering, op12_prefix_trie, op13_quality_rules, pipeline,
     )}
 
 

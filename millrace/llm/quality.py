@@ -11,6 +11,7 @@ few are left.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,16 +53,16 @@ def facts(text: str) -> tuple[int, int, int, int, int]:
 
 
 def line_hashes(text: str, host: str | None) -> dict[int, int]:
-    """The hash of each normalised line that holds a word, with the words of all its repeats."""
-    import xxhash
-
-    seed = 0 if host is None else xxhash.xxh64_intdigest(host.encode(), 1)
+    """The hash (first half of an MD5) of each normalised line that holds a word, with the words of all its repeats."""
+    of_host = hashlib.md5(b"n\n" if host is None else b"h" + host.encode() + b"\n")
     out: dict[int, int] = {}
     for line in text.encode().lower().split(b"\n"):
         words = line.split()
         if words:
-            h = xxhash.xxh3_64_intdigest(b" ".join(words), seed)
-            out[h] = out.get(h, 0) + len(words)
+            h = of_host.copy()
+            h.update(b" ".join(words))
+            key = int.from_bytes(h.digest()[:8], "big")
+            out[key] = out.get(key, 0) + len(words)
     return out
 
 
@@ -90,9 +91,9 @@ def rules(
                 for k, v in zip(_FACTS, facts(text or ""), strict=True):
                     out[k].append(v)
                 found = line_hashes(text or "", at)
-                h = np.array(list(found), np.uint64).view(np.int64)
-                least = np.sort(h)[:2].tolist()
-                out["lines"].append(h)
+                h = np.array(list(found), np.uint64)
+                least = np.sort(h)[:2].view(np.int64).tolist()
+                out["lines"].append(h.view(np.int64))
                 out["words"].append(list(found.values()))
                 out["low"].append(least[0] if least else 0)
                 out["next"].append(least[1] if len(least) > 1 else 0)

@@ -177,8 +177,6 @@ def plain_facts(text):
 
 def plain_rules(rows, most_docs=10):
     ascii_lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    import xxhash
-
     docs = []
     for i, text, _, host, *_ in rows:
         lines = Counter()
@@ -186,13 +184,11 @@ def plain_rules(rows, most_docs=10):
             if words(x):
                 lines[" ".join(words(x))] += len(words(x))
         docs.append((i, text, host, lines))
-    seed = lambda host: 0 if host is None else xxhash.xxh64_intdigest(host.encode(), 1)
-    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    hashed = lambda host, x: hashlib.md5(("n" if host is None else "h" + host).encode() + b"\n" + x.encode()).hexdigest()[:16]
     held = defaultdict(Counter)
     for _, _, host, lines in docs:
-        h = {x: signed(xxhash.xxh3_64_intdigest(x.encode(), seed(host))) for x in lines}
         for x in lines:
-            held[host, x][min((h[y] for y in lines if y != x), default=0)] += 1
+            held[host, x][min((hashed(host, y) for y in lines if y != x), default="")] += 1
     above = {x for x, f in held.items() if sum(f.values()) > most_docs and 2 * max(f.values()) <= sum(f.values())}
     out = Counter()
     for i, text, host, lines in docs:

@@ -9,32 +9,46 @@ from millrace.llm import mixing, simhash, substrings, toxicity
 from millrace.llm.common import materialize, table
 from millrace.llm.packing import pack
 
-#: No SQL expresses the stages; tests/llm/test_pages_vectors_pipeline.py holds them against brute force.
+#: No SQL expresses the stages; tests/llm/test_pages_vectors_pipeline.py holds the near-duplicate, repeats and mixing stages
+#: against brute force and the others' effects on what they were given.
 ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go."""
+    """Documents predicted toxic go.
+
+    A null or empty text scores like any other and stays below the threshold; rows of one or no
+    doc_id are each scored by their own text; an empty table stays empty; columns are kept.
+    """
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts near a text that stays (five-word shingles, Jaccard 0.8 or more) none else stays.
+    """One document of each group stays; links of a group: five-word shingles, Jaccard 0.8 or more.
 
-    See simhash.one_of_each: unlike texts under one or no doc_id all stay.
+    See simhash.one_of_each: unlike texts under one or no doc_id all stay; null, empty and blank
+    texts are one group; of repeated rows one stays; an empty table stays empty; columns are kept,
+    whatever their names, and long texts are compared whole.
     """
     return simhash.one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words and more that an earlier document has are cut out."""
+    """Passages of 50 words and more that an earlier document has are cut out.
+
+    Earlier: of a smaller doc_id, so rows of one doc_id cut nothing from each other, and a row
+    without one comes after all others. A null text stays null; texts are read whole; an empty
+    table stays empty; other columns are kept.
+    """
     return substrings.without_repeats(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as its source's target asks for, each at its own time of the run.
 
-    A copy that the target cuts stays if at least half of it is wanted.
+    A copy that the target cuts stays if at least half of it is wanted. A text without words takes
+    no place in the mix and stays once; rows without a source are one source; repeated rows count
+    each; an empty table stays empty; columns are kept, whatever their names.
     """
     mixed = mixing.mix(docs, carry=tuple(docs.columns))
     copies = F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + 0.5).cast("int")
@@ -45,7 +59,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all copies and their places in sequences of 1024."""
+    """Token pieces of all copies and their places in sequences of 1024.
+
+    A null or empty text is one piece, its end token; long texts are cut into pieces; copies of a
+    doc_id, or of none, are packed each; an empty table gives no piece.
+    """
     return pack(docs)
 
 

@@ -14,10 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_function, connected_components, map_batches, materialize, member_filter
+from . import links
+from .common import arrow_function, map_batches, materialize, member_filter
 from .token_counts import _Cache
 
 LANES, SHINGLE = 128, 5
@@ -55,7 +56,10 @@ def shingles(w: np.ndarray) -> np.ndarray:
 
 def signature(text: str) -> np.ndarray:
     """The lanes of one text; a blank text has all bits set."""
-    x = shingles(word_hashes(text))
+    return _lanes(shingles(word_hashes(text)))
+
+
+def _lanes(x: np.ndarray) -> np.ndarray:
     low = np.full(LANES, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(x), 2048):  # the table of lanes by shingles stays in cache
         np.minimum(low, (_A * x[at : at + 2048] + _B).min(axis=1), out=low)
@@ -122,23 +126,30 @@ def fingerprints_with_edits(docs: DataFrame, rows_each: int = 4096, most: int =
         .groupBy("serves").agg(F.min_by("text", h).alias("text"))
         .select(F.col("serves").alias("part"), F.lit(None).cast("long").alias("doc_id"), "text", F.lit(1).alias("head"))
     )
-    none = F.lit(None).cast("long").alias("component")
-    rows = docs.select(part("doc_id").alias("part"), "doc_id", "text", F.lit(0).alias("head"), h.alias("h"), none)
-    # small rows without a text tell those after them their component
-    found = groups(docs, threshold).select(part("doc_id").alias("part"), "doc_id", F.lit(None).cast("string").alias("text"), F.lit(0).alias("head"), F.col("t").alias("h"), F.col("component_id").alias("component"))
-    rows = rows.union(heads.select("*", h.alias("h"), none)).union(found)
+    rows = docs.select(part("doc_id").alias("part"), "doc_id", "text", F.lit(0).alias("head"), h.alias("h"))
+    rows = _compressed(rows.union(heads.select("*", h.alias("h"))))
+    # rows without a text tell those after them their component and signature
+    found = groups(docs, threshold).select(
+        part("doc_id").alias("part"), "doc_id", F.lit(None).cast("binary").alias("text"), F.lit(0).alias("head"), F.col("t").alias("h"),
+        F.col("component_id").alias("component"), "signature",
+    )
+    rows = rows.select("*", F.lit(None).cast("long").alias("component"), F.lit(None).cast("binary").alias("signature")).union(found)
     tasks = max(len(tops), int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.repartition(tasks, "part").sortWithinPartitions("part", "head", F.desc_nulls_last("doc_id"), "h", F.col("text").isNotNull())
 
     def each(batches: Iterator[dict]) -> Iterator[dict]:
-        held, component = None, None  # the row that waits for its next, with its signature
+        import zstandard
+
+        plain = zstandard.ZstdDecompressor()
+        held, component, known = None, None, None  # the row that waits for its next, with its signature
         for b in batches:
             out: dict = {k: [] for k in _FIELDS}
-            for part_, doc, text, head, group in zip(b["part"], b["doc_id"], b["text"], b["head"], b["component"], strict=True):
-                if text is None:
-                    component = group
+            for part_, doc, packed, head, h, group, sig in zip(*(b[c] for c in ("part", "doc_id", "text", "head", "h", "component", "signature")), strict=True):
+                if packed is None:
+                    component, known = group, (h, np.frombuffer(sig, "<u2"))
                     continue
-                own = signature(text)
+                text = plain.decompress(packed).decode()
+                own = known[1] if known and known[0] == h and not head else signature(text)
                 if held and held[0] == part_:
                     _, last, last_text, last_own, last_component = held
                     new = edited(last_text, text)
@@ -155,116 +166,81 @@ def fingerprints_with_edits(docs: DataFrame, rows_each: int = 4096, most: int =
     return map_batches(rows, each, ", ".join(f"{k} {t}" for k, t in _FIELDS.items()))
 
 
+def _compressed(rows: DataFrame) -> DataFrame:
+    """The same rows with their texts compressed, as each is shuffled once."""
+
+    def each(batches: Iterator[dict]) -> Iterator[dict]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            yield {**b, "text": [pack.compress(t.encode()) for t in b["text"]]}
+
+    return map_batches(rows, each, "part int, doc_id long, text binary, head int, h long")
+
+
 _FIELDS = {
     "doc_id": "long", "n_chars": "long", "edited_sha256": "string", "fingerprint": "string",
     "edited_fingerprint": "string", "near_edited": "double", "near_next": "double", "component_id": "long",
 }
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """One bit of each lane, as two longs."""
-    return np.packbits(s * np.uint16(0x9E37) >> np.uint16(15), bitorder="little").view("<i8")
-
-
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, node (a hash of the set of shingles), t (a hash of the text), signature (bytes) and its sketch, s1 and s2."""
+    """doc_id, node (a hash of the set of shingles), t (a hash of the text) and signature (bytes) of each row."""
     import xxhash
 
     def each(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            texts = [t or "" for t in b["text"]]
-            own = [signature(t) for t in texts]
-            bits = np.array([sketch(s) for s in own], np.int64).reshape(-1, 2)
-            nodes = [xxhash.xxh3_64_intdigest(np.unique(shingles(word_hashes(t))).tobytes()) for t in texts]
-            yield {
-                "doc_id": b["doc_id"], "node": np.array(nodes, np.uint64).view(np.int64), "t": b["t"],
-                "signature": [s.astype("<u2").tobytes() for s in own], "s1": bits[:, 0], "s2": bits[:, 1],
-            }
+            sets = [shingles(word_hashes(t or "")) for t in b["text"]]
+            nodes = [xxhash.xxh3_64_intdigest(np.unique(x).tobytes()) for x in sets]
+            yield {"doc_id": b["doc_id"], "node": np.array(nodes, np.uint64).view(np.int64), "t": b["t"], "signature": [_lanes(x).astype("<u2").tobytes() for x in sets]}
 
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("t"))
-    return map_batches(columns, each, "doc_id long, node long, t long, signature binary, s1 long, s2 long")
+    return map_batches(columns, each, "doc_id long, node long, t long, signature binary")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and its distinct shingle hashes, for the wanted nodes (node, t: the hash of a text of theirs)."""
+    """node, its distinct shingle hashes and its sketch, for the wanted nodes (node, t: the hash of a text of theirs)."""
+    import xxhash
 
     def each(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            yield {"node": b["node"], "shingles": [np.unique(shingles(word_hashes(t or ""))).view(np.int32) for t in b["text"]]}
+            sets = [np.unique(shingles(word_hashes(t or ""))) for t in b["text"]]
+            nodes = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            bits = np.array([links.sketch(_lanes(x)) for x in sets], np.int64).reshape(-1, len(links.SKETCH))
+            yield {"node": nodes, "shingles": [x.view(np.int32) for x in sets], **{k: bits[:, i] for i, k in enumerate(links.SKETCH)}}
 
     texts = docs.select(F.xxhash64("text").alias("t"), F.col("text").alias("text"))
-    texts = texts.where(member_filter(wanted, "t")("t")).dropDuplicates(["t"])
-    return map_batches(texts.join(wanted, "t").select("node", "text"), each, "node long, shingles array<int>")
-
-
-def jaccard(a: Column, b: Column) -> Column:
-    """Of two arrays of distinct values; 1 for two empty ones."""
-    both = F.size(F.array_intersect(a, b))
-    all_ = F.size(a) + F.size(b) - both
-    return F.when(all_ == 0, 1.0).otherwise(both / all_)
+    texts = texts.where(member_filter(wanted, "t")("t")).select("text")
+    found = map_batches(texts, each, "node long, shingles array<int>, " + ", ".join(f"{k} long" for k in links.SKETCH))
+    return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 25) -> DataFrame:
     """doc_id and component_id (smallest doc_id reachable) over links of verified Jaccard >= threshold.
 
-    Texts of equal shingles form one node. Every band's bucket first links its members to the
-    bucket's least node, verified on the shingles. Then every member that isn't yet in the group
-    most of its bucket belongs to meets all members of other groups, so every link between two
-    groups that share a bucket is found; pairs within a group are never listed. Pairs whose
-    sketches differ by six standard deviations more than the threshold's aren't verified (their
-    Jaccard similarity is below it but for one pair in a billion).
-    Null and blank texts are alike; repeated rows stay; a null doc_id is kept and only names a
-    component that has no other; an empty table gives an empty result; other columns are ignored.
+    Texts of equal shingles form one node. The signatures' bands are the buckets from which
+    links.linked finds all links between groups. Null and blank texts are alike; repeated rows
+    stay; a null doc_id is kept and only names a component that has no other; an empty table gives
+    an empty result; other columns are ignored.
     """
-    return groups(docs, threshold, bands, rest=True).select("doc_id", "component_id")
-
+    return groups(docs, threshold, bands).select("doc_id", "component_id")
 
-def groups(docs: DataFrame, threshold: float = 0.8, bands: int = 25, rest: bool = False) -> DataFrame:
-    """doc_id, component_id and t, the hash of the text, by which a row's group is found again.
 
-    Every band's bucket links its members to its least and its greatest node, where their Jaccard
-    similarity is verified: two links a member, so the work grows with the texts. rest: see
-    near_duplicates; the pairs that are then met grow with the square of the texts of a bucket
-    that are unlike each other.
-    """
+def groups(docs: DataFrame, threshold: float = 0.8, bands: int = 25) -> DataFrame:
+    """doc_id, component_id, t (the hash of the text, by which a row's group is found again) and signature; see near_duplicates."""
     rows = materialize(signatures(docs))
-    per_node = [F.first(c).alias(c) for c in ("signature", "s1", "s2")]
-    nodes = materialize(rows.groupBy("node").agg(*per_node, F.min("t").alias("t"), F.min("doc_id").alias("first")))
+    nodes = materialize(rows.groupBy("node").agg(F.min("t").alias("t"), F.min("doc_id").alias("first")))
     width = 2 * (LANES // bands)
     keys = F.array(*(F.xxhash64(F.lit(k), F.substring("signature", 1 + k * width, width)) for k in range(bands)))
-    every = nodes.select("node", "s1", "s2", F.explode(keys).alias("key"))
-    crowded = every.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last")
-    met = materialize(every.join(crowded, "key"))
+    every = rows.select("node", F.explode(keys).alias("key"))
+    crowded = every.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
+    crowded = materialize(crowded)
+    met = every.where(member_filter(crowded, "key")("key")).distinct().join(crowded, "key", "left_semi")
+    met = materialize(met)
     sets = materialize(shingle_sets(docs, nodes.join(met.select("node").distinct(), "node").select("node", "t")))
-
-    def links(pairs: DataFrame) -> DataFrame:
-        """The pairs (x, y and what else they carry) that are close enough."""
-        p, a, b = pairs.alias("p"), sets.alias("a"), sets.alias("b")
-        both = p.join(a, F.col("p.x") == F.col("a.node")).join(b, F.col("p.y") == F.col("b.node"))
-        return both.where(jaccard(F.col("a.shingles"), F.col("b.shingles")) >= threshold).select("p.*")
-
-    ends_ = met.select(F.col("node").alias("x"), F.explode(F.array("hub", "last")).alias("y")).where("x <> y").distinct()
-    roots = connected_components(links(ends_).select(F.col("x").alias("a"), F.col("y").alias("b")))
-    placed = nodes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-
-    def named(placed: DataFrame) -> DataFrame:
-        least_id = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-        named = placed.join(least_id, "root").select("node", "component_id")
-        return rows.select("doc_id", "node", "t").join(named, "node").select("doc_id", "t", "component_id")
-
-    if not rest:
-        return named(placed)
-    of_node = met.join(roots, "node", "left").select("key", "node", "s1", "s2", F.coalesce("root", "node").alias("root"))
-    of_node = materialize(of_node)
-    main = of_node.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-    a, b = of_node.join(main, "key").where("root <> main").alias("a"), of_node.alias("b")
-    least = LANES * (1 + threshold) / 2 - 6 * (LANES * (1 - threshold * threshold) / 4) ** 0.5
-    agree = LANES - sum(F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in ("s1", "s2"))
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & (agree >= least))
-    ends = [f(*c).alias(n) for n, f, c in (
-        ("x", F.least, ("a.node", "b.node")), ("y", F.greatest, ("a.node", "b.node")), ("a", F.least, ("a.root", "b.root")), ("b", F.greatest, ("a.root", "b.root")),
-    )]
-    pairs = pairs.select(*ends).distinct()
-    joined = connected_components(links(pairs).select("a", "b"))
-    placed = placed.withColumnRenamed("root", "star").join(joined, F.col("star") == joined.node, "left")
-    return named(placed.select(nodes.node, "first", F.coalesce("root", "star").alias("root")))
+    roots = links.linked(met, sets, threshold)
+    placed = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    least_id = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = placed.join(least_id, "root").select("node", "component_id")
+    return rows.join(named, "node").select("doc_id", "t", "component_id", "signature")

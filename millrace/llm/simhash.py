@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, map_batches, materialize, member_filter, planned
+from .links import linked
 
 BITS = 64
 #: Values of a part that the histograms tell apart (its first 16 bits), which bounds them.
@@ -316,47 +317,47 @@ def _named(by_root: DataFrame, salts: int = 32) -> DataFrame:
     return rows.join(least, ["root", "salt"], "left").select("fp", F.coalesce("least", "first").alias("component_id"))
 
 
-def one_of_each(
-    docs: DataFrame, radius: int = 4, mixings: int = 6, similarity: float = 0.8, passes: int = 4
-) -> DataFrame:
+def one_of_each(docs: DataFrame, radius: int = 4, mixings: int = 8, similarity: float = 0.8) -> DataFrame:
     """The rows of docs without near-duplicates: all columns, one row of each group.
 
     Candidates are texts whose SimHashes differ in at most radius bits. These are taken over
     distinct words, of which a changed word only touches one, and by several independent mixings
-    of the words' hashes, as one misses some pairs near the threshold. A text only goes if the
-    Jaccard similarity of its five-word shingles with a text's that stays is `similarity` or more:
-    in each component of candidates the text of the smallest doc_id (nulls last, then a hash of
-    the row) stays and takes those like it with it; what is left of the component begins anew,
-    `passes` times in all. So the work grows with the texts and never with the pairs of a group:
-    edited copies go with their original, while edits that are unlike it and `passes` others stay.
-
-    Texts of equal shingles are alike. Rows are told apart by all their columns, so rows that
+    of the words' hashes, as one misses some pairs near the threshold. Two candidates are linked
+    if the Jaccard similarity of their five-word shingles is `similarity` or more, and a group is
+    what links connect: of each group the row of the smallest doc_id (nulls last, then a hash of
+    the row) stays. links.linked finds the groups without listing a group's pairs; however many
+    texts a group or a set of candidates holds, all its links between groups count.
+
+    Texts of equal shingles are alike. Rows are told apart by 128 bits over all their columns, so rows that
     share a doc_id or have none stand for themselves; of rows alike in every column one stays.
     Null and blank texts are alike. An empty table gives an empty result; columns may have any names.
     """
-    from .minhash import shingles, word_hashes
+    from .minhash import shingle_sets, shingles, word_hashes
 
     names = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
     # hashes skip nulls, so the places of the nulls are hashed too
-    key = F.xxhash64(*(c.isNull() for c in names), *names)
+    whole = [*(c.isNull() for c in names), *names]
+    keys = [F.xxhash64(*whole).alias("k1"), F.xxhash64(F.lit("second"), *whole).alias("k2")]
     fps = [f"fp{k}" for k in range(mixings)]
 
     def each(batches: Iterator[dict]) -> Iterator[dict]:
         import xxhash
 
         for b in batches:
-            out: dict = {k: [] for k in ("node", *fps)}
+            out: dict = {k: [] for k in ("node", "check", *fps)}
             for text in b["text"]:
                 w = word_hashes(text or "")
-                out["node"].append(xxhash.xxh3_64_intdigest(np.unique(shingles(w)).tobytes()))
+                known = np.unique(shingles(w)).tobytes()
+                out["node"].append(xxhash.xxh3_64_intdigest(known))
+                out["check"].append(xxhash.xxh64_intdigest(known, 1))
                 for name, fp in zip(fps, word_fingerprints(np.unique(w), mixings), strict=True):
                     out[name].append(fp)
-            yield {"key": b["key"], "id": b["id"], **{k: np.array(v, np.uint64).view(np.int64) for k, v in out.items()}}
+            yield {**{k: b[k] for k in ("k1", "k2", "id", "t")}, **{k: np.array(v, np.uint64).view(np.int64) for k, v in out.items()}}
 
-    columns = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text"))
-    rows = materialize(map_batches(columns, each, "key long, id long, node long, " + ", ".join(f"{f} long" for f in fps)))
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
-    nodes = rows.groupBy("node").agg(F.min(order).alias("first"), *(F.min(f).alias(f) for f in fps), F.count("*").alias("n"))
+    columns = docs.select(*keys, F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text"), F.xxhash64("text").alias("t"))
+    rows = materialize(map_batches(columns, each, "k1 long, k2 long, id long, t long, node long, check long, " + ", ".join(f"{f} long" for f in fps)))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")
+    nodes = rows.groupBy("node", "check").agg(F.min(order).alias("first"), *(F.min(f).alias(f) for f in (*fps, "t")), F.count("*").alias("n"))
     nodes = materialize(nodes)
     each_fp = F.explode(F.array(*(F.struct(F.lit(k).alias("mixing"), F.col(f).alias("fp")) for k, f in enumerate(fps)))).alias("m")
     marked = nodes.select("node", each_fp).select("node", "m.mixing", "m.fp", F.xxhash64("m.mixing", "m.fp").alias("id"))
@@ -364,45 +365,20 @@ def one_of_each(
     # texts of one root are candidates, whatever the mixing: one component
     with planned(docs.sparkSession, mixings * nodes.count()):
         shared = marked.join(roots, "id").select(F.col("node").alias("a"), F.col("root").alias("b"))
-        groups = connected_components(shared).select("node", "root")
-        gone = _alike(columns, nodes.select("node", "first").join(groups, "node"), similarity, passes)
-    # rows of a node but its first, and all rows of the nodes that go; rows alike in all columns share a key
-    lost = rows.join(nodes.where("n > 1").select("node", F.col("first.key").alias("stays")), "node").where("key <> stays").select("key")
-    lost = materialize(lost.union(rows.join(gone, "node").select("key")).distinct())
-    repeated = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    whole = docs.select(key.alias("key"), F.struct("*").alias("row"))
-    touched = member_filter(lost.union(repeated), "key")("key")
-    some = whole.where(touched).join(lost, "key", "left_anti").dropDuplicates(["key"])
-    return some.select("row.*").union(whole.where(~touched).select("row.*"))
-
-
-def _alike(columns: DataFrame, open_: DataFrame, similarity: float, passes: int) -> DataFrame:
-    """The nodes that go for one that stays. columns: key and text; open_: node, first and root."""
-    from .minhash import jaccard, shingles, word_hashes
-
-    several = open_.groupBy("root").agg(F.count("*").alias("members")).where("members > 1").select("root")
-    open_ = materialize(open_.join(several, "root").select("root", "node", "first"))
-
-    def hashed(batches: Iterator[dict]) -> Iterator[dict]:
-        for b in batches:
-            yield {"node": b["node"], "shingles": [np.unique(shingles(word_hashes(t or ""))).view(np.int32) for t in b["text"]]}
-
-    # each node's first row gives its shingles
-    wanted = open_.select("node", F.col("first.key").alias("key"))
-    texts = columns.where(member_filter(wanted, "key")("key")).select("key", "text").join(wanted, "key")
-    sets = materialize(map_batches(texts.select("node", "text"), hashed, "node long, shingles array<int>").dropDuplicates(["node"]))
-    gone = open_.select("node").limit(0)
-    for _ in range(passes):
-        # a root's members meet its lead in many tasks
-        leads = open_.groupBy("root").agg(F.min_by("node", "first").alias("lead"), F.count("*").alias("members"))
-        salts = F.least(F.col("members") / 512, F.lit(31)).cast("int")
-        leads = leads.select("root", "lead", salts.alias("salts"))
-        led = leads.join(sets, leads["lead"] == sets["node"]).select("root", "lead", F.explode(F.sequence(F.lit(0), "salts")).alias("salt"), F.col("shingles").alias("of_lead"))
-        pairs = open_.join(leads, "root").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts") + 1).cast("int"))
-        alike = pairs.where("node <> lead").join(sets, "node").join(led.drop("lead"), ["root", "salt"])
-        alike = materialize(alike.where(jaccard(F.col("shingles"), F.col("of_lead")) >= similarity).select("node"))
-        gone = gone.union(alike)
-        open_ = materialize(pairs.where("node <> lead").select("root", "node", "first").join(alike, "node", "left_anti"))
-        if open_.isEmpty():
-            break
-    return gone
+        candidates = connected_components(shared).select("node", F.col("root").alias("key"))
+        met = nodes.select("node").distinct().join(candidates, "node").select("key", "node")
+        several = met.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+        met = materialize(met.join(several, "key"))
+    sets = materialize(shingle_sets(docs, nodes.join(met.select("node"), "node").groupBy("node").agg(F.min("t").alias("t"))))
+    grouped = nodes.select("node", "check", "first", "n").join(linked(met, sets, similarity), "node", "left")
+    least = grouped.where("root is not null").groupBy("root").agg(F.min("first").alias("least"))
+    grouped = grouped.join(least, "root", "left").select("node", "check", "n", "first", F.coalesce("least", "first").alias("stays"))
+    # what leaves: all rows of a group but its first; rows alike in all columns share their keys
+    some = materialize(grouped.where((F.col("n") > 1) | (F.col("first") != F.col("stays"))).select("node", "check", "stays"))
+    lost = rows.join(some, ["node", "check"]).where((F.col("k1") != F.col("stays.k1")) | (F.col("k2") != F.col("stays.k2")))
+    lost = materialize(lost.select("k1", "k2").distinct())
+    repeated = materialize(rows.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2"))
+    kept = docs.select(*keys, F.struct("*").alias("row"))
+    touched = member_filter(lost.union(repeated), "k1")("k1")
+    once = kept.where(touched).dropDuplicates(["k1", "k2"]).join(lost, ["k1", "k2"], "left_anti")
+    return once.select("row.*").union(kept.where(~touched).select("row.*"))

@@ -210,3 +210,51 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 USERS = "SELECT c_custkey AS user_id, lower(c_name || '@example.org') AS email, md5(CAST(c_custkey AS VARCHAR)) AS api_key, c_name AS username FROM customer"
+
+
+#: Lines of a module for customer k: n = k // 10 in repository k % 10, package n % 3, base class that of customer k - 10 in runs of six.
+#: {b} stands for the customer of the base, {u} for its package, {q} for the next package, {x}, {y} and {z} for n, n + 1 and n + 2 modulo three.
+MODULE_HEAD = "import os\nimport app.pkg{q}\n"
+MODULE_IMPORTS = ("from app.pkg{u}.m{b} import C{b} as Base, f{b} as up\n", "import app.pkg{u}.m{b} as up\n", "import app.pkg{u}.m{b}\n", "from ..pkg{u} import m{b} as up\n")
+MODULE_BASES = ("Base", "up.C{b}", "app.pkg{u}.m{b}.C{b}", "up.C{b}")
+MODULE_CALLS = ("up(1)\n", "up.f{b}(1)\n", "app.pkg{u}.m{b}.f{b}(1)\n", "up.f{b}(1)\n")
+MODULE_BODY = (
+    "def f{k}(x):\n    return os.getcwd()\nclass C{k}({base}):\n    def m{x}(self):\n        self.m{y}()\n        super().m{x}()\n"
+    "app.pkg{q}.shared(2)\n{call}C{k}.m{z}(0)\n"
+)
+
+
+def package_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A module for each customer, in three packages of ten repositories, that imports, calls and inherits from others'."""
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).withColumn("n", F.expr("k div 10"))
+    based = F.expr("n % 6 <> 0 AND k <> 10")
+    values = {
+        "{base}": F.when(based, pick(MODULE_BASES, "n")).otherwise(""), "{call}": F.when(based, pick(MODULE_CALLS, "n")).otherwise("len([])\n"),
+        "{k}": F.col("k"), "{b}": F.expr("k - 10"), "{u}": F.expr("(n + 2) % 3"), "{q}": F.expr("(n + 1) % 3"), "{x}": F.expr("n % 3"),
+        "{y}": F.expr("(n + 1) % 3"), "{z}": F.expr("(n + 2) % 3"),
+    }
+    text = F.concat(F.lit(MODULE_HEAD), F.when(based, pick(MODULE_IMPORTS, "n")).otherwise("pass\n"), F.lit(MODULE_BODY))
+    for name, value in values.items():
+        text = F.replace(text, F.lit(name), value.cast("string"))
+    repo = F.concat(F.lit("repo"), F.expr("k % 10")).alias("repo_id")
+    modules = c.select(repo, F.concat(F.lit("/src/app/pkg"), F.expr("n % 3"), F.lit("/m"), "k", F.lit(".py")).alias("path"), text.alias("content"))
+    shared = F.format_string("from .m%d import f%d as shared\n", "k", "k")
+    packages = c.where("n < 3").select(repo, F.concat(F.lit("/src/app/pkg"), "n", F.lit("/__init__.py")).alias("path"), shared.alias("content"))
+    return modules.union(packages)
+
+
+_BACK = "CASE WHEN n - {d} >= start THEN 'app.pkg' || ((n - {d}) % 3) || '.m' || (k - 10 * {d}) || '.C' || (k - 10 * {d}) || '.m' || ({m} % 3) END"
+#: What each of a module's calls names, from the numbers alone.
+MODULE_CALLS_NAMED = (
+    "WITH c AS (SELECT c_custkey AS k, c_custkey // 10 AS n, c_custkey % 10 AS r FROM customer), "
+    "s AS (SELECT *, greatest(n - n % 6, CASE WHEN r = 0 THEN 1 ELSE 0 END) AS start, 'app.pkg' || (n % 3) || '.m' || k AS m, (n + 1) % 3 AS q FROM c), "
+    "e AS ("
+    "SELECT r, k, m || '.f' || k AS caller, 5 AS line, 'external' AS other, NULL AS callee FROM s "
+    f"UNION ALL SELECT r, k, m || '.C' || k || '.m' || (n % 3), 8, 'unresolved', {_BACK.format(d=2, m='(n + 1)')} FROM s "
+    f"UNION ALL SELECT r, k, m || '.C' || k || '.m' || (n % 3), 9, 'unresolved', {_BACK.format(d=3, m='n')} FROM s "
+    "UNION ALL SELECT r, k, m || '.C' || k || '.m' || (n % 3), 9, 'builtin', NULL FROM s "
+    "UNION ALL SELECT r, k, m, 10, 'unresolved', 'app.pkg' || q || '.m' || (10 * q + r) || '.f' || (10 * q + r) FROM s "
+    "UNION ALL SELECT r, k, m, 11, 'builtin', CASE WHEN n > start THEN 'app.pkg' || ((n + 2) % 3) || '.m' || (k - 10) || '.f' || (k - 10) END FROM s "
+    f"UNION ALL SELECT r, k, m, 12, 'unresolved', {_BACK.format(d=1, m='(n + 2)')} FROM s) "
+    "SELECT 'repo' || r AS repo_id, caller, line, CASE WHEN callee IS NULL THEN other ELSE 'definition' END AS status, callee FROM e"
+)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, rules
-from ..operators import graph, metrics, pyast, report, scan, store, vectors
+from ..operators import graph, metrics, pyast, report, scan, store, symbols, vectors
 from ..streaming import tasks
 from . import adapters as a
 
@@ -729,6 +729,12 @@ def all_findings(spark, sf_dir):
     return scan.all_findings(files, pyast.file_facts(files))
 
 
+@query(a.MODULE_CALLS_NAMED)
+def call_definitions(spark, sf_dir):
+    """Calls across files with the definitions that they name, through aliases, packages and inheritance."""
+    return symbols.calls(a.package_files(spark, sf_dir)).select("repo_id", "caller", "line", "status", "callee")
+
+
 _EDGES = (
     "SELECT repo_id, 'f' || k AS src, unnest(list_concat(CASE WHEN a = 1 THEN ['os', 're', 'm.n.y'] ELSE [] END, CASE WHEN d = 1 THEN ['subprocess'] ELSE [] END)) AS dst, 'import' AS type "
     f"FROM ({_PY}) WHERE ok UNION ALL SELECT repo_id, regexp_extract(path, '([^/]*)[.]py$', 1) || '.' || caller, name, 'call' FROM ({_CALLS}) "

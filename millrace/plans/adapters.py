@@ -258,3 +258,38 @@ MODULE_CALLS_NAMED = (
     f"UNION ALL SELECT r, k, m, 12, 'unresolved', {_BACK.format(d=1, m='(n + 2)')} FROM s) "
     "SELECT 'repo' || r AS repo_id, caller, line, CASE WHEN callee IS NULL THEN other ELSE 'definition' END AS status, callee FROM e"
 )
+
+
+#: Folders of the tree of orders, by the digits of the key: pruned and hidden ones among them.
+FOLDERS = ("src", ".git", "lib", "node_modules", "a.b", "__pycache__", ".cache", "docs", "build")
+TREE_FILES = ("main.py", "x.log", "keep.log", "y.tmp", "top.txt", "[a].txt", "readme md", "z.pyc")
+
+
+def tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as files up to three folders deep, in forty repositories."""
+    k = "o_orderkey"
+    folder = lambda n: F.when(F.expr(f"{k} % 4 > {n}"), F.concat(pick(FOLDERS, f"({k} div {9 ** n * 4})"), F.lit("/"))).otherwise("")
+    path = F.concat(folder(0), folder(1), folder(2), F.lit("n"), F.expr(f"{k} % 3"), F.lit("/"), pick(TREE_FILES, f"({k} div 5)"))
+    return read(spark, sf_dir, "orders").select(
+        F.concat(F.lit("u"), F.expr("o_custkey % 40")).alias("repo_id"), path.alias("path"), F.expr(f"CASE WHEN {k} % 11 = 0 THEN NULL ELSE {k} % 5000 END").cast("long").alias("size_bytes"),
+        F.col("o_orderdate").alias("created"), F.expr(f"o_orderdate + make_dt_interval({k} % 9)").alias("modified"),
+    )
+
+
+_FOLDER = "CASE WHEN o_orderkey % 4 > {n} THEN {pick} || '/' ELSE '' END"
+TREE = (
+    "SELECT 'u' || (o_custkey % 40) AS repo_id, "
+    + " || ".join(_FOLDER.format(n=n, pick=pick_sql(FOLDERS, f"(o_orderkey // {9 ** n * 4})")) for n in range(3))
+    + f" || 'n' || (o_orderkey % 3) || '/' || {pick_sql(TREE_FILES, '(o_orderkey // 5)')} AS path, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderkey % 5000 END AS size_bytes, "
+    "o_orderdate AS created, o_orderdate + to_days(CAST(o_orderkey % 9 AS INT)) AS modified FROM orders"
+)
+
+#: Ignore files of the tree: at the root of every repository and in two of its folders.
+IGNORE_FILES = {
+    ".gitignore": "# rules\n*.log\n!keep.log\nbuild/\n/n1\nlib/**/y.tmp\n\n", "src/.gitignore": "!*.log\n.cache/\n\\[a].txt\n", "docs/.gitignore": "*\n!n2/\n!*.py\n",
+}
+
+
+def ignore_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = F.array(*(F.struct(F.lit(p).alias("path"), F.lit(t).alias("content")) for p, t in IGNORE_FILES.items()))
+    return tree_files(spark, sf_dir).select("repo_id").distinct().select("repo_id", F.explode(each).alias("f")).select("repo_id", "f.*")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, rules
-from ..operators import graph, metrics, pyast, report, scan, store, symbols, vectors
+from ..operators import graph, metrics, pyast, report, scan, store, symbols, trees, vectors
 from ..streaming import tasks
 from . import adapters as a
 
@@ -222,6 +222,79 @@ def estimated_time(spark, sf_dir):
     return counts.select("repo_id", paths.estimated_seconds(F.col("n")).alias("seconds"))
 
 
+# -- directories ------------------------------------------------------------------------------
+
+_BEHIND = {  # a pruned directory in what lies below
+    "full": "regexp_matches(substr(path, length(d) + 1), '(^|/)([.][^/]*|__pycache__|node_modules|venv)/')", "git": "regexp_matches(substr(path, length(d) + 1), '(^|/)[.]git/')",
+}
+
+
+def _directories(kind: str) -> str:
+    return (
+        f"WITH f AS (SELECT *, string_split(path, '/') AS parts FROM ({a.TREE})), ds AS (SELECT DISTINCT repo_id, CASE WHEN i = 0 THEN '' ELSE array_to_string(parts[:i], '/') || '/' END AS d, i "
+        "FROM (SELECT *, unnest(range(0, len(parts))) AS i FROM f)) SELECT ds.repo_id, rtrim(d, '/') AS directory, CAST(i AS INT) AS depth, count(*) AS file_count, CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS size_bytes, "
+        f"min(created) AS created, max(modified) AS modified FROM ds JOIN f ON f.repo_id = ds.repo_id AND starts_with(path, d) WHERE NOT {_BEHIND[kind]} GROUP BY ds.repo_id, d, i"
+    )
+
+
+@query(_directories("full"))
+def directory_sizes(spark, sf_dir):
+    return trees.directory_totals(a.tree_files(spark, sf_dir))
+
+
+@query(_directories("git"))
+def directory_sizes_without_git(spark, sf_dir):
+    return trees.directory_totals(a.tree_files(spark, sf_dir), (".git",), hidden=False)
+
+
+_HUMAN = "CASE WHEN x < 1024 THEN printf('%.2f B', x) WHEN x < 1048576 THEN printf('%.2f KB', round(x / 1024, 2)) ELSE printf('%.2f MB', round(x / 1048576, 2)) END"
+
+
+@query(
+    f"WITH r AS (SELECT *, CAST(size_bytes AS DOUBLE) AS x FROM ({_directories('full')}) WHERE directory = ''), t AS (SELECT count(*) AS total, sum(x) AS x FROM r) "
+    f"SELECT repo_id, r.x / 1024 AS size_kb, {_HUMAN.replace('x ', 'r.x ').replace('x)', 'r.x)')} AS size_human, file_count, created, modified, total, round(t.x / 1024, 2) AS total_size_kb, "
+    f"{_HUMAN.replace('x ', 't.x ').replace('x)', 't.x)')} AS total_size_human FROM r, t ORDER BY modified DESC, repo_id LIMIT 30"
+)
+def upload_listing(spark, sf_dir):
+    return trees.upload_listing(a.tree_files(spark, sf_dir), 30)
+
+
+#: What the ignore files of the tree say, by hand: the rules of a folder first, then those of the root.
+_IGNORED_TREE = (
+    "regexp_matches(path, '(^|/)build/') OR regexp_matches(path, '^n1/') OR (starts_with(path, 'lib/') AND ends_with(path, '/y.tmp')) "
+    "OR (starts_with(path, 'src/') AND (regexp_matches(path, '/[.]cache/') OR ends_with(path, '/[a].txt'))) "
+    "OR (starts_with(path, 'docs/') AND NOT (regexp_matches(path, '^docs/n2/') AND ends_with(path, '.py'))) "
+    "OR (ends_with(path, '/x.log') AND NOT starts_with(path, 'src/'))"
+)
+
+
+@query(f"SELECT DISTINCT repo_id, path, {_IGNORED_TREE} AS ignored FROM ({a.TREE})")
+def nested_ignores(spark, sf_dir):
+    """Files under .gitignore files at three places, the nearest and last rule first, ignored folders for good."""
+    files = a.tree_files(spark, sf_dir).select("repo_id", "path").distinct()
+    return trees.ignored_paths(files, trees.ignore_rules(a.ignore_files(spark, sf_dir)))
+
+
+_ROOT_LINES = ("*.txt", "!keep.log", "!z.pyc", "docs/", "n2/", "!top.txt", "# no", "lib*py")
+_FIRST_MATCH = " ".join(f"WHEN regexp_matches(path, {_quote(paths.glob_regex(g))}) THEN true" for g in rules.IGNORE_GLOBS)
+_FIRST_MATCH = (
+    f"CASE {_FIRST_MATCH} WHEN regexp_matches(path, '(^|/).*\.txt($|/)') THEN true WHEN is_dir AND regexp_matches(path, '(^|/)docs($|/)') THEN true "
+    "WHEN is_dir AND regexp_matches(path, '(^|/)n2($|/)') THEN true WHEN regexp_matches(path, '(^|/)lib.*py($|/)') THEN true ELSE false END"
+)
+
+
+@query(
+    f"WITH f AS (SELECT DISTINCT path, string_split(path, '/') AS parts FROM ({a.TREE})), e AS (SELECT path, false AS is_dir FROM f UNION SELECT array_to_string(parts[:i], '/'), true FROM (SELECT parts, unnest(range(1, len(parts))) AS i FROM f)) "
+    f"SELECT path, is_dir, {_FIRST_MATCH} AS ignored FROM e"
+)
+def first_match_ignores(spark, sf_dir):
+    """Files and directories under the defaults and a root ignore file, where the first rule that matches decides."""
+    files = a.tree_files(spark, sf_dir).select("path").distinct()
+    above = F.slice(trees.parents(F.col("path")), 2, F.size(F.split("path", "/")))
+    folders = files.select(F.explode(above).alias("path")).distinct().withColumn("is_dir", F.lit(True))
+    return files.withColumn("is_dir", F.lit(False)).union(folders).withColumn("ignored", trees.ignored_by_first_match(_ROOT_LINES))
+
+
 # -- metrics and scores -----------------------------------------------------------------------
 
 

@@ -293,3 +293,46 @@ IGNORE_FILES = {
 def ignore_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = F.array(*(F.struct(F.lit(p).alias("path"), F.lit(t).alias("content")) for p, t in IGNORE_FILES.items()))
     return tree_files(spark, sf_dir).select("repo_id").distinct().select("repo_id", F.explode(each).alias("f")).select("repo_id", "f.*")
+
+
+#: Report files of an order k by k % 5, and a second candidate of every even one; {d} marks what k gives.
+REPORT_TEXTS = (
+    '{"path": ', "[1, 2]", '{"x": 1}',
+    '{"analysis_id": "a{k}", "path": "/r/{k}", "timestamp": "2020-01-01T00:00:00", "status": "done", "files_analyzed": {100}, "total_lines": {1000}, "total_size_bytes": {k}, '
+    '"metrics": {"risk": "high", "risk_score": {70}, "risk_factors": ["f{3}", "g"]}, "security": {"secrets_found": {4}, "vulnerabilities_found": {6}, "critical_issues": {2}}, '
+    '"complexity": {"average_complexity": {50}.5, "high_complexity_files": {8}}, "dependencies": {"total": {30}, "vulnerable": {3}, "outdated": {9}}, "file_types": {".py": {7}}}',
+    '{"path": "/s/{k}", "metrics": {"risk": null, "risk_score": "7"}, "security": null, "files_analyzed": "12", "total_lines": "many", "timestamp": null}',
+)
+SECOND_TEXT = '{"analysis_id": "u{k}", "status": "late", "dependencies": {"total": 3}}'
+_MODULI = (100, 1000, 70, 3, 4, 6, 2, 50, 8, 30, 9, 7)
+
+
+def report_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate files of a report for each order."""
+    def filled(text):
+        for name in ("k", *_MODULI):
+            text = F.replace(text, F.lit(f"{{{name}}}"), F.expr("o_orderkey" if name == "k" else f"o_orderkey % {name}").cast("string"))
+        return text
+
+    first = F.struct(F.lit(0).alias("priority"), filled(pick(REPORT_TEXTS, "o_orderkey")).alias("content"))
+    second = F.when(F.expr("o_orderkey % 2 = 0"), F.struct(F.lit(2).alias("priority"), filled(F.lit(SECOND_TEXT)).alias("content")))
+    rows = read(spark, sf_dir, "orders").select(
+        F.concat(F.lit("r"), "o_orderkey").alias("report_id"), F.explode(F.array_compact(F.array(first, second))).alias("c"), F.col("o_orderdate").alias("created"),
+        F.expr("o_orderdate + make_dt_interval(o_orderkey % 7)").alias("modified"),
+    )
+    return rows.select("report_id", "c.*", "created", "modified")
+
+
+def _filled(text: str) -> str:
+    out = "'" + text.replace("'", "''") + "'"
+    for name in ("k", *_MODULI):
+        out = f"replace({out}, '{{{name}}}', CAST({'k' if name == 'k' else f'k % {name}'} AS VARCHAR))"
+    return out
+
+
+#: The report that each order has in the end: which is 3 or 4 for its first candidate, 5 for its second.
+CHOSEN_REPORTS = (
+    "SELECT *, strlen(content) AS size FROM (SELECT *, CASE which WHEN 3 THEN " + _filled(REPORT_TEXTS[3]) + " WHEN 4 THEN " + _filled(REPORT_TEXTS[4]) + " ELSE " + _filled(SECOND_TEXT) + " END AS content FROM "
+    "(SELECT o_orderkey AS k, 'r' || o_orderkey AS report_id, o_orderdate AS created, o_orderdate + to_days(CAST(o_orderkey % 7 AS INT)) AS modified, "
+    "CASE WHEN o_orderkey % 5 > 2 THEN o_orderkey % 5 WHEN o_orderkey % 2 = 0 THEN 5 END AS which FROM orders) WHERE which IS NOT NULL)"
+)

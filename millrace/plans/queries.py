@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, rules
-from ..operators import graph, metrics, pyast, report, scan, store, symbols, trees, vectors
+from ..operators import documents, graph, metrics, pyast, report, scan, store, symbols, trees, vectors
 from ..streaming import tasks
 from . import adapters as a
 
@@ -983,6 +983,58 @@ def repository_names(spark, sf_dir):
     return a.addresses(spark, sf_dir).select("id", paths.repository_name(F.col("url")).alias("name"))
 
 
+def _given(full: str, sparse: str, second: str) -> str:
+    return f"CASE which WHEN 3 THEN {full} WHEN 4 THEN {sparse} ELSE {second} END"
+
+
+_SIZE_OF = "CASE WHEN size < 1024 THEN printf('%.2f B', CAST(size AS DOUBLE)) ELSE printf('%.2f KB', round(size / 1024, 2)) END"
+_ISO = "strftime(created, '%Y-%m-%dT%H:%M:%S')"
+
+
+@query(
+    f"SELECT report_id AS id, {_given(chr(39) + 'a' + chr(39) + ' || k', 'report_id', chr(39) + 'u' + chr(39) + ' || k')} AS analysis_id, CASE which WHEN 3 THEN '/r/' || k WHEN 4 THEN '/s/' || k ELSE 'Unknown' END AS path, "
+    f"CASE which WHEN 3 THEN '2020-01-01T00:00:00' ELSE {_ISO} END AS timestamp, CASE which WHEN 3 THEN 'done' WHEN 4 THEN 'completed' ELSE 'late' END AS status, "
+    f"{_given('k % 100', '12', '0')} AS files_analyzed, {_given('k % 1000', '0', '0')} AS total_lines, {_given('k', '0', '0')} AS total_size_bytes, CASE which WHEN 3 THEN 'high' ELSE 'unknown' END AS risk_level, "
+    f"CAST({_given('k % 70', '7', '0')} AS DOUBLE) AS risk_score, CASE which WHEN 3 THEN 'f' || (k % 3) || ',g' ELSE '' END AS risk_factors, "
+    + "".join(f"{_given(f'k % {m}', '0', '0')} AS {n}, " for n, m in (("secrets_found", 4), ("vulnerabilities_found", 6), ("critical_issues", 2), ("high_complexity_files", 8), ("vulnerable_dependencies", 3), ("outdated_dependencies", 9)))
+    + f"CASE which WHEN 3 THEN k % 50 + 0.5::DOUBLE ELSE 0.0 END AS avg_complexity, {_given('k % 30', '0', '3')} AS total_dependencies, CASE which WHEN 3 THEN k % 7 END AS python_files, "
+    f"CAST(size AS BIGINT) AS size_bytes, {_SIZE_OF} AS size_human, created, modified FROM ({a.CHOSEN_REPORTS})"
+)
+def stored_summaries(spark, sf_dir):
+    """Summaries of stored reports, each from the best candidate file that holds one."""
+    rows = documents.summaries(documents.reports(a.report_candidates(spark, sf_dir)))
+    python = F.try_element_at("file_types", F.lit(".py")).alias("python_files")
+    return rows.withColumn("risk_factors", F.array_join("risk_factors", ",")).select(*(c for c in rows.columns if c != "file_types"), python)
+
+
+@query("SELECT 'r' || o_orderkey AS report_id, 0 AS priority, CASE o_orderkey % 5 WHEN 0 THEN 'not json' WHEN 1 THEN 'no object' ELSE 'no report' END AS problem FROM orders WHERE o_orderkey % 5 < 3")
+def reports_set_aside(spark, sf_dir):
+    return documents.set_aside(a.report_candidates(spark, sf_dir))
+
+
+@query(
+    f"SELECT report_id AS id, report_id || '.json' AS filename, size / 1024 AS size_kb, modified, CASE which WHEN 3 THEN '/r/' || k WHEN 4 THEN '/s/' || k ELSE 'Unknown' END AS path, "
+    f"CASE which WHEN 3 THEN 'a' || k WHEN 4 THEN report_id ELSE 'u' || k END AS analysis_id FROM ({a.CHOSEN_REPORTS}) ORDER BY modified DESC, report_id LIMIT 50"
+)
+def stored_report_list(spark, sf_dir):
+    return documents.listing(documents.reports(a.report_candidates(spark, sf_dir)))
+
+
+@query(
+    "SELECT c_custkey AS analysis_id, '{\"analysis_id\":' || c_custkey || ',\"name\":\"' || c_name || '\",\"at\":\"2024-01-0' || (c_custkey % 9 + 1) || 'T00:00:0' || (c_custkey % 7) || '\",\"nested\":{\"day\":\"2024-02-1' || (c_custkey % 8) || '\",\"amounts\":[\"' || "
+    "(c_custkey % 5) || '.50\",null]},\"by_day\":{\"2024-03-01\":' || (c_custkey % 3) || '},\"_export\":{\"format\":\"json\",\"exported_at\":\"2024-05-05T00:00:00\",\"report_id\":\"' || c_custkey || '\",\"version\":\"1.0\"}}' AS json FROM customer"
+)
+def export_texts(spark, sf_dir):
+    """Rows with dates, decimals and maps in nested places as JSON texts with their _export block."""
+    k = "c_custkey"
+    rows = a.read(spark, sf_dir, "customer").select(
+        F.col(k).alias("analysis_id"), F.col("c_name").alias("name"), F.make_timestamp_ntz(F.lit(2024), F.lit(1), F.expr(f"CAST({k} % 9 AS INT) + 1"), F.lit(0), F.lit(0), F.expr(f"CAST({k} % 7 AS DECIMAL(16,6))")).alias("at"),
+        F.struct(F.expr(f"make_date(2024, 2, CAST(10 + {k} % 8 AS INT))").alias("day"), F.array(F.expr(f"CAST({k} % 5 + 0.5 AS DECIMAL(10,2))"), F.lit(None)).alias("amounts")).alias("nested"),
+        F.create_map(F.expr("DATE'2024-03-01'"), F.expr(f"CAST({k} % 3 AS INT)")).alias("by_day"),
+    )
+    return documents.export_json(rows, "2024-05-05T00:00:00")
+
+
 _REPORT = (
     f"WITH m AS ({_METRICS}), v AS (SELECT repo_id, count(*) AS n, count(*) FILTER (severity = 'critical') AS c FROM (SELECT * FROM ({_matches(_DOC_LINES, rules.INSECURE_PATTERNS, 'pattern', 'severity')}) WHERE {_EXT} IN {_in(rules.SCANNED)}) GROUP BY 1), "
     f"s AS (SELECT repo_id, count(*) AS n FROM ({_matches(_DOC_LINES, rules.SECRET_PATTERNS, 'type', 'risk_level')}) GROUP BY 1), "

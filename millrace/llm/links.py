@@ -4,8 +4,8 @@ Buckets hold nodes that may be alike; a link is a pair of a bucket whose Jaccard
 threshold or more. Only groups are asked for, so a pair within one group needs no look: in each
 round every bucket's members meet two leads, others each round, and what links joins groups. This
 is linear in the buckets and settles all but nodes with few links. Then, exactly, each member
-outside the group that most of its bucket belongs to meets all members of other groups, if their
-sketches don't rule a link out. No link between groups is lost, and no bucket is cut.
+outside the group that most of its bucket belongs to meets all members of other groups, unless the
+shingles that it has alone, or their sketches, rule a link out. No link between groups is lost, and no bucket is cut.
 """
 
 from __future__ import annotations
@@ -89,15 +89,28 @@ def linked(met: DataFrame, sets: DataFrame, threshold: float, rounds: int = 3) -
         of = new
 
     main = of.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
-    left = of.join(main.where("roots > 1").select("key", "main"), "key")
+    left = materialize(of.join(main.where("roots > 1").select("key", "main"), "key"))
+    left = materialize(left.join(_shared(left.select("node").distinct(), sets), "node").where(F.col("common") >= threshold * F.col("size")))
     p, q = left.where("root <> main").alias("p"), left.alias("q")
     # two members outside the main group meet once
     once = (F.col("q.root") == F.col("q.main")) | (F.col("p.node") < F.col("q.node"))
-    pairs = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.root") != F.col("q.root")) & once & close)
+    # no more than the lesser of what they share with others can be common to both
+    common = F.least("p.common", "q.common")
+    could = common >= threshold * (F.col("p.size") + F.col("q.size") - common)
+    pairs = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.root") != F.col("q.root")) & once & could & close)
     pairs = pairs.select(F.col("p.node").alias("x"), F.col("q.node").alias("y"), F.col("p.root").alias("a"), F.col("q.root").alias("b")).distinct()
     last = moved(of, verified(pairs))
     return (of if last is None else last).select("node", "root").distinct()
 
 
+def _shared(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, size and common of the nodes: their shingles, and those that some other of the nodes has too."""
+    own = sets.join(nodes, "node").select("node", F.size("shingles").alias("size"), "shingles")
+    tokens = own.select("node", F.explode("shingles").alias("token"))
+    alone = tokens.groupBy("token").agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1")
+    alone = alone.groupBy("node").agg(F.count("*").alias("alone"))
+    return own.join(alone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
+
+
 def _lead_close(threshold: float) -> Column:
     return _agreeing("q", "q.p") >= least_agreeing(threshold)

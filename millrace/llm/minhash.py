@@ -126,8 +126,8 @@ def fingerprints_with_edits(docs: DataFrame, rows_each: int = 4096, most: int =
         .groupBy("serves").agg(F.min_by("text", h).alias("text"))
         .select(F.col("serves").alias("part"), F.lit(None).cast("long").alias("doc_id"), "text", F.lit(1).alias("head"))
     )
-    rows = docs.select(part("doc_id").alias("part"), "doc_id", "text", F.lit(0).alias("head"), h.alias("h"))
-    rows = _compressed(rows.union(heads.select("*", h.alias("h"))))
+    rows = docs.select(F.lit(None).cast("int").alias("part"), "doc_id", "text", F.lit(0).alias("head"), h.alias("h"))
+    rows = _compressed(rows.union(heads.select("*", h.alias("h"))), bounds)
     # rows without a text tell those after them their component and signature
     found = groups(docs, threshold).select(
         part("doc_id").alias("part"), "doc_id", F.lit(None).cast("binary").alias("text"), F.lit(0).alias("head"), F.col("t").alias("h"),
@@ -166,15 +166,17 @@ def fingerprints_with_edits(docs: DataFrame, rows_each: int = 4096, most: int =
     return map_batches(rows, each, ", ".join(f"{k} {t}" for k, t in _FIELDS.items()))
 
 
-def _compressed(rows: DataFrame) -> DataFrame:
-    """The same rows with their texts compressed, as each is shuffled once."""
+def _compressed(rows: DataFrame, bounds: np.ndarray) -> DataFrame:
+    """The same rows with their texts compressed, as each is shuffled once, and the range of doc_id where it isn't given."""
 
     def each(batches: Iterator[dict]) -> Iterator[dict]:
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            yield {**b, "text": [pack.compress(t.encode()) for t in b["text"]]}
+            ranges = np.searchsorted(bounds, [-(1 << 63) if d is None else d for d in b["doc_id"]], side="left").tolist()
+            parts = [r if p is None else p for r, p in zip(ranges, b["part"], strict=True)]
+            yield {**b, "part": parts, "text": [pack.compress(t.encode()) for t in b["text"]]}
 
     return map_batches(rows, each, "part int, doc_id long, text binary, head int, h long")
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..shipping import ship
+from .archives import members
 
 SCHEMA = "repo_id string, path string, size_bytes long, modified timestamp, content string"
 
@@ -26,50 +26,21 @@ def read_directory(spark: SparkSession, root: str, repo_id: str, pruned: bool =
     return rows.where(paths.scan_kept(F.col("path"))) if pruned else rows
 
 
-def unsafe_member(name: str) -> bool:
-    parts = name.replace("\\", "/").split("/")
-    return name.startswith(("/", "\\")) or ".." in parts or (len(name) > 1 and name[1] == ":")
-
-
 def read_archives(spark: SparkSession, pattern: str, max_mb: int = 100) -> DataFrame:
-    """Members of ZIP archives, one row each: repo_id (archive name), path, size_bytes, content, error.
+    """Members of ZIP archives, one row each: repo_id (archive name), path, size_bytes, content, error (see archives.members).
 
-    An archive that is too large, broken or holds an absolute or parent path gives one row with
-    its error and no member; a member that inflates to more than max_mb has an error and no content;
-    directories and resource forks are skipped.
+    Spark's own reader fetches each archive whole, from any store; a task holds one archive and one inflated
+    member at a time. archives.read_archives_in_ranges shares an archive out to several tasks.
     """
     ship(spark)
     archives = spark.read.format("binaryFile").load(pattern)
     archives = archives.select(F.regexp_replace(paths.basename(F.col("path")), r"\.zip$", "").alias("repo_id"), "length", "content")
     schema = pa.schema([("repo_id", pa.string()), ("path", pa.string()), ("size_bytes", pa.int64()), ("content", pa.string()), ("error", pa.string())])
 
-    most = max_mb << 20
-
-    def members(repo: str, length: int, data: bytes) -> Iterator[tuple]:
-        if length > most:
-            yield (repo, None, length, None, "too large")
-            return
-        try:
-            with zipfile.ZipFile(io.BytesIO(data)) as z:
-                infos = z.infolist()
-                if any(unsafe_member(i.filename) for i in infos):
-                    yield (repo, None, length, None, "unsafe path")
-                    return
-                kept = [i for i in infos if not i.filename.endswith("/") and not i.filename.startswith(("__MACOSX", "._"))]
-                for i in kept:
-                    if i.file_size > most:  # what it says it inflates to; a member that says less fails when read
-                        yield (repo, i.filename, i.file_size, None, "member too large")
-                    else:
-                        yield (repo, i.filename, i.file_size, z.read(i).decode("utf-8", "ignore"), None)
-                if not kept:
-                    yield (repo, None, length, None, "empty")
-        except (zipfile.BadZipFile, OSError, RuntimeError) as e:
-            yield (repo, None, length, None, type(e).__name__)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for archive in zip(*(b.column(c).to_pylist() for c in ("repo_id", "length", "content")), strict=True):
-                for row in members(*archive):  # one member in memory at a time
+                for row in members(io.BytesIO(archive[2]), archive[0], archive[1], max_mb << 20):  # one member in memory at a time
                     yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
     return archives.mapInArrow(run, "repo_id string, path string, size_bytes long, content string, error string")

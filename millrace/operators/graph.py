@@ -3,18 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
+def _shared(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which the driver and all executors share; a local session without one gets its own."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and not (sc.master.startswith("local") and "cluster" not in sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="millrace-graph-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for tables below the checkpoint folder."""
+    return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _checkpoint(df: DataFrame) -> DataFrame:
+    _shared(df.sparkSession)
     return df.checkpoint()
 
 

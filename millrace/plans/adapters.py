@@ -126,10 +126,10 @@ SMALL_GRAPH = (
 def part_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts to those of a fourth and a fifth of their key: no cycles, every path ends at 0."""
     p = F.col("p_partkey").cast("long")
-    return read(spark, sf_dir, "part").select(p.alias("src"), F.explode(F.array(F.expr("CAST(p_partkey AS BIGINT) div 4"), F.expr("CAST(p_partkey AS BIGINT) div 5"))).alias("dst"))
+    return read(spark, sf_dir, "part").where("p_partkey > 0").select(p.alias("src"), F.explode(F.array(F.expr("CAST(p_partkey AS BIGINT) div 4"), F.expr("CAST(p_partkey AS BIGINT) div 5"))).alias("dst"))
 
 
-PART_GRAPH = "SELECT CAST(p_partkey AS BIGINT) AS src, unnest([CAST(p_partkey AS BIGINT) // 4, CAST(p_partkey AS BIGINT) // 5]) AS dst FROM part"
+PART_GRAPH = "SELECT CAST(p_partkey AS BIGINT) AS src, unnest([CAST(p_partkey AS BIGINT) // 4, CAST(p_partkey AS BIGINT) // 5]) AS dst FROM part WHERE p_partkey > 0"
 
 
 def task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,3 +336,59 @@ CHOSEN_REPORTS = (
     "(SELECT o_orderkey AS k, 'r' || o_orderkey AS report_id, o_orderdate AS created, o_orderdate + to_days(CAST(o_orderkey % 7 AS INT)) AS modified, "
     "CASE WHEN o_orderkey % 5 > 2 THEN o_orderkey % 5 WHEN o_orderkey % 2 = 0 THEN 5 END AS which FROM orders) WHERE which IS NOT NULL)"
 )
+
+
+def call_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls between parts of three repositories, each edge with the lines of its calls."""
+    p = F.col("p_partkey").cast("long")
+    e = read(spark, sf_dir, "part").where("p_partkey > 0").select((p % 3).alias("repo_id"), p.alias("src"), F.explode(F.array(F.expr("CAST(p_partkey AS BIGINT) div 2"), F.expr("CAST(p_partkey AS BIGINT) div 5 + 1"), F.expr("CAST(p_partkey AS BIGINT) - 3"))).alias("dst"))
+    return e.where("src <> dst AND dst >= 0").distinct().withColumn("calls", F.transform(F.sequence(F.lit(1), F.expr("CAST(src % 2 AS INT) + 1")), lambda k: F.concat_ws(":", "src", "dst", k)))
+
+
+CALL_GRAPH = (
+    "SELECT DISTINCT p % 3 AS repo_id, p AS src, dst, list_transform(range(1, CAST(p % 2 AS INT) + 2), lambda k: p || ':' || dst || ':' || k) AS calls FROM "
+    "(SELECT p, unnest([p // 2, p // 5 + 1, p - 3]) AS dst FROM (SELECT CAST(p_partkey AS BIGINT) AS p FROM part WHERE p_partkey > 0)) WHERE p <> dst AND dst >= 0"
+)
+
+KINDS = ("repository", "archive", "upload", "report", "export", "temporary", "task result", "other")
+NOW = "1998-09-01 00:00:00"
+
+
+def stored_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as stored items of eight kinds, changed at some hour before NOW, a few at no known time."""
+    k = "o_orderkey"
+    changed = F.expr(f"TIMESTAMP_NTZ'{NOW}' - make_dt_interval(0, CAST({k} * 7 % 1000 AS INT), CAST({k} % 60 AS INT), 0)")
+    return read(spark, sf_dir, "orders").select(pick(KINDS, k).alias("kind"), F.col(k).alias("item"), F.col("o_custkey").cast("long").alias("size_bytes"), F.when(F.expr(f"{k} % 97 > 0"), changed).alias("modified"))
+
+
+STORED_ITEMS = (
+    f"SELECT {pick_sql(KINDS, 'o_orderkey')} AS kind, o_orderkey AS item, CAST(o_custkey AS BIGINT) AS size_bytes, "
+    f"CASE WHEN o_orderkey % 97 > 0 THEN TIMESTAMP '{NOW}' - to_hours(CAST(o_orderkey * 7 % 1000 AS INT)) - to_minutes(CAST(o_orderkey % 60 AS INT)) END AS modified FROM orders"
+)
+
+PACKAGE_LICENCES = ("MIT", "Apache-2.0", "GPL-3.0", "BSD-3-Clause")
+
+
+def requirement_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A requirement of a repository for each customer."""
+    return read(spark, sf_dir, "customer").select(F.concat(F.lit("repo"), F.expr("c_custkey % 50")).alias("repo_id"), F.format_string("p%d==1.%d", F.expr("c_custkey * 13 % 211"), F.expr("c_custkey % 9")).alias("content"))
+
+
+REQUIRED = "SELECT DISTINCT 'repo' || (c_custkey % 50) AS repo_id, c_custkey * 13 % 211 AS p FROM customer"
+
+
+def package_needs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages (parts) and those of a third and a seventh of their key, that they need; every eleventh back to a greater one."""
+    needs = F.array(F.expr("p_partkey div 3"), F.expr("p_partkey div 7"), F.expr("CASE WHEN p_partkey % 11 = 0 THEN p_partkey + 4 END"))
+    rows = read(spark, sf_dir, "part").where("p_partkey < 400").select("p_partkey", F.explode(F.array_compact(needs)).alias("n"))
+    return rows.select(F.concat(F.lit("p"), "p_partkey").alias("package"), F.concat(F.lit("p"), "n").alias("needed"))
+
+
+PACKAGE_NEEDS = (
+    "SELECT p, unnest(list_filter([p // 3, p // 7, CASE WHEN p % 11 = 0 THEN p + 4 END], lambda x: x IS NOT NULL)) AS n FROM (SELECT CAST(p_partkey AS BIGINT) AS p FROM part WHERE p_partkey < 400)"
+)
+
+
+def package_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "part").where("p_partkey < 400 AND p_partkey % 6 > 0")
+    return rows.select(F.concat(F.lit("p"), "p_partkey").alias("package"), pick(PACKAGE_LICENCES, "(p_partkey div 2)").alias("licence"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, rules
-from ..operators import documents, graph, metrics, pyast, report, scan, store, symbols, trees, vectors
+from ..operators import conflicts, documents, flows, graph, metrics, pyast, report, retention, scan, snapshots, store, symbols, trees, vectors
 from ..streaming import tasks
 from . import adapters as a
 
@@ -278,7 +278,7 @@ def nested_ignores(spark, sf_dir):
 _ROOT_LINES = ("*.txt", "!keep.log", "!z.pyc", "docs/", "n2/", "!top.txt", "# no", "lib*py")
 _FIRST_MATCH = " ".join(f"WHEN regexp_matches(path, {_quote(paths.glob_regex(g))}) THEN true" for g in rules.IGNORE_GLOBS)
 _FIRST_MATCH = (
-    f"CASE {_FIRST_MATCH} WHEN regexp_matches(path, '(^|/).*\.txt($|/)') THEN true WHEN is_dir AND regexp_matches(path, '(^|/)docs($|/)') THEN true "
+    f"CASE {_FIRST_MATCH} WHEN regexp_matches(path, '(^|/).*[.]txt($|/)') THEN true WHEN is_dir AND regexp_matches(path, '(^|/)docs($|/)') THEN true "
     "WHEN is_dir AND regexp_matches(path, '(^|/)n2($|/)') THEN true WHEN regexp_matches(path, '(^|/)lib.*py($|/)') THEN true ELSE false END"
 )
 
@@ -442,11 +442,6 @@ def license_check(spark, sf_dir):
     return scan.licence_check(a.licence_tree(spark, sf_dir))
 
 
-@query(f"SELECT repo_id, 'high' AS priority, 'Add a license' AS title FROM ({_CHECK}) WHERE licence IN ('No License', 'Unknown')")
-def license_advice(spark, sf_dir):
-    return report.licence_advice(scan.licence_check(a.licence_tree(spark, sf_dir)).withColumn("issues", F.lit(0)))
-
-
 _WANTED = f"SELECT 'repo' || (c_custkey % 7) AS repo_id, {a.pick_sql(a.IMPORTED, 'c_custkey')} AS content FROM customer"
 
 
@@ -1035,6 +1030,136 @@ def export_texts(spark, sf_dir):
     return documents.export_json(rows, "2024-05-05T00:00:00")
 
 
+# -- paths, versions of graphs, retention, licences --------------------------------------------
+
+_ENDS = "SELECT repo_id, {x} AS node FROM (SELECT DISTINCT e.repo_id, e.{x} FROM e ANTI JOIN e o ON o.repo_id = e.repo_id AND o.{y} = e.{x}) QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY {x}) <= 3"
+
+
+@query(
+    f"WITH RECURSIVE e AS MATERIALIZED ({a.CALL_GRAPH}), r AS (SELECT repo_id, node AS source, node AS here, [node] AS path, []::VARCHAR[] AS calls FROM ({_ENDS.format(x='src', y='dst')}) "
+    "UNION ALL SELECT r.repo_id, source, dst, list_append(path, dst), list_concat(r.calls, e.calls) FROM r JOIN e ON e.repo_id = r.repo_id AND here = src WHERE len(path) < 7 AND NOT list_contains(path, dst)) "
+    f"SELECT r.repo_id, source, here AS target, array_to_string(path, '>') AS path, len(path) - 1 AS depth, array_to_string(calls, ',') AS calls FROM r JOIN ({_ENDS.format(x='dst', y='src')}) t ON t.repo_id = r.repo_id AND t.node = here WHERE len(path) > 1"
+)
+def execution_paths(spark, sf_dir):
+    """Paths of calls from the first entry points to the first ends of each repository, with the calls of every hop."""
+    rows = flows.execution_paths(a.call_graph(spark, sf_dir), "repo_id")
+    return rows.withColumns({"path": F.array_join(F.col("path").cast("array<string>"), ">"), "calls": F.array_join("calls", ",")})
+
+
+@query(
+    "SELECT repo_id, path, NOT ok AS parse_error, CASE WHEN ok THEN b + c + 2 * e END AS functions, CASE WHEN ok THEN b + d + 2 * e END AS calls, nodes, edges, CASE WHEN nodes > 1 THEN edges / (nodes * (nodes - 1)) END AS density, "
+    "CASE WHEN nodes > 0 THEN e = 0 END AS is_dag, CASE WHEN ok THEN array_to_string(list_concat(CASE WHEN d = 1 THEN ['<module>'] ELSE [] END, CASE WHEN b > 0 THEN ['f'] ELSE [] END), ',') END AS entry_points, CASE WHEN ok THEN CASE WHEN e = 1 THEN 'r>s' ELSE '' END END AS cycles "
+    f"FROM (SELECT *, CASE WHEN ok AND b + d + e > 0 THEN 2 * (CAST(b > 0 AS BIGINT) + d + e) END AS nodes, CASE WHEN ok AND b + d + e > 0 THEN CAST(b > 0 AS BIGINT) + d + 2 * e END AS edges FROM ({_PY}))"
+)
+def file_flows(spark, sf_dir):
+    """Each Python file's call graph with its entry points and cycles; those that don't parse have their flag alone."""
+    rows = flows.file_flows(_stats(spark, sf_dir), _facts(spark, sf_dir))
+    return rows.withColumns({"entry_points": F.array_join("entry_points", ","), "cycles": F.array_join(F.transform("cycles", lambda c: F.array_join(c, ">")), ";")})
+
+
+def _versions(spark, sf_dir) -> str:
+    """Two versions of the graph of suppliers and parts, saved under the session's shared folder."""
+    folder = graph.shared_folder(spark, "graphs")
+    rows = a.read(spark, sf_dir, "lineitem")
+    name = lambda c, p: F.concat(F.lit(p), F.col(c)).alias
+    edge = lambda r: r.groupBy(name("l_suppkey", "s")("src"), name("l_partkey", "p")("dst")).agg(F.sum("l_linenumber").cast("double").alias("weight")).withColumn("type", F.lit("call"))
+    alone = a.read(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("name"))
+    snapshots.save(edge(rows.where("l_linenumber <= 3")), folder, 1, alone)
+    snapshots.save(edge(rows.where("l_linenumber >= 2")), folder, 2, alone, previous=1)
+    return folder
+
+
+_EDGE_OF = "SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, CAST(sum(l_linenumber) AS DOUBLE) AS weight FROM lineitem WHERE l_linenumber {} GROUP BY 1, 2"
+_NAMES_OF = f"SELECT src AS name FROM ({_EDGE_OF}) UNION SELECT dst FROM ({_EDGE_OF}) UNION SELECT 'n' || n_nationkey FROM nation"
+
+
+@query(
+    f"WITH o AS ({_NAMES_OF.format('<= 3', '<= 3')}), n AS ({_NAMES_OF.format('>= 2', '>= 2')}), first AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS id FROM o) "
+    "SELECT name, id, name IN (SELECT name FROM n) AS present FROM first UNION ALL SELECT name, (SELECT count(*) FROM o) + row_number() OVER (ORDER BY name) - 1, true FROM n WHERE name NOT IN (SELECT name FROM o)"
+)
+def graph_dictionary(spark, sf_dir):
+    """The numbers of nodes over two versions: dense, in order, and kept from one version to the next."""
+    folder = _versions(spark, sf_dir)
+    nodes, _ = snapshots.load(spark, folder, 2)
+    ids = spark.read.parquet(f"{folder}/version=2/dictionary")
+    return ids.join(nodes.select("id", F.lit(True).alias("present")), "id", "left").fillna(False, ["present"]).select("name", "id", "present")
+
+
+@query(
+    f"SELECT src, dst, CASE WHEN o.weight IS NULL THEN 'added' WHEN n.weight IS NULL THEN 'removed' ELSE 'changed' END AS status, o.weight AS old_weight, n.weight AS new_weight "
+    f"FROM ({_EDGE_OF.format('<= 3')}) o FULL JOIN ({_EDGE_OF.format('>= 2')}) n USING (src, dst) WHERE o.weight IS DISTINCT FROM n.weight"
+)
+def graph_difference(spark, sf_dir):
+    return snapshots.difference(spark, _versions(spark, sf_dir), 1, 2)
+
+
+@query(f"SELECT src AS source, dst AS target, weight, 'MODULE_REFERENCE' AS type FROM ({_EDGE_OF.format('>= 2')})")
+def graph_round_trip(spark, sf_dir):
+    return snapshots.load_plain(spark, _versions(spark, sf_dir), 2)
+
+
+_RETENTION = " UNION ALL ".join(
+    f"SELECT {_quote(n)} AS policy, {_quote(k)} AS kind, {'NULL' if h is None else h}::BIGINT AS max_hours, {'NULL' if keep is None else keep}::INT AS keep_last" for n, k, h, keep, *_ in rules.RETENTION
+)
+
+
+@query(
+    f"SELECT policy, kind, item, size_bytes, modified, age_hours, reason FROM (SELECT *, CASE WHEN age_hours > max_hours THEN 'age' WHEN rank > keep_last THEN 'count' END AS reason FROM "
+    f"(SELECT *, epoch_us(TIMESTAMP '{a.NOW}' - modified) / 3.6e9 AS age_hours, row_number() OVER (PARTITION BY policy ORDER BY modified DESC NULLS LAST, item) AS rank FROM ({a.STORED_ITEMS}) JOIN ({_RETENTION}) USING (kind))) WHERE reason IS NOT NULL"
+)
+def retention_deletions(spark, sf_dir):
+    """Everything that the retention policies delete, and by which of their rules."""
+    return retention.deletions(a.stored_items(spark, sf_dir), retention.policies(spark), F.lit(a.NOW).cast("timestamp"))
+
+
+_NEEDED = (
+    f"WITH RECURSIVE need AS ({a.PACKAGE_NEEDS}), r AS (SELECT DISTINCT repo_id, p, 1 AS depth FROM ({a.REQUIRED}) UNION SELECT r.repo_id, need.n, depth + 1 FROM r JOIN need ON need.p = r.p WHERE depth < 40), "
+    f"m AS (SELECT repo_id, p, min(depth) AS depth FROM r GROUP BY ALL) SELECT repo_id, 'p' || p AS dependency, depth, CASE WHEN p < 400 AND p % 6 > 0 AND p IN (SELECT p_partkey FROM part) THEN {a.pick_sql(a.PACKAGE_LICENCES, '(p // 2)')} ELSE 'Unknown' END AS licence FROM m"
+)
+
+
+def _needs(spark, sf_dir):
+    required = scan.requirements(a.requirement_files(spark, sf_dir))
+    return required, a.package_needs(spark, sf_dir), a.package_licences(spark, sf_dir)
+
+
+@query(_NEEDED)
+def dependency_licences(spark, sf_dir):
+    """The licences of all packages that repositories need, through others too."""
+    return conflicts.dependency_licences(*_needs(spark, sf_dir))
+
+
+_CONFLICT = f"SELECT c.repo_id, dependency, d.licence, depth, 'high' AS severity, 'incompatible license' AS issue FROM ({_CHECK}) c JOIN ({_NEEDED}) d USING (repo_id) WHERE {_PAIR.replace('a = ', 'c.licence = ').replace('b = ', 'd.licence = ')} = 'incompatible'"
+
+
+@query(_CONFLICT)
+def licence_conflicts(spark, sf_dir):
+    return conflicts.issues(scan.licence_check(a.licence_tree(spark, sf_dir)), conflicts.dependency_licences(*_needs(spark, sf_dir)))
+
+
+@query(
+    f"SELECT repo_id, 'high' AS priority, 'Add a license' AS title FROM ({_CHECK}) WHERE licence IN ('No License', 'Unknown') "
+    f"UNION ALL SELECT DISTINCT repo_id, 'critical', 'Resolve license conflicts' FROM ({_CONFLICT})"
+)
+def license_advice(spark, sf_dir):
+    checks = scan.licence_check(a.licence_tree(spark, sf_dir))
+    found = conflicts.issues(checks, conflicts.dependency_licences(*_needs(spark, sf_dir))).groupBy("repo_id").agg(F.count("*").alias("issues"))
+    return report.licence_advice(checks.join(found, "repo_id", "left").fillna(0, ["issues"]))
+
+
+@query(
+    f"WITH c AS ({_CHECK}), n AS (SELECT repo_id, count(*) AS dependencies, count(*) FILTER (licence = 'Unknown') AS unknown FROM ({_NEEDED}) GROUP BY 1), i AS (SELECT repo_id, count(*) AS issues FROM ({_CONFLICT}) GROUP BY 1), "
+    f"d AS (SELECT repo_id, array_to_string(list_sort(list(DISTINCT l)), ',') AS detected FROM (SELECT repo_id, {_LICENCE.replace('text', 'content')} AS l FROM ({a.LICENCE_TREE}) WHERE {_NAMED}) WHERE l IS NOT NULL GROUP BY 1) "
+    "SELECT c.repo_id, licence, confidence, d.detected IS NOT NULL AS has_license_file, licence NOT IN ('No License', 'Unknown') AS has_proper_license, coalesce(detected, '') AS detected, coalesce(dependencies, 0) AS dependencies, coalesce(unknown, 0) AS unknown_dependencies, "
+    "coalesce(issues, 0) AS issues, array_to_string(list_filter([CASE WHEN issues > 0 THEN 'critical: Resolve license conflicts' END, CASE WHEN licence IN ('No License', 'Unknown') THEN 'high: Add a license' END], lambda x: x IS NOT NULL), ',') AS advice "
+    "FROM c LEFT JOIN n USING (repo_id) LEFT JOIN i USING (repo_id) LEFT JOIN d USING (repo_id)"
+)
+def repository_licences(spark, sf_dir):
+    """A repository's licence, its licence files, its dependencies' licences, their conflicts and what is advised, in one row."""
+    rows = conflicts.repository_licences(a.licence_tree(spark, sf_dir), *_needs(spark, sf_dir))
+    return rows.withColumns({"detected": F.array_join("detected", ","), "advice": F.array_join("advice", ",")})
+
+
 _REPORT = (
     f"WITH m AS ({_METRICS}), v AS (SELECT repo_id, count(*) AS n, count(*) FILTER (severity = 'critical') AS c FROM (SELECT * FROM ({_matches(_DOC_LINES, rules.INSECURE_PATTERNS, 'pattern', 'severity')}) WHERE {_EXT} IN {_in(rules.SCANNED)}) GROUP BY 1), "
     f"s AS (SELECT repo_id, count(*) AS n FROM ({_matches(_DOC_LINES, rules.SECRET_PATTERNS, 'type', 'risk_level')}) GROUP BY 1), "

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, rules
-from ..operators import conflicts, documents, flows, graph, metrics, pyast, report, retention, scan, snapshots, store, symbols, trees, vectors
+from ..operators import conflicts, documents, embedding_cache, flows, graph, metrics, pyast, report, retention, scan, snapshots, store, symbols, trees, vectors
 from ..streaming import tasks
 from . import adapters as a
 
@@ -573,6 +573,28 @@ def embed_cache_dedup(spark, sf_dir):
     return vectors.distinct_texts(a.read(spark, sf_dir, "documents"))
 
 
+_CODED = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'text' ELSE 'code' END AS kind, CASE WHEN doc_id % 3 = 0 THEN 'none' ELSE lang END AS language, text FROM documents"
+_OF_CLEAN = _BYTES.replace("text", "clean")
+
+
+@query(
+    f"WITH d AS (SELECT *, md5(text) AS key, trim(replace(CASE WHEN kind = 'code' THEN '[' || language || ' code]' || chr(10) || text ELSE text END, chr(10), ' ')) AS clean FROM ({_CODED})), "
+    f"v AS (SELECT *, {_OF_CLEAN} AS parts, min(CASE WHEN doc_id % 2 = 0 THEN 'first' ELSE 'second' END) OVER (PARTITION BY kind, language, key) AS run FROM d) "
+    "SELECT doc_id, kind, language, key, run, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS BIGINT) AS lines, round(parts[1] / sqrt(list_sum([x * x for x in parts])), 9) AS first, round(parts[32] / sqrt(list_sum([x * x for x in parts])), 9) AS last FROM v"
+)
+def embedding_cache_runs(spark, sf_dir):
+    """Three runs over one cache: the even documents, all, and all again, which finds nothing to embed."""
+    folder = graph.shared_folder(spark, "embeddings")
+    kind = F.when(F.expr("doc_id % 3 = 0"), "text").otherwise("code")
+    items = a.read(spark, sf_dir, "documents").select("doc_id", kind.alias("kind"), F.when(kind == "code", F.col("lang")).alias("language"), "text")
+    embedding_cache.fill(items.where("doc_id % 2 = 0"), folder, "first")
+    embedding_cache.fill(items, folder, "second")
+    embedding_cache.fill(items, folder, "third")
+    rows = embedding_cache.embedded(items, folder)
+    part = lambda k: F.round(F.col("embedding")[k], 9)
+    return rows.select("doc_id", "kind", "language", "key", "run", "lines", part(0).alias("first"), part(31).alias("last"))
+
+
 # -- graphs -----------------------------------------------------------------------------------
 
 

@@ -6,10 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _with(value: Column, then) -> Column:
+    """then(value), where the value is computed once however often it is used, in lambdas too."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def digest_components(text: Column) -> Column:
     """32 numbers from -1 to 1: the bytes of the text's SHA-256."""
-    digest = F.sha2(text, 256)
-    return F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("int") / 255.0 * 2 - 1)
+    byte = lambda digest: lambda i: F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("int") / 255.0 * 2 - 1
+    return _with(F.sha2(text, 256), lambda digest: F.transform(F.sequence(F.lit(0), F.lit(31)), byte(digest)))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -17,8 +22,8 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def normalised(v: Column) -> Column:
-    norm = F.sqrt(dot(v, v))
-    return F.when(norm == 0, v).otherwise(F.transform(v, lambda x: x / norm))
+    over = lambda v, norm: F.when(norm == 0, v).otherwise(F.transform(v, lambda x: x / norm))
+    return _with(v, lambda v: _with(F.sqrt(dot(v, v)), lambda norm: over(v, norm)))
 
 
 def embed(text: Column) -> Column:

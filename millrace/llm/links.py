@@ -4,17 +4,20 @@ Buckets hold nodes that may be alike; a link is a pair of a bucket whose Jaccard
 threshold or more. Only groups are asked for, so a pair within one group needs no look: in each
 round every bucket's members meet two leads, others each round, and what links joins groups. This
 is linear in the buckets and settles all but nodes with few links. Then, exactly, each member
-outside the group that most of its bucket belongs to meets all members of other groups, unless the
-shingles that it has alone, or their sketches, rule a link out. No link between groups is lost, and no bucket is cut.
+outside the group that most of its bucket belongs to meets all members of other groups, unless
+bounds on what two can share rule a link out: the shingles that each has alone, their sketches,
+and which shingles of the bucket's main node each has. No link between groups is lost, and no bucket is cut.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, map_batches, materialize
 
 #: A sketch holds four bits of each of 128 lanes, as eight longs.
 SKETCH = [f"k{i}" for i in range(8)]
@@ -90,14 +93,21 @@ def linked(met: DataFrame, sets: DataFrame, threshold: float, rounds: int = 3) -
 
     main = of.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
     left = materialize(of.join(main.where("roots > 1").select("key", "main"), "key"))
-    left = materialize(left.join(_shared(left.select("node").distinct(), sets), "node").where(F.col("common") >= threshold * F.col("size")))
+    sizes = _shared(left.select("node").union(left.select("main")).distinct(), sets)
+    left = left.join(sizes, "node").where(F.col("common") >= threshold * F.col("size"))
+    left = materialize(left.join(_by_main(left.select("node", "main").distinct(), sets), ["node", "main"]).withColumn("rest", F.col("common") - F.col("inside")))
+    keys = left.groupBy("node").agg(F.collect_set("key").alias("keys"))  # as many as there are bands
+    left = left.join(keys, "node")
     p, q = left.where("root <> main").alias("p"), left.alias("q")
-    # two members outside the main group meet once
+    # two members outside the main group meet once, and every pair in one bucket only
     once = (F.col("q.root") == F.col("q.main")) | (F.col("p.node") < F.col("q.node"))
-    # no more than the lesser of what they share with others can be common to both
-    common = F.least("p.common", "q.common")
-    could = common >= threshold * (F.col("p.size") + F.col("q.size") - common)
-    pairs = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.root") != F.col("q.root")) & once & could & close)
+    first = F.array_min(F.array_intersect("p.keys", "q.keys")) == F.col("p.key")
+    # what two nodes share is counted within the main group's node; outside it is no more than either shares with anyone
+    bits = F.zip_with("p.bits", "q.bits", lambda x, y: F.bit_count(x.bitwiseAND(y)))
+    most = F.aggregate(bits, F.lit(0), lambda s, x: s + x) + F.least("p.rest", "q.rest")
+    least = F.least("p.common", "q.common")
+    could = lambda m: m >= threshold * (F.col("p.size") + F.col("q.size") - m)
+    pairs = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.root") != F.col("q.root")) & once & could(least) & close & could(most) & first)
     pairs = pairs.select(F.col("p.node").alias("x"), F.col("q.node").alias("y"), F.col("p.root").alias("a"), F.col("q.root").alias("b")).distinct()
     last = moved(of, verified(pairs))
     return (of if last is None else last).select("node", "root").distinct()
@@ -112,5 +122,22 @@ def _shared(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     return own.join(alone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
 
 
+def _by_main(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, main, bits (which of main's shingles the node has, 64 to a long) and inside (how many)."""
+
+    def each(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            bits, inside = [], []
+            for own, lead in zip(b["shingles"], b["lead"], strict=True):
+                hit = np.isin(np.array(lead, np.int32), np.array(own, np.int32), assume_unique=True)
+                inside.append(int(hit.sum()))
+                bits.append(np.packbits(np.pad(hit, (0, -len(hit) % 64)), bitorder="little").view("<i8"))
+            yield {"node": b["node"], "main": b["main"], "bits": bits, "inside": inside}
+
+    own = pairs.join(sets.select("node", "shingles"), "node")
+    rows = own.join(sets.select(F.col("node").alias("main"), F.col("shingles").alias("lead")), "main")
+    return map_batches(rows.select("node", "main", "shingles", "lead"), each, "node long, main long, bits array<long>, inside int")
+
+
 def _lead_close(threshold: float) -> Column:
     return _agreeing("q", "q.p") >= least_agreeing(threshold)

@@ -236,10 +236,11 @@ def groups(docs: DataFrame, threshold: float = 0.8, bands: int = 25) -> DataFram
     width = 2 * (LANES // bands)
     keys = F.array(*(F.xxhash64(F.lit(k), F.substring("signature", 1 + k * width, width)) for k in range(bands)))
     every = rows.select("node", F.explode(keys).alias("key"))
-    crowded = every.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
-    crowded = materialize(crowded)
-    met = every.where(member_filter(crowded, "key")("key")).distinct().join(crowded, "key", "left_semi")
-    met = materialize(met)
+    # keys of one row leave first, by their counts alone; then those of one node
+    twice = materialize(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    met = materialize(every.where(member_filter(twice, "key")("key")).distinct().join(twice, "key", "left_semi"))
+    crowded = met.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
+    met = materialize(met.join(crowded, "key", "left_semi"))
     sets = materialize(shingle_sets(docs, nodes.join(met.select("node").distinct(), "node").select("node", "t")))
     roots = links.linked(met, sets, threshold)
     placed = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))

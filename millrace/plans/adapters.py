@@ -133,8 +133,13 @@ PART_GRAPH = "SELECT CAST(p_partkey AS BIGINT) AS src, unnest([CAST(p_partkey AS
 
 
 def task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return task_events_of(read(spark, sf_dir, "events"))
+
+
+def task_events_of(events: DataFrame) -> DataFrame:
+    """Tasks' events from those of the events table, or from a stream of them."""
     status = F.expr("CASE event_type WHEN 'signup' THEN 'queued' WHEN 'click' THEN 'running' WHEN 'view' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'cancelled' END")
-    return read(spark, sf_dir, "events").select(
+    return events.select(
         (F.col("user_id") * 10 + F.expr("event_id % 10")).alias("task_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id",
         status.alias("status"), F.expr("CAST(event_id % 14 AS INT) - 1").alias("priority"), "value",
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, rules
 from ..operators import conflicts, documents, embedding_cache, flows, graph, metrics, pyast, report, retention, scan, snapshots, store, symbols, trees, vectors
-from ..streaming import tasks
+from ..streaming import lifecycle, tasks
 from . import adapters as a
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -699,6 +699,45 @@ def running_totals(spark, sf_dir):
     return a.task_events(spark, sf_dir).groupBy("status").agg(F.sum(F.floor("value")).alias("total"), F.count("*").alias("n"))
 
 
+_HOURS = 72
+_DONE = f"acc.status IN {_in(tasks.TERMINAL)}"
+_GONE = f"acc.at >= 0 AND x.ts - acc.at > {_HOURS}::BIGINT * 3600000000"
+_LEAVE = f"least(x.ts - acc.at, {_HOURS}::BIGINT * 3600000000)"
+
+
+def _moved(field: str, gone: str, going: str) -> str:
+    return f"{field} := CASE WHEN {_DONE} THEN acc.{field} WHEN {_GONE} THEN {gone} ELSE {going} END"
+
+
+def _while(name: str) -> str:
+    added = f"acc.{name}_us + CASE WHEN acc.at >= 0 AND acc.status = {_quote(name)} THEN {_LEAVE} ELSE 0 END"
+    return _moved(f"{name}_us", added, added)
+
+
+_RUNS = "acc.attempts + CAST(x.status = 'running' AS INT)"
+_STEP = ", ".join((
+    _moved("status", "'timeout'", f"CASE WHEN x.status = 'failed' AND {_RUNS} <= 3 THEN 'queued' ELSE x.status END"), _moved("attempts", "acc.attempts", _RUNS), _moved("events", "acc.events", "acc.events + 1"),
+    _moved("failures", "acc.failures", "acc.failures + CAST(x.status = 'failed' AS BIGINT)"), _while("running"), _while("queued"), _moved("at", f"acc.at + {_HOURS}::BIGINT * 3600000000", "x.ts"), "ts := x.ts",
+))
+_BLANK = "status := {}, attempts := 0::INT, events := 0::BIGINT, failures := 0::BIGINT, running_us := 0::BIGINT, queued_us := 0::BIGINT, at := (-1)::BIGINT, ts := {}"
+_SILENT = f"NOT (s.status IN {_in(tasks.TERMINAL)}) AND s.at + {_HOURS}::BIGINT * 3600000000 < now"
+
+
+@query(
+    f"WITH e AS (SELECT task_id, epoch_us(ts) AS ts, event_id, status FROM ({a.TASK_EVENTS})), w AS (SELECT (max(ts) // 1000 - 600000) * 1000 AS now FROM e), "
+    f"f AS (SELECT task_id, list_reduce(list(struct_pack({_BLANK.format('status', 'ts')}) ORDER BY ts, event_id), lambda acc, x: struct_pack({_STEP}), struct_pack({_BLANK.format(_quote('new'), '0::BIGINT')})) AS s FROM e, w WHERE ts <= now GROUP BY task_id) "
+    f"SELECT task_id, CASE WHEN {_SILENT} THEN 'timeout' ELSE s.status END AS status, s.attempts AS attempts, s.events AS events, s.failures AS failures, s.running_us + CASE WHEN {_SILENT} AND s.status = 'running' THEN {_HOURS}::BIGINT * 3600000000 ELSE 0 END AS running_us, "
+    f"s.queued_us + CASE WHEN {_SILENT} AND s.status = 'queued' THEN {_HOURS}::BIGINT * 3600000000 ELSE 0 END AS queued_us, make_timestamp(CASE WHEN {_SILENT} THEN s.at + {_HOURS}::BIGINT * 3600000000 ELSE s.at END) AS updated_at FROM f, w"
+)
+def task_lifecycle(spark, sf_dir):
+    """The events table replayed as a stream: retries, time-outs, and the time that each task waited and ran."""
+    folder = graph.shared_folder(spark, "lifecycle")
+    # a pattern, as a stream's plain path must be a folder
+    events = spark.readStream.schema(a.read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
+    lifecycle.replay(lifecycle.lifecycle_stream(a.task_events_of(events), "10 minutes", 3, _HOURS * 3_600_000), folder)
+    return lifecycle.present(spark, folder).drop("step").withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
+
+
 # -- reports and Python facts -----------------------------------------------------------------
 
 _SUMMARY = f"SELECT repo_id, file_count * 15 AS file_count, CASE WHEN critical_count > 0 THEN 'critical' WHEN vulnerabilities_found > 30 THEN 'medium' ELSE 'none' END AS risk, secrets_found, vulnerabilities_found, file_count AS other_files, avg_complexity, critical_count AS large_files FROM ({_COUNTS})"

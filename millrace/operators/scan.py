@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -30,17 +32,43 @@ def lines_of(files: DataFrame, text: str = "content") -> DataFrame:
     return files.select(*rest, F.posexplode(F.split(text, "\n")).alias("pos", "text")).select(*rest, (F.col("pos") + 1).alias("line"), "text")
 
 
+#: What a text must hold, without regard to case, for a pattern of a table to match in it; the one
+#: pattern without a fixed part is tried itself where there is a quotation mark.
+NEEDED = {
+    rules.INSECURE_PATTERNS: (
+        "eval", "exec", "compile", "__import__", "pickle.load", "cpickle.", "os.system", "subprocess.", "cursor.execute", ".format", "pk_", "sk_", "akia",
+        "random.randint", "random.choice", "verify",
+    ),
+    rules.SECRET_PATTERNS: ("apikey", "api_key", "api-key", "secret", "token", "passwd", "password", "akia", "pk_", "sk_", "-----begin "),
+}
+_QUOTED = r"""["'][0-9a-zA-Z/+]{40}["']"""
+
+
 def any_of(text: Column, table) -> Column:
     """Whether any pattern matches; what matches in a line matches in the file that holds it."""
     return text.rlike(FLAGS + "|".join(f"(?:{p})" for p, _, _ in table))
 
 
+def suspect(text: Column, *tables) -> Column:
+    """False for texts in which no pattern of the tables can match, true for few others.
+
+    Letters that fold to i, k and s, as the patterns take them, are made so; the text is folded once.
+    """
+    folded = F.lower(F.translate(text, "\u0130\u0131\u017f\u212a", "iisk"))
+    parts = list(dict.fromkeys(x for t in tables for x in NEEDED[t]))
+    held = lambda t: [t.contains(x) for x in parts]
+    any_part = F.element_at(F.transform(F.array(folded), lambda t: functools.reduce(Column.__or__, held(t))), 1)
+    if rules.INSECURE_PATTERNS not in tables:
+        return any_part
+    return any_part | ((text.contains('"') | text.contains("'")) & text.rlike(FLAGS + _QUOTED))
+
+
 def matches(lines: DataFrame, table, names: tuple[str, str]) -> DataFrame:
-    """A row per match of each pattern on each line; lines without any are dropped by one test."""
+    """A row per match of each pattern on each line."""
     hits = F.flatten(F.array(*(_hits(row, names) for row in table)))
     rest = [c for c in lines.columns if c != "text"]
     context = F.substring(stripped(F.col("text")), 1, 200).alias("context")
-    return lines.where(any_of(F.col("text"), table)).select(*rest, context, F.explode(hits).alias("m")).select(*rest, "context", "m.*")
+    return lines.select(*rest, context, F.explode(hits).alias("m")).select(*rest, "context", "m.*")
 
 
 def _hits(row: tuple[str, str, str], names: tuple[str, str]) -> Column:
@@ -53,14 +81,14 @@ def pattern_findings(lines: DataFrame, table=rules.INSECURE_PATTERNS) -> DataFra
     """Findings on lines with a path: files of scanned kinds, not on lines that are only a comment."""
     ext = paths.extension(F.col("path"))
     # the costly test for comments only sees lines that match
-    lines = lines.where(ext.isin(*rules.SCANNED) & any_of(F.col("text"), table)).where(~only_comment(F.col("text"), ext))
+    lines = lines.where(ext.isin(*rules.SCANNED) & suspect(F.col("text"), table) & any_of(F.col("text"), table)).where(~only_comment(F.col("text"), ext))
     return matches(lines, table, ("pattern", "severity")).withColumn("type", F.lit("pattern_match"))
 
 
 def file_findings(files: DataFrame, table=rules.INSECURE_PATTERNS) -> DataFrame:
-    """pattern_findings of whole files; only files in which a pattern matches are cut into lines."""
+    """pattern_findings of whole files; only files in which a pattern can match are cut into lines."""
     scanned = paths.extension(F.col("path")).isin(*rules.SCANNED)
-    return pattern_findings(lines_of(files.where(scanned & any_of(F.col("content"), table)).select("repo_id", "path", "content")), table)
+    return pattern_findings(lines_of(files.where(scanned & suspect(F.col("content"), table)).select("repo_id", "path", "content")), table)
 
 
 def all_findings(files: DataFrame, facts: DataFrame) -> DataFrame:
@@ -74,23 +102,28 @@ def all_findings(files: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def secrets(lines: DataFrame, table=rules.SECRET_PATTERNS) -> DataFrame:
-    return matches(lines, table, ("type", "risk_level"))
-
+    text = F.col("text")
+    return matches(lines.where(suspect(text, table) & any_of(text, table)), table, ("type", "risk_level"))
 
-def security_sums(lines: DataFrame) -> list[Column]:
-    """Aggregates secrets_found, vulnerabilities_found and critical_count of lines, in one scan."""
-    text, ext = F.col("text"), paths.extension(F.col("path"))
 
-    def found(table, test: Column) -> Column:
-        count = sum((F.regexp_count(text, F.lit(FLAGS + p)) for p, _, _ in table), F.lit(0))
-        return F.coalesce(F.sum(F.when(test & any_of(text, table), count)), F.lit(0)).cast("long")
+def security_counts(lines: DataFrame, *keys: str) -> DataFrame:
+    """keys with secrets_found, vulnerabilities_found and critical_count of their lines, and file_count, in one scan.
 
-    code = ext.isin(*rules.SCANNED) & any_of(text, rules.INSECURE_PATTERNS) & ~only_comment(text, ext)
-    critical = [r for r in rules.INSECURE_PATTERNS if r[2] == "critical"]
-    return [
-        found(rules.SECRET_PATTERNS, F.lit(True)).alias("secrets_found"), found(rules.INSECURE_PATTERNS, code).alias("vulnerabilities_found"),
-        found(critical, code).alias("critical_count"),
-    ]
+    Each line is tested once and each pattern counted once, on suspect lines only. Lines are summed by
+    file first, so the files are counted without a distinct aggregate, which would read every line twice.
+    """
+    text, ext = F.col("text"), paths.extension(F.col("path"))
+    count = lambda table: sum((F.regexp_count(text, F.lit(FLAGS + p)) for p, _, _ in table), F.lit(0))
+    kinds = [[r for r in rules.INSECURE_PATTERNS if (r[2] == "critical") == worst] for worst in (False, True)]
+    code = ext.isin(*rules.SCANNED) & suspect(text, rules.INSECURE_PATTERNS) & any_of(text, rules.INSECURE_PATTERNS) & ~only_comment(text, ext)
+    found = F.when(code, F.struct(*(count(k).alias(n) for k, n in zip(kinds, ("plain", "critical"), strict=True))))
+    secret = F.when(suspect(text, rules.SECRET_PATTERNS) & any_of(text, rules.SECRET_PATTERNS), count(rules.SECRET_PATTERNS))
+    rows = lines.select(*keys, "path", secret.alias("secret"), found.alias("found"))
+    whole = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    per_file = rows.groupBy(*keys, "path").agg(whole("secret").alias("s"), whole("found.plain").alias("p"), whole("found.critical").alias("c"))
+    return per_file.groupBy(*keys).agg(
+        F.sum("s").alias("secrets_found"), F.sum(F.col("p") + F.col("c")).alias("vulnerabilities_found"), F.sum("c").alias("critical_count"), F.count("*").alias("file_count")
+    )
 
 
 def severity_rank(severity: Column) -> Column:

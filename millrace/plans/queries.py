@@ -118,8 +118,7 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def security_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts over lines in one scan, and the mean complexity of the repository's Python files."""
-    lines = a.code_lines(spark, sf_dir)
-    counts = lines.groupBy("repo_id").agg(*scan.security_sums(lines), F.countDistinct("path").alias("file_count"))
+    counts = scan.security_counts(a.code_lines(spark, sf_dir), "repo_id")
     complexity = pyast.repository_stats(pyast.file_stats(a.python_files(spark, sf_dir))).select("repo_id", F.col("avg_complexity_score").alias("avg_complexity"))
     return counts.join(complexity, "repo_id", "left").fillna(0.0, ["avg_complexity"])
 
@@ -1221,27 +1220,30 @@ def repository_licences(spark, sf_dir):
     return rows.withColumns({"detected": F.array_join("detected", ","), "advice": F.array_join("advice", ",")})
 
 
+_REPORT_FILES = f"SELECT repo_id, path, content, size_bytes FROM ({a.FILES}) UNION ALL SELECT repo_id, path, content, CAST(strlen(content) AS BIGINT) FROM ({a.PYTHON_FILES})"
+_REPORT_LINES = _DOC_LINES.replace(a.FILES, _REPORT_FILES)
 _REPORT = (
-    f"WITH m AS ({_METRICS}), v AS (SELECT repo_id, count(*) AS n, count(*) FILTER (severity = 'critical') AS c FROM (SELECT * FROM ({_matches(_DOC_LINES, rules.INSECURE_PATTERNS, 'pattern', 'severity')}) WHERE {_EXT} IN {_in(rules.SCANNED)}) GROUP BY 1), "
-    f"s AS (SELECT repo_id, count(*) AS n FROM ({_matches(_DOC_LINES, rules.SECRET_PATTERNS, 'type', 'risk_level')}) GROUP BY 1), "
-    "t AS (SELECT m.*, coalesce(s.n, 0) AS secrets_found, coalesce(v.n, 0) AS vulnerabilities_found, coalesce(v.c, 0) AS critical_count, 0.0::DOUBLE AS avg_complexity FROM m LEFT JOIN v USING (repo_id) LEFT JOIN s USING (repo_id)) "
+    f"WITH m AS ({_METRICS.replace(a.FILES, _REPORT_FILES)}), v AS (SELECT repo_id, count(*) AS n, count(*) FILTER (severity = 'critical') AS c FROM (SELECT * FROM ({_matches(_REPORT_LINES, rules.INSECURE_PATTERNS, 'pattern', 'severity')}) WHERE {_EXT} IN {_in(rules.SCANNED)}) GROUP BY 1), "
+    f"s AS (SELECT repo_id, count(*) AS n FROM ({_matches(_REPORT_LINES, rules.SECRET_PATTERNS, 'type', 'risk_level')}) GROUP BY 1), "
+    f"p AS (SELECT repo_id, avg(complexity_score) FILTER (complexity_score > 0) AS avg_complexity, CAST(coalesce(sum(dangerous), 0) AS BIGINT) AS dangerous FROM ({_PY_STATS}) GROUP BY 1), "
+    "t AS (SELECT m.*, coalesce(s.n, 0) AS secrets_found, coalesce(v.n, 0) + coalesce(p.dangerous, 0) AS vulnerabilities_found, coalesce(v.c, 0) AS critical_count, coalesce(p.avg_complexity, 0.0) AS avg_complexity FROM m LEFT JOIN v USING (repo_id) LEFT JOIN s USING (repo_id) LEFT JOIN p USING (repo_id)) "
     f"SELECT *, CAST({_RISK} AS INT) AS risk_score, {_level(f'CAST({_RISK} AS INT)')} AS risk, "
     "CASE WHEN critical_count > 0 THEN 'critical' WHEN vulnerabilities_found > 0 THEN 'high' WHEN secrets_found > 5 THEN 'medium' WHEN secrets_found > 0 THEN 'low' ELSE 'none' END AS security_level, "
     "CASE WHEN critical_count > 0 THEN 90 WHEN vulnerabilities_found > 0 THEN 70 WHEN secrets_found > 5 THEN 50 WHEN secrets_found > 0 THEN 30 ELSE 0 END AS security_score FROM t"
 )
 
 
-@query(_REPORT)  # the documents' prose holds no call that a syntax tree would show, so the SQL has none
+@query(_REPORT)  # the documents' prose holds no call that a syntax tree would show; the Python files do
 def repository_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: metrics, complexity, findings, secrets, risk and the security tier of every repository.
 
     Files are cut into lines only where a pattern matches somewhere in them; all sums meet in one join by repository.
     """
-    files = a.files(spark, sf_dir).select("repo_id", "path", "content", "size_bytes")
+    python_files = a.python_files(spark, sf_dir).withColumn("size_bytes", F.octet_length("content").cast("long"))
+    files = a.files(spark, sf_dir).select("repo_id", "path", "content", "size_bytes").unionByName(python_files)
     m = metrics.code_metrics(metrics.file_facts(files))
-    suspect = files.where(scan.any_of(F.col("content"), (*rules.INSECURE_PATTERNS, *rules.SECRET_PATTERNS)))
-    lines = scan.lines_of(suspect.select("repo_id", "path", "content"))
-    found = lines.groupBy("repo_id").agg(*scan.security_sums(lines))
+    suspects = files.where(scan.suspect(F.col("content"), rules.INSECURE_PATTERNS, rules.SECRET_PATTERNS))
+    found = scan.security_counts(scan.lines_of(suspects.select("repo_id", "path", "content")), "repo_id").drop("file_count")
     python = pyast.repository_stats(pyast.file_stats(files)).select("repo_id", F.col("avg_complexity_score").alias("avg_complexity"), "dangerous_calls")
     counts = ["secrets_found", "vulnerabilities_found", "critical_count", "avg_complexity", "dangerous_calls"]
     rows = m.join(found, "repo_id", "left").join(python, "repo_id", "left").fillna(0, counts)

@@ -193,3 +193,27 @@ def test_archives_as_a_stream(spark, tmp_path):
     write_zip(folder / "b.zip", [("g", "y")])
     assert run() == sorted([*first, ("b", "g")])
     assert run() == sorted([*first, ("b", "g")])  # nothing comes twice
+
+
+# -- prefilters of scans
+
+
+def test_no_match_is_passed_over(spark):
+    """Every text in which a pattern matches is a suspect, whatever its case and whatever letters fold to it."""
+    from millrace.functions import rules
+    from millrace.operators import scan
+    from millrace.plans import adapters
+
+    r = random.Random(4)
+    seeds = [*adapters.LINES, "API_KEY = 'abcdefghij'", "token: \"12345678\"", "-----BEGIN RSA PRIVATE KEY-----", "'" + "aB3/+" * 8 + "'", "ſubproceſſ.run(x)", "verİfy = false", "AKIA" + "X" * 16]
+    odd = {"s": "ſ", "S": "ſ", "k": "K", "K": "K", "i": "ı", "I": "İ"}
+    rows = []
+    for _ in range(3000):
+        t = "".join(odd[c] if c in odd and r.random() < 0.2 else c.swapcase() if r.random() < 0.3 else c for c in r.choice(seeds))
+        if r.random() < 0.3:
+            t = t.replace(r.choice(t), r.choice(" x('\""), 1)
+        rows.append((t,))
+    df = spark.createDataFrame(rows, "t string")
+    for table in (rules.INSECURE_PATTERNS, rules.SECRET_PATTERNS):
+        got = df.select(scan.any_of(F.col("t"), table).alias("hit"), scan.suspect(F.col("t"), table).alias("maybe"), "t")
+        assert got.where("hit AND NOT maybe").collect() == [] and got.where("hit").count() > 300 and got.where("NOT maybe").count() > 300

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -248,10 +248,15 @@ def refactoring(edges: DataFrame, max_cycles: int = 5) -> DataFrame:
     return rows.union(loops.select(F.lit("circular_dependency"), F.array_join(F.col("cycle").cast("array<string>"), ">"), F.lit("high"), F.size("cycle").cast("long")))
 
 
-def dot(edges: DataFrame) -> DataFrame:
-    """One DOT line per edge, in order, with the weight where it is above one."""
+def dot_line() -> Column:
+    """The DOT line of an edge (src, dst, weight), with the weight where it is above one."""
     label = F.when(F.col("weight") > 1, F.format_string(' [label="x%d"]', F.col("weight").cast("int"))).otherwise("")
-    return edges.orderBy("src", "dst").select(F.concat(F.lit('  "'), "src", F.lit('" -> "'), "dst", F.lit('"'), label, F.lit(";")).alias("line"))
+    return F.concat(F.lit('  "'), "src", F.lit('" -> "'), "dst", F.lit('"'), label, F.lit(";"))
+
+
+def dot(edges: DataFrame) -> DataFrame:
+    """One DOT line per edge, in order."""
+    return edges.orderBy("src", "dst").select(dot_line().alias("line"))
 
 
 def dependency_edges(facts: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, rules
-from ..operators import conflicts, documents, embedding_cache, flows, graph, metrics, pyast, report, retention, scan, snapshots, store, symbols, trees, vectors
+from ..operators import conflicts, documents, embedding_cache, flows, graph, metrics, pyast, rendering, report, retention, scan, snapshots, store, symbols, trees, vectors
 from ..streaming import lifecycle, tasks
 from . import adapters as a
 
@@ -750,15 +750,15 @@ def _summary(spark, sf_dir):
     )
 
 
-def _numbered(texts: list[str], limit: int) -> str:
+def _numbered(texts: list[str], limit: int, summary: str = _SUMMARY) -> str:
     union = " UNION ALL ".join(f"SELECT repo_id, {k} AS k, {t} AS text FROM s" for k, t in enumerate(texts))
     return (
-        f"WITH s AS ({_SUMMARY}), t AS ({union}), o AS (SELECT repo_id, text, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY k) AS INT) AS ord FROM t WHERE text IS NOT NULL) "
+        f"WITH s AS ({summary}), t AS ({union}), o AS (SELECT repo_id, text, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY k) AS INT) AS ord FROM t WHERE text IS NOT NULL) "
         f"SELECT repo_id, ord, text FROM o WHERE ord <= {limit}"
     )
 
 
-@query(_numbered([
+_ADVICE = [
     "CASE WHEN file_count > 1000 THEN 'Consider splitting this large codebase into smaller, focused modules.' WHEN file_count > 500 THEN 'The codebase is moderately large. Ensure proper module separation.' END",
     "CASE WHEN risk IN ('high', 'critical') THEN 'Address high-risk issues immediately, starting with security vulnerabilities.' WHEN risk = 'medium' THEN 'Review medium-risk findings and plan refactoring.' END",
     "CASE WHEN secrets_found > 0 THEN 'Remove ' || secrets_found || ' hardcoded secret(s) and use environment variables.' END",
@@ -766,7 +766,10 @@ def _numbered(texts: list[str], limit: int) -> str:
     "CASE WHEN other_files > 20 THEN 'Organize ' || other_files || ' uncategorized files into proper architectural layers.' END",
     "CASE WHEN avg_complexity > 50 THEN 'Reduce function/class complexity through refactoring.' END",
     *map(_quote, report.GENERAL_ADVICE),
-], 10))
+]
+
+
+@query(_numbered(_ADVICE, 10))
 def readme_advice(spark, sf_dir):
     return report.readme_advice(_summary(spark, sf_dir))
 
@@ -1252,3 +1255,132 @@ def repository_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({
         "risk_score": metrics.metric_score(), "risk": metrics.level(metrics.metric_score()), "security_level": name, "security_score": score,
     })
+
+
+# -- texts ------------------------------------------------------------------------------------
+
+
+def _report_files(spark, sf_dir):
+    python_files = a.python_files(spark, sf_dir).withColumn("size_bytes", F.octet_length("content").cast("long"))
+    return a.files(spark, sf_dir).select("repo_id", "path", "content", "size_bytes").unionByName(python_files)
+
+
+def _report_summary(spark, sf_dir):
+    stats = pyast.repository_stats(_stats(spark, sf_dir)).select("repo_id", "python_files", "functions", "classes")
+    rows = repository_report(spark, sf_dir).withColumn("total_kb", F.round(F.col("total_bytes") / 1024, 2))
+    return rows.join(stats, "repo_id", "left").fillna(0, ["python_files", "functions", "classes"])
+
+
+_SUMMED = (
+    f"SELECT r.*, round(total_bytes / 1024, 2) AS total_kb, coalesce(p.python_files, 0) AS python_files, coalesce(p.functions, 0) AS functions, coalesce(p.classes, 0) AS classes FROM ({_REPORT}) r LEFT JOIN "
+    f"(SELECT repo_id, count(*) AS python_files, CAST(sum(functions) AS BIGINT) AS functions, CAST(sum(classes) AS BIGINT) AS classes FROM ({_PY_STATS}) GROUP BY 1) p USING (repo_id)"
+)
+_CUT = "string_agg({line}, chr(10) ORDER BY rank) FILTER (rank <= {n}) || CASE WHEN count(*) > {n} THEN chr(10) || {more} ELSE '' END"
+
+
+def _cut(rows: str, line: str, order: str, n: int, more: str) -> str:
+    return f"SELECT repo_id, {_CUT.format(line=line, n=n, more=more)} AS text FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY {order}) AS rank FROM ({rows})) GROUP BY 1"
+
+
+_REPORT_SECRETS = _matches(_REPORT_LINES, rules.SECRET_PATTERNS, "type", "risk_level")
+_REPORT_FINDINGS = f"SELECT * FROM ({_matches(_REPORT_LINES, rules.INSECURE_PATTERNS, 'pattern', 'severity')}) WHERE {_EXT} IN {_in(rules.SCANNED)}"
+_REPORT_FACTS = _FACTS.replace(a.FILES, _REPORT_FILES)
+_OTHER = _quote("other")
+_PARTS = {
+    "types": _cut(f"SELECT repo_id, category, count(*) AS k FROM ({_REPORT_FACTS}) GROUP BY ALL", "'- ' || upper(left(category, 1)) || substr(category, 2) || ': ' || k || ' files'", "k DESC, category", 10, "'- and ' || (count(*) - 10) || ' more'"),
+    "languages": f"SELECT repo_id, '- ' || replace(languages, ',', ', ') AS text FROM ({_REPORT}) WHERE languages <> ''",
+    "layers": "SELECT repo_id, string_agg(text, chr(10) ORDER BY layer) AS text FROM (SELECT repo_id, layer, '### ' || upper(layer) || ' Layer (' || count(*) || ' files)' || chr(10) || "
+    + _CUT.format(line="'- `' || path || '`'", n=5, more="'- *... and ' || (count(*) - 5) || ' more*'") + f" AS text FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, layer ORDER BY path) AS rank FROM ({_REPORT_FACTS})) GROUP BY 1, 2) GROUP BY 1",
+    "secrets": _cut(_REPORT_SECRETS, "rank || '. **' || type || '** in `' || path || '`' || chr(10) || '   - Line: ' || line || chr(10) || '   - Risk: ' || risk_level", "path, line, type, match", 3, "'*... and ' || (count(*) - 3) || ' more*'"),
+    "vulnerabilities": _cut(_REPORT_FINDINGS, "rank || '. **' || pattern || '** in `' || path || '`' || chr(10) || '   - Line: ' || line || chr(10) || '   - Severity: ' || severity", "path, line, pattern, match", 3, "'*... and ' || (count(*) - 3) || ' more*'"),
+    "complex": _cut(f"SELECT * FROM ({_PY_STATS}) WHERE NOT parse_error", "'- `' || path || '`: complexity ' || complexity_score || ', functions ' || functions || ', classes ' || classes", "complexity_score DESC, path", 3, "'- and ' || (count(*) - 3) || ' more'"),
+    "advice": f"SELECT repo_id, string_agg('- ' || text, chr(10) ORDER BY ord) AS text FROM ({_numbered(_ADVICE, 10, f'SELECT r.*, o.other_files FROM ({_REPORT}) r JOIN (SELECT repo_id, count(*) FILTER (layer = {_OTHER}) AS other_files FROM ({_REPORT_FACTS}) GROUP BY 1) o USING (repo_id)')}) GROUP BY 1",
+}
+_AT = "2024-05-05 00:00:00"
+
+
+def _under(title: str, part: str) -> str:
+    return f"CASE WHEN {part}.text IS NOT NULL THEN {_quote(title)} || chr(10) || chr(10) || {part}.text END"
+
+
+def _lines(*lines: str) -> str:
+    return " || chr(10) || ".join(lines)
+
+
+_README = ", ".join((
+    _lines("'# ' || s.repo_id", "''", f"'*Generated on {_AT}*'", "''", "'## Overview'", "''", "'- **Repository**: `' || s.repo_id || '`'", "'- **Files Analyzed**: ' || file_count"),
+    _lines("'## Metrics'", "''", "'- **Total Files**: ' || file_count", "'- **Total Lines**: ' || total_lines", "'- **Total Size**: ' || printf('%.2f', total_kb) || ' KB'", "'- **Risk Level**: **' || upper(risk) || '** (Score: ' || risk_score || '/100)'"),
+    _under("### File Types", "types"), _under("### Languages", "langs"), _under("## Architecture", "layers"),
+    _lines("'## Security'", "''", "'- **Secrets Found**: ' || secrets_found", "'- **Vulnerabilities Found**: ' || vulnerabilities_found", "'- **Overall Risk**: ' || upper(security_level)"),
+    _under("### Potential Secrets Found", "secrets"), _under("### Potential Vulnerabilities", "vulnerabilities"),
+    "CASE WHEN python_files > 0 THEN " + _lines("'## Python Analysis'", "''", "'- **Python Files**: ' || python_files", "'- **Functions Found**: ' || functions", "'- **Classes Found**: ' || classes") + " END",
+    _under("### Most Complex Files", "complex"), _under("## Recommendations", "advice"),
+))
+_JOINED = " ".join(f"LEFT JOIN ({_PARTS[k]}) {t} ON {t}.repo_id = s.repo_id" for k, t in (("types", "types"), ("languages", "langs"), *((k, k) for k in ("layers", "secrets", "vulnerabilities", "complex", "advice"))))
+
+
+@query(f"SELECT s.repo_id, concat_ws(chr(10) || chr(10), {_README}) AS readme FROM ({_SUMMED}) s {_JOINED}")
+def repository_readmes(spark, sf_dir):
+    """A README for every repository, its lists cut to their first entries."""
+    files, summary = _report_files(spark, sf_dir), _report_summary(spark, sf_dir)
+    facts = metrics.file_facts(files)
+    lines = scan.lines_of(files.where(scan.suspect(F.col("content"), rules.INSECURE_PATTERNS, rules.SECRET_PATTERNS)).select("repo_id", "path", "content"))
+    entry = lambda what, level, risk: F.format_string(f"%d. **%s** in `%s`\n   - Line: %d\n   - {level}: %s", "rank", what, "path", "line", risk)
+    more, order = "*... and %d more*", lambda what: [F.col(c) for c in ("path", "line", what, "match")]
+    types = facts.groupBy("repo_id", "category").agg(F.count("*").alias("k"))
+    other = facts.groupBy("repo_id").agg(F.sum((F.col("layer") == "other").cast("long")).alias("other_files"))
+    advice = report.readme_advice(summary.join(other, "repo_id")).withColumn("rank", F.col("ord"))
+    name = F.concat(F.upper(F.left("category", F.lit(1))), F.expr("substring(category, 2)"))
+    parts = {
+        "types": rendering.listing(types, F.concat(F.lit("- "), name, F.lit(": "), "k", F.lit(" files")), [F.desc("k"), F.col("category")], 10, "types", "- and %d more"),
+        "languages": summary.where("languages <> ''").select("repo_id", F.concat(F.lit("- "), F.replace("languages", F.lit(","), F.lit(", ")))),
+        "layers": rendering.layer_section(facts.select("repo_id", "layer", "path")),
+        "secrets": rendering.listing(scan.secrets(lines), entry("type", "Risk", "risk_level"), order("type"), 3, "secrets", more),
+        "vulnerabilities": rendering.listing(scan.pattern_findings(lines), entry("pattern", "Severity", "severity"), order("pattern"), 3, "vulnerabilities", more),
+        "complex": rendering.listing(
+            _stats(spark, sf_dir).where("NOT parse_error"), F.format_string("- `%s`: complexity %d, functions %d, classes %d", "path", "complexity_score", "functions", "classes"),
+            [F.desc("complexity_score"), F.col("path")], 3, "complex", "- and %d more",
+        ),
+        "advice": rendering.listing(advice, F.concat(F.lit("- "), "text"), [F.col("ord")], 10, "advice", "- and %d more"),
+    }
+    return rendering.readmes(summary, parts, _AT)
+
+
+@query(
+    "SELECT repo_id, CAST(ord AS INT) AS ord, metric, value FROM (SELECT repo_id, unnest(range(7)) AS ord, unnest(['Metric', 'Total Files', 'Total Lines', 'Total Size', 'Risk Level', 'Risk Score', 'Languages']) AS metric, "
+    "unnest(['Value', CAST(file_count AS VARCHAR), CAST(total_lines AS VARCHAR), printf('%.2f', total_kb) || ' KB', upper(risk), risk_score || '/100', CASE WHEN languages <> '' THEN replace(languages, ',', ', ') END]) AS value "
+    f"FROM ({_SUMMED})) WHERE value IS NOT NULL"
+)
+def report_tables(spark, sf_dir):
+    return rendering.summary_tables(_report_summary(spark, sf_dir))
+
+
+@query(f"SELECT repo_id, array_to_string(list_sort(list(DISTINCT layer)), ',') AS nodes, 0 AS edges FROM ({_FACTS}) GROUP BY 1")
+def layer_diagrams(spark, sf_dir):
+    rows = rendering.layer_diagrams(metrics.file_facts(a.files(spark, sf_dir)))
+    return rows.select("repo_id", F.array_join("nodes", ",").alias("nodes"), F.size("edges").alias("edges"))
+
+
+@query(
+    f"WITH e AS (SELECT repo_id, src, dst, count(*) AS w FROM ({_EDGES}) GROUP BY 1, 2, 3) SELECT repo_id, '1 ' || src || ' ' || dst AS ord, '  \"' || src || '\" -> \"' || dst || '\"' || CASE WHEN w > 1 THEN ' [label=\"x' || w || '\"]' ELSE '' END || ';' AS line FROM e "
+    "UNION ALL SELECT DISTINCT repo_id, '0', 'digraph dependencies {' FROM e UNION ALL SELECT DISTINCT repo_id, '2', '}' FROM e"
+)
+def dependency_dot(spark, sf_dir):
+    """A DOT file for each repository's dependencies, with its heading and end."""
+    return rendering.dot_files(graph.aggregate_edges(graph.dependency_edges(_facts(spark, sf_dir)), "repo_id"), "repo_id")
+
+
+@query(f"SELECT repo_id, CAST(rank AS INT) AS rank, path, CAST(line AS BIGINT) AS line, type, substr(context, 1, 100) AS context, match FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY path, line, type, match) AS rank FROM ({_SECRETS})) WHERE rank <= 20")
+def first_secrets(spark, sf_dir):
+    """The first twenty secrets of each repository, with shorter contexts."""
+    rows = rendering.first(scan.secrets(a.code_lines(spark, sf_dir)), 20, [F.col(c) for c in ("path", "line", "type", "match")], "repo_id")
+    return rows.select("repo_id", "rank", "path", F.col("line").cast("long").alias("line"), "type", F.substring("context", 1, 100).alias("context"), "match")
+
+
+@query(
+    "SELECT repo_id, path, CASE WHEN ok THEN array_to_string(list_concat([x FOR x IN ['f', 'f', 'f'][:CAST(b AS INT)]], CASE WHEN c = 1 THEN ['C'] ELSE [] END, CASE WHEN e = 1 THEN ['r', 's'] ELSE [] END, CASE WHEN c = 1 THEN ['g'] ELSE [] END), ',') END AS names "
+    f"FROM ({_PY})"
+)
+def python_names(spark, sf_dir):
+    """Names of functions and classes in the order in which a walk by levels meets them."""
+    return _stats(spark, sf_dir).select("repo_id", "path", F.array_join("names", ",").alias("names"))

@@ -397,3 +397,16 @@ PACKAGE_NEEDS = (
 def package_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "part").where("p_partkey < 400 AND p_partkey % 6 > 0")
     return rows.select(F.concat(F.lit("p"), "p_partkey").alias("package"), pick(PACKAGE_LICENCES, "(p_partkey div 2)").alias("licence"))
+
+
+def block_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts in blocks of fifty: each points at another of its block, every seventh also at the one before it, some at the next block."""
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("src"))
+    more = F.array_compact(F.array(F.expr("src - src % 50 + (src * 7 + 3) % 50"), F.expr("CASE WHEN src % 7 = 0 AND src % 50 > 0 THEN src - 1 END"), F.expr("CASE WHEN src % 200 = 49 THEN src + 1 END")))
+    return rows.select("src", F.explode(more).alias("dst"))
+
+
+BLOCK_GRAPH = (
+    "SELECT src, unnest(list_filter([src - src % 50 + (src * 7 + 3) % 50, CASE WHEN src % 7 = 0 AND src % 50 > 0 THEN src - 1 END, CASE WHEN src % 200 = 49 THEN src + 1 END], lambda x: x IS NOT NULL)) AS dst FROM "
+    "(SELECT CAST(p_partkey AS BIGINT) AS src FROM part)"
+)

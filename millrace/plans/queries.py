@@ -1384,3 +1384,22 @@ def first_secrets(spark, sf_dir):
 def python_names(spark, sf_dir):
     """Names of functions and classes in the order in which a walk by levels meets them."""
     return _stats(spark, sf_dir).select("repo_id", "path", F.array_join("names", ",").alias("names"))
+
+
+# -- graphs of thousands of nodes -------------------------------------------------------------
+
+
+@query(_ORACLE["wcc"].replace(a.SMALL_GRAPH, a.BLOCK_GRAPH))
+def weak_components_of_parts(spark, sf_dir):
+    return graph.weak_components(a.block_graph(spark, sf_dir))
+
+
+@query(_ORACLE["strong_components"].replace(a.SMALL_GRAPH, a.BLOCK_GRAPH))
+def strong_components_of_parts(spark, sf_dir):
+    return graph.strong_components(a.block_graph(spark, sf_dir))
+
+
+@query(_CYCLES.replace(a.SMALL_GRAPH, a.BLOCK_GRAPH))
+def cycles_of_parts(spark, sf_dir):
+    found = graph.cycles(a.block_graph(spark, sf_dir))
+    return found.select(F.array_join(F.col("cycle").cast("array<string>"), ">").alias("cycle"))

@@ -3,7 +3,8 @@
 A page becomes a tree of elements. Every paragraph scores by its length and commas and passes
 its points to its ancestors, less with each level; a container's points are discounted by its
 link density. The best container is kept, with those siblings that score like it or read like
-its paragraphs; menus, notices and the like inside are dropped by what their tags and names say.
+its paragraphs; menus, notices and the like inside are dropped by what their tags and names say, where
+a name can't as well be a subject of the article.
 """
 
 from __future__ import annotations
@@ -35,13 +36,20 @@ ENDS = {
 DROPPED = set("nav footer aside form button select input label svg canvas object audio video head dialog menu search datalist map math".split()) | RAW
 #: Words in a class, id or role that mark what isn't the article.
 BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adbox|adslot|banners?|sponsor(?:ed|s)?|promos?|promoted|nav|navbar|navigation|menus?|breadcrumbs?|"
-    r"sidebars?|side|footers?|masthead|topbar|toolbar|(?:site|page|main|global|top)-?header|comments?|disqus|respond|replies|reviews|discussion|"
-    r"cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|"
-    r"related|recommend(?:ed|ations)?|more-stories|read-?more|widgets?|pagination|pager|copyright|legal|disclaimer|skip-?link|complementary|"
-    r"contentinfo|search|forms?|tags?|tagcloud|author-?box|paywall|outbrain|taboola)(?=$|[\s_-]|\d)|"
-    r"comments(?=$|[\s_-]|\d)|(?:^|[\s_-])comment(?:list|form|area|section|box)|sidebar|navbar|breadcrumb|cookie(?:bar|banner|notice|consent)|advert(?!or)|disqus"
+    r"(?:^|[\s_-])(?:ad|adverts?|advertisements?|adbox|adslot|banners?|sponsor(?:ed|s)?|promos?|promoted|nav|navbar|navigation|menus?|breadcrumbs?|"
+    r"sidebars?|footers?|masthead|topbar|toolbar|(?:site|page|main|global|top)-?header|comments?|disqus|respond|replies|discussion|"
+    r"cookies?|consent|gdpr|popups?|modals?|overlay|newsletter|subscribe|signup|login|share|sharing|"
+    r"related|recommend(?:ed|ations)?|more-stories|read-?more|widgets?|pagination|pager|copyright|disclaimer|skip-?link|complementary|"
+    r"contentinfo|tagcloud|author-?box|paywall|outbrain|taboola|(?:reader|user|visitor)s?-?(?:responses?|letters|feedback|reviews))(?=$|[\s_-]|\d)|"
+    r"comments(?=$|[\s_-]|\d)|(?:^|[\s_-])comment(?:list|form|area|section|box)|sidebar|navbar|breadcrumb|cookie(?:bar|banner|notice|consent)|advert(?!or)|disqus|(?:^|\s)responses(?=$|\s)"
 )
+#: Words that also name an article's subjects: they count in names that hold nothing else but words for
+#: page parts, and inside an article only for what doesn't read like a section of it.
+AMBIGUOUS = set("ads side notice notices alert alerts reviews subscription social legal search form forms tag tags".split())
+PARTS = set(
+    "bar box banner list links link wrap wrapper container panel block area widget section buttons button icons icon menu nav slot unit top bottom left right "
+    "inner outer header footer page site main col column cloud input field group row message text msg info warning error success".split()
+) - {"info"}
 GOOD = re.compile(r"(?:^|[\s_-])(?:articles?|article-?body|body|content|entry|hentry|main|page|posts?|post-?body|story|text|blog)(?=$|[\s_-]|\d)")
 _HEADER = re.compile(r"(?:^|\s)header(?=$|\s)")
 #: Names of what holds one article; a header in it is the article's own.
@@ -58,13 +66,59 @@ LEVELS = 66
 _SPACE = re.compile(r"\s+")
 
 
+def _ambiguous(names: str) -> bool:
+    """Whether a name consists of an ambiguous word and words for page parts only."""
+    for token in names.split():
+        words = re.split(r"[_-]+|(?<=[a-z])(?=[A-Z\d])", token)
+        words = [w.lower() for w in words if w]
+        if any(w in AMBIGUOUS for w in words) and all(w in AMBIGUOUS or w in PARTS or w.isdigit() for w in words):
+            return True
+    return False
+
+
+def _trust_prose(root: Node, weak: list[Node]) -> None:
+    """Inside an article, ambiguous names don't count for what reads like a section of it.
+
+    That is: it has a heading and a paragraph of a sentence or more, few links and no form controls.
+    One pass over the tree counts these for all elements, children before parents.
+    """
+    order, stack, within = [], [root], set()
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        if node.tag == "article" or node.one or id(node) in within:
+            within.update(id(c) for c in node.children if isinstance(c, Node))
+        stack.extend(c for c in node.children if isinstance(c, Node))
+    chars: dict[int, int] = {}
+    links: dict[int, int] = {}
+    heading: set[int] = set()
+    prose: set[int] = set()
+    controls: set[int] = set()
+    for node in reversed(order):
+        own = sum(len(_SPACE.sub(" ", c).strip()) for c in node.children if isinstance(c, str))
+        inside = [c for c in node.children if isinstance(c, Node)]
+        n = chars[id(node)] = own + sum(chars[id(c)] for c in inside)
+        links[id(node)] = n if node.tag == "a" else sum(links[id(c)] for c in inside)
+        if node.tag in ("h1", "h2", "h3", "h4", "h5", "h6") and n or any(id(c) in heading for c in inside):
+            heading.add(id(node))
+        if node.tag == "p" and n >= 25 and links[id(node)] < 0.5 * n or any(id(c) in prose for c in inside):
+            prose.add(id(node))
+        if node.tag in ("form", "input", "button", "select", "textarea") or any(id(c) in controls for c in inside):
+            controls.add(id(node))
+    for node in weak:
+        k = id(node)
+        if k in within and k in heading and k in prose and k not in controls and links[k] < 0.25 * chars[k]:
+            node.bad = node.named = False
+
+
 class Node:
-    __slots__ = ("tag", "parent", "children", "bad", "named", "good", "one", "holds", "hidden", "score", "chars", "link_chars", "own")
+    __slots__ = ("tag", "parent", "children", "bad", "named", "weak", "good", "one", "holds", "hidden", "score", "chars", "link_chars", "own")
 
     def __init__(self, tag: str, parent: Node | None, names: str = "", hidden: bool = False):
         self.tag, self.parent, self.children = tag, parent, []
-        named = bool(names) and bool(BOILERPLATE.search(names) or tag != "header" and _HEADER.search(names))
-        self.named = named and tag not in ("html", "body", "main", "article")
+        strong = bool(names) and bool(BOILERPLATE.search(names) or tag != "header" and _HEADER.search(names))
+        self.weak = bool(names) and not strong and tag not in DROPPED and _ambiguous(names)
+        self.named = (strong or self.weak) and tag not in ("html", "body", "main", "article")
         self.bad = tag in DROPPED or self.named
         self.good = tag in ("article", "main") or bool(names and GOOD.search(names))
         #: Holds one article, by its element or name; holds: an article or main element is in it.
@@ -141,6 +195,7 @@ def parse(page: str) -> Node:
     at, n, quotes = 0, len(page), _Quotes(page)
     open_: dict[str, int] = {}  # open elements by tag
     headers: list[Node] = []
+    weak: list[Node] = []
 
     def leave(to: Node) -> Node:
         up = node
@@ -198,6 +253,8 @@ def parse(page: str) -> Node:
         node.children.append(child)
         if tag == "header":
             headers.append(child)
+        if child.weak:
+            weak.append(child)
         if tag in ("article", "main"):  # what holds the article isn't what its name says
             up = node
             while up is not None and not up.holds and up.tag not in DROPPED and not (up.named and up.parent is not None and up.parent.tag == "article"):
@@ -208,6 +265,8 @@ def parse(page: str) -> Node:
         if tag not in VOID and not closes_itself or tag == "p":
             node = child
             open_[tag] = open_.get(tag, 0) + 1
+    if weak:
+        _trust_prose(root, weak)
     for h in headers:  # a header that isn't an article's is the site's
         up, level = h.parent, 0
         while up is not None and not up.one and level < LEVELS:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
@@ -57,6 +58,16 @@ def planned(spark: SparkSession, rows: int, rows_each: int = 200_000):
             conf.set(k, v)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver drop what is out of scope, so that Spark's cleaner deletes its shuffle files and checkpoints.
+
+    Spark only notices at the driver's own collections, which a long chain of steps with a small driver
+    heap doesn't bring about; the files of all steps would stay on disk until its end.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
     """mapInArrow with a function from one pandas-free column dict to another.
 
@@ -164,6 +175,7 @@ def connected_components(nodes_edges: DataFrame, max_rounds: int = 60) -> DataFr
         before = after
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    release(spark)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )

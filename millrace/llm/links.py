@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, map_batches, materialize
+from .common import connected_components, map_batches, materialize, release
 
 #: A sketch holds four bits of each of 128 lanes, as eight longs.
 SKETCH = [f"k{i}" for i in range(8)]
@@ -77,7 +77,9 @@ def linked(met: DataFrame, sets: DataFrame, threshold: float, rounds: int = 3) -
         if links.isEmpty():
             return None
         found = connected_components(links).select(F.col("node").alias("root"), F.col("root").alias("new"))
-        return materialize(of.join(found, "root", "left").select("key", "node", F.coalesce("new", "root").alias("root"), *SKETCH))
+        new = materialize(of.join(found, "root", "left").select("key", "node", F.coalesce("new", "root").alias("root"), *SKETCH))
+        release(met.sparkSession)
+        return new
 
     member = F.struct("node", "root", *SKETCH)
     for k in range(rounds):

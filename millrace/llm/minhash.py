@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import links
-from .common import arrow_function, map_batches, materialize, member_filter
+from .common import arrow_function, map_batches, materialize, member_filter, release
 from .token_counts import _Cache
 
 LANES, SHINGLE = 128, 5
@@ -241,8 +241,12 @@ def groups(docs: DataFrame, threshold: float = 0.8, bands: int = 25) -> DataFram
     met = materialize(every.where(member_filter(twice, "key")("key")).distinct().join(twice, "key", "left_semi"))
     crowded = met.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
     met = materialize(met.join(crowded, "key", "left_semi"))
+    del twice, crowded
+    release(docs.sparkSession)
     sets = materialize(shingle_sets(docs, nodes.join(met.select("node").distinct(), "node").select("node", "t")))
     roots = links.linked(met, sets, threshold)
+    del met, sets
+    release(docs.sparkSession)
     placed = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least_id = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     named = placed.join(least_id, "root").select("node", "component_id")

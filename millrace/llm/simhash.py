@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, map_batches, materialize, member_filter, planned
+from .common import connected_components, map_batches, materialize, member_filter, planned, release
 from .links import linked
 
 BITS = 64
@@ -272,6 +272,8 @@ def roots_of(distinct: DataFrame, radius: int = 4) -> DataFrame:
         nodes = materialize(
             distinct.join(stars, distinct.id == stars.node, "left").select("id", "fp", "mixing", F.coalesce("root", "id").alias("root"))
         )
+    del stars
+    release(spark)
     index = _keys(nodes, groups, None, radius, probing=False)
     with planned(spark, parts * n):
         # a value that many fingerprints of one root share: they only meet those of other roots there
@@ -369,8 +371,13 @@ def one_of_each(docs: DataFrame, radius: int = 4, mixings: int = 8, similarity:
         met = nodes.select("node").distinct().join(candidates, "node").select("key", "node")
         several = met.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
         met = materialize(met.join(several, "key"))
+    del roots, shared, candidates, several, marked
+    release(docs.sparkSession)
     sets = materialize(shingle_sets(docs, nodes.join(met.select("node"), "node").groupBy("node").agg(F.min("t").alias("t"))))
-    grouped = nodes.select("node", "check", "first", "n").join(linked(met, sets, similarity), "node", "left")
+    groups = materialize(linked(met, sets, similarity))
+    del met, sets
+    release(docs.sparkSession)
+    grouped = nodes.select("node", "check", "first", "n").join(groups, "node", "left")
     least = grouped.where("root is not null").groupBy("root").agg(F.min("first").alias("least"))
     grouped = grouped.join(least, "root", "left").select("node", "check", "n", "first", F.coalesce("least", "first").alias("stays"))
     # what leaves: all rows of a group but its first; rows alike in all columns share their keys

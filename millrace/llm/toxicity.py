@@ -152,7 +152,8 @@ def toxic_pieces(toxic: list[str], ordinary: bytes, noise: list[bytes], rng: ran
 
     Each round deals the texts into folds, trains a dictionary on the other folds' choice and
     chooses in the fold what gains more by it than nearly all ordinary windows do, so that
-    nothing is chosen for what only its own text says.
+    nothing is chosen for what only its own text says. The first choice is all windows; a round
+    that leaves too little to train dictionaries on doesn't count.
     """
     every = [windows(t, PIECE_BYTES) for t in toxic]
     chosen = every
@@ -166,6 +167,8 @@ def toxic_pieces(toxic: list[str], ordinary: bytes, noise: list[bytes], rng: ran
             least = max(1.0, float(np.quantile(one.gains(noise), EXCEEDS))) if noise else 1.0
             for i in range(f, len(every), FOLDS):
                 after[i] = one.telling(every[i], least)
+        if not all(_toxic_dictionary(after, f, TOXIC_BYTES, random.Random(r)) for f in range(-1, FOLDS)):
+            break  # of few texts little is left; the choice before is the last that dictionaries can be trained on
         chosen = after
     return chosen
 
@@ -232,7 +235,7 @@ def fit(
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.dropDuplicates(["doc_id"])
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))  # toxic, if a doc_id has both labels
     order = F.xxhash64("doc_id", F.lit("toxicity")), F.col("doc_id")
     counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     odds = counts[1] / counts[0] if len(counts) == 2 else None
@@ -248,7 +251,7 @@ def fit(
         left = sample_bytes
         for b in batches:
             for kind, text in zip(b["toxic"], b["text"], strict=True):
-                left -= len(text)
+                left -= len(text.encode())
                 if left >= 0:
                     kinds[kind].append(text)
         m = train(kinds[1], kinds[0], odds)

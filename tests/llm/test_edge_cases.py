@@ -193,3 +193,16 @@ def test_wrapped_and_altered_licences(spark):
     for i, (family, t) in enumerate(WRAPPED.items()):
         assert got[i].licence == family and got[i].paragraphs[0] >= rows[i][1].split("\n").index(t.split("\n")[0])
     assert got[10].licence == got[11].licence == "mit" and got[12].licence == "none"
+
+
+def test_few_labels_train_something():
+    """Of few toxic texts the choice of words leaves nothing; what was chosen before still tells them from others."""
+    import random
+
+    r = random.Random(2)
+    plain = [" ".join(r.choice(["stone", "river", "paper", "window", "garden", "letter", "summer", "market", "yellow"]) + r.choice(["", "s", "ly", ","]) for _ in range(120)) for _ in range(120)]
+    bad = ["vileworde", "nastiterm", "hatefulle"]
+    toxic = [" ".join(r.choice(bad) if r.random() < 0.2 else w for w in t.split()) for t in plain[:24]]
+    scorer = toxicity.Scorer(toxicity.train(toxic[:18], plain[24:100]))
+    low, high = [scorer.score(t) for t in plain[100:]], [scorer.score(t) for t in toxic[18:]]
+    assert sorted(low)[len(low) // 2] < min(high) and scorer.score("") < 0.5

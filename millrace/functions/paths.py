@@ -97,22 +97,11 @@ def valid_git_url(url: Column) -> Column:
     return F.lower(url).rlike(rf"^(https://{hosts}/|git@{hosts}:)")
 
 
-#: Forms of a repository address, in the order in which they are tried; the first that matches wins,
-#: so a tree or blob address reads as a plain one and its branch is always main.
-ADDRESS_FORMS = (
-    r"^https?://github\.com/([^/]+)/([^/#?]+)",
-    r"^git@github\.com:([^/]+)/([^/#?]+)\.git",
-    r"^git@github\.com:([^/]+)/([^/#?]+)",
-    r"^gh repo clone ([^/]+)/([^/#?]+)",
-    r"([^/]+)/([^/]+)",
-)
-
-
 def repository_address(url: Column) -> Column:
     """Struct of username, repo_name, repo_url and branch; null if nothing matches."""
     clean = F.regexp_replace(F.trim(url), "/+$", "")
     user = repo = None
-    for form in ADDRESS_FORMS:
+    for form in rules.ADDRESS_FORMS:
         hit, u, r = clean.rlike(form), F.regexp_extract(clean, form, 1), F.regexp_extract(clean, form, 2)
         user, repo = (F.when(hit, u), F.when(hit, r)) if user is None else (user.when(hit, u), repo.when(hit, r))
     repo = F.replace(repo, F.lit(".git"), F.lit(""))
@@ -160,10 +149,9 @@ def simply_ignored(path: Column, patterns: Iterable[str] = rules.SIMPLE_IGNORES)
 
 def upload_problem(name: Column, mime: Column, size: Column, max_mb: int = 100) -> Column:
     """Why an upload is refused, or null: no name, a wrong ending, a wrong type, too large."""
-    types = ("application/zip", "application/x-zip-compressed", "application/octet-stream")
     return (
         F.when(F.coalesce(name, F.lit("")) == "", "no filename").when(extension(name) != ".zip", "file type")
-        .when((F.coalesce(mime, F.lit("")) != "") & ~mime.isin(*types), "mime type").when(size > (max_mb << 20), "too large")
+        .when((F.coalesce(mime, F.lit("")) != "") & ~mime.isin(*rules.UPLOAD_TYPES), "mime type").when(size > (max_mb << 20), "too large")
     )
 
 

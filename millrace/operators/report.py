@@ -9,17 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import rules
 from ..streaming.tasks import PROGRESS
 
-# Advice that every report ends with.
-GENERAL_ADVICE = (
-    "Ensure all secrets are stored in environment variables or secret managers.",
-    "Add comprehensive tests for critical functionality.",
-    "Document public APIs and complex business logic.",
-    "Consider adding type hints for better code clarity.",
-    "Setup CI/CD pipeline for automated testing and deployment.",
-)
-
 
 def _rows(summary: DataFrame, texts: list[Column], limit: int | None = None) -> DataFrame:
     """repo_id, ord (from 1) and text of the texts that aren't null."""
@@ -33,29 +25,20 @@ def readme_advice(summary: DataFrame) -> DataFrame:
 
     summary: repo_id, file_count, risk, secrets_found, vulnerabilities_found, other_files, avg_complexity.
     """
-    n, risk = F.col("file_count"), F.col("risk")
-    count = lambda c, form: F.when(F.col(c) > 0, F.format_string(form, c))
+    n, risk, say = F.col("file_count"), F.col("risk"), rules.ADVICE
+    count = lambda c, form, least=0: F.when(F.col(c) > least, F.format_string(form, c))
     return _rows(summary, [
-        F.when(n > 1000, "Consider splitting this large codebase into smaller, focused modules.")
-        .when(n > 500, "The codebase is moderately large. Ensure proper module separation."),
-        F.when(risk.isin("high", "critical"), "Address high-risk issues immediately, starting with security vulnerabilities.")
-        .when(risk == "medium", "Review medium-risk findings and plan refactoring."),
-        count("secrets_found", "Remove %d hardcoded secret(s) and use environment variables."),
-        count("vulnerabilities_found", "Review %d potential vulnerability(ies) for security fixes."),
-        F.when(F.col("other_files") > 20, F.format_string("Organize %d uncategorized files into proper architectural layers.", "other_files")),
-        F.when(F.col("avg_complexity") > 50, "Reduce function/class complexity through refactoring."),
-        *map(F.lit, GENERAL_ADVICE),
+        F.when(n > 1000, say["huge"]).when(n > 500, say["large"]), F.when(risk.isin("high", "critical"), say["high risk"]).when(risk == "medium", say["medium risk"]),
+        count("secrets_found", say["secrets"]), count("vulnerabilities_found", say["vulnerabilities"]), count("other_files", say["other files"], 20),
+        F.when(F.col("avg_complexity") > 50, say["complexity"]), *map(F.lit, rules.GENERAL_ADVICE),
     ], 10)
 
 
 def key_findings(summary: DataFrame) -> DataFrame:
     """summary: repo_id, secrets_found, vulnerabilities_found, large_files, other_files."""
-    count = lambda c, form: F.when(F.col(c) > 0, F.format_string(form, c))
-    found = [
-        count("secrets_found", "%d potential secret(s) found"), count("vulnerabilities_found", "%d potential vulnerability(ies) found"),
-        count("large_files", "%d large file(s) (may need refactoring)"), count("other_files", "%d file(s) not following clear architecture"),
-    ]
-    return _rows(summary, [*found, F.when(F.coalesce(*found).isNull(), "Codebase looks well-structured")])
+    columns = {"secrets": "secrets_found", "vulnerabilities": "vulnerabilities_found", "large files": "large_files", "other files": "other_files"}
+    found = [F.when(F.col(c) > 0, F.format_string(rules.KEY_FINDINGS[k], c)) for k, c in columns.items()]
+    return _rows(summary, [*found, F.when(F.coalesce(*found).isNull(), rules.KEY_FINDINGS["none"])])
 
 
 def licence_advice(checks: DataFrame) -> DataFrame:

@@ -193,7 +193,7 @@ _CLEAN = "regexp_replace(trim(url), '/+$', '')"
 
 
 def _form(group: int) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches({_CLEAN}, {_quote(f)}) THEN regexp_extract({_CLEAN}, {_quote(f)}, {group})" for f in paths.ADDRESS_FORMS) + " END"
+    return "CASE " + " ".join(f"WHEN regexp_matches({_CLEAN}, {_quote(f)}) THEN regexp_extract({_CLEAN}, {_quote(f)}, {group})" for f in rules.ADDRESS_FORMS) + " END"
 
 
 @query(
@@ -758,15 +758,19 @@ def _numbered(texts: list[str], limit: int, summary: str = _SUMMARY) -> str:
     )
 
 
+def _about(text: str, column: str) -> str:
+    return f"replace({_quote(text)}, '%d', CAST({column} AS VARCHAR))"
+
+
 _ADVICE = [
-    "CASE WHEN file_count > 1000 THEN 'Consider splitting this large codebase into smaller, focused modules.' WHEN file_count > 500 THEN 'The codebase is moderately large. Ensure proper module separation.' END",
-    "CASE WHEN risk IN ('high', 'critical') THEN 'Address high-risk issues immediately, starting with security vulnerabilities.' WHEN risk = 'medium' THEN 'Review medium-risk findings and plan refactoring.' END",
-    "CASE WHEN secrets_found > 0 THEN 'Remove ' || secrets_found || ' hardcoded secret(s) and use environment variables.' END",
-    "CASE WHEN vulnerabilities_found > 0 THEN 'Review ' || vulnerabilities_found || ' potential vulnerability(ies) for security fixes.' END",
-    "CASE WHEN other_files > 20 THEN 'Organize ' || other_files || ' uncategorized files into proper architectural layers.' END",
-    "CASE WHEN avg_complexity > 50 THEN 'Reduce function/class complexity through refactoring.' END",
-    *map(_quote, report.GENERAL_ADVICE),
-]
+    f"CASE WHEN file_count > 1000 THEN {_quote(rules.ADVICE['huge'])} WHEN file_count > 500 THEN {_quote(rules.ADVICE['large'])} END",
+    f"CASE WHEN risk IN ('high', 'critical') THEN {_quote(rules.ADVICE['high risk'])} WHEN risk = 'medium' THEN {_quote(rules.ADVICE['medium risk'])} END",
+    f"CASE WHEN secrets_found > 0 THEN {_about(rules.ADVICE['secrets'], 'secrets_found')} END",
+    f"CASE WHEN vulnerabilities_found > 0 THEN {_about(rules.ADVICE['vulnerabilities'], 'vulnerabilities_found')} END",
+    f"CASE WHEN other_files > 20 THEN {_about(rules.ADVICE['other files'], 'other_files')} END",
+    f"CASE WHEN avg_complexity > 50 THEN {_quote(rules.ADVICE['complexity'])} END",
+    *map(_quote, rules.GENERAL_ADVICE),
+]
 
 
 @query(_numbered(_ADVICE, 10))
@@ -774,12 +778,12 @@ def readme_advice(spark, sf_dir):
     return report.readme_advice(_summary(spark, sf_dir))
 
 
+_FOUND = {"secrets": "secrets_found", "vulnerabilities": "vulnerabilities_found", "large files": "large_files", "other files": "other_files"}
+
+
 @query(_numbered([
-    "CASE WHEN secrets_found > 0 THEN secrets_found || ' potential secret(s) found' END",
-    "CASE WHEN vulnerabilities_found > 0 THEN vulnerabilities_found || ' potential vulnerability(ies) found' END",
-    "CASE WHEN large_files > 0 THEN large_files || ' large file(s) (may need refactoring)' END",
-    "CASE WHEN other_files > 0 THEN other_files || ' file(s) not following clear architecture' END",
-    "CASE WHEN secrets_found + vulnerabilities_found + large_files + other_files = 0 THEN 'Codebase looks well-structured' END",
+    *(f"CASE WHEN {c} > 0 THEN {_about(rules.KEY_FINDINGS[k], c)} END" for k, c in _FOUND.items()),
+    f"CASE WHEN {' + '.join(_FOUND.values())} = 0 THEN {_quote(rules.KEY_FINDINGS['none'])} END",
 ], 10))
 def key_findings(spark, sf_dir):
     return report.key_findings(_summary(spark, sf_dir))

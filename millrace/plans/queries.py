@@ -683,8 +683,9 @@ def queue_stats(spark, sf_dir):
 
 @query(f"SELECT task_id FROM ({_STATE}) WHERE status IN {_in(tasks.TERMINAL)} AND updated_at <= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR")
 def stale_tasks(spark, sf_dir):
-    now = a.read(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
-    return tasks.stale(_state(spark, sf_dir), now).select("task_id")
+    now = a.read(spark, sf_dir, "events").agg(F.max("ts").alias("now")).withColumn("one", F.lit(1))  # one row
+    state = _state(spark, sf_dir).withColumn("one", F.lit(1)).join(F.broadcast(now), "one")
+    return tasks.stale(state, F.col("now")).select("task_id")
 
 
 @query(f"SELECT task_id, event_id, greatest(1, least(10, priority)) AS priority FROM ({a.TASK_EVENTS}) WHERE status = 'queued' ORDER BY priority, ts, task_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TERMINAL = ("completed", "failed", "cancelled", "timeout")
@@ -47,7 +47,9 @@ def with_analyses(state: DataFrame, analyses: DataFrame) -> DataFrame:
 
 
 def stale(state: DataFrame, now, hours: int = 24) -> DataFrame:
-    old = F.col("updated_at") <= F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(0), F.lit(hours))
+    """Ended tasks that nothing has touched for so many hours before now, a time or a column."""
+    now = now if isinstance(now, Column) else F.lit(now)
+    old = F.col("updated_at") <= now.cast("timestamp") - F.make_dt_interval(F.lit(0), F.lit(hours))
     return state.where(F.col("status").isin(*TERMINAL) & old)
 
 

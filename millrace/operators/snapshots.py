@@ -21,8 +21,8 @@ def dictionary(names: DataFrame, known: DataFrame | None = None) -> DataFrame:
     start = 0
     if known is not None:
         names = names.join(known.select("name"), "name", "left_anti")
-        start = (known.agg(F.max("id")).first()[0] if known is not None else None) or -1
-        start += 1
+        last = known.agg(F.max("id")).first()[0]
+        start = 0 if last is None else last + 1
     ranged = names.repartitionByRange("name").sortWithinPartitions("name")
     # a row's place within its task, and the task, as they are written
     ranged = _checkpoint(ranged.select("name", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("place")))

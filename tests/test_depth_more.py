@@ -89,6 +89,10 @@ def test_a_dictionary_of_nothing_and_of_many_ranges(spark):
     many = spark.range(5000).select(F.md5(F.col("id").cast("string")).alias("name")).repartition(9)
     got = {x.name: x.id for x in snapshots.dictionary(many.union(many).union(names)).collect()}
     assert [got[n] for n in sorted(got)] == list(range(5000))
+    one = snapshots.dictionary(spark.createDataFrame([("m",)], "name string"))
+    more = snapshots.dictionary(spark.createDataFrame([("a",), ("m",), (None,)], "name string"), one)
+    assert {x.name: x.id for x in more.collect()} == {"m": 0, "a": 1}
+    assert {x.name: x.id for x in snapshots.dictionary(one.select("name"), one.where("false")).collect()} == {"m": 0}
 
 
 # -- retention

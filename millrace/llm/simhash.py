@@ -319,7 +319,7 @@ def _named(by_root: DataFrame, salts: int = 32) -> DataFrame:
     return rows.join(least, ["root", "salt"], "left").select("fp", F.coalesce("least", "first").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, radius: int = 4, mixings: int = 8, similarity: float = 0.8) -> DataFrame:
+def one_of_each(docs: DataFrame, radius: int = 4, mixings: int = 7, similarity: float = 0.8) -> DataFrame:
     """The rows of docs without near-duplicates: all columns, one row of each group.
 
     Candidates are texts whose SimHashes differ in at most radius bits. These are taken over

@@ -71,14 +71,16 @@ def dangerous(path: Column) -> Column:
     return extension(path).isin(*rules.DANGEROUS)
 
 
-def human_size(size: Column, decimals: int = 2, zero: str | None = None) -> Column:
-    """The 1024 ladder from B to TB."""
+def human_size(size: Column, decimals: int = 2, zero: str | None = None, largest: str = "TB") -> Column:
+    """The 1024 ladder from B to TB, or to a lower unit that takes all that is larger."""
     form, out = f"%.{decimals}f %s", F.when(F.lit(False), "")
     if zero is not None:
         out = F.when(size == 0, zero)
-    for k, unit in enumerate(("B", "KB", "MB", "GB")):
+    units = ("B", "KB", "MB", "GB", "TB")
+    last = units.index(largest)
+    for k, unit in enumerate(units[:last]):
         out = out.when(size < 1024.0 ** (k + 1), F.format_string(form, size.cast("double") / 1024.0**k, F.lit(unit)))
-    return out.otherwise(F.format_string(form, size.cast("double") / 1024.0**4, F.lit("TB")))
+    return out.otherwise(F.format_string(form, size.cast("double") / 1024.0**last, F.lit(largest)))
 
 
 def estimated_seconds(files: Column, security: bool = True, complexity: bool = True, depth: str = "standard") -> Column:

@@ -43,17 +43,18 @@ def directory_totals(files: DataFrame, names: tuple[str, ...] = rules.SIZED_WITH
     return totals.withColumn("depth", depth)
 
 
-def upload_listing(files: DataFrame, limit: int = 50) -> DataFrame:
+def upload_listing(files: DataFrame, limit: int = 50, largest: str = "TB") -> DataFrame:
     """The uploads changed last, with their sizes, counts and times, and the totals over all uploads on every row.
 
-    An upload is a repository's root; size and count leave pruned directories out.
+    An upload is a repository's root; size and count leave pruned directories out. largest: the
+    last unit of the sizes as texts.
     """
     roots = directory_totals(files).where("directory = ''")
     kb = (F.col("size_bytes") / 1024).alias("size_kb")
-    rows = roots.select("repo_id", kb, paths.human_size(F.col("size_bytes")).alias("size_human"), "file_count", "created", "modified")
+    rows = roots.select("repo_id", kb, paths.human_size(F.col("size_bytes"), largest=largest).alias("size_human"), "file_count", "created", "modified")
     newest = rows.orderBy(F.desc("modified"), "repo_id").limit(limit)
     total = F.sum("size_bytes")
-    totals = roots.agg(F.count("*").alias("total"), F.round(total / 1024, 2).alias("total_size_kb"), paths.human_size(total).alias("total_size_human"))
+    totals = roots.agg(F.count("*").alias("total"), F.round(total / 1024, 2).alias("total_size_kb"), paths.human_size(total, largest=largest).alias("total_size_human"))
     return newest.withColumn("one", F.lit(1)).join(F.broadcast(totals.withColumn("one", F.lit(1))), "one").drop("one")  # one row
 
 

@@ -225,14 +225,29 @@ def cycles(edges: DataFrame) -> DataFrame:
 
 
 def simple_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, max_edges: int = 6) -> DataFrame:
-    """Simple paths from starts to ends (one column node each) of at most max_edges edges."""
+    """Simple paths from starts to ends (one column node each) of at most max_edges edges.
+
+    Nodes are labelled first with their least distance to any end, going backwards; a path then only
+    grows to nodes from which an end can still be reached, so what can't arrive is never extended.
+    """
     e = _checkpoint(edges.select("src", "dst").distinct())
-    paths = starts.select(F.col("node").alias("at"), F.array("node").alias("path"))
+    level = _checkpoint(ends.select("node", F.lit(0).alias("far")).distinct())
+    every = level
+    for d in range(1, max_edges + 1):
+        back = level.join(e, F.col("node") == F.col("dst")).select(F.col("src").alias("node")).distinct()
+        level = _checkpoint(back.join(every, "node", "left_anti").withColumn("far", F.lit(d)))
+        if level.isEmpty():
+            break
+        every = every.union(level)
+    every = _checkpoint(every)
+    # an edge with the distance from its end: what a path can take next
+    ahead = _checkpoint(e.join(every, F.col("dst") == F.col("node")).select("src", "dst", "far"))
+    paths = starts.join(every, "node", "left_semi").select(F.col("node").alias("at"), F.array("node").alias("path"))
     found = None
-    for _ in range(max_edges):
-        paths = paths.join(e, F.col("at") == F.col("src")).where(~F.array_contains(F.col("path"), F.col("dst")))
-        paths = _checkpoint(paths.select(F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path")))
-        done = paths.join(ends.select(F.col("node").alias("at")), "at", "left_semi").select("path")
+    for d in range(1, max_edges + 1):
+        paths = paths.join(ahead.where(F.col("far") <= max_edges - d), F.col("at") == F.col("src")).where(~F.array_contains(F.col("path"), F.col("dst")))
+        paths = _checkpoint(paths.select(F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"), (F.col("far") == 0).alias("end")))
+        done = paths.where("end").select("path")
         found = done if found is None else found.union(done)
     return found
 

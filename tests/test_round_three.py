@@ -21,3 +21,18 @@ def test_upload_listing_of_more_than_a_gigabyte_agrees_with_its_sql(spark, tmp_p
     assert float(want[0].split(", '")[-1].split(" MB")[0]) > 1024
     size = spark.range(1).select(paths.human_size(F.lit(3 << 30)), paths.human_size(F.lit(3 << 30), largest="MB")).first()
     assert tuple(size) == ("3.00 GB", "3072.00 MB")
+
+
+def test_simple_paths_go_from_every_entry_point_to_every_end(spark, tmp_path):
+    spark.range(1, 400).withColumnRenamed("id", "p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    got = [r.path.split(">") for r in queries.queries()["simple_paths"](spark, str(tmp_path)).collect()]
+    below = {p: {p // 4, p // 5} for p in range(1, 400)}
+    entry = set(below) - {d for ds in below.values() for d in ds}
+
+    def walk(path):
+        if path[-1] == 0:
+            return [path]
+        return [w for d in below[path[-1]] if len(path) < 7 for w in walk([*path, d])]
+
+    want = [list(map(str, w)) for p in entry for w in walk([p])]
+    assert sorted(got) == sorted(want) and len({p[0] for p in got}) == len(entry) > 3

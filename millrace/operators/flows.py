@@ -68,6 +68,7 @@ def file_flows(files_stats: DataFrame, facts: DataFrame) -> DataFrame:
     files_stats: see pyast.file_stats; facts: see pyast.file_facts.
     """
     key = ["repo_id", "path"]
+    facts = _checkpoint(facts.where("kind IN ('function', 'call')").select(*key, "kind", "name", "caller", "line"))  # made once
     calls = _checkpoint(graph.call_edges(facts))
     counts = facts.groupBy(*key).agg(F.sum((F.col("kind") == "function").cast("long")).alias("functions"), F.sum((F.col("kind") == "call").cast("long")).alias("calls"))
     pointed = calls.select(*key, F.col("dst").alias("src")).distinct()

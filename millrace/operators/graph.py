@@ -112,6 +112,7 @@ def call_edges(facts: DataFrame) -> DataFrame:
 
 def call_graphs(calls: DataFrame) -> DataFrame:
     """Nodes, edges, density and whether it has no cycle, of each file's call graph. calls: see call_edges."""
+    calls = _checkpoint(calls.select("repo_id", "path", "src", "dst"))  # read four times, made once
     ends = calls.select("repo_id", "path", F.explode(F.array("src", "dst")).alias("node")).distinct()
     sizes = ends.groupBy("repo_id", "path").agg(F.count("*").alias("nodes"))
     edges = calls.groupBy("repo_id", "path").agg(F.count("*").alias("edges"))

@@ -77,11 +77,12 @@ def facts(content: str | None) -> list[dict]:
     """Functions, classes, calls, imports and dangerous calls of one source, in source order by walk."""
     tree = _tree(content)
     out: list[dict] = []
+    blank = dict.fromkeys(_ROWS)
     if tree is None:
         return out
 
     def add(kind: str, **values) -> None:
-        out.append({k: values.get(k) for k in _ROWS} | {"kind": kind})
+        out.append(blank | values | {"kind": kind})
 
     def walk(node: ast.AST, inside: str) -> None:
         for child in ast.iter_child_nodes(node):
@@ -111,6 +112,16 @@ def facts(content: str | None) -> list[dict]:
     return out
 
 
+def python_files(files: DataFrame) -> DataFrame:
+    """repo_id, path and content of the Python files, dealt to all cores.
+
+    Small sources come in a few splits, each a task; parsing a text costs far more than moving it.
+    """
+    spark = files.sparkSession
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return files.where(F.lower("path").endswith(".py")).select("repo_id", "path", "content").repartition(parts)
+
+
 def _apply(files: DataFrame, make, fields: dict[str, str]) -> DataFrame:
     ship(files.sparkSession)
     schema = pa.schema([("repo_id", pa.string()), ("path", pa.string())] + [(k, _ARROW[t]) for k, t in fields.items()])
@@ -119,11 +130,11 @@ def _apply(files: DataFrame, make, fields: dict[str, str]) -> DataFrame:
         for b in batches:
             rows = []
             for r, p, c in zip(*(b.column(k).to_pylist() for k in ("repo_id", "path", "content")), strict=True):
-                rows += [{"repo_id": r, "path": p} | x for x in make(c)]
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                rows += [(r, p, *x.values()) for x in make(c)]
+            columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, schema, strict=True)], schema=schema)
 
-    python = files.where(F.lower("path").endswith(".py")).select("repo_id", "path", "content")
-    return python.mapInArrow(run, "repo_id string, path string, " + ", ".join(f"{k} {t}" for k, t in fields.items()))
+    return python_files(files).mapInArrow(run, "repo_id string, path string, " + ", ".join(f"{k} {t}" for k, t in fields.items()))
 
 
 def file_stats(files: DataFrame) -> DataFrame:

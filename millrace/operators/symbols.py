@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .graph import _checkpoint
-from .pyast import _tree, dotted
+from .pyast import _tree, dotted, python_files
 
 _FACTS = {"kind": "string", "module": "string", "name": "string", "target": "string", "above": "boolean", "line": "int", "place": "int"}
 _ARROW = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32()}
@@ -143,8 +143,7 @@ def file_symbols(files: DataFrame) -> DataFrame:
                     rows = []
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    python = files.where(F.lower("path").endswith(".py")).select("repo_id", "path", "content")
-    return python.mapInArrow(run, "repo_id string, path string, " + ", ".join(f"{k} {t}" for k, t in _FACTS.items()))
+    return python_files(files).mapInArrow(run, "repo_id string, path string, " + ", ".join(f"{k} {t}" for k, t in _FACTS.items()))
 
 
 def definitions(symbols: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from millrace.functions import paths
+from millrace.operators import flows, graph, pyast, symbols
 from millrace.plans import queries
 
 
@@ -36,3 +37,35 @@ def test_simple_paths_go_from_every_entry_point_to_every_end(spark, tmp_path):
 
     want = [list(map(str, w)) for p in entry for w in walk([p])]
     assert sorted(got) == sorted(want) and len({p[0] for p in got}) == len(entry) > 3
+
+
+def python_table(spark, n=40):
+    rows = [(f"r{k % 3}", f"/f{k}.py", f"def f{k}(x):\n    return eval(x)\n") for k in range(n)]
+    return spark.createDataFrame(rows, "repo_id string, path string, content string").coalesce(1)
+
+
+def test_python_files_of_one_split_are_parsed_in_many_tasks(spark):
+    for rows in (pyast.file_facts(python_table(spark)), pyast.file_stats(python_table(spark)), symbols.file_symbols(python_table(spark))):
+        assert rows.select(F.spark_partition_id()).distinct().count() > 4
+        assert rows.select("path").distinct().count() == 40
+
+
+def counted(spark, rows):
+    """rows, and how many of them are made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    return rows.mapInArrow(run, rows.schema), made
+
+
+def test_files_are_parsed_once_for_their_call_graphs(spark):
+    facts, made = counted(spark, pyast.file_facts(python_table(spark)).cache())
+    assert graph.call_graphs(graph.call_edges(facts)).count() == 40
+    assert made.value == 120
+    facts, made = counted(spark, pyast.file_facts(python_table(spark)).cache())
+    assert flows.file_flows(pyast.file_stats(python_table(spark)), facts).where("functions = 1 AND calls = 1 AND nodes = 2").count() == 40
+    assert made.value == 120

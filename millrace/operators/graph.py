@@ -30,6 +30,11 @@ def _checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _long(df: DataFrame) -> DataFrame:
+    """A table that grows with the graph: joins shuffle it, so no round collects it on the driver for a broadcast."""
+    return df.hint("merge")
+
+
 def aggregate_edges(dependencies: DataFrame, *keys: str) -> DataFrame:
     """Per (src, dst) and keys: sum of weights, sorted set of types, count. dependencies: src, dst, weight, type."""
     return dependencies.groupBy(*keys, "src", "dst").agg(
@@ -58,11 +63,11 @@ def graph_metrics(edges: DataFrame) -> DataFrame:
 
 def sources(edges: DataFrame) -> DataFrame:
     """Nodes without an incoming edge (entry points)."""
-    return edges.select(F.col("src").alias("node")).distinct().join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
+    return edges.select(F.col("src").alias("node")).distinct().join(_long(edges.select(F.col("dst").alias("node")).distinct()), "node", "left_anti")
 
 
 def sinks(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("dst").alias("node")).distinct().join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
+    return edges.select(F.col("dst").alias("node")).distinct().join(_long(edges.select(F.col("src").alias("node")).distinct()), "node", "left_anti")
 
 
 def weak_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -71,11 +76,11 @@ def weak_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     both = _checkpoint(both.where("src <> dst"))
     labels = _checkpoint(nodes(edges).withColumn("component", F.col("node")))
     for _ in range(max_rounds):
-        near = both.join(labels, both.dst == labels.node).groupBy("src").agg(F.min("component").alias("m"))
-        step = labels.join(near, labels.node == near.src, "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"))
+        near = both.join(_long(labels), both.dst == labels.node).groupBy("src").agg(F.min("component").alias("m"))
+        step = labels.join(_long(near), labels.node == near.src, "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"))
         up = step.select(F.col("node").alias("n"), F.col("component").alias("c"))
-        step = _checkpoint(step.join(up, step.component == up.n).select("node", F.col("c").alias("component")))
-        changed = step.join(labels.withColumnRenamed("component", "old"), "node").where("component <> old").isEmpty()
+        step = _checkpoint(step.join(_long(up), step.component == up.n).select("node", F.col("c").alias("component")))
+        changed = step.join(_long(labels.withColumnRenamed("component", "old")), "node").where("component <> old").isEmpty()
         labels = step
         if changed:
             return labels
@@ -93,7 +98,7 @@ def cyclic_part(edges: DataFrame, *keys: str) -> DataFrame:
     while n:
         pointed = left.select(*keys, F.col("dst").alias("src")).distinct()
         pointing = left.select(*keys, F.col("src").alias("dst")).distinct()
-        left = _checkpoint(left.join(pointed, [*keys, "src"], "left_semi").join(pointing, [*keys, "dst"], "left_semi").select(*keys, "src", "dst"))
+        left = _checkpoint(left.join(_long(pointed), [*keys, "src"], "left_semi").join(_long(pointing), [*keys, "dst"], "left_semi").select(*keys, "src", "dst"))
         before, n = n, left.count()
         if n == before:
             break
@@ -118,7 +123,7 @@ def call_graphs(calls: DataFrame) -> DataFrame:
     edges = calls.groupBy("repo_id", "path").agg(F.count("*").alias("edges"))
     loops = cyclic_part(calls, "repo_id", "path").select("repo_id", "path", F.lit(False).alias("is_dag")).distinct()
     n, m = F.col("nodes"), F.col("edges")
-    rows = sizes.join(edges, ["repo_id", "path"]).join(loops, ["repo_id", "path"], "left")
+    rows = sizes.join(_long(edges), ["repo_id", "path"]).join(_long(loops), ["repo_id", "path"], "left")
     return rows.select("repo_id", "path", "nodes", "edges", F.when(n > 1, m / (n * (n - 1))).otherwise(0.0).alias("density"), F.coalesce("is_dag", F.lit(True)).alias("is_dag"))
 
 
@@ -128,10 +133,10 @@ def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
     Edges must join nodes that may share a colour only; each round is written out and compared.
     """
     while True:
-        came = edges.join(labels, edges.src == labels.node).groupBy("dst").agg(F.min("colour").alias("new"))
-        step = labels.join(came, labels.node == came.dst, "left").select("node", F.least("colour", F.coalesce("new", "colour")).alias("colour"))
+        came = edges.join(_long(labels), edges.src == labels.node).groupBy("dst").agg(F.min("colour").alias("new"))
+        step = labels.join(_long(came), labels.node == came.dst, "left").select("node", F.least("colour", F.coalesce("new", "colour")).alias("colour"))
         step = _checkpoint(step)
-        if step.join(labels.withColumnRenamed("colour", "old"), "node").where("colour <> old").isEmpty():
+        if step.join(_long(labels.withColumnRenamed("colour", "old")), "node").where("colour <> old").isEmpty():
             return step
         labels = step
 
@@ -149,24 +154,24 @@ def strong_components(edges: DataFrame) -> DataFrame:
     while not left.isEmpty():
         colours = _spread(left, _checkpoint(nodes(left).withColumn("colour", F.col("node"))))
         c, d = colours.alias("c"), colours.alias("d")
-        inside = left.join(c, left.src == F.col("c.node")).join(d, left.dst == F.col("d.node")).where("c.colour = d.colour")
+        inside = left.join(_long(c), left.src == F.col("c.node")).join(_long(d), left.dst == F.col("d.node")).where("c.colour = d.colour")
         inside = _checkpoint(inside.select(F.col("c.colour").alias("colour"), "src", "dst"))
         # backwards from each colour's own node
         reached = _checkpoint(colours.where("node = colour"))
         n = reached.count()
         while True:
-            more = inside.join(reached, (inside.dst == reached.node) & (inside.colour == reached.colour)).select(inside.src.alias("node"), inside.colour)
+            more = inside.join(_long(reached), (inside.dst == reached.node) & (inside.colour == reached.colour)).select(inside.src.alias("node"), inside.colour)
             reached = _checkpoint(reached.union(more).distinct())
             before, n = n, reached.count()
             if n == before:
                 break
         found = reached if found is None else found.union(reached)
         gone = reached.select("node")
-        left = left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        left = left.join(_long(gone.withColumnRenamed("node", "src")), "src", "left_anti").join(_long(gone.withColumnRenamed("node", "dst")), "dst", "left_anti")
         left = cyclic_part(left)
     if found is None:
         return names.select("node", F.col("node").alias("component"))
-    return names.join(found, "node", "left").select("node", F.coalesce("colour", "node").alias("component"))
+    return names.join(_long(found), "node", "left").select("node", F.coalesce("colour", "node").alias("component"))
 
 
 def betweenness(edges: DataFrame) -> DataFrame:
@@ -218,7 +223,7 @@ def cycles(edges: DataFrame) -> DataFrame:
     while True:
         closed = paths.where("at = start").select(F.col("path").alias("cycle"))
         found = closed if found is None else found.union(closed)
-        grown = paths.where("at > start").join(e, F.col("at") == F.col("src")).where((F.col("dst") >= F.col("start")))
+        grown = paths.where("at > start").join(_long(e), F.col("at") == F.col("src")).where((F.col("dst") >= F.col("start")))
         grown = grown.where((F.col("dst") == F.col("start")) | ~F.array_contains(F.col("path"), F.col("dst")) & (F.col("dst") != F.col("at")))
         paths = _checkpoint(grown.select("start", F.col("dst").alias("at"), F.concat("path", F.array("src")).alias("path")))
         if paths.isEmpty():
@@ -235,18 +240,18 @@ def simple_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, max_edges
     level = _checkpoint(ends.select("node", F.lit(0).alias("far")).distinct())
     every = level
     for d in range(1, max_edges + 1):
-        back = level.join(e, F.col("node") == F.col("dst")).select(F.col("src").alias("node")).distinct()
-        level = _checkpoint(back.join(every, "node", "left_anti").withColumn("far", F.lit(d)))
+        back = level.join(_long(e), F.col("node") == F.col("dst")).select(F.col("src").alias("node")).distinct()
+        level = _checkpoint(back.join(_long(every), "node", "left_anti").withColumn("far", F.lit(d)))
         if level.isEmpty():
             break
         every = every.union(level)
     every = _checkpoint(every)
     # an edge with the distance from its end: what a path can take next
-    ahead = _checkpoint(e.join(every, F.col("dst") == F.col("node")).select("src", "dst", "far"))
-    paths = starts.join(every, "node", "left_semi").select(F.col("node").alias("at"), F.array("node").alias("path"))
+    ahead = _checkpoint(e.join(_long(every), F.col("dst") == F.col("node")).select("src", "dst", "far"))
+    paths = starts.join(_long(every), "node", "left_semi").select(F.col("node").alias("at"), F.array("node").alias("path"))
     found = None
     for d in range(1, max_edges + 1):
-        paths = paths.join(ahead.where(F.col("far") <= max_edges - d), F.col("at") == F.col("src")).where(~F.array_contains(F.col("path"), F.col("dst")))
+        paths = paths.join(_long(ahead.where(F.col("far") <= max_edges - d)), F.col("at") == F.col("src")).where(~F.array_contains(F.col("path"), F.col("dst")))
         paths = _checkpoint(paths.select(F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"), (F.col("far") == 0).alias("end")))
         done = paths.where("end").select("path")
         found = done if found is None else found.union(done)

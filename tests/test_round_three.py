@@ -69,3 +69,21 @@ def test_files_are_parsed_once_for_their_call_graphs(spark):
     facts, made = counted(spark, pyast.file_facts(python_table(spark)).cache())
     assert flows.file_flows(pyast.file_stats(python_table(spark)), facts).where("functions = 1 AND calls = 1 AND nodes = 2").count() == 40
     assert made.value == 120
+
+
+def test_rounds_over_graphs_collect_no_table_for_a_broadcast(spark, monkeypatch):
+    plans, keep = [], graph._checkpoint
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df)
+
+    monkeypatch.setattr(graph, "_checkpoint", noted)
+    monkeypatch.setattr(flows, "_checkpoint", noted)
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (5, 6)], "src long, dst long")
+    assert sorted(map(tuple, graph.weak_components(e).collect())) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 5)]
+    assert sorted(map(tuple, graph.strong_components(e).collect())) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 6)]
+    assert [r.cycle for r in graph.cycles(e).collect()] == [[1, 2, 3]]
+    paths = flows.execution_paths(e.withColumn("calls", F.array(F.col("src").cast("string"))))
+    assert [r.path for r in paths.collect()] == [[5, 6]]
+    assert len(plans) > 10 and not [p for p in plans if "BroadcastHashJoin" in p]

@@ -40,10 +40,11 @@ def save(edges: DataFrame, folder: str, version: int, isolated: DataFrame | None
     """
     spark = edges.sparkSession
     at = f"{folder}/version={version}"
+    edges = _checkpoint(edges)  # read for both ends' names and for their numbers, made once
     names = edges.select(F.col("src").alias("name")).union(edges.select("dst"))
     names = names if isolated is None else names.union(isolated.select("name"))
     known = None if previous is None else spark.read.parquet(f"{folder}/version={previous}/dictionary")
-    names = names.distinct()
+    names = _checkpoint(names.distinct())
     dictionary(names, known).write.mode("overwrite").parquet(f"{at}/dictionary")
     ids = spark.read.parquet(f"{at}/dictionary")
     names.join(ids, "name").select("id").write.mode("overwrite").parquet(f"{at}/nodes")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from millrace.functions import paths
-from millrace.operators import flows, graph, pyast, symbols
+from millrace.operators import flows, graph, pyast, snapshots, symbols
 from millrace.plans import queries
 
 
@@ -87,3 +87,10 @@ def test_rounds_over_graphs_collect_no_table_for_a_broadcast(spark, monkeypatch)
     paths = flows.execution_paths(e.withColumn("calls", F.array(F.col("src").cast("string"))))
     assert [r.path for r in paths.collect()] == [[5, 6]]
     assert len(plans) > 10 and not [p for p in plans if "BroadcastHashJoin" in p]
+
+
+def test_a_graph_is_made_once_to_be_saved(spark, tmp_path):
+    edges, made = counted(spark, spark.createDataFrame([("a", "b", 1.0, "call"), ("b", "c", 2.0, "call")], "src string, dst string, weight double, type string"))
+    snapshots.save(edges, str(tmp_path), 1)
+    assert made.value == 2
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/version=1/dictionary").collect()) == [0, 1, 2]

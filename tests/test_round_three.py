@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from millrace.functions import paths
 from millrace.operators import flows, graph, pyast, snapshots, symbols
 from millrace.plans import queries
+from millrace.streaming import lifecycle
 
 
 def test_upload_listing_of_more_than_a_gigabyte_agrees_with_its_sql(spark, tmp_path):
@@ -94,3 +95,40 @@ def test_a_graph_is_made_once_to_be_saved(spark, tmp_path):
     snapshots.save(edges, str(tmp_path), 1)
     assert made.value == 2
     assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/version=1/dictionary").collect()) == [0, 1, 2]
+
+
+class Handle:
+    """A stand-in for the state of one task that notes every access."""
+
+    def __init__(self):
+        self.noted, self.value = [], None
+
+    def getValueState(self, *_):  # noqa: N802
+        return self
+
+    def get(self):
+        self.noted.append("get")
+        return self.value
+
+    def update(self, value):
+        self.noted.append("update")
+        self.value = value
+
+    def registerTimer(self, at):  # noqa: N802
+        self.noted.append(f"timer {at}")
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.noted.append(f"no timer {at}")
+
+
+def test_a_task_moves_on_with_few_accesses_to_its_state():
+    handle, task = Handle(), lifecycle.Lifecycle(3, 10_000)
+    task.init(handle)
+    assert list(task._advance((7,), [(2_000_000, 2, "running"), (1_000_000, 1, "queued")], 0)) == []
+    assert handle.noted == ["get", "timer 1000", "update"]
+    handle.noted.clear()
+    (row,) = task._advance((7,), [], 5_000_000)
+    assert row.iloc[0][["status", "attempts", "events", "queued_us", "running_us"]].tolist() == ["running", 1, 2, 1_000_000, 0]
+    assert handle.noted == ["get", "no timer 1000", "timer 12001", "update"]
+    (row,) = task._advance((7,), [], 20_000_000)
+    assert row.iloc[0][["status", "running_us"]].tolist() == ["timeout", 10_000_000]

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, map_batches, materialize, release
+from .common import connected_components, counted, map_batches, release
 
 #: A sketch holds four bits of each of 128 lanes, as eight longs.
 SKETCH = [f"k{i}" for i in range(8)]
@@ -63,7 +63,7 @@ def linked(met: DataFrame, sets: DataFrame, threshold: float, rounds: int = 3) -
     pair at the threshold falls under once in some three million.
     """
     close = _agreeing("p", "q") >= least_agreeing(threshold)
-    of = materialize(met.join(sets.select("node", *SKETCH), "node").select("key", "node", F.col("node").alias("root"), *SKETCH))
+    of, members = counted(met.join(sets.select("node", *SKETCH), "node").select("key", "node", F.col("node").alias("root"), *SKETCH))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """a and b, the roots of the pairs x and y that are alike."""
@@ -71,15 +71,13 @@ def linked(met: DataFrame, sets: DataFrame, threshold: float, rounds: int = 3) -
         both = p.join(a, F.col("p.x") == F.col("a.node")).join(b, F.col("p.y") == F.col("b.node"))
         return both.where(jaccard(F.col("a.shingles"), F.col("b.shingles")) >= threshold).select("p.a", "p.b")
 
-    def moved(of: DataFrame, links: DataFrame) -> DataFrame | None:
-        """The members with the roots that the links give them; None without a link."""
-        links = materialize(links.distinct())
-        if links.isEmpty():
-            return None
+    def moved(of: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
+        """The members with the roots that the links give them, and the number of links."""
+        links, n = counted(links.distinct())
+        if not n:
+            return of, 0
         found = connected_components(links).select(F.col("node").alias("root"), F.col("root").alias("new"))
-        new = materialize(of.join(found, "root", "left").select("key", "node", F.coalesce("new", "root").alias("root"), *SKETCH))
-        release(met.sparkSession)
-        return new
+        return counted(of.join(found, "root", "left").select("key", "node", F.coalesce("new", "root").alias("root"), *SKETCH))[0], n
 
     member = F.struct("node", "root", *SKETCH)
     for k in range(rounds):
@@ -88,16 +86,21 @@ def linked(met: DataFrame, sets: DataFrame, threshold: float, rounds: int = 3) -
         leads = leads.where("lo < hi").select("key", F.explode(F.array("p", "r")).alias("p"))
         pairs = of.alias("q").join(leads.alias("l"), "key").select("q.*", "l.p").alias("q").where((F.col("q.root") != F.col("q.p.root")) & _lead_close(threshold))
         pairs = pairs.select(F.col("node").alias("x"), F.col("p.node").alias("y"), F.col("root").alias("a"), F.col("p.root").alias("b")).distinct()
-        new = moved(of, verified(pairs))
-        if new is None:
+        of, n = moved(of, verified(pairs))
+        del leads, pairs
+        release(met.sparkSession)
+        if 1000 * n <= members:  # another round would join little; below nothing is missed
             break
-        of = new
 
     main = of.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
-    left = materialize(of.join(main.where("roots > 1").select("key", "main"), "key"))
+    left, _ = counted(of.join(main.where("roots > 1").select("key", "main"), "key"))
+    del main
+    release(met.sparkSession)
     sizes = _shared(left.select("node").union(left.select("main")).distinct(), sets)
     left = left.join(sizes, "node").where(F.col("common") >= threshold * F.col("size"))
-    left = materialize(left.join(_by_main(left.select("node", "main").distinct(), sets), ["node", "main"]).withColumn("rest", F.col("common") - F.col("inside")))
+    left, _ = counted(left.join(_by_main(left.select("node", "main").distinct(), sets), ["node", "main"]).withColumn("rest", F.col("common") - F.col("inside")))
+    del sizes
+    release(met.sparkSession)
     keys = left.groupBy("node").agg(F.collect_set("key").alias("keys"))  # as many as there are bands
     left = left.join(keys, "node")
     p, q = left.where("root <> main").alias("p"), left.alias("q")
@@ -111,8 +114,7 @@ def linked(met: DataFrame, sets: DataFrame, threshold: float, rounds: int = 3) -
     could = lambda m: m >= threshold * (F.col("p.size") + F.col("q.size") - m)
     pairs = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.root") != F.col("q.root")) & once & could(least) & close & could(most) & first)
     pairs = pairs.select(F.col("p.node").alias("x"), F.col("q.node").alias("y"), F.col("p.root").alias("a"), F.col("q.root").alias("b")).distinct()
-    last = moved(of, verified(pairs))
-    return (of if last is None else last).select("node", "root").distinct()
+    return moved(of, verified(pairs))[0].select("node", "root").distinct()
 
 
 def _shared(nodes: DataFrame, sets: DataFrame) -> DataFrame:

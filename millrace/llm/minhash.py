@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import links
-from .common import arrow_function, map_batches, materialize, member_filter, release
+from .common import arrow_function, counted, map_batches, materialize, member_filter, release
 from .token_counts import _Cache
 
 LANES, SHINGLE = 128, 5
@@ -237,13 +237,13 @@ def groups(docs: DataFrame, threshold: float = 0.8, bands: int = 25) -> DataFram
     keys = F.array(*(F.xxhash64(F.lit(k), F.substring("signature", 1 + k * width, width)) for k in range(bands)))
     every = rows.select("node", F.explode(keys).alias("key"))
     # keys of one row leave first, by their counts alone; then those of one node
-    twice = materialize(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    met = materialize(every.where(member_filter(twice, "key")("key")).distinct().join(twice, "key", "left_semi"))
+    twice, _ = counted(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    met, _ = counted(every.where(member_filter(twice, "key")("key")).distinct().join(twice, "key", "left_semi"))
     crowded = met.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
-    met = materialize(met.join(crowded, "key", "left_semi"))
+    met, _ = counted(met.join(crowded, "key", "left_semi"))
     del twice, crowded
     release(docs.sparkSession)
-    sets = materialize(shingle_sets(docs, nodes.join(met.select("node").distinct(), "node").select("node", "t")))
+    sets, _ = counted(shingle_sets(docs, nodes.join(met.select("node").distinct(), "node").select("node", "t")))
     roots = links.linked(met, sets, threshold)
     del met, sets
     release(docs.sparkSession)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, map_batches, materialize, member_filter, planned, release
+from .common import connected_components, counted, map_batches, materialize, member_filter, planned, release
 from .links import linked
 
 BITS = 64
@@ -370,10 +370,10 @@ def one_of_each(docs: DataFrame, radius: int = 4, mixings: int = 7, similarity:
         candidates = connected_components(shared).select("node", F.col("root").alias("key"))
         met = nodes.select("node").distinct().join(candidates, "node").select("key", "node")
         several = met.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-        met = materialize(met.join(several, "key"))
+        met, _ = counted(met.join(several, "key"))
     del roots, shared, candidates, several, marked
     release(docs.sparkSession)
-    sets = materialize(shingle_sets(docs, nodes.join(met.select("node"), "node").groupBy("node").agg(F.min("t").alias("t"))))
+    sets, _ = counted(shingle_sets(docs, nodes.join(met.select("node"), "node").groupBy("node").agg(F.min("t").alias("t"))))
     groups = materialize(linked(met, sets, similarity))
     del met, sets
     release(docs.sparkSession)

@@ -5,6 +5,7 @@ import pytest
 from helpers import documents
 
 from millrace.llm import links, minhash
+from millrace.llm.common import counted
 from pyspark.sql import functions as F
 
 
@@ -115,3 +116,36 @@ def test_sketches_agree_as_the_sets_do(spark):
         df = df.select(F.struct(*(F.col(f"{k}p").alias(k) for k in links.SKETCH)).alias("p"), F.struct(*(F.col(f"{k}q").alias(k) for k in links.SKETCH)).alias("q"))
         top = lambda x: (x * np.uint16(0x9E37)) >> np.uint16(12)
         assert df.select(links._agreeing("p", "q").alias("n")).first().n == int((top(a) == top(b)).sum())
+
+
+def tasks_of(spark, action):
+    """The number of tasks that an action ran."""
+    tracker, group = spark.sparkContext.statusTracker(), f"counted-{id(action)}"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        action()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    infos = [i for i in map(tracker.getStageInfo, stages) if i]
+    return sum(i.numCompletedTasks for i in infos)
+
+
+def test_few_links_are_not_spread_over_all_partitions(spark):
+    """Each round over a few edges reads them in few tasks, however many partitions the session has."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40) if i % 8], "a long, b long")
+    held = {"spark.sql.shuffle.partitions": "96", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        rows, n = counted(edges.distinct())
+        few = rows.rdd.getNumPartitions()
+        lone = tasks_of(spark, lambda: rows.groupBy("a").count().collect())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert n == 35 and rows.count() == 35
+    assert few == spark.sparkContext.defaultParallelism and lone <= 96 + few  # 192 if the table kept its 96 parts
+    empty, none = counted(edges.where("a < 0"))
+    assert none == 0 and empty.count() == 0

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import links
-from .common import arrow_function, counted, map_batches, materialize, member_filter, release
+from .common import arrow_function, counted, held, map_batches, materialize, member_filter, member_test, release
 from .token_counts import _Cache
 
 LANES, SHINGLE = 128, 5
@@ -26,7 +26,6 @@ _rng = np.random.default_rng(20240607)
 _A = (_rng.integers(0, 1 << 31, LANES, dtype=np.uint32) * 2 + 1)[:, None]
 _B = _rng.integers(0, 1 << 32, LANES, dtype=np.uint32)[:, None]
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(SHINGLE)], np.uint64)
-_words: dict = {}
 
 
 def _hash_word(word: bytes) -> int:
@@ -37,10 +36,9 @@ def _hash_word(word: bytes) -> int:
 
 def word_hashes(text: str) -> np.ndarray:
     """64-bit hashes of the text's lower-cased words, in order."""
-    global _words
-    _words = _words or _Cache(_hash_word, {})
+    known = held("words of shingles", None, lambda: _Cache(_hash_word, {}))
     words = text.lower().encode().split()
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def shingles(w: np.ndarray) -> np.ndarray:
@@ -213,8 +211,8 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield {"node": nodes, "shingles": [x.view(np.int32) for x in sets], **{k: bits[:, i] for i, k in enumerate(links.SKETCH)}}
 
     texts = docs.select(F.xxhash64("text").alias("t"), F.col("text").alias("text"))
-    texts = texts.where(member_filter(wanted, "t")("t")).select("text")
-    found = map_batches(texts, each, "node long, shingles array<int>, " + ", ".join(f"{k} long" for k in links.SKETCH))
+    may = member_test(wanted, "t")
+    found = map_batches(texts, each, "node long, shingles array<int>, " + ", ".join(f"{k} long" for k in links.SKETCH), may and ("t", may))
     return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 

@@ -15,12 +15,13 @@ import sys
 import zlib
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_count, map_batches, materialize, running_total
+from .common import bucket_count, held, map_batches, materialize, running_total
 from .token_counts import _public_path
 
 
@@ -36,22 +37,29 @@ class IdEncoder:
         import json
 
         import tiktoken
-        from tokenizers import Tokenizer
 
         from .token_counts import _byte_letters
 
-        self.library = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.path, whole = path, json.load(open(path, encoding="utf-8"))
+        self.special = [t["content"] for t in whole["added_tokens"]]
         byte_of = {c: b for b, c in _byte_letters().items()}
-        model = json.load(open(path, encoding="utf-8"))["model"]
+        model = whole["model"]
         made = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
         if any(x >= y for x, y in zip(made, made[1:], strict=False)):
             raise ValueError(f"the merges of {path} don't follow its ids")
         ranks = {bytes(byte_of[c] for c in w): i for w, i in model["vocab"].items() if w not in self.special}
+        del whole, model, made
         #: Fixed value: the splitting rule of the byte-level pre-tokenizer.
         rule = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.ordinary = tiktoken.Encoding("corpus", pat_str=rule, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
+    @cached_property
+    def library(self):
+        """Only read for a text that holds a special string; it takes as much memory as the ranks."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             ids = self.library.encode(text, add_special_tokens=False).ids
@@ -60,16 +68,16 @@ class IdEncoder:
         return np.array(ids, "<u4").tobytes()
 
 
-_encoders: dict[str, IdEncoder] = {}
+def encoder(tokenizer: str, path_of: Callable[[str], str]) -> IdEncoder:
+    """The worker's encoder, made once."""
+    return held("token ids", tokenizer, lambda: IdEncoder(path_of(tokenizer)))
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, path_of: Callable[[str], str]) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32. Only documents longer than capacity are cut."""
 
     def cut(batches: Iterator[dict]) -> Iterator[dict]:
-        if tokenizer not in _encoders:
-            _encoders[tokenizer] = IdEncoder(path_of(tokenizer))
-        encode, end = _encoders[tokenizer].encode, np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(tokenizer, path_of).encode, np.array([end_id], "<u4").tobytes()
         for b in batches:
             out: dict = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
             for doc, text in zip(b["doc_id"], b["text"], strict=True):

@@ -21,14 +21,13 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_function, map_batches, materialize, member_filter
+from .common import arrow_function, held, map_batches, materialize, member_filter
 from .token_counts import _Cache
 
 WINDOW, GRAM = 50, 16
 #: Odd multipliers of the two rolling hashes and their inverses modulo 2^64.
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _POWERS: dict[tuple[int, int], np.ndarray] = {}
-_words: dict = {}
 _NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -39,9 +38,8 @@ def _hash_word(word: bytes) -> int:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    global _words
-    _words = _words or _Cache(_hash_word, {})
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    known = held("words of windows", None, lambda: _Cache(_hash_word, {}))
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def _powers(base: int, n: int) -> np.ndarray:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_function, map_batches
+from .common import arrow_function, held, map_batches
 
 #: Bytes of a scored window, and of the smaller ones that the toxic dictionary is trained on.
 WINDOW_BYTES, PIECE_BYTES, LEVEL = 64, 24, 6
@@ -264,16 +264,9 @@ def fit(
     return Model(bytes(r.toxic), bytes(r.ordinary), list(r.weights))
 
 
-_scorers: dict[tuple, Scorer] = {}
-
-
 def _scorer(model: Model) -> Scorer:
     """The worker's scorer for a model, made once."""
-    key = model.toxic, *model.weights
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(model)
-    return _scorers[key]
+    return held("toxicity", (model.toxic, *model.weights), lambda: Scorer(model))
 
 
 def score(docs: DataFrame, labels: DataFrame, **sample: int) -> DataFrame:

@@ -1,14 +1,14 @@
 """SimHash near-duplicates by generalised pigeonhole search.
 
-A pair of fingerprints differing in at most `radius` bits differs, for any thresholds t_i with
-sum(t_i + 1) = radius + 1 over a partition of the bits, in at most t_i bits of some part i.
-Correlated bits share a part; every fingerprint gets thresholds of its own, by dynamic
-programming over the number of candidates that histograms of the parts' values promise; it
-probes the parts' values within its thresholds, and the join verifies each meeting.
+The bits are parted into blocks, and the blocks into sets. A pair of fingerprints differing in at
+most `radius` bits differs in at most so many blocks; there are so many blocks that some set holds
+`taken` others, in which the pair is equal. So a key is the value of `taken` blocks of a set, every
+fingerprint has one key for each such choice, as many whatever the table holds, and the join by
+keys verifies each meeting. Correlated bits share a block.
 
 Work is on distinct fingerprints, so copies cost nothing. Dense groups are first joined into
-stars around bucket minima (linear in the rows), and the probing join then only makes pairs
-between different groups: where many fingerprints of a group share a value, they meet only those
+stars around bucket minima (linear in the rows), and the join by keys then only makes pairs
+between different groups: where many fingerprints of a group share a key, they meet only those
 of other groups. No group's pairs are ever listed, and no link between groups is lost.
 """
 
@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import connected_components, counted, map_batches, materialize, member_filter, planned, release
 from .links import linked
@@ -131,41 +132,28 @@ def part_values(fp: np.ndarray, group: list[int]) -> np.ndarray:
     return out.view(np.int64)
 
 
-def number_of_parts(n: int, radius: int) -> int:
-    """The partition whose probes and expected candidates cost least for n fingerprints."""
+def key_blocks(n: int, radius: int) -> tuple[int, list[tuple[int, ...]]]:
+    """How many blocks the bits are parted into, and the blocks of each key, for n fingerprints that can link.
 
-    def cost(m: int) -> float:
-        extra = max(0, radius + 1 - m)  # one unit each for a start, the rest where they cost least
-        width = BITS // m
-        radii = [extra // m + (k < extra % m) for k in range(m)]
-        probes = sum(sum(comb(width, d) for d in range(r + 1)) for r in radii)
-        return n * probes + 0.05 * n * n * probes / 2.0**width
-
-    return min(range(2, radius + 2), key=cost)
-
-
-def histograms(distinct: DataFrame, groups: list[list[int]]) -> np.ndarray:
-    """How many fingerprints have each value of the first 16 bits of each part (a bounded table)."""
-
-    def values(batches: Iterator[dict]) -> Iterator[dict]:
-        for b in batches:
-            fp = np.array(b["fp"], np.int64)
-            keys = [part_values(fp, g[:HISTOGRAM_BITS]) | (k << HISTOGRAM_BITS) for k, g in enumerate(groups)]
-            key, n = np.unique(np.concatenate(keys), return_counts=True)
-            yield {"key": key, "n": n}
-
-    counts = map_batches(distinct.select("fp"), values, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    out = np.zeros(len(groups) << HISTOGRAM_BITS)
-    arrow = counts.toArrow()
-    out[arrow["key"].to_numpy()] = arrow["n"].to_numpy()
-    return out.reshape(len(groups), -1)
+    With `taken` blocks to a key and blocks in `sets` sets, radius + (taken - 1) * sets + 1 blocks are enough:
+    of those that radius bits leave alike, some set has `taken`. 9 keys of some 18 bits serve for radius 4
+    up to tens of millions of fingerprints; only then are more and longer keys cheaper than the pairs to verify.
+    """
+    choices = []
+    for taken, sets in ((2, 2), (3, 2), (3, 1)):
+        blocks = radius + (taken - 1) * sets + 1
+        ends = [blocks * k // sets for k in range(sets + 1)]
+        keys = [c for at, end in zip(ends, ends[1:], strict=False) for c in combinations(range(at, end), taken)]
+        choices.append((len(keys) * (1 + 0.01 * n / 2 ** (BITS * taken / blocks)), blocks, keys))
+    return min(choices)[1:]
 
 
 def thresholds(fp: np.ndarray, groups: list[list[int]], hist: np.ndarray, radius: int) -> np.ndarray:
     """For each fingerprint and part, its threshold + 1 (0: the part isn't probed).
 
     Dynamic programming over the parts: the radius + 1 units go where probes and estimated
-    candidates together are fewest.
+    candidates together are fewest. hist: how many fingerprints have each value of the first
+    HISTOGRAM_BITS bits of each part. The search by key_blocks() has no thresholds and doesn't call it.
     """
     n, units, most = len(fp), radius + 1, min(radius + 1, 3)
     total = hist[0].sum()
@@ -199,35 +187,13 @@ def thresholds(fp: np.ndarray, groups: list[list[int]], hist: np.ndarray, radius
     return out
 
 
-def _keys(nodes: DataFrame, groups: list[list[int]], hist, radius: int, probing: bool) -> DataFrame:
-    """(key, fp, root): each part's value, or with probing all values within the thresholds."""
-    masks = []  # by part and radius
-    for g in groups:
-        by = [[sum(1 << b for b in c) for d in range(r + 1) for c in combinations(range(len(g)), d)] for r in range(3)]
-        masks.append([np.array(m, np.int64) for m in by])
-    schema = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("root", pa.int64())])
-
-    def run(batches):
-        h = hist.value if probing else None
-        for b in batches:
-            columns = [b.column(c).to_numpy() for c in ("fp", "root", "mixing")]
-            for at in range(0, len(columns[0]), 4096):  # keeps what one batch grows into small
-                fp, root, mixing = (c[at : at + 4096] for c in columns)
-                t = thresholds(fp, groups, h, radius) if probing else np.ones((len(fp), len(groups)), np.int8)
-                keys, fps, roots = [], [], []
-                for i, g in enumerate(groups):
-                    v = part_values(fp, g) | i << 40 | mixing.astype(np.int64) << 44
-                    for r in range(3):
-                        rows = np.flatnonzero(t[:, i] == r + 1)
-                        if len(rows):
-                            m = masks[i][r]
-                            keys.append((v[rows, None] ^ m[None, :]).ravel())
-                            fps.append(np.repeat(fp[rows], len(m)))
-                            roots.append(np.repeat(root[rows], len(m)))
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, fps, roots)], schema=schema)
-
-    return nodes.select("fp", "root", "mixing").mapInArrow(run, "key long, fp long, root long")
+def _keys(nodes: DataFrame, groups: list[list[int]], keys: list[tuple[int, ...]]) -> DataFrame:
+    """(part, key, fp, root): a row for each node and key, the bits of the key's blocks; part: which key, of which mixing."""
+    masks = [sum(1 << bit for block in key for bit in groups[block]) for key in keys]
+    signed = [m - (1 << BITS) if m >> BITS - 1 else m for m in masks]
+    part = lambda k: (F.col("mixing") * len(keys) + k).alias("part")
+    each = F.array(*(F.struct(part(k), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for k, m in enumerate(signed)))
+    return nodes.select(F.explode(each).alias("k"), "fp", "root").select("k.part", "k.key", "fp", "root")
 
 
 def _stars(distinct: DataFrame, groups: list[list[int]], radius: int) -> DataFrame:
@@ -261,35 +227,31 @@ def components(distinct: DataFrame, radius: int = 4) -> DataFrame:
 def roots_of(distinct: DataFrame, radius: int = 4) -> DataFrame:
     """id and root of distinct fingerprints (id, mixing, fp), of which those of one mixing can link."""
     spark = distinct.sparkSession
-    n = distinct.count()
-    parts = number_of_parts(n, radius)
+    counts = [r.n for r in distinct.groupBy("mixing").agg(F.count("*").alias("n")).collect()]  # a row for each mixing
+    n = sum(counts)
+    blocks, keys = key_blocks(max(counts, default=0), radius)
     with planned(spark, n):
-        groups = bit_groups(distinct, parts)
-        hist = spark.sparkContext.broadcast(histograms(distinct, groups))
+        groups = bit_groups(distinct, blocks)
     with planned(spark, 6 * n):
         stars = connected_components(_stars(distinct, groups, radius))
     with planned(spark, n):
-        nodes = materialize(
-            distinct.join(stars, distinct.id == stars.node, "left").select("id", "fp", "mixing", F.coalesce("root", "id").alias("root"))
-        )
+        # columns without nulls, known by no partitioning: else each use of the keys plans filters and a shuffle of its own
+        rows = distinct.join(stars, distinct.id == stars.node, "left").withColumn("root", F.coalesce("root", "id"))
+        nodes = materialize(rows.select(*(F.coalesce(c, F.lit(0)).alias(c) for c in ("id", "fp", "mixing", "root"))))
     del stars
     release(spark)
-    index = _keys(nodes, groups, None, radius, probing=False)
-    with planned(spark, parts * n):
-        # a value that many fingerprints of one root share: they only meet those of other roots there
-        crowd = index.groupBy("key", "root").agg(F.count("*").alias("n")).where("n > 16")
-        crowd = materialize(crowd.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main")))
-    main = F.coalesce(F.col("root") == F.col("main"), F.lit(False))
-    d = index.join(crowd, "key", "left").withColumn("other", F.col("main").isNotNull() & ~main).alias("d")
-    others = F.when(main, F.array(F.lit(True))).when(F.col("main").isNull(), F.array(F.lit(False)))
-    q = _keys(nodes, groups, hist, radius, probing=True).join(crowd, "key", "left")
-    q = q.withColumn("other", F.explode(others.otherwise(F.array(F.lit(True), F.lit(False))))).alias("q")
-    met = (
-        (F.col("q.key") == F.col("d.key")) & (F.col("q.other") == F.col("d.other")) & (F.col("q.root") != F.col("d.root"))
-        & (F.bit_count(F.col("q.fp").bitwiseXOR(F.col("d.fp"))) <= radius)
-    )
-    with planned(spark, 24 * n):
-        joined = connected_components(q.join(d, met).select(F.col("q.root").alias("a"), F.col("d.root").alias("b")))
+    with planned(spark, len(keys) * n):
+        index = _keys(nodes, groups, keys).repartition("part", "key")  # one shuffle, which all below read
+        # a key that many fingerprints of one root share: they only meet those of other roots there
+        of_root = F.count("*").over(W.partitionBy("part", "key", "root"))
+        most = F.max(F.when(F.col("n") > 16, F.struct("n", "root"))).over(W.partitionBy("part", "key"))
+        q = index.withColumn("n", of_root).withColumn("main", most["root"]).where("main is null or root <> main").alias("q")
+        d = index.alias("d")
+        once = F.coalesce(F.col("d.root") == F.col("q.main"), F.lit(False)) | (F.col("q.fp") < F.col("d.fp"))
+        near = F.bit_count(F.col("q.fp").bitwiseXOR(F.col("d.fp"))) <= radius
+        same = (F.col("q.part") == F.col("d.part")) & (F.col("q.key") == F.col("d.key"))
+        met = q.join(d, same & once & (F.col("q.root") != F.col("d.root")) & near)
+        joined = connected_components(met.select(F.col("q.root").alias("a"), F.col("d.root").alias("b")))
     with planned(spark, n):
         return materialize(
             nodes.join(joined, nodes.root == joined.node, "left").select("id", F.coalesce(joined.root, nodes.root).alias("root"))

@@ -1,5 +1,6 @@
 import hashlib
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -176,6 +177,29 @@ def test_thresholds_spend_all_units():
         assert (t.sum(axis=1) == 5).all() and t.min() >= 0
 
 
+def test_keys_leave_no_pair_out_and_are_as_many_at_any_size():
+    for radius in range(7):
+        for n in (0, 10**3, 10**7, 10**9, 10**12):
+            blocks, keys = simhash.key_blocks(n, radius)
+            for touched in combinations(range(blocks), min(radius, blocks)):
+                assert any(not set(touched) & set(k) for k in keys)
+    assert {len(simhash.key_blocks(n, 4)[1]) for n in (1, 41_000, 205_000, 12_300_000)} == {9}
+
+
+def test_search_makes_no_rows_beside_its_keys(spark, monkeypatch):
+    """The keys are made and shuffled once, and nothing multiplies their rows before the join."""
+    plans, search = [], simhash.connected_components
+
+    def seen(links):
+        plans.append(links._jdf.queryExecution().executedPlan().toString())
+        return search(links)
+
+    monkeypatch.setattr(simhash, "connected_components", seen)
+    fps = [(int(x),) for x in np.random.default_rng(5).integers(-(1 << 62), 1 << 62, 300)]
+    assert simhash.components(spark.createDataFrame(fps, "fp long")).count() == 300
+    assert plans[-1].count("Generate ") == 1 and plans[-1].count("ReusedExchange") == 1
+
+
 # -- mixing
 
 
